@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, language_id, token_counts, warc
+from tidemark.llm import ann, bpe, language_id, ngram_join, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_tiled_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests_only=True)
 
@@ -40,5 +44,5 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.filter(F.col("gap").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op5_kneser_ney_language, op6_transducer_token_counts, op9_segment_tree_bpe, op10_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op5_kneser_ney_language, op6_transducer_token_counts, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage)}
 ORACLE_SQL: dict[str, str] = {}
