@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, language_id, ngram_join, token_counts, warc
+from tidemark.llm import ann, bpe, decontaminate, language_id, ngram_join, pii, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_block_matrix_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op2_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
@@ -31,6 +35,10 @@ def op6_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_tiled_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,5 +52,5 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.filter(F.col("gap").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op5_kneser_ney_language, op6_transducer_token_counts, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage)}
 ORACLE_SQL: dict[str, str] = {}
