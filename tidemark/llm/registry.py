@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontaminate, language_id, ngram_join, pii, token_counts, warc
+from tidemark.llm import ann, bpe, decontaminate, html_text, language_id, ngram_join, pii, sharding, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op2_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame
     return pii.summary(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
@@ -52,5 +60,5 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.filter(F.col("gap").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage)}
 ORACLE_SQL: dict[str, str] = {}
