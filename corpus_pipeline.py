@@ -1,3 +1,64 @@
-STAGES = []
+"""From raw documents to token ids: language ID, near-duplicates, decontamination, personal data, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, language_id, ngram_join, pii, registry
+from tidemark.llm.common import saved, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the language models reject (no letter, or unlike every learned language)."""
+    model = language_id.fit(docs)
+    return language_id.identify(docs, model, *COLUMNS[1:]).filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each group of near-duplicates the document of smallest doc_id, once (rows without doc_id all stay)."""
+    first = ngram_join.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    first = saved(first, "first")
+    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    if not first.filter("n > 1").isEmpty():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item, whatever its numbers, names and units have become."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and disclosing terms in the texts; no document goes."""
+    return pii.sanitise(pii.find_spans(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text with their digest and that of what they decode to."""
+    return bpe.encode_documents(docs, registry.tokenizer_path("word_bpe_49k.json")).drop("decoded")
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", remove_personal_data),
+    ("encoding", encode),
+]
+#: Character models, tile joins and BPE are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return docs
