@@ -3,8 +3,10 @@
 1. Every document becomes the sorted array of the hashes of its distinct shingles. Documents with equal sets are one class.
 2. Each class names the shingles of its prefix: two sets of the wanted similarity share at least one of the first
    n - ceil(0.8 n) + 1 shingles in any fixed order. The order takes shingles that many documents share last, so that
-   common passages hardly bring sets together. Sets that share such a shingle and whose sizes allow it are chained.
-3. The chained groups are the tiles' regions. A region beyond ``TILE`` classes is cut into tiles by size band (a factor
+   common passages hardly bring sets together.
+3. The sets that share a prefix shingle are a small tile. Every pair of a tile whose sizes allow it is bounded by the bit
+   counts of their bitmap signatures; of the pairs that pass, links that span the tile's groups are kept. The components of all these
+   links are regions, and similar sets are always in one region. A region beyond ``TILE`` classes is cut into tiles by size band (a factor
    1.25, so that only equal and neighbouring bands can meet) and by hash, and each pair of such tiles is a task of its own.
 4. In a tile pair the bits that one signature has and the other has not bound the overlap from above; pairs
    that pass are intersected exactly. Pairs whose classes are already connected in the tile are not looked at again. A
@@ -91,6 +93,28 @@ def class_id(own: np.ndarray) -> int:
     return int(mixed(np.array([mixed(u + np.uint64(len(u))).sum()], np.uint64)).view(np.int64)[0])
 
 
+def signature(own: np.ndarray) -> bytes:
+    """Bitmap of a set, about one bit a shingle; wider ones fold into narrower ones by halves."""
+    bits = max(512, 1 << int(len(own) - 1).bit_length())
+    row = np.zeros(bits, np.uint8)
+    row[own & (bits - 1)] = 1
+    return np.packbits(row, bitorder="little").tobytes()
+
+
+def may_be_similar(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
+    """Whether the bit counts allow the similarity; each side is size, bits as a number, width of the bitmap."""
+    (n, x, w), (m, y, v) = a, b
+    while w > v:
+        w //= 2
+        x = (x >> w) | (x & ((1 << w) - 1))
+    while v > w:
+        v //= 2
+        y = (y >> v) | (y & ((1 << v) - 1))
+    both = x & y
+    most = min(n - (x ^ both).bit_count(), m - (y ^ both).bit_count())
+    return 100 * most >= percent * (n + m - most)
+
+
 def similar(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
@@ -147,13 +171,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
 
         def repeats() -> pd.DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
-            return pd.DataFrame({"kind": 1, "id": h[n >= REPEATS], "n": n[n >= REPEATS], "cid": 0})
+            return pd.DataFrame({"kind": 1, "id": h[n >= REPEATS], "n": n[n >= REPEATS], "cid": 0, "bits": None})
 
         for batch in batches:
             texts = batch["text"].tolist()
             for part in slices(texts):
                 sets = shingle_sets(texts[part], words)
-                yield pd.DataFrame({"kind": 0, "id": batch["doc_id"].iloc[part].array, "n": [len(s) for s in sets], "cid": [class_id(s) if len(s) else 0 for s in sets]})
+                yield pd.DataFrame({"kind": 0, "id": batch["doc_id"].iloc[part].array, "n": [len(s) for s in sets], "cid": [class_id(s) if len(s) else 0 for s in sets], "bits": [signature(s) for s in sets]})
                 held += sets
                 size += sum(map(len, sets))
                 if size >= WINDOW:
@@ -161,9 +185,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
                     held, size = [], 0
         yield repeats()
 
-    scanned = saved(docs.mapInPandas(scan, "kind int, id long, n long, cid long"), "sets")
+    scanned = saved(docs.mapInPandas(scan, "kind int, id long, n long, cid long, bits binary"), "sets")
     rows = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid")
     classes = saved(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    bitmaps = scanned.filter("kind = 0 and n > 0").groupBy("cid").agg(F.first("bits").alias("bits"))
     totals = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count_if(F.col("n") > 0).alias("docs")).first()
     least = max(COMMON, totals["shingles"] // MOST_COMMON)  # so at most MOST_COMMON shingles reach it
     common = scanned.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("id").toPandas()["id"].to_numpy(np.int64)
@@ -196,11 +221,44 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
                     yield pd.DataFrame({"h": np.concatenate(keep), "cid": np.concatenate(names), "n": np.concatenate(sizes)})
 
     by_size = Window.partitionBy("h").orderBy("n", "cid")
-    met = docs.mapInPandas(prefixes, "h long, cid long, n int")
-    opens = F.lag("n").over(by_size).isNull() | (100 * F.lag("n").over(by_size) < percent * F.col("n"))
-    hub = F.last(F.when(F.col("opens"), F.col("cid")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    chained = met.withColumn("opens", opens).withColumn("hub", hub).filter("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-    regions = components(chained, "regions")
+    once = docs.mapInPandas(prefixes, "h long, cid long, n int").withColumn("same", F.lag("cid").over(by_size).eqNullSafe(F.col("cid"))).filter("not same").drop("same")
+    meets_other = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
+    shared_prefix = saved(once.withColumn("met", meets_other).filter("met").drop("met"), "shared_prefix")
+    small_tiles = shared_prefix.join(bitmaps, "cid").repartition("h").sortWithinPartitions("h", "n", "cid")
+
+    def bounded_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links that span the groups of candidates of the task's tiles; pairs connected before are not looked at again."""
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def links(tile: list[tuple[int, tuple[int, int, int]]]) -> Iterator[tuple[int, int]]:
+            for i in range(len(tile) - 1, 0, -1):
+                c, own = tile[i]
+                for j in range(i - 1, -1, -1):
+                    d, other = tile[j]
+                    if 100 * other[0] < percent * own[0]:
+                        break
+                    a, b = root(c), root(d)
+                    if a != b and may_be_similar(own, other, percent):
+                        parent[a] = b
+                        yield c, d
+
+        tile, at = [], None
+        for batch in batches:
+            out = []
+            for h, cid, n, bits in zip(batch["h"].tolist(), batch["cid"].tolist(), batch["n"].tolist(), batch["bits"]):
+                if h != at:
+                    out += links(tile)
+                    tile, at = [], h
+                tile.append((cid, (n, int.from_bytes(bits, "little"), 8 * len(bits))))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame([*links(tile)], columns=["a", "b"], dtype=np.int64)
+
+    regions = components(small_tiles.select("h", "cid", "n", "bits").mapInPandas(bounded_links, "a long, b long"), "regions")
 
     # tiles: the whole region, or by size band and hash beyond TILE classes
     members = saved(regions.join(classes, regions["node"] == classes["cid"]).select("cid", "rep", "n", "root", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("long").alias("band")), "members")

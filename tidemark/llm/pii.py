@@ -33,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters on each side of a mention whose words count as its context, and letters of a term at least.
 CONTEXT, LETTERS = 80, 4
 BLOCK = 64
+SPANS = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
+EXTRA = "array<struct<kind:string,start:bigint,stop:bigint,value:string,posterior:double>>"
 
 
 def digits(x: Column) -> Column:
@@ -64,18 +66,21 @@ def located(df: DataFrame, kind: str, pattern: str | Column, guard: Column, chec
     df = df.withColumn("__p", F.when(F.size("__m") > 0, F.split("text", regex, -1)))
     df = df.withColumn("__s", F.when(F.col("__p").isNotNull(), F.zip_with(F.slice("__p", F.lit(1), F.size("__m")), "__m", lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("own"), m.alias("value")))))
     add = lambda a, s: a + s["gap"] + s["own"]
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("__s") / BLOCK).cast("int")), lambda b: F.aggregate(F.slice("__s", b * BLOCK + 1, BLOCK), zero, add))
-    df = df.withColumn("__b", F.when(F.col("__s").isNotNull(), blocks))
-    df = df.withColumn("__c", F.when(F.col("__b").isNotNull(), F.transform("__b", lambda x, i: F.aggregate(F.slice("__b", F.lit(1), i), zero, lambda a, y: a + y))))
+    some = F.col("__s").isNotNull()
+    df = df.withColumn("__k", F.when(some, F.transform(F.sequence(F.lit(0), F.floor(F.size("__s") / BLOCK).cast("int")), lambda b: F.slice("__s", b * BLOCK + 1, BLOCK))))
+    df = df.withColumn("__b", F.when(some, F.transform("__k", lambda block: F.aggregate(block, zero, add))))
+    df = df.withColumn("__c", F.when(some, F.transform("__b", lambda x, i: F.aggregate(F.slice("__b", F.lit(1), i), zero, lambda a, y: a + y))))
 
-    def span(s: Column, i: Column) -> Column:
-        block = F.floor(i / BLOCK).cast("int")
-        start = F.element_at("__c", block + 1) + F.aggregate(F.slice("__s", block * BLOCK + 1, i % BLOCK), zero, add) + s["gap"]
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + s["own"]).alias("stop"), s["value"].alias("value"))
+    def spans_of(block: Column, before: Column) -> Column:
+        def span(s: Column, i: Column) -> Column:
+            start = before + F.aggregate(F.slice(block, F.lit(1), i), zero, add) + s["gap"]
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + s["own"]).alias("stop"), s["value"].alias("value"))
 
-    spans = F.filter(F.transform("__s", span), lambda x: check(x["value"]))
-    none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,value:string>>")
-    return df.withColumn(out, F.coalesce(F.when(F.col("__s").isNotNull(), spans), none)).drop("__m", "__p", "__s", "__b", "__c")
+        return F.transform(block, span)
+
+    spans = F.filter(F.flatten(F.zip_with("__k", "__c", spans_of)), lambda x: check(x["value"]))
+    none = F.array().cast(SPANS)
+    return df.withColumn(out, F.coalesce(F.when(some, spans), none)).drop("__m", "__p", "__s", "__k", "__b", "__c")
 
 
 def joined(spans: str | Column) -> Column:
@@ -96,21 +101,30 @@ def terms(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0))
 
 
-def disclosing_terms(found: DataFrame, posterior: float = 0.5, bits: float = 4.0, support: int = 3) -> DataFrame:
-    """term, entity, posterior and information of all terms beyond the thresholds; ``found`` has text and base."""
-    mention = found.filter(F.size("base") > 0).select("text", F.explode("base").alias("s"))
-    entity = F.concat_ws(":", "s.kind", F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.value"))).otherwise(F.lower("s.value")))
-    # words cut off at the window's ends go; what is left on both sides is the context
-    before = F.regexp_replace(F.expr(f"substring(text, cast(greatest(1, s.start + 1 - {CONTEXT}) as int), cast(least(s.start, {CONTEXT}) as int))"), r"^\p{L}+", "")
-    after = F.regexp_replace(F.expr(f"substring(text, cast(s.stop + 1 as int), {CONTEXT})"), r"\p{L}+$", "")
-    around = saved(mention.select(entity.alias("entity"), F.array_distinct(F.concat(terms(before), terms(after))).alias("terms")).withColumn("context", F.xxhash64("terms")), "mentions")
+def mentions(base: Column, text: Column) -> Column:
+    """For each span the entity and the distinct terms around it, without the words cut off at the window's ends."""
+    def one(s: Column) -> Column:
+        entity = F.concat_ws(":", s["kind"], F.when(s["kind"].isin("card", "phone"), digits(s["value"])).otherwise(F.lower(s["value"])))
+        left = F.least(s["start"], F.lit(CONTEXT))
+        before = F.regexp_replace(F.substring(text, (s["start"] - left + 1).cast("int"), left.cast("int")), r"^\p{L}+", "")
+        after = F.regexp_replace(F.substring(text, (s["stop"] + 1).cast("int"), F.lit(CONTEXT)), r"\p{L}+$", "")
+        return F.struct(entity.alias("entity"), F.array_distinct(F.concat(terms(before), terms(after))).alias("terms"))
+
+    return F.transform(base, one)
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, posterior: float = 0.5, bits: float = 4.0, support: int = 3) -> DataFrame:
+    """term, entity, posterior and information of all terms beyond the thresholds.
+
+    ``found`` has the mentions; the terms are counted over all texts of ``docs``, summed up in each task before they meet.
+    """
+    around = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.terms").withColumn("context", F.xxhash64("terms"))
     often = around.groupBy("entity").agg(F.count("*").alias("mentions"), F.approx_count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
     met = around.join(often, "entity").select("entity", "mentions", "context", F.explode("terms").alias("term"))
     pairs = saved(met.groupBy("entity", "term").agg(F.first("mentions").alias("mentions"), F.count("*").alias("together"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", "entity", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("information"))
-    words = pairs.select("term").distinct()
-    counted = found.select(F.explode(terms("text")).alias("term")).join(words, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counted = docs.select(F.explode_outer(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     total = found.count()
     p = F.col("together") / F.greatest("n", "together")
     told = pairs.join(counted, "term").select("term", "entity", p.alias("posterior"), F.log2(p / (F.col("mentions") / total)).alias("information"))
@@ -118,22 +132,23 @@ def disclosing_terms(found: DataFrame, posterior: float = 0.5, bits: float = 4.0
 
 
 def find_spans(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """All columns of ``docs`` (text: null becomes empty), ``base`` and ``extra``, the spans of disclosing terms."""
-    found = base_spans(docs)
-    revealing = disclosing_terms(found, **thresholds).groupBy("term").agg(F.max("posterior").alias("posterior"))
-    span = "array<struct<kind:string,start:bigint,stop:bigint,value:string,posterior:double>>"
+    """doc_id, h (hash of the text), base and extra, the spans of disclosing terms, for each row of ``docs``."""
+    based = base_spans(docs.select("doc_id", "text"))
+    found = saved(based.select("doc_id", F.xxhash64("text").alias("h"), "base", mentions(F.col("base"), F.col("text")).alias("mentions")), "base_spans")
+    revealing = disclosing_terms(found, docs, **thresholds).groupBy("term").agg(F.max("posterior").alias("posterior"))
+    told = found.select("doc_id", "h", "base")
     if revealing.isEmpty():
-        return found.withColumn("extra", F.array().cast(span))
-    keys = found.select("doc_id", F.xxhash64("text").alias("__h"), "text", "base")
-    hits = keys.select("doc_id", "__h", "text", "base", F.explode(F.array_distinct(terms("text"))).alias("term")).join(revealing, "term").dropDuplicates(["doc_id", "__h", "term"])
+        return told.withColumn("extra", F.array().cast(EXTRA))
+    full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = saved(full.withColumn("term", F.explode_outer(F.array_distinct(terms("text")))).join(revealing, "term").select("doc_id", F.xxhash64("text").alias("h"), "text", "term", "posterior").dropDuplicates(["doc_id", "h", "term"]), "hits")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    placed = located(hits, "term", pattern, F.lit(True), lambda x: F.lit(True), "spans").select("doc_id", "__h", "base", "posterior", F.explode("spans").alias("s"))
-    clear = placed.filter(~F.exists("base", lambda b: (b["start"] < F.col("s.stop")) & (b["stop"] > F.col("s.start"))))
-    by_text = clear.groupBy("doc_id", "__h").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.value").alias("value"), "posterior"))).alias("x"))
+    placed = located(hits, "term", pattern, F.lit(True), lambda x: F.lit(True), "spans").select("doc_id", "h", "posterior", F.explode("spans").alias("s"))
+    by_text = placed.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.value").alias("value"), "posterior"))).alias("x"))
     extra = F.transform("x", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), x["posterior"].alias("posterior")))
-    by_text = by_text.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__th"), extra.alias("extra"))
-    out = found.join(by_text, found["doc_id"].eqNullSafe(by_text["__id"]) & (F.xxhash64(found["text"]) == by_text["__th"]), "left").drop("__id", "__th")
-    return out.withColumn("extra", F.coalesce("extra", F.array().cast(span)))
+    by_text = by_text.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), extra.alias("x"))
+    both = told.join(by_text, told["doc_id"].eqNullSafe(by_text["__id"]) & (told["h"] == by_text["__h"]), "left")
+    clear = F.filter("x", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"])))
+    return both.select("doc_id", "h", "base", F.coalesce(clear, F.array().cast(EXTRA)).alias("extra"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -145,8 +160,11 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(number, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), both.alias("spans"), F.size("extra").cast("long").alias("n_term"))
 
 
-def sanitise(found: DataFrame, removal: float = 0.9) -> DataFrame:
-    """``found`` (from find_spans) with its spans taken out of ``text``; overlapping spans are replaced as one."""
+def sanitise(docs: DataFrame, removal: float = 0.9, **thresholds: float) -> DataFrame:
+    """``docs`` with the spans taken out of ``text``; overlapping spans are replaced as one."""
+    extra = find_spans(docs, **thresholds).filter(F.size("extra") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "extra").dropDuplicates(["__id", "__h"])
+    based = base_spans(docs)
+    found = based.join(extra, based["doc_id"].eqNullSafe(extra["__id"]) & (F.xxhash64(based["text"]) == extra["__h"]), "left").drop("__id", "__h").withColumn("extra", F.coalesce("extra", F.array().cast(EXTRA)))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
     extra = F.transform("extra", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["posterior"] >= removal, "").otherwise("[TERM]").alias("by")))
     df = found.withColumn("__all", F.array_sort(F.concat(base, extra)))
@@ -163,4 +181,4 @@ def sanitise(found: DataFrame, removal: float = 0.9) -> DataFrame:
     cut = lambda start, n: F.substring(F.col("text"), (start + 1).cast("int"), n.cast("int"))
     parts = F.transform("__all", lambda s, i: F.concat(cut(F.element_at("__ends", i + 1), s["start"] - F.element_at("__ends", i + 1)), s["by"]))
     rest = cut(F.element_at("__ends", -1), F.length("text").cast("long"))
-    return df.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))).drop("__all", "__ends")
+    return df.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))).drop("__all", "__ends", "base", "extra")
