@@ -22,6 +22,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import bounded_batches
+
 #: Words that one worker keeps with their ids; beyond it, the memory starts anew. It changes no result.
 MEMO_WORDS = 600_000
 
@@ -226,4 +228,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests_only: bool = False
                 out.insert(0, "doc_id", batch["doc_id"].iloc[part].array)
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInPandas(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
-from tidemark.llm.common import saved
+from tidemark.llm.common import bounded_batches, saved
 
 ORDER = 4
 #: Bits of a character class: 0 is a border, 63 any letter outside the alphabet, the others the alphabet's letters.
@@ -211,4 +211,4 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     inputs = list(dict.fromkeys([*columns, "text"]))
-    return docs.select(*inputs).mapInPandas(run, f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return bounded_batches(docs).select(*inputs).mapInPandas(run, f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
-from tidemark.llm.common import attach, components, saved
+from tidemark.llm.common import attach, bounded_batches, components, saved
 
 WORDS = 5
 TILE = 2048
@@ -163,7 +163,7 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs).select("doc_id", "text")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Kind 0: a document's set size and class. Kind 1: a shingle that repeats among the worker's documents."""

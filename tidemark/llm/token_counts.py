@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import bounded_batches
+
 from tidemark.llm.bpe import slices
 
 SPACE_MARK = "▁"
@@ -227,4 +229,4 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
                 n = fst.counts(texts[part])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].array, "n_bytes": [len(t.encode()) for t in texts[part]], "n_tokens": n, "over_limit": n > limit})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

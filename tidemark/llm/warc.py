@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, saved
+from tidemark.llm.common import attach, bounded_batches, saved
 
 #: Bytes of an archive blob, but for a single record that is larger.
 BLOB_BYTES = 4 << 20
@@ -112,7 +112,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
 
 def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages with payload_bytes and refers_to (null: a response)."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("__sha", F.sha1(F.col("html").cast("binary"))).withColumn("__bytes", F.octet_length("html").cast("long"))
+    rows = bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("__sha", F.sha1(F.col("html").cast("binary"))).withColumn("__bytes", F.octet_length("html").cast("long"))
     first = saved(rows.groupBy("__sha", "__bytes").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")), "payloads")
     total = first.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
     out = attach(rows, first, ["__sha", "__bytes"], "__n", total)
