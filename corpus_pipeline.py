@@ -16,8 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the language models reject (no letter, or unlike every learned language)."""
-    model = language_id.fit(docs)
-    return language_id.identify(docs, model, *COLUMNS[1:]).filter(~F.col("rejected")).select(*COLUMNS)
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    rejected = saved(language_id.identify(keyed, language_id.fit(docs), "h").filter("rejected").select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct(), "rejected")
+    return keyed.join(rejected, keyed["doc_id"].eqNullSafe(rejected["d"]) & keyed["h"].eqNullSafe(rejected["g"]), "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and disclosing terms in the texts; no document goes."""
-    return pii.sanitise(pii.find_spans(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
