@@ -68,7 +68,8 @@ def words(text: Column) -> Column:
 def ngrams(tokens: Column, stop_words: list[str]) -> Column:
     """Words and neighbouring word pairs, after the stop words have gone."""
     kept = F.filter(tokens, lambda w: ~w.isin(*stop_words)) if stop_words else tokens
-    pairs = F.transform(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.element_at(kept, i + 2)))
+    shifted = F.slice(kept, F.lit(2), F.greatest(F.size(kept), F.lit(1)))
+    pairs = F.filter(F.zip_with(kept, shifted, lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
     return F.concat(kept, pairs)
 
 

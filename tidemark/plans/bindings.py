@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAYS = 7
+#: The given vectors are nearly random, so topics are matched at a low cosine here (the operators' default is 0.7).
+SIMILARITY = 0.1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors as V
 from tidemark.operators import cleaning as C, merging, signals as S, topics as O
-from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SQL, VECTORS, activity, documents, query, table, vectors
+from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
 from tidemark.plans.cleaning import scratch
 
 G = 2
@@ -74,19 +74,19 @@ MERGE = f"""{VECTORS}, {CENTROIDS}, {INFO}, p AS (SELECT min(period) AS p0 FROM
 near AS (SELECT two.topic AS topic2, one.topic AS topic1, list_cosine_similarity(one.c, two.c) AS s FROM one, two QUALIFY row_number() OVER (PARTITION BY two.topic ORDER BY list_cosine_similarity(one.c, two.c) DESC, one.topic) = 1)"""
 
 
-@query(f"""WITH {MERGE}, d AS (SELECT topic, document_count, period FROM info), m AS (SELECT topic1, topic2, document_count AS dc FROM near, d, p WHERE s >= 0.7 AND d.topic = topic2 AND d.period = p0 + {DAYS}),
-b AS (SELECT (SELECT max(topic) FROM one) + row_number() OVER (ORDER BY topic2) AS topic, document_count FROM near, d, p WHERE s < 0.7 AND d.topic = topic2 AND d.period = p0 + {DAYS})
+@query(f"""WITH {MERGE}, d AS (SELECT topic, document_count, period FROM info), m AS (SELECT topic1, topic2, document_count AS dc FROM near, d, p WHERE s >= {SIMILARITY} AND d.topic = topic2 AND d.period = p0 + {DAYS}),
+b AS (SELECT (SELECT max(topic) FROM one) + row_number() OVER (ORDER BY topic2) AS topic, document_count FROM near, d, p WHERE s < {SIMILARITY} AND d.topic = topic2 AND d.period = p0 + {DAYS})
 SELECT CAST(topic AS BIGINT) AS topic, CAST(document_count AS BIGINT) AS document_count FROM b UNION ALL
 SELECT o.topic, CAST(d.document_count + coalesce((SELECT sum(dc) FROM m WHERE topic1 = o.topic), 0) AS BIGINT) FROM one o JOIN d ON d.topic = o.topic, p WHERE d.period = p0""")
 def merge_step(spark, sf_dir):
     first, second = _two_periods(spark, sf_dir)
     registry = first.select(F.col("topic").cast("long").alias("topic"), F.lit("2024-01-01").cast("date").alias("birth"), "embedding", "count", "document_count", "sources")
-    return merging.merge_step(registry, second, "2024-01-01")[0].select("topic", "document_count")
+    return merging.merge_step(registry, second, "2024-01-01", SIMILARITY)[0].select("topic", "document_count")
 
 
 @query()
 def merge_all_periods(spark, sf_dir):
-    _, log = merging.merge_all_periods(O.period_topics(vectors(spark, sf_dir)), 0.7, save)
+    _, log = merging.merge_all_periods(O.period_topics(vectors(spark, sf_dir)), SIMILARITY, save)
     return log.select("merge_ts", "topic1", "topic2", F.round("similarity", 6).alias("similarity"), "document_count1", "document_count2")
 
 
@@ -411,16 +411,16 @@ def incremental_update(spark, sf_dir):
     """Registry of all but the newest period from its stored table, then one merge step."""
     t = save(O.period_topics(vectors(spark, sf_dir)), "topics")
     newest = t.agg(F.max("period").alias("p")).first()["p"]
-    registry, _ = merging.merge_all_periods(t.filter(F.col("period") < F.lit(newest)), 0.7, save)
+    registry, _ = merging.merge_all_periods(t.filter(F.col("period") < F.lit(newest)), SIMILARITY, save)
     before = t.filter(F.col("period") < F.lit(newest)).agg(F.max("period").alias("p")).first()["p"]
-    grown, _, _ = merging.merge_step(registry, t.filter(F.col("period") == F.lit(newest)).drop("period"), str(before), 0.7)
+    grown, _, _ = merging.merge_step(registry, t.filter(F.col("period") == F.lit(newest)).drop("period"), str(before), SIMILARITY)
     return grown.select("topic", "birth", "count", "document_count", F.size("sources").alias("n_sources"))
 
 
 @query()
 def regenerate_history(spark, sf_dir):
     """From vectors to labels in one chain: topics, merges, series, labels at each grid date."""
-    _, log = merging.merge_all_periods(O.period_topics(vectors(spark, sf_dir)), 0.5, save)
+    _, log = merging.merge_all_periods(O.period_topics(vectors(spark, sf_dir)), SIMILARITY, save)
     series = save(S.signal_popularity(log, DAYS), "series")
     grid = series.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.explode(F.sequence("a", "b", F.expr(f"interval {DAYS} days"))).alias("eval_date"))
     return _told(S.classify_signals(series, grid, DAYS, 14))
