@@ -100,10 +100,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, candidate_block
     right = dealt(c, "c", columns, "r", rows).groupBy("dim", "r", "c")
 
     def join(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.array([], "int64"), "near": [], "scores": []})
-        out = [*nearest_in_block(a["q_vec_id"].to_numpy(), np.stack(a["q_v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), k)]
-        return pd.DataFrame({"query_id": [x[0] for x in out], "near": [x[1] for x in out], "scores": [x[2] for x in out]})
+        out = [] if not len(a) or not len(b) else [*nearest_in_block(a["q_vec_id"].to_numpy(), np.stack(a["q_v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), k)]
+        return pd.DataFrame({"query_id": [x[0] for x in out], "near": pd.Series([x[1] for x in out], dtype=object), "scores": pd.Series([x[2] for x in out], dtype=object)})
 
     blocks = left.cogroup(right).applyInPandas(join, "query_id long, near array<long>, scores array<double>")
 
