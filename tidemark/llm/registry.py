@@ -61,4 +61,19 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage)}
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
+_FIVE = " + ".join(f"CAST(substr(b, CAST(5 * i + {k + 1} AS INTEGER), 1) AS INTEGER) * {16 >> k}" for k in range(5))
+
+ORACLE_SQL = {
+    "op8_tiled_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.h = q.h AND p.doc_id <> q.doc_id GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+c(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, c.r FROM c JOIN links l ON c.doc_id = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id FROM c JOIN s ON c.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op10_warc_salvage": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+bits AS (SELECT *, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: [{_NIBBLES}][instr('0123456789abcdef', c)]), '') AS b FROM f)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('{_UPPER}234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM bits""",
+}
