@@ -16,16 +16,18 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, leaving_memory
 
-#: Words that one worker keeps with their ids; beyond it, the memory starts anew. It changes no result.
-MEMO_WORDS = 600_000
+#: Words that one worker keeps with their ids; beyond it and between tasks only those it met first, among which the
+#: frequent ones are. It changes no result.
+MEMO_WORDS, MEMO_KEPT = 300_000, 100_000
 
 #: The vocabulary's fixed pattern and its white space, as the tokenizer file gives them.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -148,6 +150,9 @@ class PairMerger:
             return [w for w in SPACE.split(text) if w]
         return text.split()
 
+    def forget(self) -> None:
+        self.memo = dict(islice(self.memo.items(), MEMO_KEPT))
+
     def learn(self, words: set[str]) -> None:
         """Put the ids and tokens of new words into the memo."""
         cut: list[tuple[str, list[str]]] = []
@@ -172,7 +177,7 @@ class PairMerger:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of tokens, the ids and the decoded tokens, each joined by a space."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            self.forget()
         split = [self.words(t or "") for t in texts]
         new: set[str] = set()
         for w in split:
@@ -227,5 +232,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests_only: bool = False
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")][1:])
                 out.insert(0, "doc_id", batch["doc_id"].iloc[part].array)
                 yield out
+        bpe.forget()
 
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInPandas(leaving_memory(run), schema)

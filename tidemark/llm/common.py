@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +39,21 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def leaving_memory(step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The step of a mapInPandas; after its last batch the worker, which later tasks use again, returns freed memory to
+    the system instead of holding it beside the next stage's."""
+    @functools.wraps(step)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from step(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
 

@@ -25,9 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
-from tidemark.llm.common import bounded_batches, saved
+from tidemark.llm.common import bounded_batches, leaving_memory, saved
 
 ORDER = 4
+#: Characters that are scored at once, one text at least.
+SLICE = 500_000
 #: Bits of a character class: 0 is a border, 63 any letter outside the alphabet, the others the alphabet's letters.
 BITS = 6
 UNKNOWN = "und"
@@ -205,10 +207,10 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for part in slices(texts):
+            for part in slices(texts, SLICE):
                 out = held.value.predict(texts[part])
                 yield pd.concat([batch[columns].iloc[part].reset_index(drop=True), out], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     inputs = list(dict.fromkeys([*columns, "text"]))
-    return bounded_batches(docs).select(*inputs).mapInPandas(run, f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return bounded_batches(docs).select(*inputs).mapInPandas(leaving_memory(run), f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")

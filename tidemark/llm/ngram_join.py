@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
-from tidemark.llm.common import attach, bounded_batches, components, saved
+from tidemark.llm.common import attach, bounded_batches, components, leaving_memory, saved
 
 WORDS = 5
 TILE = 2048
@@ -35,6 +35,8 @@ TILE = 2048
 COMMON, MOST_COMMON = 64, 2_000_000
 #: Shingles that a worker looks over at once for those that repeat, and times it must repeat there to be reported.
 WINDOW, REPEATS = 4_000_000, 3
+#: Characters whose shingles are made at once, of one text at least.
+SLICE = 500_000
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 2**63, 256, np.uint64)
@@ -170,22 +172,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
         held, size = [], 0
 
         def repeats() -> pd.DataFrame:
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
-            return pd.DataFrame({"kind": 1, "id": h[n >= REPEATS], "n": n[n >= REPEATS], "cid": 0, "bits": None})
+            h = np.concatenate([np.empty(0, np.int64), *held])
+            held.clear()
+            h.sort()
+            often = np.unique(h[:1 - REPEATS][h[:1 - REPEATS] == h[REPEATS - 1:]])
+            n = np.searchsorted(h, often, "right") - np.searchsorted(h, often, "left")
+            return pd.DataFrame({"kind": 1, "id": often, "n": n, "cid": 0, "bits": None})
 
         for batch in batches:
             texts = batch["text"].tolist()
-            for part in slices(texts):
+            for part in slices(texts, SLICE):
                 sets = shingle_sets(texts[part], words)
                 yield pd.DataFrame({"kind": 0, "id": batch["doc_id"].iloc[part].array, "n": [len(s) for s in sets], "cid": [class_id(s) if len(s) else 0 for s in sets], "bits": [signature(s) for s in sets]})
                 held += sets
                 size += sum(map(len, sets))
                 if size >= WINDOW:
                     yield repeats()
-                    held, size = [], 0
+                    size = 0
         yield repeats()
 
-    scanned = saved(docs.mapInPandas(scan, "kind int, id long, n long, cid long, bits binary"), "sets")
+    scanned = saved(docs.mapInPandas(leaving_memory(scan), "kind int, id long, n long, cid long, bits binary"), "sets")
     rows = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid")
     classes = saved(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     bitmaps = scanned.filter("kind = 0 and n > 0").groupBy("cid").agg(F.first("bits").alias("bits"))
@@ -198,7 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
         late, seen = shared.value, set()
         for batch in batches:
             texts = batch["text"].tolist()
-            for part in slices(texts):
+            for part in slices(texts, SLICE):
                 sets = [s for s in shingle_sets(texts[part], words) if len(s)]
                 keep, names, sizes = [], [], []
                 for s in sets:
@@ -221,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
                     yield pd.DataFrame({"h": np.concatenate(keep), "cid": np.concatenate(names), "n": np.concatenate(sizes)})
 
     by_size = Window.partitionBy("h").orderBy("n", "cid")
-    once = docs.mapInPandas(prefixes, "h long, cid long, n int").withColumn("same", F.lag("cid").over(by_size).eqNullSafe(F.col("cid"))).filter("not same").drop("same")
+    once = docs.mapInPandas(leaving_memory(prefixes), "h long, cid long, n int").withColumn("same", F.lag("cid").over(by_size).eqNullSafe(F.col("cid"))).filter("not same").drop("same")
     meets_other = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
     shared_prefix = saved(once.withColumn("met", meets_other).filter("met").drop("met"), "shared_prefix")
     small_tiles = shared_prefix.join(bitmaps, "cid").repartition("h").sortWithinPartitions("h", "n", "cid")
@@ -258,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
         yield pd.DataFrame([*links(tile)], columns=["a", "b"], dtype=np.int64)
 
-    regions = components(small_tiles.select("h", "cid", "n", "bits").mapInPandas(bounded_links, "a long, b long"), "regions")
+    regions = components(small_tiles.select("h", "cid", "n", "bits").mapInPandas(leaving_memory(bounded_links), "a long, b long"), "regions")
 
     # tiles: the whole region, or by size band and hash beyond TILE classes
     members = saved(regions.join(classes, regions["node"] == classes["cid"]).select("cid", "rep", "n", "root", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("long").alias("band")), "members")
@@ -278,12 +284,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for part in slices(texts):
+            for part in slices(texts, SLICE):
                 own = batch[["cid", "root", "at"]].iloc[part].reset_index(drop=True)
                 own["shingles"] = shingle_sets(texts[part], words)
                 yield own[[class_id(s) == c for s, c in zip(own["shingles"], own["cid"])]]
 
-    found = docs.join(placed, docs["doc_id"].eqNullSafe(placed["rep"])).select("cid", "root", "at", "text").mapInPandas(arrays, "cid long, root long, at array<struct<pair:string,side:int>>, shingles array<long>")
+    found = docs.join(placed, docs["doc_id"].eqNullSafe(placed["rep"])).select("cid", "root", "at", "text").mapInPandas(leaving_memory(arrays), "cid long, root long, at array<struct<pair:string,side:int>>, shingles array<long>")
     dealt = found.withColumn("at", F.explode("at")).select("root", F.col("at.pair").alias("pair"), F.col("at.side").alias("side"), "cid", "shingles")
 
     def link(df: pd.DataFrame) -> pd.DataFrame:
