@@ -24,6 +24,25 @@ def hashed_vector(words: Column, dim: int = DIM) -> Column:
     return counts
 
 
+def sentence_vectors(sentences: Column, dim: int = DIM, letters: bool = False) -> Column:
+    """hashed_vector of the words (or letters) of lower-case sentences, counted in Python so that whole documents stay cheap."""
+    @F.pandas_udf("array<float>")
+    def count(texts: pd.Series) -> pd.Series:
+        import zlib
+
+        places, out = {}, []
+        for t in texts:
+            v = np.zeros(dim, np.float32)
+            for w in t if letters else t.split(" "):
+                if w not in places:
+                    places[w] = zlib.crc32(w.encode()) % dim
+                v[places[w]] += 1
+            out.append(v)
+        return pd.Series(out, dtype=object)
+
+    return count(F.lower(sentences))
+
+
 def embed_paragraphs(df: DataFrame, encoder=None, batch: int = 2048, dim: int = DIM) -> DataFrame:
     """All columns and ``embedding``: the encoder (texts -> matrix), made once a worker, gets batches of texts."""
     schema = df.schema.simpleString()[7:-1] + ", embedding array<float>"
@@ -70,27 +89,57 @@ def lexrank(similarity: np.ndarray, rounds: int = 60) -> np.ndarray:
     return weights
 
 
+def factored_lexrank(x: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """lexrank(x @ x.T) of vectors without a negative number, in memory and time that grow with the rows only.
+
+    Two such rows are similar if they share a dimension, so the components of rows are those of dimensions, and a step
+    of the power method is two products with ``x``.
+    """
+    n, used = len(x), x > 0
+    label = np.arange(x.shape[1])  # of each dimension; a row joins all the dimensions it uses
+    together = used.T.astype(np.float32) @ used.astype(np.float32) > 0
+    for _ in range(len(label)):
+        new = np.minimum(label, np.where(together, label, len(label)).min(1, initial=len(label)))
+        if (new == label).all():
+            break
+        label = new
+    some = used.any(1)
+    own = np.where(some, label[used.argmax(1)], -1)
+    weights = np.zeros(n)
+    for c in np.unique(own[some]):
+        at = np.flatnonzero(own == c)
+        m = x[at]
+        total = np.maximum(m @ m.sum(0), 1e-12)
+        v = np.full(len(at), 1 / len(at))
+        for _ in range(rounds):
+            v = m @ ((v / total) @ m)
+        weights[at] = v * len(at) / n
+    return weights
+
+
 def lexrank_summary(sentences: DataFrame, key: str, most: int = 3, share: float = 0.2, second: str | None = None, ratio: float = 0.5) -> DataFrame:
     """key, pos, sentence of each document's summary, in page order. Sentences have ``embedding``; ``second`` names other vectors that are blended in.
 
-    Its size is min(most, n * share) rounded, one at least. Only the sentences of one document meet in a task.
+    Its size is min(most, n * share) rounded, one at least. Only the sentences of one document meet in a task, and their
+    graph is never written out where no vector holds a negative number.
     """
     columns = [key, "pos", "sentence", "embedding", *([second] if second else [])]
 
-    def graph(vectors: pd.Series) -> np.ndarray:
+    def unit(vectors: pd.Series) -> np.ndarray:
         x = np.stack(vectors.to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return np.maximum(x @ x.T, 0)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def pick(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("pos").reset_index(drop=True)
         size = max(1, round(min(most, len(df) * share)))
         if len(df) <= size:
             return df[[key, "pos", "sentence"]]
-        m = graph(df["embedding"])
-        if second:
-            m = ratio * graph(df[second]) + (1 - ratio) * m
-        best = np.sort(np.argsort(-np.round(lexrank(m), 12), kind="stable")[:size])
+        parts = [(1.0, unit(df["embedding"]))] if not second else [(1 - ratio, unit(df["embedding"])), (ratio, unit(df[second]))]
+        if all((x >= 0).all() and w >= 0 for w, x in parts):
+            weights = factored_lexrank(np.concatenate([np.sqrt(w) * x for w, x in parts], 1))
+        else:
+            weights = lexrank(sum(w * np.maximum(x @ x.T, 0) for w, x in parts))
+        best = np.sort(np.argsort(-np.round(weights, 12), kind="stable")[:size])
         return df.loc[best, [key, "pos", "sentence"]]
 
     kind = dict(sentences.dtypes)[key]
@@ -135,18 +184,25 @@ def phrase_match(rows: DataFrame, least: float = 80.0) -> DataFrame:
     ``rows``: key, phrase, tokens. Phrases found word for word are matched without Python.
     """
     n = F.size(F.split("phrase", " "))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - n, F.lit(0))), lambda i: F.array_join(F.slice("tokens", i + 1, n), " "))
-    wide = rows.withColumn("runs", F.array_distinct(runs))
-    exact = wide.filter(F.array_contains("runs", F.col("phrase"))).select("key", "phrase", F.col("phrase").alias("window"), F.lit(100.0).alias("score"))
+    spaced = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    wide = rows.withColumn("words", F.array_join("tokens", " ")).withColumn("exact", spaced(F.col("words")).contains(spaced(F.col("phrase"))) & (F.size("tokens") >= n))
+    exact = wide.filter("exact").select("key", "phrase", F.col("phrase").alias("window"), F.lit(100.0).alias("score"))
 
     @F.pandas_udf("struct<window:string,score:double>")
-    def best(phrases: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    def best(phrases: pd.Series, texts: pd.Series) -> pd.DataFrame:
         out = []
-        for p, own in zip(phrases, runs):
-            words = set(p.split())
-            top = max(((token_set_ratio(words, set(r.split())), r) for r in own if words & set(r.split())), default=(0.0, ""))
+        for p, text in zip(phrases, texts):
+            tokens, n, words = text.split(" "), len(p.split(" ")), set(p.split())
+            largest: dict[frozenset, str] = {}  # the ratio is one of sets; of equal ratios the largest run counts
+            for i in np.flatnonzero([w in words for w in tokens]):
+                for at in range(max(i - n + 1, 0), min(i, max(len(tokens) - n, 0)) + 1):
+                    run = tokens[at:at + n]
+                    joined, own = " ".join(run), frozenset(run)
+                    if largest.get(own, "") < joined:
+                        largest[own] = joined
+            top = max(((token_set_ratio(words, own), r) for own, r in largest.items()), default=(0.0, ""))
             out.append((top[1], top[0]) if top[0] > least else ("", 0.0))
         return pd.DataFrame(out, columns=["window", "score"])
 
-    rest = wide.filter(~F.array_contains("runs", F.col("phrase"))).withColumn("b", best("phrase", "runs")).select("key", "phrase", "b.window", "b.score")
+    rest = wide.filter("not exact").withColumn("b", best("phrase", "words")).select("key", "phrase", "b.window", "b.score")
     return exact.unionByName(rest)

@@ -447,8 +447,8 @@ def similar_topic_pairs(spark, sf_dir):
 
 @query()
 def phrase_match_embedding(spark, sf_dir):
-    """The best window of each document's first words for its benchmark-like phrase: its own third to fifth word, misspelt in one."""
-    tokens = T.words(F.substring("text", 1, 400))
+    """The best window of each whole document for its benchmark-like phrase: its own third to fifth word, misspelt in one."""
+    tokens = T.words(F.col("text"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), tokens.alias("tokens")).filter(F.size("tokens") >= 6)
     phrase = F.concat_ws(" ", F.element_at("tokens", 3), F.element_at("tokens", 4), F.when(F.col("key") % 2 == 0, F.concat(F.element_at("tokens", 5), F.lit("x"))).otherwise(F.element_at("tokens", 5)))
     found = M.phrase_match(rows.withColumn("phrase", phrase))
@@ -465,8 +465,7 @@ def split_sentences(spark, sf_dir):
 
 
 def _sentences(spark, sf_dir) -> DataFrame:
-    s = M.split_sentences(documents(spark, sf_dir).withColumn("text", F.substring("text", 1, 3000)), "document_id")
-    return s.withColumn("embedding", M.hashed_vector(F.split(F.lower("sentence"), " ")))
+    return M.split_sentences(documents(spark, sf_dir), "document_id").withColumn("embedding", M.sentence_vectors(F.col("sentence")))
 
 
 @query()
@@ -476,7 +475,7 @@ def lexrank_summary(spark, sf_dir):
 
 @query()
 def lexrank_blend(spark, sf_dir):
-    s = _sentences(spark, sf_dir).withColumn("letters", M.hashed_vector(F.split(F.lower("sentence"), ""), 32))
+    s = _sentences(spark, sf_dir).withColumn("letters", M.sentence_vectors(F.col("sentence"), 32, True))
     return M.lexrank_summary(s, "document_id", second="letters", ratio=0.5)
 
 
