@@ -3,7 +3,7 @@
 Base spans come from four fixed patterns with their checks (address parts, Luhn, digit counts). Every e-mail, address,
 card and phone number found is a protected entity. The information-theoretic part asks the corpus how strongly a term
 reveals an entity: over the words around all mentions it estimates p(entity | term) and the information
-log2(p(entity | term) / p(entity)). A term discloses an entity if the posterior is at least ``posterior``, the
+log2(p(entity | term) / p(entity)). Terms are words of any length. A term discloses an entity if the posterior is at least ``posterior``, the
 information at least ``bits`` and the two have met in at least ``support`` different contexts (copies of a passage are
 one context). Its occurrences in all documents are spans of kind ``term``.
 
@@ -30,8 +30,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on each side of a mention whose words count as its context, and letters of a term at least.
-CONTEXT, LETTERS = 80, 4
+#: Characters on each side of a mention whose words count as its context.
+CONTEXT = 80
 BLOCK = 64
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
 EXTRA = "array<struct<kind:string,start:bigint,stop:bigint,value:string,posterior:double>>"
@@ -98,7 +98,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def terms(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def mentions(base: Column, text: Column) -> Column:
@@ -119,7 +119,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, posterior: float = 0.5,
     ``found`` has the mentions; the terms are counted over all texts of ``docs``, summed up in each task before they meet.
     """
     around = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.terms").withColumn("context", F.xxhash64("terms"))
-    often = around.groupBy("entity").agg(F.count("*").alias("mentions"), F.approx_count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
+    contexts = around.groupBy("entity", "context").agg(F.count("*").alias("n"))
+    often = contexts.groupBy("entity").agg(F.sum("n").alias("mentions"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
     met = around.join(often, "entity").select("entity", "mentions", "context", F.explode("terms").alias("term"))
     pairs = saved(met.groupBy("entity", "term").agg(F.first("mentions").alias("mentions"), F.count("*").alias("together"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support), "pairs")
     if pairs.isEmpty():
