@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii
+from tidemark.llm import decontaminate, pii
 
 DOCS = "doc_id long, text string"
 
@@ -24,3 +24,22 @@ def test_short_names_disclose(spark):
     texts += [f"nothing of {w} here, we wrote from home about plain words" for w in ("apples", "prices", "trains")] * 20 + ["Kim alone"]
     found = {r["doc_id"]: r for r in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert [s["value"] for s in found[len(texts) - 1]["extra"]] == ["Kim"] and not found[5]["extra"]
+
+
+def test_each_copy_of_an_item_has_its_own_slots(spark):
+    item = "a pot of 5 red figs and 8 big nuts"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    # of three copies each slot's most frequent value comes from two different copies, so that no copy has them all
+    sheet = " . ".join(item.replace("5", x).replace("8", y) for x, y in (("11", "21"), ("11", "22"), ("12", "22"), ("13", "21"), ("14", "20"), ("11", "19")))
+    docs = spark.createDataFrame([(7, sheet), (8, item.replace("5", "30").replace("8", "40")), (9, "a pot of red figs and nuts")], DOCS)
+    assert sorted(r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()) == [7, 8]
+    two = spark.createDataFrame([(7, item.replace("5", "11").replace("8", "99") + " . " + "x " * 4 + item.replace("5", "98").replace("8", "21"))], DOCS)
+    assert decontaminate.contaminated(two, bench).count() == 1
+
+
+def test_passages_of_short_words_count(spark):
+    """Three windows have a long word; the passage copied has none."""
+    short = "let f be the map from x to y and let g be its dual so that f of x is g of y for all x in the set"
+    bench = spark.createDataFrame([(1, short + " . Consider continuous transformations everywhere between topological manifolds having boundary")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "as said , " + short + " , we go on"), (6, "let us be the first from x to y and so on")], DOCS)
+    assert [r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()] == [5]

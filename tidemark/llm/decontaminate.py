@@ -3,12 +3,13 @@
 Words become template tokens: numbers, units and names (capitalised words that don't open a sentence) are typed
 placeholders, other words are themselves in lower case without outer punctuation. Windows of ``width`` tokens of the
 benchmark are joined with the windows of the documents by their hash. A document's window is formed only where it can
-match: at the places of the benchmark window's anchor, its longest literal word, found by an equi-join on words.
+match: at the places of the benchmark window's anchor, its longest literal word, found by an equi-join on words. A window
+without a word of ``INFORMATIVE`` letters is found by two neighbouring literal words instead, where it has such.
 
-The placeholders of a matched window are slots. An item's windows in a document count only where its slots are consistent:
-one value of the benchmark's slot always stands for one value in the document (its most frequent partner). A document is
-contaminated by an item if at least ``least`` of the item's windows match so, or all if it has fewer. Windows without a word
-of ``INFORMATIVE`` letters are left out where the item has enough others.
+The placeholders of a matched window are slots. An occurrence of an item is where its windows lie at one distance from
+their places in the item. Its windows count only where its slots are consistent: one value of the benchmark's slot always
+stands for one value in the occurrence (its most frequent partner). A document is contaminated by an item if at least
+``least`` of the item's windows match so, or all if it has fewer.
 
 Edge cases: items shorter than ``width`` tokens are one window of all their tokens; null or empty texts match nothing; items or windows
 without a literal word of three letters match nothing; repeated rows and items give one result for each doc_id and item_id; with an
@@ -23,8 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import saved
 
 WIDTH, LEAST = 8, 3
-#: Letters that a window's anchor must have for the window to tell anything. An item with fewer than LEAST such windows
-#: keeps all its windows.
+#: Letters from which on a single word is rare enough to look windows up by.
 INFORMATIVE = 6
 #: Rows of benchmark windows up to which they are broadcast (after counting them); beyond, the join is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -55,8 +55,8 @@ def window_templates(tokens: Column, before: Column) -> Column:
     return F.transform(tokens, lambda w, i: template(w, F.when(i == 0, F.lit("")).otherwise(F.get(tokens, i - 1))))
 
 
-def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
-    """item_id, windows of the item that tell anything, at, tokens, templates, anchor and its place in the window."""
+def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """item_id, windows of the item that can match, at, tokens, templates, anchor (one word or two) and its place in the window."""
     items = benchmark.select("item_id", F.filter(words("text"), lambda w: w != "").alias("w")).filter(F.size("w") > 0).distinct()
     n = F.greatest(F.size("w") - width + 1, F.lit(1))
     rows = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("at")).withColumn("tokens", F.slice("w", F.col("at") + 1, F.lit(width))).drop("w")
@@ -64,23 +64,27 @@ def benchmark_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame
     plain = F.filter(F.transform("templates", lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))), lambda s: ~s["t"].startswith("<") & (s["n"] >= 3))
     rows = rows.withColumn("plain", plain).withColumn("best", F.array_max("plain")).filter(F.col("best").isNotNull())
     rows = rows.withColumn("next", F.array_max(F.filter("plain", lambda s: s["i"] != F.col("best.i"))))
-    telling = F.col("best.n") >= INFORMATIVE
-    of_item = Window.partitionBy("item_id")
-    rows = rows.withColumn("telling", F.count_if(telling).over(of_item)).filter(telling | (F.col("telling") < least)).withColumn("windows", F.count("*").over(of_item))
-    return rows.select("item_id", "windows", "at", "tokens", "templates", F.col("best.t").alias("anchor"), (-F.col("best.i")).alias("offset"), (-F.col("next.i")).alias("offset2"), F.col("next.t").alias("word2"), F.xxhash64(F.array_join("templates", " ")).alias("window"))
+    # neighbours: two literal words side by side, the longest of them
+    literals = lambda i: ~F.get("templates", i).startswith("<") & (F.length(F.get("templates", i)) > 0)
+    two = F.transform("templates", lambda t, i: F.when(literals(i) & literals(i + 1), F.struct((F.length(t) + F.length(F.get("templates", i + 1))).alias("n"), (-i).alias("i"), F.concat_ws(" ", t, F.get("templates", i + 1)).alias("t"))))
+    rows = rows.withColumn("key", F.when(F.col("best.n") < INFORMATIVE, F.array_max(two))).withColumn("key", F.coalesce("key", "best"))
+    rows = rows.withColumn("windows", F.count("*").over(Window.partitionBy("item_id")))
+    return rows.select("item_id", "windows", "at", "tokens", "templates", F.col("key.t").alias("anchor"), (-F.col("key.i")).alias("offset"), (-F.col("next.i")).alias("offset2"), F.col("next.t").alias("word2"), F.xxhash64(F.array_join("templates", " ")).alias("window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, n_windows (matched and consistent), item_windows and n_slots of each contaminated document."""
-    known = saved(benchmark_windows(benchmark, width, least), "benchmark_windows")
+    known = saved(benchmark_windows(benchmark, width), "benchmark_windows")
     small = known.count() <= BROADCAST_WINDOWS
     sent = F.broadcast if small else lambda df: df
     places = known.groupBy("anchor").agg(F.collect_set(F.struct("offset", F.size("tokens").alias("n"), "offset2", "word2")).alias("places"))
     cut = docs.select("doc_id", words("text").alias("w"))
-    # an anchor is the longest word of its window: shorter words than every anchor needn't be looked at; the outer
-    # explode keeps the optimiser from splitting each text a second time for a filter on its words
-    shortest = known.agg(F.coalesce(F.min(F.length("anchor")), F.lit(1)).alias("n")).first()["n"]
+    # shorter words than the first of every anchor needn't be looked at; the outer explode keeps the optimiser from splitting each text a second time for a filter on its words
+    shape = known.agg(F.coalesce(F.min(F.length(F.split_part("anchor", F.lit(" "), F.lit(1)))), F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.col("anchor").contains(" ")), F.lit(False)).alias("pairs")).first()
+    shortest = shape["n"]
     told = cut.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word")).filter(F.length("word") >= shortest).select("doc_id", "w", "pos", literal(F.col("word")).alias("anchor"))
+    if shape["pairs"]:
+        told = told.select("doc_id", "w", "pos", F.explode(F.array("anchor", F.concat("anchor", F.lit(" "), literal(F.get("w", F.col("pos") + 1))))).alias("anchor"))
     met = told.join(sent(places), "anchor").select("doc_id", "w", "pos", F.explode("places").alias("p"))
     start = (F.col("pos") - F.col("p.offset")).cast("int")
     second = F.col("p.word2").isNull() | (literal(F.get("w", start + F.col("p.offset2"))) == F.col("p.word2"))  # a cheap look first
@@ -91,12 +95,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     same = F.col("own_templates").eqNullSafe(F.col("templates"))
     pairs = hashed.join(sent(known.select("item_id", "windows", "at", "tokens", "templates", "window")), "window").filter(same)
     slots = F.filter(F.zip_with(F.zip_with("templates", "tokens", lambda t, b: F.struct(t.alias("t"), literal(b).alias("b"))), "own", lambda x, o: F.struct(x["t"].alias("t"), x["b"].alias("b"), literal(o).alias("o"))), lambda x: x["t"].startswith("<"))
-    found = saved(pairs.select("doc_id", "item_id", "windows", "at", "start", slots.alias("slots")).distinct(), "window_matches")
-    # each slot value's most frequent partner in the document; windows that say otherwise don't count
-    said = found.select("doc_id", "item_id", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", "s.t", "s.b", "s.o").agg(F.count("*").alias("n"))
-    partner = said.groupBy("doc_id", "item_id", "t", "b").agg(F.max(F.struct("n", "o"))["o"].alias("o")).groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "t", "b"), "o"))).alias("partners"))
+    found = saved(pairs.select("doc_id", "item_id", "windows", "at", (F.col("start") - F.col("at")).alias("base"), slots.alias("slots")).distinct(), "window_matches")
+    # each slot value's most frequent partner in the occurrence; windows that say otherwise don't count
+    said = found.select("doc_id", "item_id", "base", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", "base", "s.t", "s.b", "s.o").agg(F.count("*").alias("n"))
+    partner = said.groupBy("doc_id", "item_id", "base", "t", "b").agg(F.max(F.struct("n", "o"))["o"].alias("o")).groupBy("doc_id", "item_id", "base").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "t", "b"), "o"))).alias("partners"))
     left, right = found.alias("f"), partner.alias("p")
-    both = left.join(right, F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("f.item_id").eqNullSafe(F.col("p.item_id")), "left").select("f.*", "p.partners")
+    both = left.join(right, F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("f.item_id").eqNullSafe(F.col("p.item_id")) & (F.col("f.base") == F.col("p.base")), "left").select("f.*", "p.partners")
     steady = both.filter(F.forall("slots", lambda s: F.coalesce(F.element_at("partners", F.concat_ws(":", s["t"], s["b"])) == s["o"], F.lit(True))))
     counted = steady.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_windows"), F.max("windows").cast("long").alias("item_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"))
     return counted.filter(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows")))
