@@ -1,28 +1,36 @@
 """Operator 3: main text by wrapper induction.
 
-Pages are grouped by host. Each page's tree is aligned with that of the host's reference page (its smallest page_id) by
-simple tree matching: the largest order-preserving mapping of equal tags, computed level by level. A first pass counts, for each text node of
-the reference, how many pages align with it and how many say the same there: nodes whose text hardly varies are template.
-A second pass drops from each page what aligns with template and keeps the varying slots.
-
-Markup that names its purpose is used first: menus, headers, footers, sidebars, notices, adverts, forms, comments and
-code never count, and where a page has an article (or main) element its content is that element; a template decision
-only ever removes nodes outside it. Blocks end at block elements and their text is joined by newlines.
+1. Each page becomes an outline: the tree of its block elements with a leaf for each run of text, known by its hash.
+2. For each host the commonest layouts (upper block structure) give reference pages, two a layout from different halves
+   of its pages, short ones first.
+3. Pages are aligned with the references of their layout by simple tree matching: the largest order-preserving mapping of
+   equal tags. Runs that both pages have word for word carry a label, so that they only match each other. For each run of a
+   reference it is counted how many pages match there and how many say the same. A run that hardly varies is template;
+   within an article the share must be higher. Exact copies count once, near copies of the reference are no witnesses.
+4. Each page is aligned again: what matches a template run is dropped, varying slots are content.
+
+Markup that names its purpose (menus, headers, footers, sidebars, forms, code ...) marks slots as side matter, and
+article or main elements mark content; names of classes and ids are the weakest mark. The marks that leave a page without any text are
+lifted, weakest first. Without an article, runs of nothing but links are menus. Blocks end at block elements and are joined by newlines.
 
 Edge cases: null or empty html gives an empty text; broken or unclosed markup is read as browsers do for the common cases; hosts with
-fewer than three pages have no template; a null or odd url is a host of its own kind; repeated rows are separate pages; an empty table
-gives an empty result.
+fewer than LEAST_PAGES + 1 different pages have no template; a null or odd url is a host of its own kind; repeated rows are separate
+pages; further columns are ignored; an empty table gives an empty result; flat lists of any length are aligned exactly, halved where
+the table of the alignment would be large.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import attach, bounded_batches, saved
@@ -31,48 +39,60 @@ from tidemark.llm.common import attach, bounded_batches, saved
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SIDE = frozenset("head nav aside footer form button select menu dialog script style noscript template textarea title iframe svg object canvas".split())
-SIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|widget|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|replies|login|search\w*)(?:$|[\s_-])", re.I)
+SIDE = frozenset("head nav aside footer button select menu dialog script style noscript template textarea title iframe svg object canvas".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+#: Names of classes and ids: a purpose, alone or with words of place and shape around it.
+PURPOSE = r"(?:ads?|advert\w*|banners?|sponsor\w*|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebars?|widgets?|cookies?|consent|gdpr|notices?|popups?|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|replies|login|search)"
+AROUND = r"(?:main|site|page|top|bottom|left|right|global|user|reader|post|article|primary|secondary|box|bar|wrap|wrapper|list|block|section|container|area|inner|outer|links?|form|text|body|item|unit|slot|[0-9]+)"
+SIDE_NAME = re.compile(rf"(?:{AROUND}[-_])*{PURPOSE}(?:[-_](?:{AROUND}|{PURPOSE}))*", re.I)
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
-#: Of the pages that align with a reference node, the share that must say the same to make it template, and the least number.
-SAME_SHARE, LEAST_PAGES = 0.6, 3
-#: Elements nested deeper than this stand beside each other; their text is kept.
-DEPTH = 300
+#: Marks of side matter from weak to strong: a name, a form, an element or attribute that says so.
+NAME, FORM, TAG = 1, 2, 4
+#: Of the pages that match a reference's run, the share that must say the same to make it template (within an article), and the least number.
+SAME_SHARE, ARTICLE_SHARE, LEAST_PAGES = 0.6, 0.9, 3
+#: Reference pages of a host, and characters of an outline up to which one is as good as another.
+REFERENCES, OUTLINE_CHARS = 4, 20_000
+#: Word hashes kept of a page to tell near copies, and the similarity from which on pages are near copies.
+SKETCH, COPY = 64, 0.6
+#: Elements nested deeper than this (side matter: 50 more) stand beside each other; their text is kept.
+DEPTH = 150
+#: Cells of an alignment's table that are held at once.
+CELLS = 16_000_000
+#: Bytes of all references up to which they are broadcast (after adding them up); beyond, they are joined by host.
+BROADCAST_BYTES = 32 << 20
 
 
 class Node:
-    __slots__ = ("tag", "side", "children", "text", "number")
+    __slots__ = ("tag", "mark", "children", "text")
 
-    def __init__(self, tag: str, side: bool = False, text: str = ""):
-        self.tag, self.side, self.text, self.children, self.number = tag, side, text, [], -1
+    def __init__(self, tag: str, mark: int = 0, text: str = ""):
+        self.tag, self.mark, self.text, self.children = tag, mark, text, []
 
 
-def is_side(tag: str, attributes: str) -> bool:
+def mark_of(tag: str, attributes: str) -> int:
     if tag in SIDE:
-        return True
-    for name, value in NAMED.findall(attributes):
+        return TAG
+    mark = FORM if tag == "form" else 0
+    for name, value in NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in SIDE_ROLES or name in ("class", "id") and tag not in ("body", "html") and SIDE_NAMES.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in SIDE_ROLES or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            mark |= TAG
+        elif name in ("class", "id") and tag not in ("body", "html") and any(SIDE_NAME.fullmatch(x) for x in value.split()):
+            mark |= NAME
+    return mark
 
 
 def parse(page: str) -> Node:
     """The element tree; text nodes have the tag '#'."""
     root = Node("")
-    stack, at, raw = [root], 0, None
-    for m in PIECE.finditer(page):
-        if m.start() < at:
-            continue
+    stack, at = [root], 0
+    while m := PIECE.search(page, at):
         tag = (m[2] or "").lower()
-        if raw and not (m[1] and tag == raw):
-            continue
-        if m.start() > at and not raw:
+        if m.start() > at:
             stack[-1].children.append(Node("#", text=page[at:m.start()]))
-        at, raw = m.end(), None
+        at = m.end()
         if not tag:
             if m[0].startswith("<![CDATA["):
                 stack[-1].children.append(Node("#", text=m[0][9:].removesuffix("]]>")))
@@ -96,23 +116,20 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in BLOCK:
                     break
-        node = Node(tag, is_side(tag, m[3]))
-        if tag == "header" and any(x.tag in ("article", "main") for x in stack):
-            node.side = False
-        elif tag == "header":
-            node.side = True
+        node = Node(tag, mark_of(tag, m[3]))
+        if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
+            node.mark |= TAG
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        if tag in RAW:
+        if tag in RAW:  # nothing in it is markup; the search goes on behind its end
             close = re.compile(f"</{tag}\\b", re.I).search(page, at)
-            at = close.start() if close else len(page)
-            end = page.find(">", at)
+            end = page.find(">", close.start()) if close else -1
             at = len(page) if end < 0 else end + 1
             continue
-        if len(stack) < DEPTH or node.side and len(stack) < 2 * DEPTH:
+        if len(stack) < DEPTH or node.mark and len(stack) < DEPTH + 50:
             stack.append(node)
-    if at < len(page) and not raw:
+    if at < len(page):
         rest = page[at:]
         cut = re.search(r"<(?:[a-zA-Z/!?])[^>]*$", rest)
         stack[-1].children.append(Node("#", text=rest[:cut.start()] if cut else rest))
@@ -123,149 +140,360 @@ def plain(text: str) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """Outermost article or main elements that aren't side matter."""
-    found, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.side:
-            continue
-        if node.tag in ("article", "main"):
-            inner = [c for c in node.children if c.tag == "article" and not c.side]
-            found += inner if node.tag == "main" and inner else [node]
-            continue
-        todo += reversed(node.children)
-    return found
+class Run:
+    """A run of text between block borders: ``mark`` unites those around it, ``linked`` tells that it is links only."""
+    __slots__ = ("text", "mark", "article", "linked")
 
+    def __init__(self, text: str, mark: int, article: bool, linked: bool):
+        self.text, self.mark, self.article, self.linked = text, mark, article, linked
 
-def numbered(root: Node) -> list[Node]:
-    """All text nodes outside main elements, numbered in page order."""
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.tag == "#":
-            if node.text.strip():
-                node.number = len(out)
-                out.append(node)
-        elif node.tag not in ("article", "main", "head"):
-            todo += reversed(node.children)
-    return out
-
-
-def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Text node pairs of a simple tree matching of both trees (roots of equal tag)."""
-    def children(n: Node) -> list[Node]:
-        return [c for c in n.children if (c.tag != "#" or c.number >= 0) and c.tag not in ("article", "main", "head")]
-
-    def score(a: Node, b: Node) -> tuple[int, list]:
-        if a.tag != b.tag:
-            return 0, []
-        x, y = children(a), children(b)
-        if a.tag == "#" or not x or not y:
-            return 1, [(a, b)] if a.tag == "#" else []
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        own = {}
-        for i, p in enumerate(x, 1):
-            for j, q in enumerate(y, 1):
-                w, pairs = score(p, q)
-                take = best[i - 1][j - 1] + w if w else -1
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], take)
-                if w:
-                    own[i, j] = w, pairs
-        i, j, pairs = len(x), len(y), []
-        while i and j:
-            w = own.get((i, j))
-            if w and best[i][j] == best[i - 1][j - 1] + w[0]:
-                pairs += w[1]
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return 1 + best[-1][-1], pairs
 
-    return score(a, b)[1]
+def outline(root: Node) -> tuple[list, list[Run]]:
+    """The tree of blocks, [tag, child ...] with the numbers of runs as leaves, and the runs in page order."""
+    runs: list[Run] = []
+    tree: list = [""]
+    gather(root, tree, runs, 0, False, False)
 
+    def pruned(block: list) -> list:
+        return [block[0], *(c if isinstance(c, int) else p for c in block[1:] if isinstance(c, int) or len(p := pruned(c)) > 1)]
 
-def blocks(nodes: list[Node], dropped: set[int]) -> str:
-    """Text of the nodes without side matter and dropped text nodes, a line for each block."""
-    lines, held = [], []
+    return pruned(tree), runs
 
-    def flush() -> None:
-        line = plain("".join(held))
-        held.clear()
-        if line:
-            lines.append(line)
 
-    todo: list = list(reversed(nodes))
+def gather(root: Node, tree: list, runs: list[Run], mark: int, article: bool, link: bool) -> None:
+    """Append the blocks and runs below ``root``. Side matter amid a line is a run of its own and doesn't cut the line."""
+    held: list[str] = []
+    links, others = 0, False  # links in the run, and whether there is text outside them
+
+    # what is open: element, block of the outline, marks, within an article, within a link; no element closes a block
+    todo: list = [(None, tree, mark, article, link), *((c, tree, mark, article, link) for c in reversed(root.children))]
     while todo:
-        node = todo.pop()
-        if node is None:
-            flush()
-        elif node.tag == "#":
-            if node.number < 0 or node.number not in dropped:
+        node, block, mark, article, link = todo.pop()
+        if node is not None and node.tag not in BLOCK:
+            if node.tag == "#":
                 held.append(node.text)
-        elif not node.side:
-            if node.tag == "br":
+                others = others or not link and any(map(str.isalnum, node.text))
+            elif node.tag == "br":
                 held.append(" ")
-            elif node.tag in BLOCK:
-                flush()
-                todo += [None, *reversed(node.children)]
+            elif node.tag not in RAW and node.tag != "head":
+                if node.mark and not mark:
+                    gather(node, block, runs, node.mark, article, link)
+                    continue
+                links += node.tag == "a"
+                todo += [(c, block, mark | node.mark, article, link or node.tag == "a") for c in reversed(node.children)]
+            continue
+        text = plain("".join(held))
+        if text:
+            block.append(len(runs))
+            runs.append(Run(text, mark, article, links > 1 and not others))
+        held.clear()
+        links, others = 0, False
+        if node is not None:
+            own = [node.tag]
+            block.append(own)
+            mark, article = mark | node.mark, article or node.tag in ("article", "main")
+            todo += [(None, own, mark, article, link), *((c, own, mark, article, link) for c in reversed(node.children))]
+
+
+def run_hash(text: str) -> int:
+    raw = text.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) << 32 | zlib.adler32(raw)
+
+
+class Shapes:
+    """Outlines whose equal subtrees share a number. A leaf's kind is 0 or the label of a text."""
+
+    def __init__(self) -> None:
+        self.number: dict = {}
+        self.tag: list = []      # None for leaves
+        self.kids: list = []     # numbers of the children
+        self.leaves: list = []   # leaves below
+        self.size: list = []
+        self.memo: dict = {}
+
+    def of(self, key: tuple, tag: str | None, kids: tuple) -> int:
+        if key not in self.number:
+            self.number[key] = len(self.tag)
+            self.tag.append(tag)
+            self.kids.append(kids)
+            self.leaves.append(sum(self.leaves[k] for k in kids) if tag is not None else 1)
+            self.size.append(1 + sum(self.size[k] for k in kids))
+        return self.number[key]
+
+    def add(self, tree: list, kinds: list[int]) -> int:
+        """Number of an outline; ``kinds`` has the kind of each of its runs."""
+        kids = tuple(self.of((None, kinds[c]), None, ()) if isinstance(c, int) else self.add(c, kinds) for c in tree[1:])
+        return self.of((tree[0], kids), tree[0], kids)
+
+    def simple(self, k: int) -> tuple[int, int]:
+        """Tag and leaf of a block with nothing but one leaf; (-1, leaf) for a leaf, (-2, k) otherwise."""
+        if self.tag[k] is None:
+            return -1, k
+        kids = self.kids[k]
+        return (self.of(("tag", self.tag[k]), self.tag[k], ()), kids[0]) if len(kids) == 1 and self.tag[kids[0]] is None else (-2, k)
+
+    def score(self, a: int, b: int) -> int:
+        """Size of the largest simple tree matching."""
+        if a == b:
+            return self.size[a]
+        if self.tag[a] != self.tag[b] or self.tag[a] is None:
+            return 0
+        if (a, b) not in self.memo:
+            n, x, y, _ = self.ends(a, b)
+            last = self.last_row(x, y)
+            self.memo[a, b] = 1 + n + (int(last[-1]) if len(x) and len(y) else 0)
+        return self.memo[a, b]
+
+    def ends(self, a: int, b: int) -> tuple[int, tuple, tuple, tuple[int, int]]:
+        """Equal children at both ends belong together in a largest matching: their score, what is between, their numbers."""
+        x, y = self.kids[a], self.kids[b]
+        i, most = 0, min(len(x), len(y))
+        while i < most and x[i] == y[i]:
+            i += 1
+        j = 0
+        while j < most - i and x[len(x) - 1 - j] == y[len(y) - 1 - j]:
+            j += 1
+        return sum(self.size[k] for k in x[:i]) + sum(self.size[k] for k in x[len(x) - j:]), x[i:len(x) - j], y[i:len(y) - j], (i, j)
+
+    def weights(self, x: tuple, y: tuple) -> Iterator[np.ndarray]:
+        """For each child of the one side its scores with all children of the other."""
+        tags, leaves = np.array([self.simple(k) for k in y], np.int32).T.copy()
+        hard: dict[int, list[int]] = defaultdict(list)
+        for j in np.flatnonzero(tags == -2).tolist():
+            hard[y[j]].append(j)
+        every: dict[int, list[int]] | None = None
+        for k in x:
+            tag, leaf = self.simple(k)
+            row = (tags == tag).astype(np.int32)
+            if tag != -2:
+                row *= (leaves == leaf).astype(np.int32) + int(tag != -1)
+                if tag == -1:
+                    yield row
+                    continue
             else:
-                todo += reversed(node.children)
-    flush()
-    return "\n".join(lines)
+                row[:] = 0
+            if tag == -2 and every is None:
+                every = defaultdict(list)
+                for j, d in enumerate(y):
+                    every[d].append(j)
+            for d, places in (every if tag == -2 else hard).items():
+                row[places] = self.score(k, d)
+            yield row
+
+    def last_row(self, x: tuple, y: tuple) -> np.ndarray:
+        best = np.zeros(len(y) + 1, np.int32)
+        if len(y):
+            for row in self.weights(x, y):
+                best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(row > 0, best[:-1] + row, 0)))
+        return best
+
+    def pairs(self, x: tuple, y: tuple) -> list[tuple[int, int]]:
+        """Places of the children matched in a largest matching of both lists."""
+        if not len(x) or not len(y):
+            return []
+        if len(x) * len(y) > CELLS and len(x) > 1:  # halves, whose border is where forward and backward scores add up best
+            half = len(x) // 2
+            j = int(np.argmax(self.last_row(x[:half], y) + self.last_row(x[:half - 1:-1], y[::-1])[::-1]))
+            return self.pairs(x[:half], y[:j]) + [(half + p, j + q) for p, q in self.pairs(x[half:], y[j:])]
+        best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+        took = np.zeros((len(x), len(y)), bool)
+        for i, row in enumerate(self.weights(x, y)):
+            with_it = np.where(row > 0, best[i, :-1] + row, 0)
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], with_it))
+            took[i] = (row > 0) & (with_it == best[i + 1, 1:])
+        i, j, out = len(x), len(y), []
+        while i and j:
+            if took[i - 1, j - 1]:
+                out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif best[i, j] == best[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    def matched(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Leaves (by their number in page order) that a largest matching brings together."""
+        out, todo = [], [(a, b, 0, 0)]
+        while todo:
+            a, b, m, n = todo.pop()
+            if a == b:
+                out += [(m + k, n + k) for k in range(self.leaves[a])]
+                continue
+            x, y = self.kids[a], self.kids[b]
+            _, p, q, (i, j) = self.ends(a, b)
+            both = [(k, k) for k in range(i)] + [(i + k, i + d) for k, d in self.pairs(p, q)] + [(len(x) - j + k, len(y) - j + k) for k in range(j)]
+            before_x, before_y = np.cumsum([0, *(self.leaves[k] for k in x)]).tolist(), np.cumsum([0, *(self.leaves[k] for k in y)]).tolist()
+            todo += [(x[k], y[d], m + before_x[k], n + before_y[d]) for k, d in both]
+        return out
+
+
+def align(tree: list, hashes: list[int], other: list, labelled: dict[int, int] | set[int]) -> list[tuple[int, int]]:
+    """Pairs of runs of two outlines (``other`` is outline and hashes); runs whose hash is labelled match only their like."""
+    shapes, kinds = Shapes(), {h: i for i, h in enumerate(labelled, 1)}
+    first = shapes.add(tree, [kinds.get(h, 0) for h in hashes])
+    second = shapes.add(other[0], [kinds.get(h, 0) for h in other[1]])
+    return shapes.matched(first, second) if shapes.tag[first] == shapes.tag[second] else []
+
+
+def sketch(runs: list[Run]) -> list[int]:
+    """The smallest hashes of the words in longer runs, to tell near copies."""
+    words: set[str] = set()
+    for r in runs:
+        if len(r.text) >= 80:
+            words.update(r.text.split())
+    return sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words)[:SKETCH]
+
+
+def near_copies(a: list[int], b: list[int]) -> bool:
+    if not a or not b:
+        return False
+    x, y = set(a), set(b)
+    least = sorted(x | y)[:SKETCH]
+    return sum(h in x and h in y for h in least) >= COPY * len(least)
+
+
+def layout(tree: list, depth: int = 4) -> int:
+    """A number for the upper block structure; repeats and what text is made of don't count."""
+    def shape(t: list, left: int) -> tuple:
+        kids = [shape(c, left - 1) for c in t[1:] if not isinstance(c, int) and c[0] in ("html", "body", "div", "section", "main", "article", "header", "footer", "nav", "aside", "form", "table")] if left else []
+        return t[0], tuple(k for i, k in enumerate(kids) if not i or k != kids[i - 1])
+
+    return zlib.crc32(repr(shape(tree, depth)).encode())
+
+
+def chosen(runs: list[Run], dropped: set[int]) -> str:
+    """Content of the page: the runs under the fewest lifted marks that there are, without ``dropped`` ones."""
+    article = any(r.article for r in runs)
+    for within in (True, False) if article else (False,):
+        for lifted in (0, NAME, NAME | FORM):
+            kept = [i for i, r in enumerate(runs) if not r.mark & ~lifted and (r.article or not within and not r.linked)]
+            if kept:
+                return "\n".join(runs[i].text for i in kept if i not in dropped)
+    return ""
+
+
+def extract(page: str, references: list[tuple[list, list[int], set[int]]] = ()) -> str:
+    """Main text of a page; each reference is an outline, the hashes of its runs and the numbers of its template runs."""
+    tree, runs = outline(parse(page))
+    dropped: set[int] = set()
+    if runs and references:
+        hashes = [run_hash(r.text) for r in runs]
+        for other, known, template in references:
+            labels = {known[k] for k in template}
+            if labels.isdisjoint(hashes):
+                continue
+            dropped |= {i for i, k in align(tree, hashes, [other, known], labels) if k in template and known[k] == hashes[i]}
+    return chosen(runs, dropped)
 
 
-def extract(page: str, reference: str | None = None, template: set[int] = frozenset()) -> str:
-    """Main text of a page; ``template`` holds the numbers of the reference page's template nodes."""
-    root = parse(page)
-    main = main_nodes(root)
-    if main:
-        return blocks(main, set())
-    dropped: set[int] = set()
-    if reference is not None and template:
-        numbered(root)
-        other = parse(reference)
-        numbered(other)
-        dropped = {x.number for x, y in match_trees(root, other) if y.number in template and plain(x.text) == plain(y.text)}
-    return blocks([root], dropped)
+def host_of(url: str = "url"):
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html)."""
-    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    rows = bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    hosts = saved(rows.groupBy("host").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id")).alias("reference"), F.count("*").alias("n")), "hosts")
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    paired = attach(rows, hosts, ["host"], "n", total)
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """How often each reference text node was met and said the same, summed up in the task."""
+def outlines(rows: DataFrame) -> DataFrame:
+    """host, layout, half, form (outline, hashes, runs in an article, sketch as JSON) of each page that has text."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for host, page in zip(batch["host"], batch["html"]):
+                tree, runs = outline(parse(page))
+                if runs:
+                    hashes = [run_hash(r.text) for r in runs]
+                    form = json.dumps([tree, hashes, [i for i, r in enumerate(runs) if r.article and not r.mark], sketch(runs)], separators=(",", ":"))
+                    out.append((host, layout(tree), zlib.crc32(repr(hashes).encode()) % 2, form))
+            yield pd.DataFrame(out, columns=["host", "layout", "half", "form"]).astype({"layout": "int64", "half": "int32"})
+
+    return rows.select("host", "html").mapInPandas(run, "host string, layout long, half int, form string")
+
+
+def with_references(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """rows and the ``refs`` of their host (null: none); broadcast only after adding up the references' bytes."""
+    told = hosts.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    if told["b"] <= BROADCAST_BYTES:
+        right = F.broadcast(hosts.select(F.col("host").alias("__host"), "refs"))
+        return rows.join(right, rows["host"] == right["__host"], "left").drop("__host")
+    # beyond that hot hosts are dealt to as many parts as they have shares of all pages
+    parts = F.least(F.ceil(F.col("n") * 200 / F.lit(max(1, told["n"]))), F.lit(200)).cast("int")
+    salts = hosts.withColumn("__k", parts).select("host", "refs", "__k", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__salt"))
+    dealt = attach(rows, hosts.select("host", parts.alias("__k"), "n"), ["host"], "n", told["n"])
+    dealt = dealt.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "host"]), F.coalesce("__k", F.lit(1))).cast("int")).drop("__k")
+    return dealt.join(salts.drop("__k"), ["host", "__salt"], "left").drop("__salt")
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """host, n, bytes and refs (layout, id, form, template) of each host that has text; ``template`` numbers the form's runs."""
+    known = saved(outlines(rows), "outlines")
+    size = F.greatest(F.length("form"), F.lit(OUTLINE_CHARS))
+    best = known.groupBy("host", "layout", "half").agg(F.count("*").alias("n"), F.min_by("form", F.struct(size, F.xxhash64("form"))).alias("form"))
+    by_use = Window.partitionBy("host").orderBy(F.desc("n"), "layout", "half")
+    refs = best.withColumn("k", F.row_number().over(by_use)).filter(F.col("k") <= REFERENCES)
+    ref = F.struct("layout", F.col("k").alias("id"), "form")
+    hosts = saved(refs.groupBy("host").agg(F.sum(F.length("form")).cast("long").alias("bytes"), F.sort_array(F.collect_list(ref)).alias("refs"))
+                  .join(known.groupBy("host").agg(F.count("*").alias("n")), "host"), "references")
+
+    def witness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each run of the references how many pages match it and say the same, summed up in the task."""
         met: dict = defaultdict(lambda: [0, 0])
-        known: dict = {}
+        loaded: dict = {}
         for batch in batches:
-            for name, page, reference in zip(batch["host"], batch["html"], batch["reference"]):
-                if (name, reference) not in known:
-                    known.clear()
-                    other = parse(reference)
-                    numbered(other)
-                    known[name, reference] = other
-                root = parse(page)
-                numbered(root)
-                for x, y in match_trees(root, known[name, reference]):
-                    got = met[name, y.number]
-                    got[0] += 1
-                    got[1] += plain(x.text) == plain(y.text)
-        yield pd.DataFrame([(h, k, n, same) for (h, k), (n, same) in met.items()], columns=["host", "node", "met", "same"])
-
-    seen = paired.mapInPandas(align, "host string, node int, met long, same long").groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
-    constant = seen.filter((F.col("met") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("met"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    wrappers = saved(hosts.join(constant, "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>"))), "wrappers")
+            for host, kind, form, others in zip(batch["host"], batch["layout"], batch["form"], batch["refs"]):
+                tree, hashes, _, words = json.loads(form)
+                for r in [r for r in others if r["layout"] == kind] or others:
+                    if r["form"] == form:
+                        continue
+                    if r["form"] not in loaded:
+                        if len(loaded) > 1000:
+                            loaded.clear()
+                        loaded[r["form"]] = json.loads(r["form"])
+                    other = loaded[r["form"]]
+                    if near_copies(words, other[3]):
+                        continue
+                    for i, k in align(tree, hashes, other, {*hashes} & {*other[1]}):
+                        got = met[host, r["id"], k]
+                        got[0] += 1
+                        got[1] += hashes[i] == other[1][k]
+        yield pd.DataFrame([(h, i, k, n, same) for (h, i, k), (n, same) in met.items()], columns=["host", "id", "run", "met", "same"])
+
+    seen = with_references(known.dropDuplicates(["host", "form"]), hosts).select("host", "layout", "form", "refs").mapInPandas(witness, "host string, id int, run int, met long, same long")
+    seen = seen.groupBy("host", "id", "run").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).filter(F.col("same") >= LEAST_PAGES)
+    steady = seen.groupBy("host", "id").agg(F.map_from_entries(F.collect_list(F.struct("run", (F.col("same") / F.col("met")).alias("share")))).alias("shares"))
+    each = hosts.select("host", F.explode("refs").alias("r")).select("host", "r.*").join(steady, ["host", "id"], "left")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Template runs of a reference by their shares; within an article a higher one is asked for."""
+        for batch in batches:
+            template = []
+            for form, shares in zip(batch["form"], batch["shares"]):
+                article = set(json.loads(form)[2])
+                template.append([k for k, s in (shares or {}).items() if s >= (ARTICLE_SHARE if k in article else SAME_SHARE)])
+            yield batch[["host", "layout", "id", "form"]].assign(template=template)
+
+    told = each.select("host", "layout", "id", "form", "shares").mapInPandas(decide, "host string, layout long, id int, form string, template array<int>")
+    told = told.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("layout", "id", "form", F.sort_array("template").alias("template")))).alias("refs"))
+    return saved(hosts.select("host", "n", "bytes").join(told, "host"), "wrappers")
+
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html)."""
+    rows = bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded: dict = {}
         for batch in batches:
-            texts = [extract(h, r, set(t)) for h, r, t in zip(batch["html"], batch["reference"], batch["template"])]
+            texts = []
+            for page, others in zip(batch["html"], batch["refs"]):
+                refs = []
+                for r in others if others is not None else ():
+                    key = r["form"], tuple(r["template"])
+                    if key not in loaded:
+                        if len(loaded) > 1000:
+                            loaded.clear()
+                        form = json.loads(r["form"])
+                        loaded[key] = (form[0], form[1], set(r["template"]))
+                    if len(r["template"]):
+                        refs.append(loaded[key])
+                texts.append(extract(page, refs))
             yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return attach(rows, wrappers, ["host"], "n", total).select("page_id", "url", "html", "reference", "template").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
+    return with_references(rows, wrappers(rows)).select("page_id", "url", "html", "refs").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
