@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,10 @@ SKETCH, COPY = 64, 0.6
 DEPTH = 150
 #: Cells of an alignment's table that are held at once.
 CELLS = 16_000_000
+#: Cells up to which an alignment is made without arrays.
+FEW_CELLS = 60
+#: Characters from which on a text that both pages have is labelled; shorter ones match by their place alone.
+LABELLED = 8
 #: Bytes of all references up to which they are broadcast (after adding them up); beyond, they are joined by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -212,18 +217,22 @@ class Shapes:
         self.memo: dict = {}
 
     def of(self, key: tuple, tag: str | None, kids: tuple) -> int:
-        if key not in self.number:
-            self.number[key] = len(self.tag)
+        at = self.number.get(key)
+        if at is None:
+            at = self.number[key] = len(self.tag)
             self.tag.append(tag)
             self.kids.append(kids)
-            self.leaves.append(sum(self.leaves[k] for k in kids) if tag is not None else 1)
-            self.size.append(1 + sum(self.size[k] for k in kids))
-        return self.number[key]
+            self.leaves.append(sum([self.leaves[k] for k in kids]) if tag is not None else 1)
+            self.size.append(1 + sum([self.size[k] for k in kids]))
+        return at
 
     def add(self, tree: list, kinds: list[int]) -> int:
         """Number of an outline; ``kinds`` has the kind of each of its runs."""
-        kids = tuple(self.of((None, kinds[c]), None, ()) if isinstance(c, int) else self.add(c, kinds) for c in tree[1:])
-        return self.of((tree[0], kids), tree[0], kids)
+        of, kids = self.of, []
+        for c in tree[1:]:
+            kids.append(of((None, kinds[c]), None, ()) if type(c) is int else self.add(c, kinds))
+        whole = tuple(kids)
+        return of((tree[0], whole), tree[0], whole)
 
     def simple(self, k: int) -> tuple[int, int]:
         """Tag and leaf of a block with nothing but one leaf; (-1, leaf) for a leaf, (-2, k) otherwise."""
@@ -287,10 +296,32 @@ class Shapes:
                 best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(row > 0, best[:-1] + row, 0)))
         return best
 
+    def few_pairs(self, x: tuple, y: tuple) -> list[tuple[int, int]]:
+        best, score = [[0] * (len(y) + 1)], []
+        for k in x:
+            up, row, own = best[-1], [0], [self.score(k, d) for d in y]
+            for j, w in enumerate(own):
+                row.append(max(up[j + 1], row[j], up[j] + w if w else 0))
+            best.append(row)
+            score.append(own)
+        i, j, out = len(x), len(y), []
+        while i and j:
+            w = score[i - 1][j - 1]
+            if w and best[i][j] == best[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
     def pairs(self, x: tuple, y: tuple) -> list[tuple[int, int]]:
         """Places of the children matched in a largest matching of both lists."""
         if not len(x) or not len(y):
             return []
+        if len(x) * len(y) <= FEW_CELLS:
+            return self.few_pairs(x, y)
         if len(x) * len(y) > CELLS and len(x) > 1:  # halves, whose border is where forward and backward scores add up best
             half = len(x) // 2
             j = int(np.argmax(self.last_row(x[:half], y) + self.last_row(x[:half - 1:-1], y[::-1])[::-1]))
@@ -323,7 +354,7 @@ class Shapes:
             x, y = self.kids[a], self.kids[b]
             _, p, q, (i, j) = self.ends(a, b)
             both = [(k, k) for k in range(i)] + [(i + k, i + d) for k, d in self.pairs(p, q)] + [(len(x) - j + k, len(y) - j + k) for k in range(j)]
-            before_x, before_y = np.cumsum([0, *(self.leaves[k] for k in x)]).tolist(), np.cumsum([0, *(self.leaves[k] for k in y)]).tolist()
+            before_x, before_y = [0, *accumulate([self.leaves[k] for k in x])], [0, *accumulate([self.leaves[k] for k in y])]
             todo += [(x[k], y[d], m + before_x[k], n + before_y[d]) for k, d in both]
         return out
 
@@ -392,7 +423,7 @@ def host_of(url: str = "url"):
 
 
 def outlines(rows: DataFrame) -> DataFrame:
-    """host, layout, half, form (outline, hashes, runs in an article, sketch as JSON) of each page that has text."""
+    """host, layout, half, form (as JSON: outline, hashes, runs in an article, sketch, hashes of longer runs) of each page that has text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -400,7 +431,8 @@ def outlines(rows: DataFrame) -> DataFrame:
                 tree, runs = outline(parse(page))
                 if runs:
                     hashes = [run_hash(r.text) for r in runs]
-                    form = json.dumps([tree, hashes, [i for i, r in enumerate(runs) if r.article and not r.mark], sketch(runs)], separators=(",", ":"))
+                    long = [h for h, r in zip(hashes, runs) if len(r.text) >= LABELLED]
+                    form = json.dumps([tree, hashes, [i for i, r in enumerate(runs) if r.article and not r.mark], sketch(runs), long], separators=(",", ":"))
                     out.append((host, layout(tree), zlib.crc32(repr(hashes).encode()) % 2, form))
             yield pd.DataFrame(out, columns=["host", "layout", "half", "form"]).astype({"layout": "int64", "half": "int32"})
 
@@ -438,7 +470,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
         loaded: dict = {}
         for batch in batches:
             for host, kind, form, others in zip(batch["host"], batch["layout"], batch["form"], batch["refs"]):
-                tree, hashes, _, words = json.loads(form)
+                tree, hashes, _, words, long = json.loads(form)
                 for r in [r for r in others if r["layout"] == kind] or others:
                     if r["form"] == form:
                         continue
@@ -449,7 +481,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
                     other = loaded[r["form"]]
                     if near_copies(words, other[3]):
                         continue
-                    for i, k in align(tree, hashes, other, {*hashes} & {*other[1]}):
+                    for i, k in align(tree, hashes, other, {*long} & {*other[4]}):
                         got = met[host, r["id"], k]
                         got[0] += 1
                         got[1] += hashes[i] == other[1][k]
