@@ -4,17 +4,23 @@
 2. Each class names the shingles of its prefix: two sets of the wanted similarity share at least one of the first
    n - ceil(0.8 n) + 1 shingles in any fixed order. The order takes shingles that many documents share last, so that
    common passages hardly bring sets together.
-3. The sets that share a prefix shingle are a small tile. Every pair of a tile whose sizes allow it is bounded by the bit
-   counts of their bitmap signatures; of the pairs that pass, links that span the tile's groups are kept. The components of all these
-   links are regions, and similar sets are always in one region. A region beyond ``TILE`` classes is cut into tiles by size band (a factor
-   1.25, so that only equal and neighbouring bands can meet) and by hash, and each pair of such tiles is a task of its own.
-4. In a tile pair the bits that one signature has and the other has not bound the overlap from above; pairs
-   that pass are intersected exactly. Pairs whose classes are already connected in the tile are not looked at again. A
-   tile gives links that span its components, never all pairs.
+3. The classes that share a prefix shingle are a tile, ordered by size. First each class meets the one before it and a hub of
+   its stretch; pairs whose bitmap signatures allow the similarity are candidates, and the components of candidates get a
+   label. Only tiles that still hold several labels are looked at pair by pair, across labels alone. The components of all
+   candidates are regions; similar sets are always in one region.
+4. In a region the bits that one signature has and the other has not bound the overlap from above; pairs that pass are
+   intersected exactly. A region beyond ``TILE`` classes or ``TILE_SHINGLES`` first links its classes to a few hubs of their
+   size band. Then it is cut into tiles by size band (a factor 1.25, so that only equal and neighbouring bands can meet),
+   label and hash; each pair of tiles is a task of its own, and pairs of tiles of one label alone are left out: what is
+   connected needn't be compared.
+
+So a group of near copies costs work in proportion to its size, wherever most of its copies are similar to one of its hubs; pairs are never
+all written, and no task holds more than two tiles. The rest of a group that no hub reaches is compared with all of it, in tiles.
 
 Edge cases: texts that are null or have no word have an empty set, no links and their own doc_id as component; a text of fewer than five
-words is one shingle; sets are compared by 64-bit hashes of their shingles; repeated rows and rows without doc_id belong to
-the class of their text (component_id is null only if no member has an id); an empty table gives an empty result.
+words is one shingle; sets are compared by 64-bit hashes of their shingles and known by a 64-bit fingerprint and their size; repeated rows and
+rows without doc_id belong to the class of their text (component_id is null only if no member has an id); a text of any length is one
+class and alone may exceed ``TILE_SHINGLES``; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +36,11 @@ from tidemark.llm.bpe import slices
 from tidemark.llm.common import attach, bounded_batches, components, leaving_memory, saved
 
 WORDS = 5
-TILE = 2048
+TILE, TILE_SHINGLES = 2048, 2_000_000
+#: Classes of a tile that share a hub, and hubs of a size band of a large region.
+STRETCH, HUBS = 64, 8
+#: Classes from which on a tile is compared by arrays.
+WIDE = 12
 #: A shingle counts as common from this many documents on, and from so many that at most MOST_COMMON shingles can be.
 COMMON, MOST_COMMON = 64, 2_000_000
 #: Shingles that a worker looks over at once for those that repeat, and times it must repeat there to be reported.
@@ -103,15 +113,17 @@ def signature(own: np.ndarray) -> bytes:
     return np.packbits(row, bitorder="little").tobytes()
 
 
+def folded(x: int, wide: int, narrow: int) -> int:
+    while wide > narrow:
+        wide //= 2
+        x = (x >> wide) | (x & ((1 << wide) - 1))
+    return x
+
+
 def may_be_similar(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
     """Whether the bit counts allow the similarity; each side is size, bits as a number, width of the bitmap."""
     (n, x, w), (m, y, v) = a, b
-    while w > v:
-        w //= 2
-        x = (x >> w) | (x & ((1 << w) - 1))
-    while v > w:
-        v //= 2
-        y = (y >> v) | (y & ((1 << v) - 1))
+    x, y = folded(x, w, v), folded(y, v, w)
     both = x & y
     most = min(n - (x ^ both).bit_count(), m - (y ^ both).bit_count())
     return 100 * most >= percent * (n + m - most)
@@ -140,13 +152,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = 80) -> list[tuple[int, int]]:
-    """Links that connect all similar sets of a tile or, with ``side``, all similar sets of different sides."""
+def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = 80, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all similar sets of a tile or, with ``side``, all similar sets of different sides; sets of equal
+    ``labels`` are known to be connected."""
     size = np.array([len(s) for s in sets])
     order = np.lexsort((ids, size))
     ids, size, sets = ids[order], size[order], [sets[i] for i in order]
     side = None if side is None else side[order]
-    bits, label, links = signatures(sets), np.arange(len(ids)), []
+    label = np.arange(len(ids)) if labels is None else np.unique(labels[order], return_inverse=True)[1]
+    bits, links = signatures(sets), []
     for i in range(len(ids) - 1, 0, -1):
         low = int(np.searchsorted(size, -(-percent * size[i] // 100)))
         near = np.arange(low, i)
@@ -162,6 +176,100 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None
     return links
 
 
+class Groups:
+    """Union-find over labels."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+
+def candidate_links(tile: list[tuple[int, int, int, tuple[int, int, int]]], groups: Groups, percent: int) -> list[tuple[int, int]]:
+    """Links between classes of a tile (cid, label, side, size and bitmap; ordered by size) that the bitmaps allow, as many
+    as connect their labels. Where sides differ at all, only classes of different sides meet."""
+    out: list[tuple[int, int]] = []
+    sided = any(t[2] for t in tile)
+    if len(tile) < WIDE:
+        for i in range(len(tile) - 1, 0, -1):
+            c, own_label, own_side, own = tile[i]
+            for j in range(i - 1, -1, -1):
+                d, label, side, other = tile[j]
+                if 100 * other[0] < percent * own[0]:
+                    break
+                if sided and side == own_side:
+                    continue
+                a, b = groups.root(own_label), groups.root(label)
+                if a != b and may_be_similar(own, other, percent):
+                    groups.parent[a] = b
+                    out.append((c, d))
+        return out
+    ids, side, size = np.array([t[0] for t in tile], np.int64), np.array([t[2] for t in tile]), np.array([t[3][0] for t in tile], np.int64)
+    width = np.array([t[3][2] for t in tile], np.int64)
+    named = [groups.root(t[1]) for t in tile]
+    names, label = np.unique(named, return_inverse=True)
+    places = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    bits = {w: np.stack([np.frombuffer(tile[k][3][1].to_bytes(w // 8, "little"), np.uint64) for k in p]) for w, p in places.items()}
+    for i in range(len(tile) - 1, 0, -1):
+        if (label == label[i]).all():
+            break
+        low = int(np.searchsorted(size, -(-percent * size[i] // 100)))
+        for w, place in places.items():  # bitmaps of one width at a time; the wider side folds
+            if w > width[i]:
+                continue
+            a, b = np.searchsorted(place, (low, i))
+            near = place[a:b]
+            wanted = label[near] != label[i]
+            if sided:
+                wanted &= side[near] != side[i]
+            if not wanted.any():
+                continue
+            near, theirs = near[wanted], bits[w][a:b][wanted]
+            own = np.frombuffer(folded(tile[i][3][1], int(width[i]), w).to_bytes(w // 8, "little"), np.uint64)
+            most = np.minimum(size[i] - np.bitwise_count(own & ~theirs).sum(1, dtype=np.int64), size[near] - np.bitwise_count(theirs & ~own).sum(1, dtype=np.int64))
+            for j in near[similar(most, size[i], size[near], percent)].tolist():
+                if label[j] != label[i]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    groups.parent[groups.root(int(names[label[j]]))] = groups.root(int(names[label[i]]))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def band_of(n: str, percent: int):
+    """Size band: only classes of equal and neighbouring bands can be similar."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("long")
+
+
+def capacity(band: str, percent: int):
+    """Classes of a tile of this band, so that it holds about TILE_SHINGLES at most."""
+    return F.greatest(F.least(F.lit(float(TILE)), F.floor(F.lit(float(TILE_SHINGLES)) / F.pow(F.lit(100 / percent), F.col(band) + 1))), F.lit(1.0))
+
+
+def in_tile_pairs(rows: DataFrame, name: str, percent: int = 80) -> DataFrame:
+    """``rows`` (root, band, cid, n, label) with ``at``, the pairs of tiles that each belongs to.
+
+    In each root the commonest label has tiles of its own, which only meet the tiles of all other labels.
+    """
+    rows = rows.select("root", "band", "cid", "n", "label")
+    top = rows.groupBy("root", "label").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("label", F.struct("m", "label")).alias("top"))
+    rows = saved(rows.join(top, "root").withColumn("mixed", (F.col("label") != F.col("top")).cast("int")).drop("top"), f"{name}_rows")
+    kinds = saved(rows.groupBy("root", "band", "mixed").agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / capacity("band", percent))), f"{name}_kinds")
+    tiles = kinds.select("root", "band", "mixed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"))
+    other = tiles.select(*(F.col(c).alias(f"{c}2") for c in ("root", "band", "mixed", "salt")))
+    near = tiles.withColumn("next", F.explode(F.array("band", F.col("band") + 1)))
+    ordered = (F.col("band2") > F.col("band")) | (F.col("mixed2") > F.col("mixed")) | ((F.col("mixed2") == F.col("mixed")) & (F.col("salt2") >= F.col("salt")))
+    meets = near.join(other, (F.col("root") == F.col("root2")) & (F.col("next") == F.col("band2"))).filter(ordered & (F.col("mixed") + F.col("mixed2") > 0))
+    pair = F.concat_ws("/", "band", "mixed", "salt", "band2", "mixed2", "salt2")
+    itself = (F.col("band2") == F.col("band")) & (F.col("mixed2") == F.col("mixed")) & (F.col("salt2") == F.col("salt"))
+    spot = lambda side: F.struct(pair.alias("pair"), F.lit(side).alias("side"))
+    lists = meets.select("root", "band", "mixed", "salt", spot(0).alias("at")).union(meets.filter(~itself).select("root", "band2", "mixed2", "salt2", spot(1).alias("at"))).groupBy("root", "band", "mixed", "salt").agg(F.collect_list("at").alias("at"))
+    return rows.join(kinds.select("root", "band", "mixed", "k"), ["root", "band", "mixed"]).withColumn("salt", F.pmod("cid", "k")).join(lists, ["root", "band", "mixed", "salt"]).drop("mixed", "salt", "k")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -194,7 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     scanned = saved(docs.mapInPandas(leaving_memory(scan), "kind int, id long, n long, cid long, bits binary"), "sets")
     rows = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid")
     classes = saved(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    bitmaps = scanned.filter("kind = 0 and n > 0").groupBy("cid").agg(F.first("bits").alias("bits"))
+    bitmaps = scanned.filter("kind = 0 and n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     totals = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count_if(F.col("n") > 0).alias("docs")).first()
     least = max(COMMON, totals["shingles"] // MOST_COMMON)  # so at most MOST_COMMON shingles reach it
     common = scanned.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("id").toPandas()["id"].to_numpy(np.int64)
@@ -227,78 +335,106 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
                     yield pd.DataFrame({"h": np.concatenate(keep), "cid": np.concatenate(names), "n": np.concatenate(sizes)})
 
     by_size = Window.partitionBy("h").orderBy("n", "cid")
+    fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
     once = docs.mapInPandas(leaving_memory(prefixes), "h long, cid long, n int").withColumn("same", F.lag("cid").over(by_size).eqNullSafe(F.col("cid"))).filter("not same").drop("same")
-    meets_other = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
-    shared_prefix = saved(once.withColumn("met", meets_other).filter("met").drop("met"), "shared_prefix")
-    small_tiles = shared_prefix.join(bitmaps, "cid").repartition("h").sortWithinPartitions("h", "n", "cid")
+    met = once.withColumn("met", fits(F.lag("n").over(by_size), F.col("n")) | fits(F.col("n"), F.lead("n").over(by_size))).filter("met").drop("met")
+    stretch = Window.partitionBy("h", "stretch").orderBy("n", "cid")
+    met = met.withColumn("stretch", F.floor(F.row_number().over(by_size) / STRETCH)).withColumn("before", F.when(fits(F.lag("n").over(by_size), F.col("n")), F.lag("cid").over(by_size)))
+    shared_prefix = saved(met.withColumn("hub", F.when(fits(F.first("n").over(stretch), F.col("n")), F.first("cid").over(stretch))).drop("stretch"), "shared_prefix")
+
+    # candidates: each class with the one before it in a tile and with its hub there
+    bitmaps = saved(bitmaps, "bitmaps")
+    star = shared_prefix.select(F.col("cid").alias("a"), F.explode(F.array("before", "hub")).alias("b")).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    star = star.join(bitmaps.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a").join(bitmaps.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fine = [may_be_similar((n, int.from_bytes(x, "little"), 8 * len(x)), (m, int.from_bytes(y, "little"), 8 * len(y)), percent) for n, x, m, y in zip(batch["n"].tolist(), batch["x"], batch["m"].tolist(), batch["y"])]
+            yield batch.loc[np.array(fine, bool), ["a", "b"]]
+
+    first_links = saved(star.select("a", "b", "n", "x", "m", "y").mapInPandas(leaving_memory(bounded), "a long, b long"), "first_links")
+    first = components(first_links, "first").select(F.col("node").alias("cid"), F.col("root").alias("label"))
+
+    # tiles whose classes have several labels; in a tile of three every pair has been looked at
+    labelled = shared_prefix.select("h", "cid", "n").join(first, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    shape = labelled.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("m > 3 and low != high").select("h", "m")
+    open_tiles = saved(labelled.join(shape, "h").select("h", "m", "cid", "n", "label"), "open_tiles")
+    sides = "array<struct<pair:string,side:int>>"
+    alone = F.array(F.struct(F.lit("").alias("pair"), F.lit(0).alias("side"))).cast(sides)
+    large_tiles = open_tiles.filter(F.col("m") > TILE).select(F.col("h").alias("root"), "cid", "n", "label", band_of("n", percent).alias("band"))
+    dealt_tiles = open_tiles.filter(F.col("m") <= TILE).select(F.col("h").alias("root"), "cid", "n", "label", alone.alias("at"))
+    if not large_tiles.isEmpty():
+        dealt_tiles = dealt_tiles.unionByName(in_tile_pairs(large_tiles, "open", percent).select("root", "cid", "n", "label", "at"))
+    dealt_tiles = dealt_tiles.withColumn("at", F.explode("at")).select("root", F.col("at.pair").alias("pair"), F.col("at.side").alias("side"), "cid", "n", "label")
+    dealt_tiles = dealt_tiles.join(bitmaps.select("cid", "bits"), "cid").repartition("root", "pair").sortWithinPartitions("root", "pair", "n", "cid")
 
     def bounded_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links that span the groups of candidates of the task's tiles; pairs connected before are not looked at again."""
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
-
-        def links(tile: list[tuple[int, tuple[int, int, int]]]) -> Iterator[tuple[int, int]]:
-            for i in range(len(tile) - 1, 0, -1):
-                c, own = tile[i]
-                for j in range(i - 1, -1, -1):
-                    d, other = tile[j]
-                    if 100 * other[0] < percent * own[0]:
-                        break
-                    a, b = root(c), root(d)
-                    if a != b and may_be_similar(own, other, percent):
-                        parent[a] = b
-                        yield c, d
-
-        tile, at = [], None
+        """Links that span the labels of the task's tiles; what is connected before isn't looked at again."""
+        groups, tile, at = Groups(), [], None
         for batch in batches:
-            out = []
-            for h, cid, n, bits in zip(batch["h"].tolist(), batch["cid"].tolist(), batch["n"].tolist(), batch["bits"]):
-                if h != at:
-                    out += links(tile)
-                    tile, at = [], h
-                tile.append((cid, (n, int.from_bytes(bits, "little"), 8 * len(bits))))
+            out: list = []
+            for root, pair, side, cid, label, n, bits in zip(batch["root"].tolist(), batch["pair"], batch["side"].tolist(), batch["cid"].tolist(), batch["label"].tolist(), batch["n"].tolist(), batch["bits"]):
+                if (root, pair) != at:
+                    out += candidate_links(tile, groups, percent)
+                    tile, at = [], (root, pair)
+                tile.append((cid, label, side, (n, int.from_bytes(bits, "little"), 8 * len(bits))))
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-        yield pd.DataFrame([*links(tile)], columns=["a", "b"], dtype=np.int64)
-
-    regions = components(small_tiles.select("h", "cid", "n", "bits").mapInPandas(leaving_memory(bounded_links), "a long, b long"), "regions")
-
-    # tiles: the whole region, or by size band and hash beyond TILE classes
-    members = saved(regions.join(classes, regions["node"] == classes["cid"]).select("cid", "rep", "n", "root", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("long").alias("band")), "members")
-    bands = members.groupBy("root", "band").agg(F.count("*").alias("m"))
-    large = bands.groupBy("root").agg(F.sum("m").alias("all")).filter(F.col("all") > TILE).select("root")
-    bands = saved(bands.join(large, "root", "left_semi").withColumn("k", F.ceil(F.col("m") / TILE)), "bands")
-    tiles = bands.select("root", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"))
-    other = tiles.select(F.col("root").alias("root2"), F.col("band").alias("band2"), F.col("salt").alias("salt2"))
-    meets = tiles.withColumn("band2", F.explode(F.array("band", F.col("band") + 1))).join(other.withColumnRenamed("band2", "b2"), (F.col("root") == F.col("root2")) & (F.col("band2") == F.col("b2"))).filter((F.col("band2") > F.col("band")) | (F.col("salt2") >= F.col("salt")))
-    pair = F.concat_ws("/", "band", "salt", "band2", "salt2")
-    lists = meets.select("root", "band", "salt", F.struct(pair.alias("pair"), F.lit(0).alias("side")).alias("at")).union(
-        meets.filter((F.col("band2") > F.col("band")) | (F.col("salt2") > F.col("salt"))).select("root", F.col("band2").alias("band"), F.col("salt2").alias("salt"), F.struct(pair.alias("pair"), F.lit(1).alias("side")).alias("at"))
-    ).groupBy("root", "band", "salt").agg(F.collect_list("at").alias("at"))
-    salted = members.join(bands.select("root", "band", "k"), ["root", "band"], "left").withColumn("salt", F.when(F.col("k").isNotNull(), F.pmod("cid", "k")))
-    placed = salted.join(lists, ["root", "band", "salt"], "left").select("cid", "rep", "root", F.coalesce("at", F.array(F.struct(F.lit("").alias("pair"), F.lit(0).alias("side")))).alias("at"))
+        yield pd.DataFrame(candidate_links(tile, groups, percent), columns=["a", "b"], dtype=np.int64)
+
+    more = dealt_tiles.select("root", "pair", "side", "cid", "label", "n", "bits").mapInPandas(leaving_memory(bounded_links), "a long, b long")
+    regions = components(first_links.union(more), "regions")
+
+    # members of regions with their sets; of large regions, links to hubs first
+    members = saved(regions.join(classes, regions["node"] == classes["cid"]).select("cid", "rep", "n", "root", band_of("n", percent).alias("band")), "members")
+    size = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    large = saved(size.filter((F.col("m") > TILE) | ((F.col("s") > TILE_SHINGLES) & (F.col("m") > 1))).select("root", F.lit(True).alias("large")), "large")
+    placed = members.join(large, "root", "left")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for part in slices(texts, SLICE):
-                own = batch[["cid", "root", "at"]].iloc[part].reset_index(drop=True)
+                own = batch[["cid", "root", "n", "band", "large"]].iloc[part].reset_index(drop=True)
                 own["shingles"] = shingle_sets(texts[part], words)
                 yield own[[class_id(s) == c for s, c in zip(own["shingles"], own["cid"])]]
 
-    found = docs.join(placed, docs["doc_id"].eqNullSafe(placed["rep"])).select("cid", "root", "at", "text").mapInPandas(leaving_memory(arrays), "cid long, root long, at array<struct<pair:string,side:int>>, shingles array<long>")
-    dealt = found.withColumn("at", F.explode("at")).select("root", F.col("at.pair").alias("pair"), F.col("at.side").alias("side"), "cid", "shingles")
+    found = docs.join(placed, docs["doc_id"].eqNullSafe(placed["rep"])).select("cid", "root", "n", "band", "large", "text").mapInPandas(leaving_memory(arrays), "cid long, root long, n long, band long, large boolean, shingles array<long>")
 
     def link(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates("cid")
+        df = df.drop_duplicates(["side", "cid"])
         side = df["side"].to_numpy()
-        got = tile_links(df["cid"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in df["shingles"]], side if side.any() else None, percent) if len(df) > 1 else []
+        got = tile_links(df["cid"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in df["shingles"]], side if side.any() else None, percent, df["label"].to_numpy(np.int64)) if len(df) > 1 else []
         return pd.DataFrame(got, columns=["a", "b"], dtype=np.int64)
 
-    labels = components(dealt.groupBy("root", "pair").applyInPandas(link, "a long, b long"), "links")
+    def linked(df: DataFrame) -> DataFrame:
+        dealt = df.withColumn("at", F.explode("at")).select("root", F.col("at.pair").alias("pair"), F.col("at.side").alias("side"), "cid", "label", "shingles")
+        return dealt.groupBy("root", "pair").applyInPandas(link, "a long, b long")
+
+    some_large = not large.isEmpty()
+    if some_large:
+        found = saved(found, "member_sets")
+        ofs = found.filter("large").drop("large")
+        cap = capacity("band", percent)
+        counts = ofs.groupBy("root", "band").agg(F.count("*").alias("m"), F.min_by("cid", F.xxhash64("cid")).alias("any")).withColumn("k", F.ceil(F.col("m") / cap))
+        counts = saved(counts.select("root", "band", "k"), "large_bands")
+        chosen = Window.partitionBy("root", "band").orderBy(F.xxhash64("cid", F.lit(7)), "cid")
+        hubs = ofs.select("root", "band", "cid").distinct().withColumn("r", F.row_number().over(chosen)).filter(F.col("r") <= HUBS).drop("r")
+        hubs = saved(ofs.join(hubs, ["root", "band", "cid"], "left_semi").dropDuplicates(["root", "cid"]), "hubs")
+        spots = counts.select("root", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"))
+        sent = hubs.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(spots, ["root", "band"])
+        own = ofs.join(counts, ["root", "band"]).withColumn("salt", F.pmod("cid", "k"))
+        spot = F.concat_ws("/", "band", "salt")
+        at = lambda side: F.array(F.struct(spot.alias("pair"), F.lit(side).alias("side"))).cast(sides)
+        star_links = saved(linked(own.select("root", at(0).alias("at"), "cid", F.col("cid").alias("label"), "shingles").unionByName(sent.select("root", at(1).alias("at"), "cid", F.col("cid").alias("label"), "shingles"))), "hub_links")
+        told_first = components(star_links, "hub_groups").select(F.col("node").alias("cid"), F.col("root").alias("label"))
+        with_label = ofs.drop("shingles").distinct().join(told_first, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        where = in_tile_pairs(with_label, "region", percent).select("root", "cid", "label", "at")
+        links = linked(ofs.join(where, ["root", "cid"]).select("root", "at", "cid", "label", "shingles")).union(star_links)
+        links = links.union(linked(found.filter("large is null").select("root", alone.alias("at"), "cid", F.col("cid").alias("label"), "shingles")))
+    else:
+        links = linked(found.select("root", alone.alias("at"), "cid", F.col("cid").alias("label"), "shingles"))
+
+    labels = components(links, "links")
     named = saved(classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "n", "rep", "copies", F.coalesce("root", "cid").alias("component")), "named")
     smallest = saved(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")), "smallest")
     told = saved(attach(named, smallest, ["component"], "m", named.count()).select("cid", "n", "copies", "component_id"), "told")
