@@ -5,7 +5,11 @@ folder, so any store that Spark writes to will do. Of records with equal payload
 revisits that name it and carry no payload.
 
 The reader checks each record (gzip check sum, block length, payload digest). After a failed check it looks for the next
-gzip member or, outside members, the next version line from which a record can be read, goes on there and logs the gap.
+gzip member or version line from which a record can be read, goes on there and logs the gap; within what a member holds it looks for
+version lines alike. Of a member that is cut off the records before the last one count, of one whose check sum or
+coding fails those whose payload digest confirms them.
+
+An archive is a row, so that single archives of over 2 GB have to be cut before (at any bytes: salvage finds the next record).
 
 Edge cases: a null html is an empty payload; a null url leaves out the target; a row without page_id is a revisit if any equal payload has an id, else a
 response; rows that repeat the smallest page_id are responses too; an empty table gives empty archives and records.
@@ -30,6 +34,8 @@ from tidemark.llm.common import attach, bounded_batches, saved
 BLOB_BYTES = 4 << 20
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Compressed bytes that are inflated at once; after a failure within them, ever fewer, so that little output is lost.
+INFLATED = (65536, 1024, 32, 1)
 
 
 def payload_digest(payload: bytes) -> str:
@@ -51,8 +57,9 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return zipped.compress(head.encode() + block + b"\r\n\r\n") + zipped.flush()
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
-    """Fields, block and end of the plain record at ``at``; ValueError if it fails a check."""
+def parse_record(data: bytes, at: int, confirmed: bool = False) -> tuple[dict, bytes, int]:
+    """Fields, block and end of the plain record at ``at``; ValueError if it fails a check or, where it must be
+    ``confirmed``, has no payload digest of its block."""
     if not VERSION.match(data, at):
         raise ValueError("no version line")
     split = data.find(b"\r\n\r\n", at)
@@ -73,39 +80,87 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     digest = fields.get("warc-payload-digest", "")
     if fields.get("warc-type") == "response" and digest.startswith("sha1:") and digest[5:] != payload_digest(block):
         raise ValueError("payload digest doesn't hold")
+    if confirmed and (fields.get("warc-type") != "response" or not digest.startswith("sha1:")):
+        raise ValueError("nothing confirms the record")
     return fields, block, end + 4
 
 
+def inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at ``at`` gives, its end and no reason, or no end and the reason why it fails."""
+    member, out, view = zlib.decompressobj(31), [], memoryview(data)
+    start, step = at, 0
+    while at < len(data):
+        before = member.copy()
+        try:
+            piece = view[at:at + INFLATED[step]]
+            out.append(member.decompress(piece))
+        except zlib.error as e:
+            if step == len(INFLATED) - 1:
+                return b"".join(out), None, f"member at {start}: {e}"
+            member, step = before, step + 1
+            continue
+        at += len(piece)
+        if member.eof:
+            return b"".join(out), at - len(member.unused_data), ""
+    return b"".join(out), None, "member ends early"
+
+
+def records_in(plain: bytes, end: int | None, reason: str) -> tuple[list[tuple[dict, bytes]], list[str]]:
+    """Records of a member's content, and why and where (bytes of the content) there are gaps."""
+    found, gaps, k, bad = [], [], 0, None
+    cut = end is None and reason == "member ends early"
+    while k < len(plain):
+        try:
+            fields, block, after = parse_record(plain, k, confirmed=end is None and not cut)
+            if cut and after == len(plain):
+                raise ValueError(reason)
+            if bad:
+                gaps.append(f"{bad[1]} (bytes {bad[0]} to {k} of the member)")
+                bad = None
+            found.append((fields, block))
+            k = after
+        except ValueError as e:
+            bad = bad or (k, str(e))
+            line = VERSION.search(plain, k + 1)
+            k = line.start() if line else len(plain)
+    if bad:
+        gaps.append(f"{bad[1]} (bytes {bad[0]} to {len(plain)} of the member)")
+    return found, gaps
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """('record', start, end, (fields, block)) for each readable record and ('gap', start, end, reason) between."""
     at, gap, reason = 0, None, ""
     while at < len(data):
-        try:
-            if data.startswith(MEMBER, at):
-                member = zlib.decompressobj(31)
-                plain = member.decompress(memoryview(data)[at:])
-                if not member.eof:
-                    raise ValueError("member ends early")
-                end = len(data) - len(member.unused_data)
-                found, k = [], 0
-                while k < len(plain):
-                    fields, block, k = parse_record(plain, k)
-                    found.append((fields, block))
-            else:
+        gaps: list[str] = []
+        if data.startswith(MEMBER, at):
+            plain, end, trouble = inflate(data, at)
+            found, gaps = records_in(plain, end, trouble)
+            if not found and gaps:
+                trouble = trouble or gaps[0]
+        else:
+            try:
                 fields, block, end = parse_record(data, at)
-                found = [(fields, block)]
-            if gap is not None:
-                yield "gap", gap, at, reason
-                gap = None
+                found, trouble = [(fields, block)], ""
+            except ValueError as e:
+                found, end, trouble = [], None, str(e)
+        if gap is not None and (found or not trouble):
+            yield "gap", gap, at, reason
+            gap = None
+        if found:
             for x in found:
-                yield "record", at, end, x
+                yield "record", at, len(data) if end is None else end, x
+            if end is not None:
+                for x in gaps:
+                    yield "gap", at, end, x
+                trouble = ""
+        if trouble and gap is None:
+            gap, reason = at, trouble
+        if end is not None:
             at = end
-        except (ValueError, zlib.error) as e:
-            if gap is None:
-                gap, reason = at, str(e)
-            member, line = data.find(MEMBER, at + 1), VERSION.search(data, at + 1)
-            nexts = [x for x in (member, line.start() if line else -1) if x >= 0]
-            at = min(nexts, default=len(data))
+            continue
+        member, line = data.find(MEMBER, at + 1), VERSION.search(data, at + 1)
+        at = min([x for x in (member, line.start() if line else -1) if x >= 0], default=len(data))
     if gap is not None:
         yield "gap", gap, len(data), reason
 
