@@ -157,11 +157,12 @@ def test_language(spark, empty):
 
 
 def test_model_is_a_distribution():
-    classes = language_id.letter_classes("ab")
-    code, n = np.unique(language_id.grams(["ab ba aab", "bbb a"], classes)[0], return_counts=True)
-    model = language_id.KneserNey(code.astype(np.int64), n.astype(float), 4)
-    for context in (0, 1, (1 << 6) | 2, (2 << 12) | (1 << 6) | 1):
-        total = np.exp(model.log_probability(np.array([(context << 6) | c for c in (0, 1, 2, 63)], np.int64))).sum()
+    rows, _ = language_id.places(["ab ba aab", "bbb a"])
+    _, first, inverse = language_id.distinct(rows)
+    model = language_id.KneserNey(rows[:, first].T, np.bincount(inverse).astype(float), 4)
+    a, b, unseen = ord("a"), ord("b"), ord("z")
+    for context in ((0, 0, 0), (0, a, b), (b, a, a), (0, unseen, b)):
+        total = np.exp(model.log_probability(np.array([[*context, c] for c in (0, a, b, unseen)], np.uint32))).sum()
         assert total == pytest.approx(1)
 
 
