@@ -1,17 +1,22 @@
 """Operator 2: personal data and the terms that give protected entities away, in DataFrame functions only.
 
 Base spans come from four fixed patterns with their checks (address parts, Luhn, digit counts). Every e-mail, address,
-card and phone number found is a protected entity. The information-theoretic part asks the corpus how strongly a term
+card and phone number found is a protected entity, and so is each match of further patterns that the caller names in ``protected``
+(names of persons, customer numbers). The information-theoretic part asks the corpus how strongly a term
 reveals an entity: over the words around all mentions it estimates p(entity | term) and the information
 log2(p(entity | term) / p(entity)). Terms are words of any length. A term discloses an entity if the posterior is at least ``posterior``, the
 information at least ``bits`` and the two have met in at least ``support`` different contexts (copies of a passage are
-one context). Its occurrences in all documents are spans of kind ``term``.
+one context). Its occurrences in all documents are spans of kind ``term``. An entity that the corpus mentions in fewer contexts
+has no disclosing terms.
 
-``sanitise`` replaces spans: base spans become a placeholder of their kind, disclosing terms are generalised to
-``[TERM]`` or, from ``removal`` on, removed.
+``sanitise`` replaces spans: base spans become a placeholder of their kind. Disclosing terms are generalised step by step, the
+further the more they tell: to their kind (``[NAME]`` or ``[WORD]``), from ``general`` on to ``[TERM]``, and from ``removal`` on they are removed.
+
+Only keys and terms are joined; a text with disclosing terms is fetched once, by its key.
 
 Edge cases: a null text is an empty one; repeated rows each get their spans; rows without doc_id are kept; terms inside a
-base span add no span; an empty table gives an empty result.
+base span add no span; texts of any length are searched whole; further columns pass through ``sanitise`` and are ignored elsewhere;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import attach, saved
 
 #: Fixed patterns of the contract. A run of name characters is entered at its start or where the last match ended, and
 #: repetitions are possessive where nothing could be given back, so that matching stays linear.
@@ -33,6 +38,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters on each side of a mention whose words count as its context.
 CONTEXT = 80
 BLOCK = 64
+#: Disclosing terms up to which they are broadcast (after counting them); beyond, the join is shuffled.
+BROADCAST_TERMS = 200_000
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
 EXTRA = "array<struct<kind:string,start:bigint,stop:bigint,value:string,posterior:double>>"
 
@@ -121,10 +128,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, posterior: float = 0.5,
     around = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.terms").withColumn("context", F.xxhash64("terms"))
     contexts = around.groupBy("entity", "context").agg(F.count("*").alias("n"))
     often = contexts.groupBy("entity").agg(F.sum("n").alias("mentions"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
-    met = around.join(often, "entity").select("entity", "mentions", "context", F.explode("terms").alias("term"))
+    often = saved(often.select("entity", "mentions", F.col("mentions").alias("n")), "entities")
+    told = often.agg(F.sum("n").alias("n")).first()["n"]
+    if told is None:
+        return often.select(F.lit("").alias("term"), "entity", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("information"))
+    met = attach(around, often, ["entity"], "n", told).filter("mentions is not null").select("entity", "mentions", "context", F.explode("terms").alias("term"))
     pairs = saved(met.groupBy("entity", "term").agg(F.first("mentions").alias("mentions"), F.count("*").alias("together"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("term", "entity", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("information"))
     counted = docs.select(F.explode_outer(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     total = found.count()
     p = F.col("together") / F.greatest("n", "together")
@@ -132,21 +141,29 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, posterior: float = 0.5,
     return saved(told.filter((F.col("posterior") >= posterior) & (F.col("information") >= bits)), "disclosing")
 
 
-def find_spans(docs: DataFrame, **thresholds: float) -> DataFrame:
+def find_spans(docs: DataFrame, protected: dict[str, str] | None = None, **thresholds: float) -> DataFrame:
     """doc_id, h (hash of the text), base and extra, the spans of disclosing terms, for each row of ``docs``."""
     based = base_spans(docs.select("doc_id", "text"))
-    found = saved(based.select("doc_id", F.xxhash64("text").alias("h"), "base", mentions(F.col("base"), F.col("text")).alias("mentions")), "base_spans")
+    entities = ["base"]
+    for i, (kind, pattern) in enumerate((protected or {}).items()):
+        based = located(based, kind, pattern, F.lit(True), lambda x: F.lit(True), f"__entity{i}")
+        entities.append(f"__entity{i}")
+    found = saved(based.select("doc_id", F.xxhash64("text").alias("h"), "base", mentions(F.concat(*entities), F.col("text")).alias("mentions")), "base_spans")
     revealing = disclosing_terms(found, docs, **thresholds).groupBy("term").agg(F.max("posterior").alias("posterior"))
-    told = found.select("doc_id", "h", "base")
-    if revealing.isEmpty():
+    told, n = found.select("doc_id", "h", "base"), revealing.count()
+    if not n:
         return told.withColumn("extra", F.array().cast(EXTRA))
-    full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hits = saved(full.withColumn("term", F.explode_outer(F.array_distinct(terms("text")))).join(revealing, "term").select("doc_id", F.xxhash64("text").alias("h"), "text", "term", "posterior").dropDuplicates(["doc_id", "h", "term"]), "hits")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    placed = located(hits, "term", pattern, F.lit(True), lambda x: F.lit(True), "spans").select("doc_id", "h", "posterior", F.explode("spans").alias("s"))
-    by_text = placed.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.value").alias("value"), "posterior"))).alias("x"))
-    extra = F.transform("x", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), x["posterior"].alias("posterior")))
-    by_text = by_text.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), extra.alias("x"))
+    text = F.coalesce("text", F.lit(""))
+    full = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    words = full.select("doc_id", "h", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    hits = words.join(F.broadcast(revealing) if n <= BROADCAST_TERMS else revealing, "term").distinct()
+    by_key = hits.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "posterior"))).alias("known"))
+    by_key = saved(by_key.withColumnsRenamed({"doc_id": "__id", "h": "__h"}), "hits")
+    placed = full.join(by_key, full["doc_id"].eqNullSafe(by_key["__id"]) & (full["h"] == by_key["__h"])).select("__id", "__h", "text", "known")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("known"), "|"), F.lit(r")(?!\p{L})"))
+    placed = located(placed, "term", pattern, F.lit(True), lambda x: F.lit(True), "spans")
+    extra = F.transform("spans", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), F.coalesce(F.element_at("known", F.lower(x["value"])), F.lit(0.0)).alias("posterior")))
+    by_text = saved(placed.select("__id", "__h", extra.alias("x")).dropDuplicates(["__id", "__h"]), "term_spans")
     both = told.join(by_text, told["doc_id"].eqNullSafe(by_text["__id"]) & (told["h"] == by_text["__h"]), "left")
     clear = F.filter("x", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"])))
     return both.select("doc_id", "h", "base", F.coalesce(clear, F.array().cast(EXTRA)).alias("extra"))
@@ -161,13 +178,18 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(number, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), both.alias("spans"), F.size("extra").cast("long").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, removal: float = 0.9, **thresholds: float) -> DataFrame:
+def sanitise(docs: DataFrame, general: float = 0.7, removal: float = 0.9, protected: dict[str, str] | None = None, **thresholds: float) -> DataFrame:
     """``docs`` with the spans taken out of ``text``; overlapping spans are replaced as one."""
-    extra = find_spans(docs, **thresholds).filter(F.size("extra") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "extra").dropDuplicates(["__id", "__h"])
+    extra = find_spans(docs, protected, **thresholds).filter(F.size("extra") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "extra").dropDuplicates(["__id", "__h"])
     based = base_spans(docs)
     found = based.join(extra, based["doc_id"].eqNullSafe(extra["__id"]) & (F.xxhash64(based["text"]) == extra["__h"]), "left").drop("__id", "__h").withColumn("extra", F.coalesce("extra", F.array().cast(EXTRA)))
+
+    def generalised(s: Column) -> Column:
+        named = F.when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+        return F.when(s["posterior"] >= removal, "").when(s["posterior"] >= general, "[TERM]").otherwise(named)
+
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
-    extra = F.transform("extra", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["posterior"] >= removal, "").otherwise("[TERM]").alias("by")))
+    extra = F.transform("extra", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), generalised(s).alias("by")))
     df = found.withColumn("__all", F.array_sort(F.concat(base, extra)))
     kind = "array<struct<start:bigint,stop:bigint,by:string>>"
 
