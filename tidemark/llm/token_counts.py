@@ -6,13 +6,17 @@ follows it: a state holds the places where a piece that is still open may have b
 count of tokens there against now. Reading a character leads to a state and changes the count by an annotated number.
 States and transitions are compiled when first met.
 
-No piece holds a white-space mark behind another character, so a mark behind another character resets the state. Texts are cut
-into segments there: a segment's state map is then the same for all entry states, the maps compose by adding counts, and
-a segmented sum over the scan gives the count of each text. Distinct segments are read once; the chunks that hold them
-run side by side as array steps.
+Texts are laid end to end and cut into chunks of ``CHUNK`` characters, anywhere. The map of a chunk says for entry states to which
+state it leads. Which entry states are possible is told by reading the ``WARM`` characters before the chunk, and by the exits of the
+chunk before; all chunks are read side by side as array steps, until every exit has its entry in the next map. The maps
+then compose through a parallel prefix scan, which gives each chunk's true entry state and with it the counts on its transitions.
+
+No piece holds a white-space mark behind another character, so a mark behind another character resets the state. Texts are split
+into segments there, and a worker reads each distinct segment once.
 
 Edge cases: null and empty texts have no tokens and no bytes; characters outside the vocabulary count their UTF-8 bytes;
-null ids, repeated rows and further columns pass unchanged.
+a text of any length, also without any space, is many chunks; null ids, repeated rows and further columns pass unchanged; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from tidemark.llm.common import bounded_batches
 from tidemark.llm.bpe import slices
 
 SPACE_MARK = "▁"
-#: Characters that a chunk has at least, before the next place where it may end.
-CHUNK = 256
+#: Characters of a chunk, and those before it that are read to guess its entry state.
+CHUNK, WARM = 512, 32
 SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 #: Segments whose counts a worker keeps, and states; beyond either, it starts anew. It changes no result.
 MEMO_SEGMENTS = 1_000_000
+#: Characters of a segment beyond which it isn't kept.
+MEMO_LONG = 200
 MOST_STATES = 150_000
 
 
@@ -159,7 +165,10 @@ class CountingTransducer:
             told = list(new)
             self.memo.update(zip(told, self.read(told).tolist()))
         get = self.memo.__getitem__
-        return np.array([sum(map(get, parts)) for parts in split], np.int64)
+        total = np.array([sum(map(get, parts)) for parts in split], np.int64)
+        for w in [w for w in new if len(w) > MEMO_LONG]:
+            del self.memo[w]
+        return total
 
     @staticmethod
     def segments(text: str) -> list[str]:
@@ -172,41 +181,78 @@ class CountingTransducer:
             return [m[1:] for m in SEGMENT.findall(marked)]
         return parts
 
+    def walk(self, cols: np.ndarray, fresh: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray, added: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
+        """Read the stretches side by side from their entry states; exit states. What the transitions add goes to ``added``
+        from the places ``at`` on."""
+        order = np.argsort(-length, kind="stable")
+        begin, out, left = start[order], state[order].astype(np.int32), length[order]
+        to_place = None if added is None else at[order]
+        running = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")  # stretches longer than t
+        for t in range(len(running)):
+            k = running[t]
+            p = begin[:k] + t
+            s, c = np.where(fresh[p], 0, out[:k]), cols[p]
+            to = self.after[s, c]
+            missing = to < 0
+            if missing.any():
+                for a, b in {*zip(s[missing].tolist(), c[missing].tolist())}:
+                    self.compile(a, b)
+                to = self.after[s, c]
+            if added is not None:
+                added[to_place[:k] + t] = self.adds[s, c]
+            out[:k] = to
+        exits = np.empty(len(start), np.int32)
+        exits[order] = out
+        return exits
+
     def read(self, segments: list[str]) -> np.ndarray:
         """Run the transducer over texts that each begin with a space mark which is not written."""
-        total = np.zeros(len(segments), np.int64)
-        texts, full = segments, range(len(segments))
         if len(self.states) > MOST_STATES:
             self.reset()
-        joined = SPACE_MARK + SPACE_MARK.join(texts)
+        joined = SPACE_MARK + SPACE_MARK.join(segments)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        begins = np.cumsum([0, *(len(texts[i]) + 1 for i in full)])
+        begins = np.cumsum([0, *(len(s) + 1 for s in segments)])
         cols = self.columns(points)
         mark = points == ord(SPACE_MARK)
         fresh = mark.copy()  # where the state is that of an empty text
         fresh[1:] &= ~mark[:-1]
         fresh[begins[:-1]] = True
-        at = np.flatnonzero(fresh)
-        start = at[np.unique(at // CHUNK, return_index=True)[1]]
-        length = np.diff(np.append(start, len(points)))
-        order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
-        state, added = np.zeros(len(start), np.int32), np.zeros(len(points), np.int8)
-        running = np.searchsorted(-length, -np.arange(length[0]), side="left")  # chunks longer than t
-        for t in range(int(length[0])):
-            k = running[t]
-            p = start[:k] + t
-            s, c = np.where(fresh[p], 0, state[:k]), cols[p]
-            to = self.after[s, c]
-            missing = to < 0
-            if missing.any():
-                for a, b in {*zip(s[missing].tolist(), c[missing].tolist())}:
-                    self.compile(a, b)
-                to = self.after[s, c]
-            added[p] = self.adds[s, c]
-            state[:k] = to
-        total[full] = np.add.reduceat(added.astype(np.int32), begins[:-1])
-        return total
+        start = np.arange(0, len(points), CHUNK)
+        length = np.minimum(CHUNK, len(points) - start)
+        warm = np.minimum(start, WARM)
+        # maps: a column for each entry state; what each adds, column by column
+        entry = self.walk(cols, fresh, start - warm, warm, np.zeros(len(start), np.int32))[:, None]
+        entry[fresh[start], 0] = 0
+        added = [np.zeros(len(points), np.int8)]
+        leads = self.walk(cols, fresh, start, length, entry[:, 0], added[0], start)[:, None]
+        while True:
+            met = leads[:-1, :, None] == entry[1:, None, :]
+            follows = np.where(fresh[start[1:]][:, None], 0, met.argmax(2))  # column of the next map that an exit is the entry of
+            lost = ~met.any(2) & ~fresh[start[1:]][:, None] & (leads[:-1] >= 0)
+            if not lost.any():
+                break
+            k, column = np.nonzero(lost)
+            k, first = np.unique(k, return_index=True)  # one new entry a chunk and round
+            fresh_entry = leads[k, column[first]]
+            entry, leads = (np.concatenate([x, np.full((len(start), 1), -1, np.int32)], 1) for x in (entry, leads))
+            added.append(np.zeros(len(points), np.int8))
+            entry[k + 1, -1] = fresh_entry
+            leads[k + 1, -1] = self.walk(cols, fresh, start[k + 1], length[k + 1], fresh_entry, added[-1], start[k + 1])
+        path = np.concatenate([np.zeros(1, np.int64), scanned(follows)[:, 0]])
+        if path.any():
+            for j in range(1, len(added)):
+                for k in np.flatnonzero(path == j).tolist():
+                    added[0][start[k]:start[k] + length[k]] = added[j][start[k]:start[k] + length[k]]
+        return np.add.reduceat(added[0].astype(np.int32), begins[:-1]).astype(np.int64)
+
+
+def scanned(maps: np.ndarray) -> np.ndarray:
+    """Prefix compositions of maps between columns (row k leads from the columns of k to those of k + 1), by doubling."""
+    out, d = maps.copy(), 1
+    while d < len(out):
+        out[d:] = np.take_along_axis(out[d:], out[:-d], 1)
+        d *= 2
+    return out
 
 
 _loaded: dict[str, CountingTransducer] = {}
