@@ -3,7 +3,7 @@
 Each word of a batch is a row of a matrix. Its segment tree holds, for each adjacent pair of symbols, the rank of the
 merge and the position, so that the root is the leftmost pair of lowest rank. A merge changes three leaves at most and
 their paths to the root; it goes on until no root names a mergeable pair. All words of a batch take their steps
-together, so the tree's levels are array operations.
+together, so the tree's levels are array operations; a few long words alone have a tree each in plain lists.
 
 Edge cases: null and empty texts give no ids, an empty decoded text and zero tokens; the strings of added tokens inside
 a text become those tokens; a text of one word of any length takes a tree of that length; null ids, repeated rows and
@@ -28,6 +28,8 @@ from tidemark.llm.common import bounded_batches, leaving_memory
 #: Words that one worker keeps with their ids; beyond it and between tasks only those it met first, among which the
 #: frequent ones are. It changes no result.
 MEMO_WORDS, MEMO_KEPT = 300_000, 100_000
+#: Characters of a word beyond which it isn't kept, and rows of symbols from which on array steps pay.
+MEMO_LONG, FEW_ROWS = 200, 24
 
 #: The vocabulary's fixed pattern and its white space, as the tokenizer file gives them.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -62,6 +64,7 @@ class PairMerger:
         key, rank = left << 20 | right, np.arange(len(pairs))
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], rank[order]
+        self.pair = dict(zip(key.tolist(), rank.tolist()))
         self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
         letters = byte_letters()
         self.byte = np.array([self.vocab.get(c, -1) for c in letters], np.int64)
@@ -115,6 +118,47 @@ class PairMerger:
             rows = rows[tree[rows, 1] < none]
         return ids
 
+    def merge_row(self, ids: list[int]) -> list[int]:
+        """The same for one row of symbols: what is left of it."""
+        n, none, pairs = len(ids), 1 << 62, self.pair
+        width = 1 << max(0, n - 1).bit_length()
+        ids = [*ids, *[-1] * (width - n)]
+        after, before = list(range(1, width + 1)), list(range(-1, width - 1))
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            r = pairs.get(ids[i] << 20 | ids[i + 1])
+            if r is not None:
+                tree[width + i] = r * width + i
+        for k in range(width - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+        def put(leaf: int, value: int) -> None:
+            k = width + leaf
+            tree[k] = value
+            while k > 1:
+                k >>= 1
+                a, b = tree[2 * k], tree[2 * k + 1]
+                value = a if a < b else b
+                if tree[k] == value:
+                    break
+                tree[k] = value
+
+        while width > 1 and tree[1] < none:
+            rank, a = divmod(tree[1], width)
+            b = after[a]
+            ids[a], ids[b] = int(self.made[rank]), -1
+            c, p = after[b], before[a]
+            after[a] = c
+            put(b, none)
+            right = pairs.get(ids[a] << 20 | ids[c]) if c < n else None
+            if c < n:
+                before[c] = a
+            put(a, none if right is None else right * width + a)
+            if p >= 0:
+                left = pairs.get(ids[p] << 20 | ids[a])
+                put(p, none if left is None else left * width + p)
+        return [i for i in ids if i >= 0]
+
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, str, str]]:
         """Pieces that the pattern has cut, each one BPE word: its number of tokens, ids and tokens, joined."""
         out: list = [None] * len(pieces)
@@ -130,7 +174,13 @@ class PairMerger:
                 flat = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8)
                 ids[np.arange(int(width)) < n[:, None]] = self.byte[flat]
                 ids[np.arange(len(part)), n - 1] = self.last[flat[np.cumsum(n) - 1]]
-                ids = self.merge_rows(ids)
+                if len(part) < FEW_ROWS and width > 1 and (ids >= 0).sum() == n.sum():
+                    merged = [self.merge_row(row[:k]) for row, k in zip(ids.tolist(), n.tolist())]
+                    ids = np.full_like(ids, -1)
+                    for row, own in zip(ids, merged):
+                        row[:len(own)] = own
+                else:
+                    ids = self.merge_rows(ids)
                 kept = ids >= 0
                 flat = ids[kept].tolist()
                 said, shown = [number[i] for i in flat], [token[i] for i in flat]
@@ -151,7 +201,8 @@ class PairMerger:
         return text.split()
 
     def forget(self) -> None:
-        self.memo = dict(islice(self.memo.items(), MEMO_KEPT))
+        """Keep the words met first, but no long ones."""
+        self.memo = dict(islice(((w, x) for w, x in self.memo.items() if len(w) <= MEMO_LONG), MEMO_KEPT))
 
     def learn(self, words: set[str]) -> None:
         """Put the ids and tokens of new words into the memo."""
