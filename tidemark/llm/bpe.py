@@ -22,8 +22,9 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, leaving_memory
+from tidemark.llm.common import as_text, bounded_batches, leaving_memory
 
 #: Words that one worker keeps with their ids; beyond it and between tasks only those it met first, among which the
 #: frequent ones are. It changes no result.
@@ -268,7 +269,7 @@ def slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
 
 def encode_documents(docs: DataFrame, tokenizer: str, digests_only: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless ``digests_only``, ids and decoded themselves."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += "" if digests_only else ", ids array<int>, decoded string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,4 +286,5 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests_only: bool = False
                 yield out
         bpe.forget()
 
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(leaving_memory(run), schema)
+    coded = bounded_batches(docs).select(as_text("doc_id"), "text").mapInPandas(leaving_memory(run), schema)
+    return coded.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as hot from this share of all rows on, so that at most this many keys are hot.
@@ -39,6 +39,11 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def as_text(name: str) -> Column:
+    """An id column for Python, where whole numbers beside nulls would turn into floats."""
+    return F.col(name).cast("string").alias(name)
+
+
 def leaving_memory(step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The step of a mapInPandas; after its last batch the worker, which later tasks use again, returns freed memory to
     the system instead of holding it beside the next stage's."""

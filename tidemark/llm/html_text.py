@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, bounded_batches, saved
+from tidemark.llm.common import as_text, attach, bounded_batches, saved
 
 #: Fixed values of HTML: elements without content, with raw content, that end a block, and that never hold main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -528,4 +528,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts.append(extract(page, refs))
             yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return with_references(rows, wrappers(rows)).select("page_id", "url", "html", "refs").mapInPandas(cut, "page_id long, url string, text string, n_chars long")
+    return with_references(rows, wrappers(rows)).select(as_text("page_id"), "url", "html", "refs").mapInPandas(cut, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

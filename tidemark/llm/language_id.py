@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
-from tidemark.llm.common import bounded_batches, leaving_memory, saved
+from tidemark.llm.common import as_text, bounded_batches, leaving_memory, saved
 
 ORDER = 4
 #: Characters that are scored at once, one text at least.
@@ -224,6 +224,8 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 out = held.value.predict(texts[part])
                 yield pd.concat([batch[columns].iloc[part].reset_index(drop=True), out], axis=1)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+    read = bounded_batches(docs).withColumn("doc_id", as_text("doc_id"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*columns).schema)
     inputs = list(dict.fromkeys([*columns, "text"]))
-    return bounded_batches(docs).select(*inputs).mapInPandas(leaving_memory(run), f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    found = read.select(*inputs).mapInPandas(leaving_memory(run), f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
-from tidemark.llm.common import attach, bounded_batches, components, leaving_memory, saved
+from tidemark.llm.common import as_text, attach, bounded_batches, components, leaving_memory, saved
 
 WORDS = 5
 TILE, TILE_SHINGLES = 2048, 2_000_000
@@ -271,9 +271,10 @@ def in_tile_pairs(rows: DataFrame, name: str, percent: int = 80) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text), further its text's hash h and component,
+    which rows without doc_id have too (null: no words)."""
     spark = docs.sparkSession
-    docs = bounded_batches(docs).select("doc_id", "text")
+    docs = bounded_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Kind 0: a document's set size and class. Kind 1: a shingle that repeats among the worker's documents."""
@@ -285,13 +286,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
             h.sort()
             often = np.unique(h[:1 - REPEATS][h[:1 - REPEATS] == h[REPEATS - 1:]])
             n = np.searchsorted(h, often, "right") - np.searchsorted(h, often, "left")
-            return pd.DataFrame({"kind": 1, "id": often, "n": n, "cid": 0, "bits": None})
+            return pd.DataFrame({"kind": 1, "id": often, "doc": None, "n": n, "cid": 0, "bits": None})
 
         for batch in batches:
             texts = batch["text"].tolist()
             for part in slices(texts, SLICE):
                 sets = shingle_sets(texts[part], words)
-                yield pd.DataFrame({"kind": 0, "id": batch["doc_id"].iloc[part].array, "n": [len(s) for s in sets], "cid": [class_id(s) if len(s) else 0 for s in sets], "bits": [signature(s) for s in sets]})
+                yield pd.DataFrame({"kind": 0, "id": batch["h"].iloc[part].array, "doc": batch["doc_id"].iloc[part].array, "n": [len(s) for s in sets], "cid": [class_id(s) if len(s) else 0 for s in sets], "bits": [signature(s) for s in sets]})
                 held += sets
                 size += sum(map(len, sets))
                 if size >= WINDOW:
@@ -299,9 +300,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
                     size = 0
         yield repeats()
 
-    scanned = saved(docs.mapInPandas(leaving_memory(scan), "kind int, id long, n long, cid long, bits binary"), "sets")
-    rows = scanned.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid")
-    classes = saved(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    scanned = saved(docs.select(as_text("doc_id"), "text", "h").mapInPandas(leaving_memory(scan), "kind int, id long, doc string, n long, cid long, bits binary"), "sets")
+    rows = scanned.filter("kind = 0").select(F.col("doc").cast("long").alias("doc_id"), F.col("id").alias("h"), "n", "cid")
+    classes = saved(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.min_by("h", F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("rep_h"), F.count("*").alias("copies")), "classes")
     bitmaps = scanned.filter("kind = 0 and n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     totals = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count_if(F.col("n") > 0).alias("docs")).first()
     least = max(COMMON, totals["shingles"] // MOST_COMMON)  # so at most MOST_COMMON shingles reach it
@@ -360,9 +361,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     shape = labelled.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("m > 3 and low != high").select("h", "m")
     open_tiles = saved(labelled.join(shape, "h").select("h", "m", "cid", "n", "label"), "open_tiles")
     sides = "array<struct<pair:string,side:int>>"
-    alone = F.array(F.struct(F.lit("").alias("pair"), F.lit(0).alias("side"))).cast(sides)
+    whole = F.array(F.struct(F.lit("").alias("pair"), F.lit(0).alias("side"))).cast(sides)
     large_tiles = open_tiles.filter(F.col("m") > TILE).select(F.col("h").alias("root"), "cid", "n", "label", band_of("n", percent).alias("band"))
-    dealt_tiles = open_tiles.filter(F.col("m") <= TILE).select(F.col("h").alias("root"), "cid", "n", "label", alone.alias("at"))
+    dealt_tiles = open_tiles.filter(F.col("m") <= TILE).select(F.col("h").alias("root"), "cid", "n", "label", whole.alias("at"))
     if not large_tiles.isEmpty():
         dealt_tiles = dealt_tiles.unionByName(in_tile_pairs(large_tiles, "open", percent).select("root", "cid", "n", "label", "at"))
     dealt_tiles = dealt_tiles.withColumn("at", F.explode("at")).select("root", F.col("at.pair").alias("pair"), F.col("at.side").alias("side"), "cid", "n", "label")
@@ -385,20 +386,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     regions = components(first_links.union(more), "regions")
 
     # members of regions with their sets; of large regions, links to hubs first
-    members = saved(regions.join(classes, regions["node"] == classes["cid"]).select("cid", "rep", "n", "root", band_of("n", percent).alias("band")), "members")
+    members = saved(regions.join(classes, regions["node"] == classes["cid"]).select("cid", "rep", "rep_h", "n", "root", band_of("n", percent).alias("band")), "members")
     size = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     large = saved(size.filter((F.col("m") > TILE) | ((F.col("s") > TILE_SHINGLES) & (F.col("m") > 1))).select("root", F.lit(True).alias("large")), "large")
     placed = members.join(large, "root", "left")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # repeated rows
         for batch in batches:
+            batch = batch[~batch["cid"].isin(seen)].drop_duplicates("cid")
+            seen.update(batch["cid"])
             texts = batch["text"].tolist()
             for part in slices(texts, SLICE):
                 own = batch[["cid", "root", "n", "band", "large"]].iloc[part].reset_index(drop=True)
                 own["shingles"] = shingle_sets(texts[part], words)
-                yield own[[class_id(s) == c for s, c in zip(own["shingles"], own["cid"])]]
+                yield own
 
-    found = docs.join(placed, docs["doc_id"].eqNullSafe(placed["rep"])).select("cid", "root", "n", "band", "large", "text").mapInPandas(leaving_memory(arrays), "cid long, root long, n long, band long, large boolean, shingles array<long>")
+    found = docs.join(placed, docs["doc_id"].eqNullSafe(placed["rep"]) & (docs["h"] == placed["rep_h"])).select("cid", "root", "n", "band", "large", "text").mapInPandas(leaving_memory(arrays), "cid long, root long, n long, band long, large boolean, shingles array<long>")
 
     def link(df: pd.DataFrame) -> pd.DataFrame:
         df = df.drop_duplicates(["side", "cid"])
@@ -430,13 +434,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
         with_label = ofs.drop("shingles").distinct().join(told_first, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         where = in_tile_pairs(with_label, "region", percent).select("root", "cid", "label", "at")
         links = linked(ofs.join(where, ["root", "cid"]).select("root", "at", "cid", "label", "shingles")).union(star_links)
-        links = links.union(linked(found.filter("large is null").select("root", alone.alias("at"), "cid", F.col("cid").alias("label"), "shingles")))
+        links = links.union(linked(found.filter("large is null").select("root", whole.alias("at"), "cid", F.col("cid").alias("label"), "shingles")))
     else:
-        links = linked(found.select("root", alone.alias("at"), "cid", F.col("cid").alias("label"), "shingles"))
+        links = linked(found.select("root", whole.alias("at"), "cid", F.col("cid").alias("label"), "shingles"))
 
     labels = components(links, "links")
     named = saved(classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "n", "rep", "copies", F.coalesce("root", "cid").alias("component")), "named")
     smallest = saved(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")), "smallest")
-    told = saved(attach(named, smallest, ["component"], "m", named.count()).select("cid", "n", "copies", "component_id"), "told")
+    told = saved(attach(named, smallest, ["component"], "m", named.count()).select("cid", "n", "copies", "component", "component_id"), "told")
     full = attach(rows.filter("n > 0"), told, ["cid", "n"], "copies", totals["docs"])
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("component"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "h", "component").unionByName(alone)

@@ -48,7 +48,7 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tiled_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

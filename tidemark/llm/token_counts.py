@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-
-from tidemark.llm.common import bounded_batches
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import slices
+from tidemark.llm.common import as_text, bounded_batches
 
 SPACE_MARK = "▁"
 #: Characters of a chunk, and those before it that are read to guess its entry state.
@@ -275,4 +275,5 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
                 n = fst.counts(texts[part])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].array, "n_bytes": [len(t.encode()) for t in texts[part]], "n_tokens": n, "over_limit": n > limit})
 
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    counted = bounded_batches(docs).select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, n_bytes long, n_tokens long, over_limit boolean")
+    return counted.withColumn("doc_id", F.col("doc_id").cast("long"))

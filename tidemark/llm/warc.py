@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, bounded_batches, saved
+from tidemark.llm.common import as_text, attach, bounded_batches, saved
 
 #: Bytes of an archive blob, but for a single record that is larger.
 BLOB_BYTES = 4 << 20
@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         if held:
             yield pd.DataFrame({"archive": [name], "part": [part], "content": [b"".join(held)]})
 
-    return saved(decide(pages, min_bytes).mapInPandas(pack, "archive string, part long, content binary"), "archives")
+    return saved(decide(pages, min_bytes).withColumns({c: as_text(c) for c in ("page_id", "refers_to")}).mapInPandas(pack, "archive string, part long, content binary"), "archives")
 
 
 SCHEMA = "archive string, start long, end long, gap string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -222,8 +222,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     length = fields.get("x-payload-length", str(len(block)))
                     uri = fields.get("warc-target-uri")
                     rows.append((name, start, end, None, number(fields.get("warc-record-id", "")), None if uri is None else unquote(uri), int(length) if fields.get("warc-type") == "revisit" else len(block), fields.get("warc-payload-digest", "").removeprefix("sha1:") if fields.get("warc-type") == "revisit" else payload_digest(block), fields.get("warc-type"), refers, block if payloads else None))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                for c in ("page_id", "payload_bytes", "refers_to"):
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")], dtype=object)
+                for c in ("start", "end", "page_id", "payload_bytes", "refers_to"):
                     out[c] = out[c].astype("Int64")
                 yield out
 
