@@ -40,8 +40,8 @@ UNITS = ["mm", "cm", "m", "km", "in", "ft", "mi", "g", "kg", "mg", "lb", "oz", "
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’*#&%$|"
 NUMBER = r"^[+-]?\p{N}[\p{N}.,:/]*\p{L}{0,3}$"
 NAME = r"^\p{Lu}\p{Ll}+(?:[_'’-]\p{L}+)*$"
-#: White space between two capitalised words, which a second cut of the text takes for part of a name.
-WITHIN_NAME = r"(?<=(?:^|[\s(\"“])\p{Lu}\p{Ll}{1,40})\s+(?=\p{Lu}\p{Ll})"
+#: A capitalised word and the white space before another one, which a second cut of the text takes for part of a name.
+WITHIN_NAME = r"(?<![^\s(\"“])(\p{Lu}\p{Ll}+)\s+(?=\p{Lu}\p{Ll})"
 
 
 def words(text: str | Column) -> Column:
@@ -51,7 +51,7 @@ def words(text: str | Column) -> Column:
 def cuts(text: str) -> Column:
     """The text itself and, where that differs, with its names of several words as one."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    return F.array_distinct(F.array(plain, F.when(plain.rlike(WITHIN_NAME), F.regexp_replace(plain, WITHIN_NAME, "_")).otherwise(plain)))
+    return F.array_distinct(F.array(plain, F.when(plain.rlike(WITHIN_NAME), F.regexp_replace(plain, WITHIN_NAME, "$1_")).otherwise(plain)))
 
 
 def literal(word: Column) -> Column:
