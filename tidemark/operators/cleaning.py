@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.written import save
 
 #: Marks of texts that aren't articles, and hosts whose pages aren't wanted.
 BAD_MARKS = ("[if", "javascript", "cookie", "subscribe to read")
@@ -30,20 +31,21 @@ def first_per_key(df: DataFrame, keys: list[str | Column], order: list[str | Col
 def number_in_order(df: DataFrame, order: list[str], out: str = "number") -> DataFrame:
     """Consecutive numbers from 0 in a total order without sorting in one task.
 
-    Rows are range-partitioned and counted by partition; each partition's rows are numbered from its offset. The counts, one for each
-    partition, are all that meets in one place.
+    Rows are range-partitioned, written with their partition's number and counted by it; each partition's rows are numbered from its
+    offset. The counts, one for each partition, are all that meets in one place.
     """
-    df = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    df = save(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "in_order")
     sized = df.groupBy("__p").agg(F.count("*").alias("__c"))
     offsets = sized.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     return df.join(F.broadcast(offsets), "__p").withColumn(out, F.col("__before") + F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1).drop("__p", "__before")
 
 
-def clean_documents(df: DataFrame) -> DataFrame:
+def clean_documents(df: DataFrame, keep_text: bool = True) -> DataFrame:
     """Drop rows without text or time, keep the first of equal (ts, text), number in time order, derive the source, keep the
-    first of each title. Numbers are given before titles are deduplicated, so they have gaps."""
-    rows = df.filter(F.col("text").isNotNull() & F.col("ts").isNotNull())
-    rows = first_per_key(rows, ["ts", "text"], ["document_id"])
+    first of each title. Numbers are given before titles are deduplicated, so they have gaps. Texts are compared by a digest and
+    needn't travel on."""
+    rows = df.filter(F.col("text").isNotNull() & F.col("ts").isNotNull()).withColumn("__digest", F.sha2("text", 256))
+    rows = first_per_key(rows if keep_text else rows.drop("text"), ["ts", "__digest"], ["document_id"]).drop("__digest")
     rows = number_in_order(rows, ["ts", "document_id"]).withColumn("source", T.source_from_url(F.col("url")))
     return first_per_key(rows, ["title"], ["number"])
 
@@ -121,14 +123,14 @@ def language_votes(df: DataFrame, key: str) -> DataFrame:
     return votes.groupBy(key).agg(F.min(F.struct((-F.col("votes")).alias("v"), "language"))["language"].alias("detected"), F.max("votes").alias("votes"))
 
 
-def html_to_text(df: DataFrame, longest: int = 15000) -> DataFrame:
-    """Title and text of pages by removing code and tags; texts are cut at ``longest``."""
+def html_to_text(df: DataFrame, longest: int | None = None) -> DataFrame:
+    """Title and text of pages by removing code and tags; whole texts, or cut at ``longest``."""
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     text = F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</(script|style|head)>|<!--.*?-->", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?s)<[^>]*>", " "), r"[\s]+", " ")
-    return df.withColumn("title", title).withColumn("text", F.substring(F.trim(text), 1, longest))
+    return df.withColumn("title", title).withColumn("text", F.trim(text) if longest is None else F.substring(F.trim(text), 1, longest))
 
 
 def sample_by_hash(df: DataFrame, key: str, percent: int) -> DataFrame:
-    """A sample that any engine draws alike: rows whose key's CRC falls under the share."""
-    return df.filter(F.crc32(F.col(key).cast("string").cast("binary")) % 100 < percent)
+    """A sample that any engine draws alike: rows whose key's digest falls under the share."""
+    return df.filter(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 100 < percent)

@@ -6,7 +6,7 @@ Dates are DATE columns. ``log``: merge_ts, topic1, topic2, document_count1, docu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,29 +32,39 @@ def events(log: DataFrame, g: int, snap_to_grid: bool = False) -> DataFrame:
     return first.unionByName(merge).unionByName(idle)
 
 
-def signal_popularity(log: DataFrame, g: int, factor: float = 0.01, power: float = 2.0, snap_to_grid: bool = False) -> DataFrame:
-    """The series of each topic that has a merge: it grows by a merge's documents and decays over idle steps, compounding.
+def decayed_totals(rows: DataFrame, key: str, order: list[str], amount: str, decay: str, out: str = "popularity") -> DataFrame:
+    """``out``: what has come in up to each row, each amount shrunk by e to the power of all decays after it.
 
-    Each topic's steps are folded in order; topics are independent of each other.
+    That is a running sum of amount * e**D, over e**D, with D the running sum of decays. D is counted from marks 500
+    apart, so that no power overflows; what lies two marks back is beyond the range of doubles.
     """
-    steps = events(log, g, snap_to_grid)
-    ordered = steps.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "topic2", "ts", F.col("amount").cast("double").alias("amount"), F.col("paragraphs").cast("double").alias("paragraphs"), "n"))).alias("e"))
-    point = "array<struct<ts:date,popularity:double,docs_count:double,paragraphs_count:double>>"
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__d", F.sum(decay).over(upto)).withColumn("__mark", F.floor(F.col("__d") / 500))
+    rows = rows.withColumn("__x", F.col(amount) * F.exp(F.col("__d") - 500 * F.col("__mark")))
+    within = Window.partitionBy(key, "__mark").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("__mark").rangeBetween(-1, -1)
+    here, back = F.sum("__x").over(within), F.coalesce(F.sum("__x").over(before), F.lit(0.0))
+    total = here * F.exp(500 * F.col("__mark") - F.col("__d")) + back * F.exp(500 * (F.col("__mark") - 1) - F.col("__d"))
+    return rows.withColumn(out, total).drop("__d", "__mark", "__x")
 
-    def fold(done: Column, e: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        p = F.when(e["kind"] == 2, last["popularity"] * F.exp(-factor * F.pow(e["n"].cast("double"), F.lit(power)))).otherwise(F.coalesce(last["popularity"], F.lit(0.0)) + e["amount"])
-        return F.concat(done, F.array(F.struct(e["ts"].alias("ts"), p.alias("popularity"), (F.coalesce(last["docs_count"], F.lit(0.0)) + e["amount"]).alias("docs_count"), (F.coalesce(last["paragraphs_count"], F.lit(0.0)) + e["paragraphs"]).alias("paragraphs_count"))))
 
-    folded = ordered.select("topic", F.posexplode(F.aggregate("e", F.array().cast(point), fold)).alias("seq", "p"))
-    return folded.select("topic", "seq", "p.ts", "p.popularity", F.col("p.docs_count").cast("long").alias("docs_count"), F.col("p.paragraphs_count").cast("long").alias("paragraphs_count"))
+def signal_popularity(log: DataFrame, g: int, factor: float = 0.01, power: float = 2.0, snap_to_grid: bool = False) -> DataFrame:
+    """The series of each topic that has a merge: it grows by a merge's documents and decays over idle steps, compounding."""
+    order = ["step", "kind", "topic2", "ts", "n"]
+    in_order = Window.partitionBy("topic").orderBy(*order)
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    decay = F.when(F.col("kind") == 2, factor * F.pow(F.col("n").cast("double"), F.lit(power))).otherwise(0.0)
+    steps = events(log, g, snap_to_grid).withColumn("decay", decay).withColumn("documents", F.col("amount").cast("double"))
+    steps = steps.withColumn("seq", F.row_number().over(in_order) - 1).withColumn("docs_count", F.sum("amount").over(upto).cast("long")).withColumn("paragraphs_count", F.sum("paragraphs").over(upto).cast("long"))
+    return decayed_totals(steps, "topic", order, "documents", "decay").select("topic", "seq", "ts", "popularity", "docs_count", "paragraphs_count")
 
 
 def thresholds(series: DataFrame, dates: DataFrame, window: int, low: float = 0.10, high: float = 0.75, exact: bool = True) -> DataFrame:
     """eval_date, q1, q3, n of the points in [date - window, date] with popularity over 1e-5; 0 where there are none."""
-    met = dates.join(series.filter("popularity > 1e-5"), (F.col("ts") <= F.col("eval_date")) & (F.col("ts") >= F.date_sub("eval_date", window)), "left")
+    met = series.filter("popularity > 1e-5").join(F.broadcast(dates), (F.col("ts") <= F.col("eval_date")) & (F.col("ts") >= F.date_sub("eval_date", window)))
     pick = F.percentile if exact else F.percentile_approx
-    return met.groupBy("eval_date").agg(F.coalesce(pick("popularity", low), F.lit(0.0)).alias("q1"), F.coalesce(pick("popularity", high), F.lit(0.0)).alias("q3"), F.count("popularity").alias("n_points"))
+    found = met.groupBy("eval_date").agg(pick("popularity", low).alias("q1"), pick("popularity", high).alias("q3"), F.count("popularity").alias("n_points"))
+    return dates.join(found, "eval_date", "left").select("eval_date", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("q1", "q3")), F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
 def classify_signals(series: DataFrame, dates: DataFrame, g: int, window: int, include_next_period: bool = True, rising_only: bool = True, low: float = 0.10, high: float = 0.75) -> DataFrame:
@@ -83,16 +93,12 @@ def zeroshot_trend(info: DataFrame, names: DataFrame, g: int, factor: float = 0.
     span = info.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     grid = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {g} days"))).alias("ts"))
     rows = names.crossJoin(F.broadcast(grid)).join(info.select("name", "ts", "document_count"), ["name", "ts"], "left")
-    ordered = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("document_count").cast("double").alias("c")))).alias("e"))
-    point = "array<struct<ts:date,p:double,idle:int>>"
-
-    def fold(done: Column, e: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        idle = F.when(e["c"].isNotNull(), 0).otherwise(F.coalesce(last["idle"], F.lit(0)) + 1).cast("int")
-        p = F.when(e["c"].isNotNull(), F.coalesce(last["p"], F.lit(0.0)) + e["c"]).otherwise(F.coalesce(last["p"], F.lit(0.0)) * F.exp(-factor * F.pow(idle.cast("double"), F.lit(power))))
-        return F.concat(done, F.array(F.struct(e["ts"].alias("ts"), p.alias("p"), idle.alias("idle"))))
-
-    return ordered.select("name", F.explode(F.aggregate("e", F.array().cast(point), fold)).alias("p")).select("name", "p.ts", F.col("p.p").alias("popularity"))
+    in_time = Window.partitionBy("name").orderBy("ts")
+    rows = rows.withColumn("__k", F.row_number().over(in_time))
+    idle = F.col("__k") - F.coalesce(F.last(F.when(F.col("document_count").isNotNull(), F.col("__k")), ignorenulls=True).over(in_time), F.lit(0))
+    decay = F.when(F.col("document_count").isNull(), factor * F.pow(idle.cast("double"), F.lit(power))).otherwise(0.0)
+    rows = rows.withColumn("decay", decay).withColumn("documents", F.coalesce(F.col("document_count").cast("double"), F.lit(0.0)))
+    return decayed_totals(rows, "name", ["ts"], "documents", "decay").select("name", "ts", "popularity")
 
 
 def source_diversity(rows: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def evolution_tuning(scores: DataFrame) -> DataFrame:
     """Each topic's scores as the mean with the tuned ones of the time just before, if the topic is there.
 
     Within a run of consecutive times the tuned score is a sum of earlier scores with halving weights, so each score names the later times
-    of its run that it counts in; weights under 2**-40 are left out.
+    of its run that it counts in.
     """
     times = scores.select("ts").distinct().withColumn("k", F.row_number().over(Window.orderBy("ts")))
     seen = scores.select("topic", "ts").distinct().join(F.broadcast(times), "ts")
@@ -30,7 +30,7 @@ def evolution_tuning(scores: DataFrame) -> DataFrame:
     spans = seen.withColumn("run", run)
     ends = spans.groupBy("topic", "run").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
     rows = scores.join(spans, ["topic", "ts"]).join(ends, ["topic", "run"])
-    spread = rows.withColumn("at", F.explode(F.sequence("k", F.least("k1", F.col("k") + 40))))
+    spread = rows.withColumn("at", F.explode(F.sequence("k", "k1")))
     power = F.col("at") - F.col("k") + F.when(F.col("k") == F.col("k0"), 0).otherwise(1)
     tuned = spread.groupBy("topic", F.col("at").alias("k"), "term").agg(F.sum(F.col("score") * F.pow(F.lit(0.5), power)).alias("score"))
     return tuned.join(F.broadcast(times), "k").select("topic", "ts", "term", "score")

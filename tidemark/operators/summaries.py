@@ -1,4 +1,4 @@
-"""Extractive summaries: sentences ranked by the power method on their cosine graph, inside each document."""
+"""Extractive summaries: sentences ranked by stationary weights of their cosine graph, inside each document."""
 
 from __future__ import annotations
 
@@ -66,36 +66,36 @@ def embed_paragraphs(df: DataFrame, encoder=None, batch: int = 2048, dim: int =
     return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", embedding array<float>")
 
 
-def lexrank(similarity: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Stationary weights of the row-normalised similarity graph, for each connected component by its size."""
+def lexrank(similarity: np.ndarray) -> np.ndarray:
+    """Stationary weights of the row-normalised similarity graph, for each connected component by its size.
+
+    The graph is symmetric, so what the power method converges to is each row's share of its component's sum.
+    """
     n = len(similarity)
-    weights = np.zeros(n)
     label = np.arange(n)
     linked = similarity > 0
     for _ in range(n):
-        low = np.where(linked, label, n).min(1)
-        new = np.minimum(label, low)
+        new = np.minimum(label, np.where(linked, label, n).min(1))
         if (new == label).all():
             break
         label = new
-    for c in np.unique(label):
-        at = np.flatnonzero(label == c)
-        m = similarity[np.ix_(at, at)]
-        m = m / np.maximum(m.sum(1, keepdims=True), 1e-12)
-        v = np.full(len(at), 1 / len(at))
-        for _ in range(rounds):
-            v = v @ m
-        weights[at] = v * len(at) / n
-    return weights
-
-
-def factored_lexrank(x: np.ndarray, rounds: int = 60) -> np.ndarray:
+    return shares(similarity.sum(1), label)
+
+
+def shares(degree: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Each row's share of the sum of its component, times the component's share of the rows."""
+    _, own = np.unique(label, return_inverse=True)
+    total, size = np.bincount(own, degree), np.bincount(own)
+    return np.where(total[own] > 0, degree / np.maximum(total[own], 1e-300), 0.0) * size[own] / max(1, len(degree))
+
+
+def factored_lexrank(x: np.ndarray) -> np.ndarray:
     """lexrank(x @ x.T) of vectors without a negative number, in memory and time that grow with the rows only.
 
-    Two such rows are similar if they share a dimension, so the components of rows are those of dimensions, and a step
-    of the power method is two products with ``x``.
+    Two such rows are similar if they share a dimension, so the components of rows are those of dimensions, and a row's
+    sum is its product with the sum of its component; rows of other components add nothing to it.
     """
-    n, used = len(x), x > 0
+    used = x > 0
     label = np.arange(x.shape[1])  # of each dimension; a row joins all the dimensions it uses
     together = used.T.astype(np.float32) @ used.astype(np.float32) > 0
     for _ in range(len(label)):
@@ -104,17 +104,8 @@ def factored_lexrank(x: np.ndarray, rounds: int = 60) -> np.ndarray:
             break
         label = new
     some = used.any(1)
-    own = np.where(some, label[used.argmax(1)], -1)
-    weights = np.zeros(n)
-    for c in np.unique(own[some]):
-        at = np.flatnonzero(own == c)
-        m = x[at]
-        total = np.maximum(m @ m.sum(0), 1e-12)
-        v = np.full(len(at), 1 / len(at))
-        for _ in range(rounds):
-            v = m @ ((v / total) @ m)
-        weights[at] = v * len(at) / n
-    return weights
+    own = np.where(some, label[used.argmax(1)], x.shape[1] + np.arange(len(x)))
+    return shares(x @ x.sum(0), own)
 
 
 def lexrank_summary(sentences: DataFrame, key: str, most: int = 3, share: float = 0.2, second: str | None = None, ratio: float = 0.5) -> DataFrame:
@@ -146,6 +137,19 @@ def lexrank_summary(sentences: DataFrame, key: str, most: int = 3, share: float
     return sentences.select(*columns).groupBy(key).applyInPandas(pick, f"`{key}` {kind}, pos int, sentence string")
 
 
+def word_set_duplicates(sentences: DataFrame, key: str) -> DataFrame:
+    """key, pos, class_id, links: sentences of the same set of words, whatever their order, case and punctuation (paraphrases
+    by reordering). ``class_id`` is the smallest key:pos of its class, ``links`` how many others it has; no pairs are listed.
+
+    Sentences without a word are in no class. Exact: classes are told by a digest of the sorted words.
+    """
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    told = sentences.select(key, "pos", F.when(F.size(words) > 0, F.sha2(F.array_join(words, " "), 256)).alias("digest")).filter("digest is not null")
+    classes = told.groupBy("digest").agg(F.min(F.struct(F.col(key), F.col("pos"))).alias("first"), F.count("*").alias("n"))
+    named = classes.filter("n > 1").select("digest", F.concat_ws(":", f"first.{key}", "first.pos").alias("class_id"), (F.col("n") - 1).alias("links"))
+    return told.join(named, "digest").select(key, "pos", "class_id", "links")
+
+
 def mmr(candidates: DataFrame, key: str, k: int = 5, diversity: float = 0.3) -> DataFrame:
     """key, rank, word: words chosen one by one for relevance to the topic's vector and distance from those chosen.
 

@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T, vectors as V
+from tidemark.operators.written import save
+
+#: Rows of a matching's right side up to which they are broadcast (after counting them).
+BROADCAST_ROWS = 20_000
 
 
 def topic_info(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per period and topic: rows, distinct documents, sorted distinct sources and urls, in one aggregation."""
+    """Per period and topic: rows, distinct documents and sorted distinct sources (sites), in one aggregation."""
     return rows.groupBy(*(keys or ["period", "topic"])).agg(
         F.count("*").alias("count"), F.countDistinct("document_id").alias("document_count"),
-        F.sort_array(F.collect_set("source")).alias("sources"), F.sort_array(F.collect_set("url")).alias("urls"))
+        F.sort_array(F.collect_set("source")).alias("sources"))
+
+
+def topic_urls(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The urls of each period and topic, a row each, as there may be one for each document."""
+    return rows.select(*(keys or ["period", "topic"]), "url").distinct()
 
 
 def period_topics(rows: DataFrame) -> DataFrame:
@@ -25,7 +34,7 @@ def term_counts(docs: DataFrame, topic: str, min_df: int = 2, stop_words: list[s
     """topic, term, n for words and word pairs that occur in at least ``min_df`` topics."""
     tokens = T.words(F.col("text"))
     terms = T.ngrams(tokens, stop_words or []) if pairs else F.filter(tokens, lambda w: ~w.isin(*(stop_words or [""])))
-    counted = docs.select(topic, F.explode(terms).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("n"))
+    counted = save(docs.select(topic, F.explode(terms).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("n")), "counted")
     wide = counted.groupBy("term").agg(F.count("*").alias("topics")).filter(F.col("topics") >= min_df).select("term")
     return counted.join(wide, "term", "left_semi")
 
@@ -33,10 +42,12 @@ def term_counts(docs: DataFrame, topic: str, min_df: int = 2, stop_words: list[s
 def class_tfidf(counts: DataFrame, topic: str, reduce_frequent: bool = True) -> DataFrame:
     """topic, term, score: share of the term in its topic (its root, if asked) times ln(1 + A / f) with A the mean number of words of
     a topic, cut to a whole number, and f the term's count in all topics."""
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(topic))
-    mean = counts.groupBy(topic).agg(F.sum("n").alias("w")).agg(F.floor(F.avg("w")).alias("__a"))
+    counts = save(counts, "term_counts")
+    total = counts.groupBy(topic).agg(F.sum("n").alias("__w"))
+    mean = total.agg(F.floor(F.avg("__w")).alias("__a"))
     f = counts.groupBy("term").agg(F.sum("n").alias("__f"))
-    scored = counts.withColumn("tf", F.sqrt(share) if reduce_frequent else share).join(f, "term").crossJoin(F.broadcast(mean))
+    share = F.col("n") / F.col("__w")
+    scored = counts.join(total, topic).withColumn("tf", F.sqrt(share) if reduce_frequent else share).join(f, "term").crossJoin(F.broadcast(mean))
     return scored.select(topic, "term", (F.col("tf") * F.log(1 + F.col("__a") / F.col("__f"))).alias("score"))
 
 
@@ -50,10 +61,19 @@ def top_words(scores: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
 def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, a: str, b: str) -> DataFrame:
     """For each left row the right row of highest cosine (ties: smallest right_key): left_key, right_key, similarity.
 
-    The right side holds topics, a few rows a period; the best pair is found by map-side aggregation, so no pair list is kept.
+    The right side holds topics. It is written once and broadcast if it is small; else left rows meet its blocks of BROADCAST_ROWS one by one.
+    Norms are taken once a row, and the best pair is found by map-side aggregation, so no pair list is kept.
     """
-    pairs = left.select(left_key, F.col(a).alias("__a")).crossJoin(right.select(right_key, F.col(b).alias("__b")))
-    scored = pairs.select(left_key, right_key, V.cosine(F.col("__a"), F.col("__b")).alias("similarity")).filter("similarity is not null")
+    near = save(right.select(right_key, F.col(b).alias("__b"), V.norm(F.col(b)).alias("__m")).filter("__m > 0"), "right_side")
+    own = left.select(left_key, F.col(a).alias("__a"), V.norm(F.col(a)).alias("__n")).filter("__n > 0")
+    n = near.count()
+    if n <= BROADCAST_ROWS:
+        pairs = own.crossJoin(F.broadcast(near))
+    else:
+        blocks = -(-n // BROADCAST_ROWS)
+        near = near.withColumn("__k", F.pmod(F.xxhash64(right_key), F.lit(blocks)))
+        pairs = own.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(near, "__k")
+    scored = pairs.select(left_key, right_key, (V.dot(F.col("__a"), F.col("__b")) / (F.col("__n") * F.col("__m"))).alias("similarity")).filter("similarity is not null")
     best = scored.groupBy(left_key).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col(right_key).alias("k"))).alias("best"))
     return best.select(left_key, F.col("best.k").alias(right_key), (-F.col("best.s")).alias("similarity"))
 
@@ -69,7 +89,7 @@ def reduce_outliers(doc_terms: DataFrame, scores: DataFrame) -> DataFrame:
     length = scores.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("__l"))
     own = doc_terms.groupBy("document_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("__d"))
     met = doc_terms.join(scores, "term").groupBy("document_id", "topic").agg(F.sum(F.col("n") * F.col("score")).alias("__p"))
-    near = met.join(F.broadcast(length), "topic").join(own, "document_id").select("document_id", "topic", (F.col("__p") / (F.col("__l") * F.col("__d"))).alias("score")).filter("score > 0")
+    near = met.join(length, "topic").join(own, "document_id").select("document_id", "topic", (F.col("__p") / (F.col("__l") * F.col("__d"))).alias("score")).filter("score > 0")
     best = near.groupBy("document_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "topic")).alias("b"))
     return best.select("document_id", F.col("b.topic").alias("topic"), (-F.col("b.s")).alias("score"))
 
@@ -106,8 +126,9 @@ def coherence(words: DataFrame, docs: DataFrame, window: int = 10, k: int = 10)
     doc_single = met.select("document_id", "w").distinct().groupBy("w").agg(F.count("*").alias("dn"))
     pairs = words.select("topic", F.slice("words", 1, k).alias("ws"), F.posexplode(F.slice("words", 1, k)).alias("i", "a")).select("topic", "a", F.explode(F.slice("ws", F.lit(1), F.col("i"))).alias("b"))
     asked = pairs.select("a", "b").distinct()
-    left, right = at.withColumnRenamed("w", "a"), at.withColumnRenamed("w", "b")
-    both = asked.join(left, "a").join(right, ["b", "document_id", "win"]).groupBy("a", "b").agg(F.count("*").alias("ab"), F.countDistinct("document_id").alias("dab_w"))
+    # a window holds as many wanted words as it has places, so its pairs are few; frequent words meet nowhere else
+    held = at.groupBy("document_id", "win").agg(F.collect_set("w").alias("ws")).filter(F.size("ws") > 1)
+    both = held.select("ws", F.explode("ws").alias("a")).select("a", F.explode("ws").alias("b")).filter("a != b").groupBy("a", "b").agg(F.count("*").alias("ab")).join(asked, ["a", "b"], "left_semi")
     dleft, dright = met.select("document_id", F.col("w").alias("a")).distinct(), met.select("document_id", F.col("w").alias("b")).distinct()
     dboth = asked.join(dleft, "a").join(dright, ["b", "document_id"]).groupBy("a", "b").agg(F.count("*").alias("dab"))
     full = pairs.join(both, ["a", "b"], "left").join(dboth, ["a", "b"], "left").join(single.select(F.col("w").alias("a"), F.col("n").alias("na")), "a", "left").join(single.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b", "left").join(doc_single.select(F.col("w").alias("b"), "dn"), "b", "left").crossJoin(F.broadcast(sizes))

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T
 from tidemark.operators import cleaning as C
+from tidemark.operators.written import scratch
 from tidemark.plans.bindings import DOCS, documents, query, table
 from tidemark.sources import files
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder (one of our own only where the session names none)."""
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        home = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    return f"{home.rstrip('/')}/tidemark/{uuid.uuid4().hex}/{name}"
-
-
 @query(f"WITH {DOCS} SELECT document_id, title, source, count(*) OVER (PARTITION BY document_id) AS formats FROM docs, (SELECT unnest([1, 2, 3]) AS f)")
 def read_documents(spark, sf_dir):
     docs = documents(spark, sf_dir).select("document_id", "title", "source")
@@ -50,23 +39,25 @@ def validate_schema(spark, sf_dir):
     return files.validate_schema(documents(spark, sf_dir).select("document_id", F.col("text").alias("content"), F.col("ts").alias("date")), {"text": ["content", "body"], "timestamp": ["date"]})
 
 
-@query(f"""WITH {DOCS}, feeds AS (SELECT *, 0 AS feed FROM docs WHERE document_id % 2 = 0 UNION ALL SELECT *, 1 AS feed FROM docs WHERE document_id % 3 = 0)
+@query(f"""WITH {DOCS}, feeds AS (SELECT *, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS feed FROM docs)
 SELECT title, document_id, feed FROM feeds QUALIFY row_number() OVER (PARTITION BY title ORDER BY feed, document_id) = 1""")
 def union_feeds(spark, sf_dir):
-    d = documents(spark, sf_dir).select("title", "document_id")
-    parts = [d.filter("document_id % 2 = 0").withColumn("feed", F.lit(0)), d.filter("document_id % 3 = 0").withColumn("feed", F.lit(1))]
+    d = documents(spark, sf_dir).select("title", "document_id", (F.col("lang") == "en").alias("english"))
+    parts = [d.filter(f"coalesce(english, false) = {bool(i)}").drop("english").withColumn("feed", F.lit(i)) for i in (0, 1)]
     return files.union_feeds(parts, "title", ["feed", "document_id"])
 
 
 @query("SELECT doc_id, source FROM documents WHERE lang = 'fr'")
 def latest_feed_file(spark, sf_dir):
+    """Every language is a delivery of the feed, in a folder of its own with any number of files; the French one comes last."""
     import time
 
-    path = scratch(spark, "feed")
-    for lang in ("en", "fr"):  # the French file is the newer one
-        table(spark, sf_dir, "documents").filter(F.col("lang") == lang).select("doc_id", "source").coalesce(1).write.mode("append").json(path)
-        time.sleep(1.1)
-    return files.latest_feed_file(spark.read.schema("doc_id long, source string").json(path))
+    path, d = scratch(spark, "feed"), table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    for last in (False, True):
+        time.sleep(1.1 * last)
+        d.filter((F.col("lang") == "fr") == last).repartition("lang").write.mode("append").partitionBy("lang").json(path)
+    rows = spark.read.schema("doc_id long, source string").option("recursiveFileLookup", "true").json(path)
+    return files.latest_feed_file(rows, r"/lang=[^/]*/")
 
 
 @query("SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'de'")
@@ -84,12 +75,12 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY ts, document_id) - 1 AS numbe
 @query(f"""{CLEAN} SELECT number, document_id, ts, title, split_part(url, '/', 3) AS source FROM numbered
 QUALIFY row_number() OVER (PARTITION BY title ORDER BY number) = 1""")
 def clean_documents(spark, sf_dir):
-    return C.clean_documents(documents(spark, sf_dir)).select("number", "document_id", "ts", "title", "source")
+    return C.clean_documents(documents(spark, sf_dir), keep_text=False).select("number", "document_id", "ts", "title", "source")
 
 
 @query(f"{CLEAN} SELECT number, document_id FROM numbered")
 def number_documents(spark, sf_dir):
-    return C.number_in_order(C.first_per_key(documents(spark, sf_dir), ["ts", "text"], ["document_id"]), ["ts", "document_id"]).select("number", "document_id")
+    return C.number_in_order(C.first_per_key(documents(spark, sf_dir), ["ts", F.sha2("text", 256)], ["document_id"]).select("ts", "document_id"), ["ts", "document_id"]).select("number", "document_id")
 
 
 @query(f"WITH {DOCS} SELECT title, min(document_id) AS document_id FROM docs GROUP BY title")
@@ -195,15 +186,15 @@ _STOP = ", ".join(f"('{lang}', '{w}')" for lang, own in C.STOP_WORDS.items() for
 @query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{2,}}')) AS word FROM documents),
 v AS (SELECT doc_id, language, count(*) AS votes FROM t JOIN (VALUES {_STOP}) AS s(language, w) ON word = w GROUP BY doc_id, language),
 b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, language) = 1)
-SELECT b.doc_id, lang, votes FROM b JOIN documents d ON b.doc_id = d.doc_id AND b.language = d.lang WHERE lang = 'fr'""")
+SELECT b.doc_id, lang, votes FROM b JOIN documents d ON b.doc_id = d.doc_id WHERE language = 'fr'""")
 def language_filter(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     found = C.language_votes(d, "doc_id").filter("detected = 'fr'")
-    return d.filter("lang = 'fr'").join(found, "doc_id").select("doc_id", "lang", "votes")
+    return d.join(found, "doc_id").select("doc_id", "lang", "votes")
 
 
 @query("""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
-left(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\\b.*?</(script|style|head)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\\s]+', ' ', 'g')), 15000) AS text FROM pages""")
+trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\\b.*?</(script|style|head)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\\s]+', ' ', 'g')) AS text FROM pages""")
 def html_to_text(spark, sf_dir):
     return C.html_to_text(table(spark, sf_dir, "pages")).select("page_id", "title", "text")
 
@@ -214,7 +205,7 @@ def clean_redirect_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_redirect_url(wrapped).alias("target"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents WHERE CAST(concat('0x', left(md5(CAST(doc_id AS VARCHAR)), 8)) AS BIGINT) % 100 < 20")
 def sample_documents(spark, sf_dir):
     return C.sample_by_hash(table(spark, sf_dir, "documents"), "doc_id", 20).select("doc_id", "lang")
 

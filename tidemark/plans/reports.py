@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text as T, vectors as V
 from tidemark.operators import cleaning as C, scoring as Q, signals as S, stability as B, summaries as M, topics as O
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
-from tidemark.plans.cleaning import scratch
-from tidemark.plans.trends import CLASSES, G, INFO, LOG, ONE_DATE, SERIES, _classes, merge_log, save
+from tidemark.operators.written import save, scratch
+from tidemark.plans.trends import CLASSES, G, INFO, LOG, ONE_DATE, SERIES, _classes, merge_log
 from tidemark.streaming import streams
 
 # ---- counts and distributions
@@ -25,10 +25,10 @@ def source_topic_rollup(spark, sf_dir):
     return vectors(spark, sf_dir).rollup("source", "topic").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {DOCS}, b AS (SELECT CAST(ts AS DATE) AS day FROM docs WHERE document_id % 5 < 2), spine AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM b), (SELECT max(day) FROM b), INTERVAL 1 DAY)) AS DATE) AS day)
+@query(f"""WITH {DOCS}, b AS (SELECT CAST(ts AS DATE) AS day FROM docs), spine AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM b), (SELECT max(day) FROM b), INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT spine.day, count(b.day) AS n FROM spine LEFT JOIN b USING (day) GROUP BY spine.day""")
 def docs_over_time(spark, sf_dir):
-    d = documents(spark, sf_dir).filter("document_id % 5 < 2").select(F.to_date("ts").alias("day"))
+    d = documents(spark, sf_dir).select(F.to_date("ts").alias("day"))
     counts = d.groupBy("day").agg(F.count("*").alias("n"))
     spine = counts.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     return spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
@@ -43,15 +43,18 @@ def docs_over_time_split(spark, sf_dir):
 PERIODS = f"p AS (SELECT *, CAST(CAST(ts AS DATE) - CAST((CAST(ts AS DATE) - (SELECT CAST(min(ts) AS DATE) FROM docs)) % {DAYS} AS INTEGER) AS DATE) AS period FROM docs)"
 
 
-@query(f"WITH {DOCS}, {PERIODS} SELECT period, count(*) AS n, md5(string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY document_id)) AS ids FROM p WHERE lang = 'es' GROUP BY period")
+@query(f"WITH {DOCS}, {PERIODS} SELECT period, document_id, count(*) OVER (PARTITION BY period) AS n FROM p")
 def documents_per_period(spark, sf_dir):
-    d = dates.fixed_periods(documents(spark, sf_dir), DAYS).filter("lang = 'es'")
-    return d.groupBy("period").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("document_id")), lambda x: x.cast("string")), ",")).alias("ids"))
+    """A row for each document of a period with the period's size; a period is never one row."""
+    d = dates.fixed_periods(documents(spark, sf_dir), DAYS).select("period", "document_id")
+    return d.join(F.broadcast(d.groupBy("period").agg(F.count("*").alias("n"))), "period")
 
 
-@query(f"WITH {VECTORS} SELECT topic, count(*) AS n, array_to_string(list_sort(list(DISTINCT title)), '|') AS titles FROM vecs WHERE topic != -1 GROUP BY topic")
+@query(f"WITH {VECTORS} SELECT topic, title, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY topic) AS BIGINT) AS topic_n FROM vecs WHERE topic != -1 GROUP BY topic, title")
 def topic_docs_agg(spark, sf_dir):
-    return vectors(spark, sf_dir).filter("topic != -1").groupBy("topic").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("title")), "|").alias("titles"))
+    """The documents of each topic by title, with the topic's count; a topic is never one row."""
+    titles = vectors(spark, sf_dir).filter("topic != -1").groupBy("topic", "title").agg(F.count("*").alias("n"))
+    return titles.join(titles.groupBy("topic").agg(F.sum("n").alias("topic_n")), "topic")
 
 
 @query(f"WITH {DOCS} SELECT source AS website, count(*) AS n FROM docs GROUP BY source")
@@ -72,12 +75,15 @@ def count_records(spark, sf_dir):
     return spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).groupBy(F.regexp_extract("file", "lang=([a-z]+)/", 1).alias("lang")).agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {ACTIVITY} SELECT topic, floor((epoch(ts) - epoch((SELECT min(ts) FROM acts))) / 604800)::BIGINT AS chunk, count(*) AS n, md5(string_agg(source, ' ' ORDER BY ts, document_id)) AS digest FROM acts GROUP BY ALL")
+@query(f"""WITH {ACTIVITY}, c AS (SELECT topic, floor((epoch(ts) - epoch((SELECT min(ts) FROM acts))) / 604800)::BIGINT AS chunk, ts, document_id, source FROM acts)
+SELECT topic, chunk, row_number() OVER (PARTITION BY topic, chunk ORDER BY ts, document_id) - 1 AS place, source FROM c""")
 def merged_concat_text(spark, sf_dir):
     a = activity(spark, sf_dir)
     first = a.agg(F.min("ts").alias("t0"))
     rows = a.crossJoin(F.broadcast(first)).withColumn("chunk", F.floor((dates.micros(F.col("ts")) - dates.micros(F.col("t0"))) / (7 * dates.DAY_US)))
-    return rows.groupBy("topic", "chunk").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "document_id", "source"))), lambda s: s["source"]), " ")).alias("digest"))
+    numbered = C.number_in_order(rows.select("topic", "chunk", "ts", "document_id", "source"), ["topic", "chunk", "ts", "document_id"])
+    first = numbered.groupBy("topic", "chunk").agg(F.min("number").alias("first"))
+    return numbered.join(F.broadcast(first), ["topic", "chunk"]).select("topic", "chunk", (F.col("number") - F.col("first")).alias("place"), "source")
 
 
 @query(f"WITH {VECTORS}, b AS (SELECT topic, min(period) AS period FROM vecs WHERE topic != -1 GROUP BY topic) SELECT b.period, b.topic, count(DISTINCT document_id) AS document_count FROM b JOIN vecs v ON v.topic = b.topic AND v.period = b.period GROUP BY ALL")
@@ -130,11 +136,11 @@ def quality_breakdown(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.array_join(Q.extremes(parts, 3, True), ",").alias("strengths"), F.array_join(Q.extremes(parts, 3, False), ",").alias("weaknesses"))
 
 
-@query(f"WITH {DOCS}, a AS (SELECT title, max(document_id % 7) AS citations FROM docs WHERE document_id % 2 = 0 GROUP BY title), b AS (SELECT title, min(text) AS text, min(document_id) AS id FROM docs WHERE document_id % 3 = 0 GROUP BY title) SELECT coalesce(b.title, a.title) AS title, id, citations FROM a FULL JOIN b ON a.title = b.title WHERE text IS NOT NULL")
+@query(f"WITH {DOCS}, a AS (SELECT title, max(document_id % 7) AS citations FROM docs GROUP BY title), b AS (SELECT title, min(text) AS text, min(document_id) AS id FROM docs GROUP BY title) SELECT coalesce(b.title, a.title) AS title, id, citations FROM a FULL JOIN b ON a.title = b.title WHERE text IS NOT NULL")
 def merge_by_title_upsert(spark, sf_dir):
     d = documents(spark, sf_dir)
-    a = d.filter("document_id % 2 = 0").groupBy("title").agg(F.max(F.col("document_id") % 7).alias("citations"))
-    b = d.filter("document_id % 3 = 0").groupBy("title").agg(F.min("text").alias("text"), F.min("document_id").alias("id"))
+    a = d.groupBy("title").agg(F.max(F.col("document_id") % 7).alias("citations"))
+    b = d.groupBy("title").agg(F.min("text").alias("text"), F.min("document_id").alias("id"))
     return a.join(b, "title", "full").filter("text is not null").select("title", "id", "citations")
 
 
@@ -236,10 +242,10 @@ def assign_nearest_topic(spark, sf_dir):
     return got.select("document_id", "nearest", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT DISTINCT lower(substr(tag, 2)) AS name FROM (SELECT unnest(regexp_extract_all(concat('#', source, ' #', lang, ' ', left(text, 10)), '#[\\p{L}\\p{N}_]+')) AS tag FROM documents)")
+@query("SELECT DISTINCT lower(substr(tag, 2)) AS name FROM (SELECT unnest(regexp_extract_all(concat('#', source, ' #', lang, ' ', text), '#[\\p{L}\\p{N}_]+')) AS tag FROM documents)")
 def zeroshot_topics_from_tags(spark, sf_dir):
-    told = F.concat(F.lit("#"), "source", F.lit(" #"), "lang", F.lit(" "), F.substring("text", 1, 10))
-    return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(told, F.lit(r"#[\p{L}\p{N}_]+"), F.lit(0))).alias("tag")).select(F.lower(F.substring("tag", 2, 1000)).alias("name")).distinct()
+    told = F.concat(F.lit("#"), "source", F.lit(" #"), "lang", F.lit(" "), "text")
+    return table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(told, F.lit(r"#[\p{L}\p{N}_]+"), F.lit(0))).alias("tag")).select(F.lower(F.regexp_replace("tag", "^#", "")).alias("name")).distinct()
 
 
 @query()
@@ -287,18 +293,18 @@ def embed_paragraphs(spark, sf_dir):
     return M.embed_paragraphs(p).select("document_id", "pos", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("length"))
 
 
-PIECES = "t AS (SELECT doc_id, regexp_extract_all(left(text, 2000), '\\S{1,4}') AS p, text FROM documents)"
-
-
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(left(text, 2000), '\\S+')) AS word FROM documents) SELECT doc_id, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS letters, round(avg((length(word) + 1) / 2.0), 6) AS centre FROM w GROUP BY doc_id""")
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS word FROM documents) SELECT doc_id, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS letters, round(avg((length(word) + 1) / 2.0), 6) AS centre FROM w GROUP BY doc_id""")
 def group_subword_tokens(spark, sf_dir):
-    """Single characters as pieces: a piece after white space begins a word; words are runs of pieces, their vectors means."""
-    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 2000), "")).alias("pos", "piece"))
-    in_order = Window.partitionBy("doc_id").orderBy("pos")
-    blank = F.col("piece").rlike(r"^\s*$")
-    flagged = pieces.withColumn("starts", ~blank & F.coalesce(F.lag(blank).over(in_order), F.lit(True))).withColumn("word", F.sum(F.col("starts").cast("int")).over(in_order)).filter(~blank)
-    inside = flagged.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "word").orderBy("pos")))
-    words = inside.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.avg("at").alias("centre"))
+    """Pieces of up to four characters with the blank before them, which marks the first of a word; words are runs of pieces, and
+    their vectors (here the places of their characters) are means."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\s?\S{1,4}"), F.lit(0))).alias("pos", "piece"))
+    starts = (F.col("pos") == 0) | F.col("piece").rlike(r"^\s")
+    size = F.length(F.regexp_replace("piece", r"^\s", ""))
+    in_order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = pieces.select("doc_id", "pos", starts.cast("int").alias("starts"), size.alias("size")).withColumn("word", F.sum("starts").over(in_order))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("doc_id", "word").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = marked.withColumn("before", before).select("doc_id", "word", "size", (F.col("size") * (F.col("before") + (F.col("size") + 1) / 2)).alias("sum"))
+    words = places.groupBy("doc_id", "word").agg(F.sum("size").alias("n"), (F.sum("sum") / F.sum("size")).alias("centre"))
     return words.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum("n").alias("letters"), F.round(F.avg("centre"), 6).alias("centre"))
 
 
@@ -332,10 +338,10 @@ def newsletter_table(spark, sf_dir):
     return F.broadcast(top).join(articles, "topic").select("topic", "place", "n", F.concat(F.lit("## Topic "), F.col("topic").cast("string"), F.lit("\n"), F.array_join(lines, "\n")).alias("markdown"))
 
 
-@query(f"""WITH {VECTORS}, d AS (SELECT v.topic, v.document_id, left(d.text, 2000) AS t, row_number() OVER (PARTITION BY v.topic ORDER BY v.document_id) AS k FROM vecs v JOIN docs d USING (document_id) WHERE v.topic != -1)
+@query(f"""WITH {VECTORS}, d AS (SELECT v.topic, v.document_id, d.text AS t, row_number() OVER (PARTITION BY v.topic ORDER BY v.document_id) AS k FROM vecs v JOIN docs d USING (document_id) WHERE v.topic != -1)
 SELECT topic, md5('Topic ' || topic || chr(10) || string_agg(t, chr(10) || '---' || chr(10) ORDER BY k)) AS digest FROM d WHERE k <= 5 GROUP BY topic""")
 def llm_context(spark, sf_dir):
-    d = O.top_per_group(_texts(spark, sf_dir), ["topic"], ["document_id"], 5, "k").select("topic", "k", F.substring("text", 1, 2000).alias("t"))
+    d = O.top_per_group(_texts(spark, sf_dir), ["topic"], ["document_id"], 5, "k").select("topic", "k", F.col("text").alias("t"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda s: s["t"]), "\n---\n")
     return d.groupBy("topic").agg(body.alias("body")).select("topic", F.md5(F.concat(F.lit("Topic "), F.col("topic").cast("string"), F.lit("\n"), "body")).alias("digest"))
 
@@ -393,7 +399,9 @@ def evolution_tuning(spark, sf_dir):
     return tuned.groupBy("topic", "ts").agg(F.count("*").alias("terms"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query()
+@query(f"""WITH {OVER}, gw AS (SELECT topic, term, sqrt(n / sum(n) OVER (PARTITION BY topic)) * ln(1 + a / f) AS s FROM gl JOIN gf USING (term), ga), gn AS (SELECT topic, term, s / sum(s) OVER (PARTITION BY topic) AS g FROM gw),
+held AS (SELECT DISTINCT topic, ts FROM ot), base AS (SELECT held.topic, ts, term, g FROM held JOIN gn USING (topic))
+SELECT topic, ts, count(*) AS terms, round(sum((coalesce(score, 0) + coalesce(g, 0)) / 2), 4) AS total FROM base FULL JOIN ot USING (topic, ts, term) GROUP BY topic, ts""")
 def global_tuning(spark, sf_dir):
     scores, overall = _over_time(spark, sf_dir)
     tuned = B.global_tuning(save(scores, "scores"), O.class_tfidf(overall, "topic"))
@@ -459,7 +467,11 @@ def phrase_match_embedding(spark, sf_dir):
 # ---- summaries
 
 
-@query()
+SENTENCES = f"""{DOCS}, parts AS (SELECT document_id, list_filter(list_transform(string_split(regexp_replace(string_split(text, '__')[-1], '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS s FROM docs),
+sentences AS (SELECT document_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos, unnest(s) AS sentence FROM parts)"""
+
+
+@query(f"WITH {SENTENCES} SELECT document_id, pos, sentence FROM sentences")
 def split_sentences(spark, sf_dir):
     return M.split_sentences(documents(spark, sf_dir), "document_id")
 
@@ -488,19 +500,12 @@ def chunk_summary(spark, sf_dir):
     return M.lexrank_summary(chunks.withColumnRenamed("chunk", "pos"), "document_id", most=6, share=1.0)
 
 
-@query()
+@query(f"""WITH {SENTENCES}, w AS (SELECT document_id, pos, list_sort(list_distinct(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM sentences),
+c AS (SELECT *, array_to_string(w, ' ') AS k FROM w WHERE len(w) > 0), f AS (SELECT k, min((document_id, pos)) AS first, count(*) - 1 AS links FROM c GROUP BY k HAVING count(*) > 1)
+SELECT document_id, pos, concat(first[1], ':', first[2]) AS class_id, links FROM c JOIN f USING (k)""")
 def near_duplicate_sentences(spark, sf_dir):
-    """Sentence pairs of close vectors: candidates by locality-sensitive hashing, then their exact distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    s = M.split_sentences(documents(spark, sf_dir).filter("lang = 'es'"), "document_id").filter(F.length("sentence") > 60)
-    once = s.groupBy("sentence").agg(F.min(F.struct("document_id", "pos")).alias("id")).select(F.concat_ws(":", "id.document_id", "id.pos").alias("id"), "sentence")
-    hashed = save(once.withColumn("e", M.hashed_vector(F.split(F.lower("sentence"), " "))), "hashed").withColumn("length", V.norm(F.col("e")))
-    rows = save(hashed.withColumn("e", F.zip_with("e", F.array_repeat("length", M.DIM), lambda x, n: x.cast("double") / n)).drop("length"), "sentences").withColumn("v", array_to_vector("e"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=2, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, 0.45, "distance")
-    return pairs.filter("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2"), F.round("distance", 6).alias("distance")).orderBy("distance", "id1", "id2").limit(100)
+    """Sentences of all documents that have the same words, as classes."""
+    return M.word_set_duplicates(M.split_sentences(documents(spark, sf_dir), "document_id"), "document_id")
 
 
 # ---- streams
@@ -510,10 +515,14 @@ def _feed(spark, sf_dir) -> DataFrame:
     """The activity as a stream of json lines files in time order."""
     path = scratch(spark, "feed")
     a = activity(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    a.select("document_id", "topic", "source", "ts").repartitionByRange(6, "ts").write.json(path)
+    a.select("document_id", "topic", "source", "ts").repartitionByRange(6, "ts").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     return streams.stream_feed(spark, path, "document_id long, topic long, source string, ts timestamp")
 
 
+def _local_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
 def _drain(spark, df, mode="append"):
     return streams.drain(df, scratch(spark, "sink"), scratch(spark, "progress"), mode)
 
@@ -535,14 +544,17 @@ def stream_period_counts(spark, sf_dir):
     return _drain(spark, df).select(F.col("period").cast("timestamp_ntz").alias("period"), "topic", "n")
 
 
-@query()
+@query(f"""WITH {ACTIVITY}, w AS (SELECT topic, unnest([time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 2 DAY * k FOR k IN [0, 1, 2, 3]]) AS start, ts FROM acts)
+SELECT start, start + INTERVAL 7 DAY AS "end", topic, count(*) AS n FROM w WHERE ts < start + INTERVAL 7 DAY AND start + INTERVAL 7 DAY <= (SELECT max(ts) FROM acts) - INTERVAL 2 DAY GROUP BY ALL""")
 def stream_sliding_popularity(spark, sf_dir):
-    return _drain(spark, streams.sliding_counts(_feed(spark, sf_dir), "7 days", "2 days", ["topic"]))
+    return _local_times(_drain(spark, streams.sliding_counts(_feed(spark, sf_dir), "7 days", "2 days", ["topic"])))
 
 
-@query()
+@query(f"""WITH {ACTIVITY}, g AS (SELECT topic, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM acts WINDOW w AS (PARTITION BY topic ORDER BY ts)),
+s AS (SELECT topic, ts, sum(new) OVER (PARTITION BY topic ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), e AS (SELECT topic, min(ts) AS start, max(ts) + INTERVAL 20 MINUTE AS "end", count(*) AS n FROM s GROUP BY topic, k)
+SELECT * FROM e WHERE "end" <= (SELECT max(ts) FROM acts) - INTERVAL 2 DAY""")
 def stream_session_topics(spark, sf_dir):
-    return _drain(spark, streams.sessions(_feed(spark, sf_dir), "20 minutes", ["topic"]))
+    return _local_times(_drain(spark, streams.sessions(_feed(spark, sf_dir), "20 minutes", ["topic"])))
 
 
 @query(f"WITH {SERIES} SELECT topic, CAST(step AS VARCHAR) AS step, round(s.popularity, 6) AS popularity FROM summed u JOIN series s USING (topic, seq) WHERE kind = 1")
@@ -550,7 +562,7 @@ def stream_popularity_state(spark, sf_dir):
     log, path = merge_log(spark, sf_dir), scratch(spark, "merges")
     first = O.top_per_group(log, ["topic1"], ["merge_ts"], 1).select("topic1", "merge_ts", F.col("document_count1").alias("base"))
     rows = log.join(first, ["topic1", "merge_ts"], "left").select(F.col("topic1").alias("topic"), F.col("merge_ts").cast("string").alias("step"), (F.col("document_count2") + F.coalesce("base", F.lit(0))).cast("double").alias("amount"))
-    rows.coalesce(1).sortWithinPartitions("step").write.json(path)
+    rows.repartitionByRange(6, "step").write.json(path)
     df = streams.stream_feed(spark, path, "topic long, step string, amount double")
     return _drain(spark, streams.popularity_state(df, G)).withColumn("popularity", F.round("popularity", 6))
 
@@ -572,12 +584,14 @@ def stream_merge(spark, sf_dir):
     return spark.read.parquet(f"{home}/{max(versions)}")
 
 
-@query()
+@query(f"""WITH {ACTIVITY}, w AS (SELECT time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') AS period, source, ts, ts >= TIMESTAMP '2024-01-20' AS early FROM acts), m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM acts)
+SELECT period, source, count(*) AS n FROM w, m WHERE period + INTERVAL 2 DAY <= mark AND early GROUP BY ALL""")
 def stream_late_data(spark, sf_dir):
-    """The newest rows arrive first; what is then older than the watermark is dropped from the counts."""
-    path = scratch(spark, "late")
+    """The newest rows arrive first; what comes in a later run and is older than the watermark is dropped from the counts."""
+    path, sink, progress = scratch(spark, "late"), scratch(spark, "sink"), scratch(spark, "progress")
     a = activity(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select("document_id", "topic", "source", "ts")
-    a.filter("ts >= '2024-01-20'").coalesce(1).write.json(path)
-    a.filter("ts < '2024-01-20'").coalesce(1).write.mode("append").json(path)
-    df = streams.stream_feed(spark, path, "document_id long, topic long, source string, ts timestamp", 1)
-    return _drain(spark, streams.period_counts(df, 2, ["source"], "0 days", "2 days"))
+    for rows in (a.filter("ts >= '2024-01-20'"), a.filter("ts < '2024-01-20'")):
+        rows.write.mode("append").json(path)
+        feed = streams.stream_feed(spark, path, "document_id long, topic long, source string, ts timestamp")
+        counts = streams.drain(streams.period_counts(feed, 2, ["source"], "0 days", "2 days"), sink, progress)
+    return counts.select(F.col("period").cast("timestamp_ntz").alias("period"), "source", "n")

@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors as V
 from tidemark.operators import cleaning as C, merging, signals as S, topics as O
+from tidemark.operators.written import save, scratch
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
-from tidemark.plans.cleaning import scratch
 
 G = 2
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ---- joins and topic frames
 
 
@@ -28,7 +22,7 @@ def attach_topic_to_paragraphs(spark, sf_dir):
     return documents(spark, sf_dir).join(v, "document_id", "left").select("document_id", "topic", "source", "url")
 
 
-INFO = "info AS (SELECT period, topic, count(*) AS count, count(DISTINCT document_id) AS document_count, list_sort(list(DISTINCT source)) AS sources, list_sort(list(DISTINCT url)) AS urls FROM vecs GROUP BY period, topic)"
+INFO = "info AS (SELECT period, topic, count(*) AS count, count(DISTINCT document_id) AS document_count, list_sort(list(DISTINCT source)) AS sources FROM vecs GROUP BY period, topic)"
 
 
 @query(f"WITH {VECTORS}, {INFO} SELECT period, topic, count, document_count, array_to_string(sources, ',') AS sources FROM info")
@@ -36,9 +30,10 @@ def topic_info(spark, sf_dir):
     return O.topic_info(vectors(spark, sf_dir)).select("period", "topic", "count", "document_count", F.array_join("sources", ",").alias("sources"))
 
 
-@query(f"WITH {VECTORS}, {INFO} SELECT period, topic, document_count, len(sources) AS n_sources, array_to_string(urls, ' ') AS urls FROM info")
+@query(f"WITH {VECTORS}, {INFO} SELECT DISTINCT period, topic, document_count, len(sources) AS n_sources, url FROM info JOIN vecs USING (period, topic)")
 def topic_info_enrich(spark, sf_dir):
-    return O.topic_info(vectors(spark, sf_dir)).select("period", "topic", "document_count", F.size("sources").cast("long").alias("n_sources"), F.array_join("urls", " ").alias("urls"))
+    v = vectors(spark, sf_dir)
+    return O.topic_info(v).select("period", "topic", "document_count", F.size("sources").cast("long").alias("n_sources")).join(O.topic_urls(v), ["period", "topic"])
 
 
 CENTROIDS = """cent AS (SELECT period, topic, list(m ORDER BY i) AS c FROM (SELECT period, topic, i, avg(embedding[i]) AS m FROM vecs, range(1, 65) AS r(i) WHERE topic != -1 GROUP BY period, topic, i) GROUP BY period, topic)"""

@@ -66,9 +66,10 @@ def union_feeds(parts: list[DataFrame], key: str = "title", order: list[str] | N
     return both.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
-def latest_feed_file(df: DataFrame) -> DataFrame:
-    """Only the rows of the most recently written file of a feed."""
-    rows = df.withColumn("__at", F.col("_metadata.file_modification_time")).withColumn("__file", F.col("_metadata.file_path"))
+def latest_feed_file(df: DataFrame, delivery: str = "[^/]*$") -> DataFrame:
+    """Only the rows of the most recently written file of a feed, or of all files of the same delivery: ``delivery`` is a
+    pattern for the part of the path that names it."""
+    rows = df.withColumn("__at", F.col("_metadata.file_modification_time")).withColumn("__file", F.regexp_extract("_metadata.file_path", delivery, 0))
     newest = rows.agg(F.max(F.struct("__at", "__file"))["__file"].alias("__file"))
     return rows.join(F.broadcast(newest), "__file", "left_semi").drop("__at", "__file")
 

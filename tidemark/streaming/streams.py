@@ -47,14 +47,14 @@ def popularity_state(df: DataFrame, g: int, factor: float = 0.01, power: float =
     def update(key, batches, state):
         popularity, last = state.get if state.exists else (0.0, None)
         out = []
-        for df in batches:
-            for step, amount in df.sort_values("step")[["step", "amount"]].itertuples(index=False):
-                if last is not None:
-                    idle = (pd.Timestamp(step) - pd.Timestamp(last)).days // g - 3
-                    for n in range(1, idle + 1):
-                        popularity *= math.exp(-factor * n**power)
-                popularity, last = popularity + amount, str(step)
-                out.append((key[0], str(step), popularity))
+        # a topic's steps of one trigger are few, but may come in any order
+        for step, amount in pd.concat(list(batches)).sort_values("step")[["step", "amount"]].itertuples(index=False):
+            if last is not None:
+                idle = (pd.Timestamp(step) - pd.Timestamp(last)).days // g - 3
+                for n in range(1, idle + 1):
+                    popularity *= math.exp(-factor * n**power)
+            popularity, last = popularity + amount, str(step)
+            out.append((key[0], str(step), popularity))
         state.update((popularity, last))
         yield pd.DataFrame(out, columns=["topic", "step", "popularity"])
 
