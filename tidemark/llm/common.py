@@ -23,16 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; in local mode alone, one of our own where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The table, after telling the session to hand Python batches of few rows and bytes, so that long texts fit."""
+    """The table, after telling the session to hand Python batches of few rows and bytes, so that long texts fit.
+
+    The two settings stay as they are when a lazy table runs, so they can't be given back; they change no result.
+    """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
