@@ -1,9 +1,9 @@
 """Operator 4: shards by vector bin packing over bytes, tokens and rows.
 
 Documents with equal texts are a group. Groups are gathered by hash into atoms, a fixed number for any input, and a group too large
-for an atom is split over atoms of its own by the hash of doc_id. Each atom is a vector of bytes, tokens and rows in
+for an atom is split over atoms of its own by the hash of doc_id (by place in the input, where one doc_id alone is too large). Each atom is a vector of bytes, tokens and rows in
 shares of the totals. Atoms are placed from the largest on, each into the shard whose residual capacity has the highest dot
-product with the atom's vector; shards without room for its bytes come last. Only the atoms' sums, bounded in number, are
+product with the atom's vector; shards without room for its bytes come last (then the emptiest is taken). Only the atoms' sums, bounded in number, are
 seen by the driver. The law is ``bytes``: the shards' sizes are near equal.
 
 A row's slot is its atom's offset in the shard plus its place in the atom, so no shard is sorted as a whole.
@@ -46,14 +46,16 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law) of each row."""
     text = F.coalesce("text", F.lit(""))
     rows = saved(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                             F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.xxhash64(text).alias("g")), "rows")
+                             F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.xxhash64(text).alias("g"), F.monotonically_increasing_id().alias("at")), "rows")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
     part = max(1, total // (shards * PARTS))  # so at most shards * PARTS groups are larger
     heavy = rows.groupBy("g").agg(F.sum("size").alias("b")).filter(F.col("b") > part).select(F.col("g").alias("heavy"), F.ceil(F.col("b") / part).alias("k"))
+    # at most as many ids, null among them, hold so much of one text
+    single = rows.groupBy("g", "doc_id").agg(F.sum("size").alias("b")).filter(F.col("b") > part).select(F.col("g").alias("one_g"), F.col("doc_id").alias("one_id"), F.lit(True).alias("one"))
     atoms = shards * ATOMS
-    salted = rows.join(F.broadcast(heavy), rows["g"] == F.col("heavy"), "left")
-    spread = F.pmod(F.xxhash64("doc_id", "g"), F.col("k"))
-    placed = salted.withColumn("atom", F.when(F.col("k").isNull(), F.pmod(F.xxhash64("g", F.lit(1)), F.lit(atoms))).otherwise(F.pmod(F.xxhash64("g", spread), F.lit(atoms)) + atoms)).drop("g", "k", "heavy")
+    salted = rows.join(F.broadcast(heavy), rows["g"] == F.col("heavy"), "left").join(F.broadcast(single), (rows["g"] == F.col("one_g")) & rows["doc_id"].eqNullSafe(F.col("one_id")), "left")
+    spread = F.pmod(F.when(F.col("one"), F.xxhash64("at")).otherwise(F.xxhash64("doc_id", "g")), F.col("k"))
+    placed = salted.withColumn("atom", F.when(F.col("k").isNull(), F.pmod(F.xxhash64("g", F.lit(1)), F.lit(atoms))).otherwise(F.pmod(F.xxhash64("g", spread), F.lit(atoms)) + atoms)).drop("g", "k", "heavy", "one_g", "one_id", "one", "at")
     sums = placed.groupBy("atom").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("atom").toPandas()
     if len(sums):
         sums["shard"] = pack(sums[["b", "t", "n"]].to_numpy(float), shards).astype(np.int32)
