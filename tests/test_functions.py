@@ -33,11 +33,11 @@ def test_urls(spark):
 
 
 def test_topic_word_metrics(spark):
-    words = spark.createDataFrame([(0, ["w1", "w2", "w3"]), (1, ["w2", "w3", "w4"]), (2, ["w3", "w4", "w5"])], "topic int, words array<string>")
-    assert O.unique_word_share(words, 3).first()[0] == pytest.approx(5 / 9)
-    assert O.unique_word_share(words, 2).first()[0] == pytest.approx(4 / 6)
-    assert O.jaccard_diversity(words, 3).first()[0] == pytest.approx(0.6)
-    assert O.jaccard_diversity(words.limit(1), 3).first()[0] is None
+    words = spark.createDataFrame([(0, ["sea", "tide", "sand", "boat"]), (1, ["tide", "moon", "boat", "net"])], "topic int, words array<string>")
+    assert O.unique_word_share(words, 4).first()[0] == pytest.approx(6 / 8)
+    assert O.unique_word_share(words, 2).first()[0] == pytest.approx(3 / 4)
+    assert O.jaccard_diversity(words, 4).first()[0] == pytest.approx(1 - 2 / 6)
+    assert O.jaccard_diversity(words.limit(1), 4).first()[0] is None
 
 
 def test_perfect_article(spark):
@@ -48,8 +48,8 @@ def test_perfect_article(spark):
 
 def test_overall_stability(spark):
     rows = lambda s: spark.createDataFrame([(0, "a", "b", s), (1, None, None, 0.0)], "topic int, start_ts string, end_ts string, score double")
-    got = {r["topic"]: r["score"] for r in B.overall_stability(rows(0.92), rows(0.95), 0.5).collect()}
-    assert got == {0: pytest.approx(0.935), 1: 0.0}
+    got = {r["topic"]: r["score"] for r in B.overall_stability(rows(0.4), rows(0.8), 0.25).collect()}
+    assert got == {0: pytest.approx(0.7), 1: 0.0}
     with pytest.raises(ValueError):
         B.embedding_stability(rows(1.0), 1)
 
