@@ -65,12 +65,29 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
 _FIVE = " + ".join(f"CAST(substr(b, CAST(5 * i + {k + 1} AS INTEGER), 1) AS INTEGER) * {16 >> k}" for k in range(5))
 
+#: The contract's base patterns in plain form, and what a match must be.
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END))"
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(v, '.'), lambda x: coalesce(TRY_CAST(x AS BIGINT), 256))) <= 255"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN} % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+}
+_CUTS = ", ".join(f"""{k}_m AS (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS s FROM d WHERE regexp_matches(t, '{p}')),
+{k}_a AS (SELECT doc_id, i, m[i] AS v, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {k}_m)),
+{k} AS (SELECT doc_id, count(*) AS n, string_agg(concat('{k}:', CAST(a AS BIGINT), ':', CAST(a + length(v) AS BIGINT)), ',' ORDER BY a) AS s FROM {k}_a WHERE {fine} GROUP BY doc_id)""" for k, (p, fine) in _KINDS.items())
+
 ORACLE_SQL = {
     "op1_block_matrix_nearest": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    # base spans only: no entity of the given tables has the three contexts that a disclosing term takes
+    "op2_information_theoretic_pii": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_CUTS},
+j AS (SELECT d.doc_id, {", ".join(f"coalesce({k}.n, 0) AS n_{k}" for k in _KINDS)}, concat_ws(',', {", ".join(f"{k}.s" for k in _KINDS)}) AS spans FROM d {" ".join(f"LEFT JOIN {k} ON d.doc_id = {k}.doc_id" for k in _KINDS)})
+SELECT *, sha256(spans) AS base_sha256, CAST(0 AS BIGINT) AS n_term FROM j""",
     "op8_tiled_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
