@@ -64,6 +64,14 @@ def test_all_periods_equal_a_simulation(spark):
     assert sorted((str(x["merge_ts"]), x["topic1"], x["topic2"], x["document_count1"], x["document_count2"]) for x in log.collect()) == sorted(merges) and merges
 
 
+def test_merging_a_stream_equals_merging_at_once(spark, small):
+    from tidemark.plans import bindings, reports
+
+    got = {(r["topic"], str(r["birth"]), r["document_count"]) for r in reports.stream_merge_step(spark, small).collect()}
+    registry, _ = merging.merge_all_periods(O.period_topics(bindings.vectors(spark, small)), bindings.SIMILARITY, save)
+    assert got == {(r["topic"], str(r["birth"]), r["document_count"]) for r in registry.collect()} and got
+
+
 @pytest.mark.parametrize("bound", [20_000, 3])
 def test_best_match_in_blocks(spark, monkeypatch, bound):
     monkeypatch.setattr(O, "BROADCAST_ROWS", bound)

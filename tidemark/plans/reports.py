@@ -584,6 +584,16 @@ def stream_merge(spark, sf_dir):
     return spark.read.parquet(f"{home}/{max(versions)}")
 
 
+@query()
+def stream_merge_step(spark, sf_dir):
+    """The topics of each period arrive as a stream and are matched against the registry; the registry at its end."""
+    path = scratch(spark, "period_topics")
+    topics = O.period_topics(vectors(spark, sf_dir))
+    topics.repartitionByRange(3, "period").write.parquet(path)
+    feed = spark.readStream.schema(topics.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    return streams.merge_periods(feed, SIMILARITY, scratch(spark, "registry"), scratch(spark, "progress")).select("topic", "birth", "count", "document_count")
+
+
 @query(f"""WITH {ACTIVITY}, w AS (SELECT time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') AS period, source, ts, ts >= TIMESTAMP '2024-01-20' AS early FROM acts), m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM acts)
 SELECT period, source, count(*) AS n FROM w, m WHERE period + INTERVAL 2 DAY <= mark AND early GROUP BY ALL""")
 def stream_late_data(spark, sf_dir):

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.merging import merge_step
+from tidemark.operators.written import save
+
 
 def stream_feed(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
     """New json lines files of a folder as a stream."""
@@ -73,3 +76,32 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Da
 def for_each_batch(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand each micro-batch to ``step`` (batch, id); steps write by batch id, so a repeated batch changes nothing."""
     df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def merge_periods(df: DataFrame, minimum: float, home: str, checkpoint: str) -> DataFrame:
+    """Merge a stream of period topics (period, topic, embedding, count, document_count, sources) into a registry, period by period.
+
+    Each micro-batch reads the registry that the one before it wrote and writes its own under its id, with the last
+    period merged so far, so a repeated batch changes nothing. Periods have to arrive in order; those of one batch are sorted.
+    """
+    versions: list[int] = []
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        topics = batch.persist()
+        registry, previous = None, None
+        if batch_id:
+            held = batch.sparkSession.read.parquet(f"{home}/{batch_id - 1}")
+            registry, previous = held.drop("upto"), held.agg(F.max("upto")).first()[0]
+        for (period,) in topics.select("period").distinct().orderBy("period").collect():
+            own = topics.filter(F.col("period") == F.lit(period)).drop("period")
+            if registry is None:
+                registry = own.select(F.col("topic").cast("long").alias("topic"), F.lit(period).alias("birth"), "embedding", "count", "document_count", "sources")
+            else:
+                registry = save(merge_step(registry, own, str(previous), minimum)[0], "registry")
+            previous = period
+        registry.withColumn("upto", F.lit(previous)).write.mode("overwrite").parquet(f"{home}/{batch_id}")
+        topics.unpersist()
+        versions.append(batch_id)
+
+    for_each_batch(df, step, checkpoint)
+    return df.sparkSession.read.parquet(f"{home}/{max(versions)}").drop("upto")
