@@ -130,10 +130,13 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, posterior: float = 0.5,
     often = contexts.groupBy("entity").agg(F.sum("n").alias("mentions"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
     often = saved(often.select("entity", "mentions", F.col("mentions").alias("n")), "entities")
     told = often.agg(F.sum("n").alias("n")).first()["n"]
+    none = often.select(F.lit("").alias("term"), "entity", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("information")).filter("false")
     if told is None:
-        return often.select(F.lit("").alias("term"), "entity", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("information"))
+        return none
     met = attach(around, often, ["entity"], "n", told).filter("mentions is not null").select("entity", "mentions", "context", F.explode("terms").alias("term"))
     pairs = saved(met.groupBy("entity", "term").agg(F.first("mentions").alias("mentions"), F.count("*").alias("together"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= support), "pairs")
+    if pairs.isEmpty():
+        return none
     counted = docs.select(F.explode_outer(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     total = found.count()
     p = F.col("together") / F.greatest("n", "together")
