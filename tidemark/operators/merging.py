@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.topics import best_match
+from tidemark.operators.written import scratch
 
 LOG = "merge_ts date, topic1 long, topic2 int, similarity double, count1 long, count2 long, document_count1 long, document_count2 long, sources1 array<string>, sources2 array<string>"
 
@@ -34,18 +35,20 @@ def merge_step(registry: DataFrame, topics: DataFrame, previous: str, minimum: f
 
 
 def merge_all_periods(topics: DataFrame, minimum: float, save: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Fold the periods in time order: (registry, merge log). Each step's few rows are written by ``save``."""
+    """Fold the periods in time order: (registry, merge log). Each step's few rows are written by ``save``, the logs of all steps to
+    one table."""
+    spark = topics.sparkSession
     dates = [r["period"] for r in topics.select("period").distinct().orderBy("period").collect()]
-    topics = save(topics, "period_topics")
-    registry, logs = None, None
+    topics, logs = save(topics, "period_topics"), scratch(spark, "merge_logs")
+    registry = None
     for previous, period in zip([None, *dates], dates):
         own = topics.filter(F.col("period") == F.lit(period)).drop("period")
         if registry is None:
             registry = save(own.select(F.col("topic").cast("long").alias("topic"), F.lit(str(period)).cast("date").alias("birth"), "embedding", "count", "document_count", "sources"), "registry")
             continue
         grown, log, _ = merge_step(registry, own, str(previous), minimum)
-        registry, log = save(grown, "registry"), save(log, "log")
-        logs = log if logs is None else logs.unionByName(log)
-    if logs is None:
-        logs = topics.sparkSession.createDataFrame([], LOG)
-    return registry, logs
+        registry = save(grown, "registry")
+        log.write.mode("append").parquet(logs)
+    if len(dates) < 2:
+        spark.createDataFrame([], LOG).write.parquet(logs)
+    return registry, spark.read.schema(LOG).parquet(logs)
