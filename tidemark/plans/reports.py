@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors as V
 from tidemark.operators import cleaning as C, scoring as Q, signals as S, stability as B, summaries as M, topics as O
+from tidemark.plans.cleaning import PARAGRAPHS
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
 from tidemark.operators.written import save, scratch
 from tidemark.plans.trends import CLASSES, G, INFO, LOG, ONE_DATE, SERIES, _classes, merge_log
@@ -287,7 +288,7 @@ def representative_docs(spark, sf_dir):
     return by_score.union(titles.select("topic", "document_id")).distinct()
 
 
-@query()
+@query(f"WITH {PARAGRAPHS} SELECT document_id, pos, CAST({M.DIM} AS INTEGER) AS dim, CAST(1 AS DOUBLE) AS length FROM paragraphs")
 def embed_paragraphs(spark, sf_dir):
     p = C.split_paragraphs(documents(spark, sf_dir).select("document_id", "text"), 50)
     return M.embed_paragraphs(p).select("document_id", "pos", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("length"))

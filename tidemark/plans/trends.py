@@ -341,9 +341,13 @@ def running_distinct_sources(spark, sf_dir):
 ZERO = f"""{LOG}, z AS (SELECT CAST(CASE WHEN topic % 2 = 0 THEN 'even' ELSE 'odd' END || (topic % 3) AS VARCHAR) AS name, period AS ts, sum(d) AS document_count FROM kept WHERE topic < 4 GROUP BY ALL)"""
 
 
-@query()
+@query(f"""WITH {LOG}, z AS (SELECT CASE WHEN topic1 % 2 = 0 THEN 'even' ELSE 'odd' END || CAST(topic1 % 3 AS VARCHAR) AS name, CAST(merge_ts + {G} AS DATE) AS ts, sum(document_count2) AS c FROM log GROUP BY ALL),
+grid AS (SELECT CAST(unnest(generate_series((SELECT min(ts) FROM z), (SELECT max(ts) FROM z), INTERVAL {G} DAY)) AS DATE) AS ts), names AS (SELECT DISTINCT name FROM z UNION ALL SELECT 'never'),
+r AS (SELECT n.name, g.ts, z.c, row_number() OVER (PARTITION BY n.name ORDER BY g.ts) AS k FROM names n CROSS JOIN grid g LEFT JOIN z ON z.name = n.name AND z.ts = g.ts),
+i AS (SELECT *, k - coalesce(max(CASE WHEN c IS NOT NULL THEN k END) OVER (PARTITION BY name ORDER BY ts), 0) AS idle FROM r), d AS (SELECT *, sum(CASE WHEN c IS NULL THEN 0.01 * idle * idle ELSE 0 END) OVER (PARTITION BY name ORDER BY ts) AS dd FROM i)
+SELECT b.name, b.ts, round(sum(coalesce(a.c, 0) * exp(CAST(a.dd - b.dd AS DOUBLE))), 6) AS popularity FROM d a JOIN d b ON a.name = b.name AND a.ts <= b.ts GROUP BY b.name, b.ts""")
 def zeroshot_trend(spark, sf_dir):
-    log = merge_log(spark, sf_dir).filter("topic1 < 4")
+    log = merge_log(spark, sf_dir)
     name = F.concat(F.when(F.col("topic1") % 2 == 0, "even").otherwise("odd"), (F.col("topic1") % 3).cast("string"))
     info = log.groupBy(name.alias("name"), F.date_add("merge_ts", G).alias("ts")).agg(F.sum("document_count2").alias("document_count"))
     names = info.select("name").distinct().union(spark.range(1).select(F.lit("never").alias("name")))
@@ -394,10 +398,10 @@ def signals_with_urls(spark, sf_dir):
     return _classes(spark, sf_dir).join(u, "topic", "left").select("topic", "category", F.array_join("s", " ").alias("urls"))
 
 
-@query(f"WITH {SERIES}, {ONE_DATE}, {CLASSES}, j AS (SELECT user_id % 10 AS topic, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events WHERE user_id % 10 % 2 = 0 GROUP BY 1) SELECT topic, category, k FROM classes LEFT JOIN j USING (topic)")
+@query(f"WITH {SERIES}, {ONE_DATE}, {CLASSES}, j AS (SELECT user_id % 10 AS topic, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1) SELECT topic, category, k FROM classes LEFT JOIN j USING (topic)")
 def signals_with_interpretation(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    told = e.filter("user_id % 10 % 2 = 0").groupBy((F.col("user_id") % 10).alias("topic")).agg(F.max(F.from_json("props", "k bigint")["k"]).alias("k"))
+    told = e.groupBy((F.col("user_id") % 10).alias("topic")).agg(F.max(F.from_json("props", "k bigint")["k"]).alias("k"))
     return _classes(spark, sf_dir).join(told, "topic", "left").select("topic", "category", "k")
 
 
