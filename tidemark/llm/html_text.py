@@ -57,6 +57,7 @@ SAME_SHARE, ARTICLE_SHARE, LEAST_PAGES = 0.6, 0.9, 3
 REFERENCES, OUTLINE_CHARS = 4, 20_000
 #: Word hashes kept of a page to tell near copies, and the similarity from which on pages are near copies.
 SKETCH, COPY = 64, 0.6
+LONG_WORD = re.compile(r"\S{6,}")
 #: Elements nested deeper than this (side matter: 50 more) stand beside each other; their text is kept.
 DEPTH = 150
 #: Cells of an alignment's table that are held at once.
@@ -368,12 +369,9 @@ def align(tree: list, hashes: list[int], other: list, labelled: dict[int, int] |
 
 
 def sketch(runs: list[Run]) -> list[int]:
-    """The smallest hashes of the words in longer runs, to tell near copies."""
-    words: set[str] = set()
-    for r in runs:
-        if len(r.text) >= 80:
-            words.update(r.text.split())
-    return sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words)[:SKETCH]
+    """The smallest hashes of the longer words in longer runs, to tell near copies."""
+    words = set(LONG_WORD.findall(" ".join([r.text for r in runs if len(r.text) >= 80])))
+    return sorted([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words])[:SKETCH]
 
 
 def near_copies(a: list[int], b: list[int]) -> bool:
