@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors as V
-from tidemark.operators import cleaning as C, scoring as Q, signals as S, stability as B, summaries as M, topics as O
+from tidemark.operators import cleaning as C, scoring as Q, stability as B, summaries as M, topics as O
 from tidemark.plans.cleaning import PARAGRAPHS
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
 from tidemark.operators.written import save, scratch
-from tidemark.plans.trends import CLASSES, G, INFO, LOG, ONE_DATE, SERIES, _classes, merge_log
+from tidemark.plans.trends import CLASSES, G, ONE_DATE, SERIES, _classes, merge_log
 from tidemark.streaming import streams
 
 # ---- counts and distributions

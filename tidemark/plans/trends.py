@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, text as T, vectors as V
-from tidemark.operators import cleaning as C, merging, signals as S, topics as O
+from tidemark.functions import vectors as V
+from tidemark.operators import merging, signals as S, topics as O
 from tidemark.operators.written import save, scratch
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
 
