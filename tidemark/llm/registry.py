@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontaminate, html_text, language_id, ngram_join, pii, sharding, token_counts, warc
+from tidemark.llm import ann, bpe, decontaminate, filter_audit, html_text, language_id, ngram_join, pii, sharding, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -60,7 +60,11 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.filter(F.col("gap").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage)}
+def op11_gray_code_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage, op11_gray_code_filter_audit)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
 _FIVE = " + ".join(f"CAST(substr(b, CAST(5 * i + {k + 1} AS INTEGER), 1) AS INTEGER) * {16 >> k}" for k in range(5))
@@ -98,4 +102,16 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id
 bits AS (SELECT *, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: [{_NIBBLES}][instr('0123456789abcdef', c)]), '') AS b FROM f)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('{_UPPER}234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
 CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM bits""",
+    "op11_gray_code_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END
++ CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+states AS (SELECT part, s, count(*) FILTER (mask & s = 0) AS n, coalesce(sum(good) FILTER (mask & s = 0), 0) AS good, coalesce(sum(toxic) FILTER (mask & s = 0), 0) AS toxic FROM m, range(0, 32) AS r(s) GROUP BY part, s),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+own AS (SELECT part, c, count(*) FILTER (mask & b > 0) AS failing, count(*) FILTER (mask = b) AS alone FROM m, f GROUP BY part, c),
+o AS (SELECT f1.c || f2.c || f3.c || f4.c || f5.c AS o, [0, f1.b, f1.b + f2.b, f1.b + f2.b + f3.b, f1.b + f2.b + f3.b + f4.b, 31] AS s FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.b | f2.b | f3.b | f4.b | f5.b = 31),
+x AS (SELECT o, k AS step, substr(o, CAST(k AS INTEGER), 1) AS c, s[k] AS was, s[k + 1] AS now FROM o, range(1, 6) AS r(k)),
+r AS (SELECT a.part, o, step, x.c, b.n AS kept, a.n - b.n AS removed, failing - (a.n - b.n) AS redundant, alone, a.good - b.good AS good_lost, a.toxic - b.toxic AS toxic_lost FROM x JOIN states a ON a.s = was JOIN states b ON b.s = now AND b.part = a.part JOIN own ON own.part = a.part AND own.c = x.c)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, alone AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r""",
 }
