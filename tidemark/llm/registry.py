@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontaminate, filter_audit, html_text, language_id, ngram_join, pii, sharding, token_counts, warc
+from tidemark.llm import ann, bpe, decontaminate, filter_audit, html_text, language_id, negatives, ngram_join, pii, sharding, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -64,7 +64,12 @@ def op11_gray_code_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage, op11_gray_code_filter_audit)}
+def op12_multi_index_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage, op11_gray_code_filter_audit, op12_multi_index_hard_negatives)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
 _FIVE = " + ".join(f"CAST(substr(b, CAST(5 * i + {k + 1} AS INTEGER), 1) AS INTEGER) * {16 >> k}" for k in range(5))
@@ -114,4 +119,10 @@ o AS (SELECT f1.c || f2.c || f3.c || f4.c || f5.c AS o, [0, f1.b, f1.b + f2.b, f
 x AS (SELECT o, k AS step, substr(o, CAST(k AS INTEGER), 1) AS c, s[k] AS was, s[k + 1] AS now FROM o, range(1, 6) AS r(k)),
 r AS (SELECT a.part, o, step, x.c, b.n AS kept, a.n - b.n AS removed, failing - (a.n - b.n) AS redundant, alone, a.good - b.good AS good_lost, a.toxic - b.toxic AS toxic_lost FROM x JOIN states a ON a.s = was JOIN states b ON b.s = now AND b.part = a.part JOIN own ON own.part = a.part AND own.c = x.c)
 SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, alone AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r""",
+    "op12_multi_index_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM m WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank FROM p JOIN m ON m.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
