@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, decontaminate, filter_audit, html_text, language_id, negatives, ngram_join, pii, sharding, token_counts, warc
+from tidemark.llm import ann, bpe, decontaminate, filter_audit, html_text, language_id, mixing, negatives, ngram_join, pii, sharding, token_counts, warc
 from tidemark.llm.common import table
 
 
@@ -69,7 +69,11 @@ def op12_multi_index_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFra
     return negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage, op11_gray_code_filter_audit, op12_multi_index_hard_negatives)}
+def op13_low_discrepancy_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_matrix_nearest, op2_information_theoretic_pii, op3_wrapper_induction, op4_vector_bin_packing, op5_kneser_ney_language, op6_transducer_token_counts, op7_template_decontamination, op8_tiled_ngram_join, op9_segment_tree_bpe, op10_warc_salvage, op11_gray_code_filter_audit, op12_multi_index_hard_negatives, op13_low_discrepancy_mixture)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
 _FIVE = " + ".join(f"CAST(substr(b, CAST(5 * i + {k + 1} AS INTEGER), 1) AS INTEGER) * {16 >> k}" for k in range(5))
