@@ -80,16 +80,16 @@ def test_search_stops_before_the_end():
     index = N.CellIndex(np.arange(4000), np.zeros(4000, int), x, (N.codebook(x[:600, :8]), N.codebook(x[:600, 8:])))
     looked, inner = 0, N.scores
 
-    def counted(rows, anchor):
+    def counted(rows, anchor, small):
         nonlocal looked
         looked += len(rows)
-        return inner(rows, anchor)
+        return inner(rows, anchor, small)
 
-    N.scores = counted
+    N.scores, batch, N.BATCH = counted, N.BATCH, 256
     try:
         for q in x[:20]:
             (score, ids), = N.search(index, q, lambda own: own == 0, [(-np.inf, np.inf)], 5, -1)
             assert score.tolist() == sorted((x @ q).astype(int).tolist(), reverse=True)[:5]
     finally:
-        N.scores = inner
+        N.scores, N.BATCH = inner, batch
     assert looked < 20 * 4000 / 2

@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved
 
-#: Rows that the codebooks are fitted on at most, codes of a half, rounds of fitting.
-SAMPLE, CODES, ROUNDS = 8192, 16, 8
+#: Rows that the codebooks are fitted on at most, rounds of fitting; rows a cell has on average, where a half has between two and 32 codes.
+SAMPLE, ROUNDS, CELL = 8192, 8, 64
 #: Bytes of vectors (as doubles) in a block; rows a block has at least where there are fewer blocks than cores; rows whose scores are computed at once.
-BLOCK_BYTES, LEAST_BLOCK, BATCH = 16 << 20, 1024, 512
+BLOCK_BYTES, LEAST_BLOCK, BATCH = 16 << 20, 8192, 2048
 #: Components beyond which no bounds are taken.
 LARGE = 1e100
 #: Scores are kept up to this size between the passes.
@@ -51,15 +51,15 @@ def whole(vectors: np.ndarray) -> np.ndarray:
     return x if np.isfinite(x).all() else np.array([[256 * int(v) if abs(v) > 1e300 else int(np.floor(256 * v)) for v in row] for row in vectors], dtype=object)
 
 
-def scores(rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Exact inner products."""
-    if rows.dtype == anchor.dtype == np.float64 and np.abs(rows).max() * np.abs(anchor).max() * len(anchor) < 2.0**53:
+def scores(rows: np.ndarray, anchor: np.ndarray, small: bool) -> np.ndarray:
+    """Exact inner products; ``small``: doubles hold them and all partial sums."""
+    if small:
         return (rows @ anchor).astype(np.int64)
     own = [int(v) for v in anchor]
     return np.array([sum(int(v) * w for v, w in zip(row, own)) for row in rows], dtype=object)
 
 
-def codebook(sample: np.ndarray, codes: int = CODES, rounds: int = ROUNDS) -> np.ndarray:
+def codebook(sample: np.ndarray, codes: int = 16, rounds: int = ROUNDS) -> np.ndarray:
     """Centres of a half, by k-means from evenly spaced rows of the sample in the order of their first principal direction."""
     if not sample.shape[1]:
         return np.zeros((1, 0))
@@ -89,7 +89,8 @@ class CellIndex:
         half = vectors.shape[1] // 2
         self.halves = (slice(0, half), slice(half, None))
         # beyond, squares leave the range of doubles, and all cells are visited
-        self.bounded = vectors.dtype == np.float64 and np.abs(vectors).max() < LARGE
+        self.top = float(np.abs(vectors).max()) if vectors.dtype == np.float64 else np.inf
+        self.bounded = self.top < LARGE
         near = vectors if self.bounded else np.zeros(vectors.shape)
         codes, self.centres, self.radii = [], [], []
         for part, book in zip(self.halves, books):
@@ -105,9 +106,12 @@ class CellIndex:
         cell = codes[0] * width + codes[1]
         order = np.lexsort((ids, cell))
         self.ids, self.labels, self.vectors = ids[order], labels[order], np.ascontiguousarray(vectors[order])
-        self.first = np.searchsorted(cell[order], np.arange(len(self.centres[0]) * width + 1))
+        self.first = np.searchsorted(cell[order], np.arange(len(self.centres[0]) * width + 1)).tolist()
         self.used = [np.unique(c) for c in codes]
 
+    def small(self, anchor: np.ndarray) -> bool:
+        return anchor.dtype == np.float64 and self.top * float(np.abs(anchor).max()) * len(anchor) < 2.0**53
+
     def visit(self, anchor: np.ndarray) -> Iterator[tuple[float, float, slice]]:
         """Cells with rows, by the sum of both halves' upper bounds from the highest on: bound, lower bound, rows."""
         if not self.bounded or anchor.dtype != np.float64 or np.abs(anchor).max() > LARGE:
@@ -122,7 +126,7 @@ class CellIndex:
             middle, reach = centres[used] @ own, size * radii[used]
             reach = reach + 1e-9 * (size * np.linalg.norm(centres[used], axis=1) + reach) + 1e-6  # for rounding
             order = np.argsort(-(middle + reach), kind="stable")
-            sides.append((used[order], (middle + reach)[order], (middle - reach)[order]))
+            sides.append((used[order].tolist(), (middle + reach)[order].tolist(), (middle - reach)[order].tolist()))
         (one, high1, low1), (two, high2, low2) = sides
         width = len(self.centres[1])
         # the pair (i, 0) is offered when (i - 1, 0) has been taken, (i, j + 1) when (i, j) has
@@ -150,39 +154,40 @@ def first_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search(index: CellIndex, anchor: np.ndarray, wanted, windows: list[tuple[int, int]], k: int, skip: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each window (least, most score) the first k rows of the index whose label is ``wanted`` and whose id isn't ``skip``."""
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
+    small = index.small(anchor)
     stretch, n = [], 0
+    # a window is certified below its least score and, once full, below its last; cells above all open windows hold nothing
+    ends = [least for least, _ in windows]
+    stop, top = min(ends), max(most for _, most in windows)
 
     def take() -> None:
-        nonlocal stretch, n
+        nonlocal stretch, n, stop, top
         rows = np.concatenate([np.arange(s.start, s.stop) for s in stretch])
         rows = rows[wanted(index.labels[rows]) & (index.ids[rows] != skip)]
         stretch, n = [], 0
         if not len(rows):
             return
-        score, ids = scores(index.vectors[rows], anchor), index.ids[rows]
+        score, ids = scores(index.vectors[rows], anchor, small), index.ids[rows]
         for w, (least, most) in enumerate(windows):
-            fits = (score >= least) & (score <= most)
+            fits = (score >= max(least, ends[w])) & (score <= most)
             if fits.any():
                 s, i = np.concatenate([held[w][0], score[fits]]), np.concatenate([held[w][1], ids[fits]])
                 best = first_of(s, i, k)
                 held[w] = s[best], i[best]
-
-    def open_windows(bound: float) -> list[int]:
-        return [w for w, (least, _) in enumerate(windows) if bound >= least and (len(held[w][0]) < k or held[w][0][-1] <= bound)]
+                if len(best) == k:
+                    ends[w] = held[w][0][-1]
+        stop = min(ends)
 
     for bound, low, rows in index.visit(anchor):
-        still = open_windows(bound)
-        if not still and stretch:
-            take()
-            still = open_windows(bound)
-        if not still:
+        if bound < stop:
             break
-        if low > max(windows[w][1] for w in still):
+        if low > top:
             continue
         stretch.append(rows)
         n += rows.stop - rows.start
         if n >= BATCH:
             take()
+            top = max((most for (_, most), end in zip(windows, ends) if bound >= end), default=top)
     if stretch:
         take()
     return held
@@ -210,7 +215,8 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = 5, nega
         x = np.stack(own.to_numpy())
         if np.abs(x).max() < LARGE / 256:
             x = whole(x)
-            books[int(dim)] = codebook(x[:, :dim // 2]), codebook(x[:, dim // 2:])
+            codes = min(32, max(2, round((shape["n"] / columns / CELL) ** 0.5)))
+            books[int(dim)] = codebook(x[:, :dim // 2], codes), codebook(x[:, dim // 2:], codes)
 
     def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
