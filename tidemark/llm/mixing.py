@@ -29,8 +29,8 @@ from tidemark.llm.common import attach, saved
 WORD = r"[^\x20\x09-\x0D]+"
 #: Modulus of the points and the odd number nearest to its golden section.
 POINTS, PHI = 1 << 31, 1327217885
-#: Words of a block, rows of a stretch.
-BLOCK, STRETCH = 1024, 4096
+#: Words of a block, rows of a stretch, slots of one.
+BLOCK, STRETCH, SLOTS = 1024, 4096, 1024
 #: Up to so many sources their shares of the unit interval travel by broadcast.
 FEW_SOURCES = 10_000
 
@@ -84,7 +84,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     covered = F.broadcast(covered) if many <= FEW_SOURCES else covered
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % POINTS) * PHI % POINTS).alias("x")).withColumn("cell", cell(F.col("x")))
     met = points.join(covered, "cell").filter((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("slot", "sid", "blocks", F.lit(1).alias("one"))
-    ranked = before(met, ["sid"], F.floor(F.col("slot") / STRETCH), ["slot"], "one", "rank")
+    ranked = before(met, ["sid"], F.floor(F.col("slot") / SLOTS), ["slot"], "one", "rank")
     # what the points leave short, a few blocks of each source
     given = ranked.groupBy("sid").agg(F.count("*").alias("given"))
     short = shares.join(given, "sid", "left").withColumn("given", F.coalesce("given", F.lit(0))).filter(F.col("given") < F.col("blocks"))
