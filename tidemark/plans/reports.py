@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors as V
-from tidemark.operators import cleaning as C, scoring as Q, stability as B, summaries as M, topics as O
+from tidemark.operators import cleaning as C, paraphrases as P, scoring as Q, stability as B, summaries as M, topics as O
 from tidemark.plans.cleaning import PARAGRAPHS
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
 from tidemark.operators.written import save, scratch
@@ -504,11 +504,32 @@ def chunk_summary(spark, sf_dir):
 @query(f"""WITH {SENTENCES}, w AS (SELECT document_id, pos, list_sort(list_distinct(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM sentences),
 c AS (SELECT *, array_to_string(w, ' ') AS k FROM w WHERE len(w) > 0), f AS (SELECT k, min((document_id, pos)) AS first, count(*) - 1 AS links FROM c GROUP BY k HAVING count(*) > 1)
 SELECT document_id, pos, concat(first[1], ':', first[2]) AS class_id, links FROM c JOIN f USING (k)""")
-def near_duplicate_sentences(spark, sf_dir):
+def reordered_sentences(spark, sf_dir):
     """Sentences of all documents that have the same words, as classes."""
     return M.word_set_duplicates(M.split_sentences(documents(spark, sf_dir), "document_id"), "document_id")
 
 
+PARAPHRASES = rf"""{SENTENCES}, w AS (SELECT document_id, pos, list_sort(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+')) AS w FROM sentences),
+c AS (SELECT row_number() OVER (ORDER BY min((document_id, pos))) AS id, w, min((document_id, pos)) AS first, count(*) AS n FROM w WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT id, term, count(*) AS k FROM (SELECT id, unnest(w) AS term FROM c) GROUP BY ALL), l AS (SELECT id, CAST(sum(k * k) AS BIGINT) AS n2 FROM t GROUP BY id),
+d AS (SELECT a.id AS a, b.id AS b, CAST(sum(a.k * b.k) AS BIGINT) AS dot FROM t a JOIN t b ON a.term = b.term AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT a, b, dot / sqrt(x.n2 * y.n2) AS similarity FROM d JOIN l x ON x.id = a JOIN l y ON y.id = b WHERE 100 * dot * dot >= 81 * x.n2 * y.n2)"""
+
+
+@query(f"""WITH {PARAPHRASES} SELECT concat(x.first[1], ':', x.first[2]) AS first_1, concat(y.first[1], ':', y.first[2]) AS first_2, x.n AS copies_1, y.n AS copies_2, round(similarity, 6) AS similarity FROM pairs JOIN c x ON x.id = a JOIN c y ON y.id = b""")
+def paraphrase_pairs(spark, sf_dir):
+    """Pairs of different sentences whose word vectors have a cosine of 0.9 or more, copies as one."""
+    return P.paraphrase_pairs(M.split_sentences(documents(spark, sf_dir), "document_id"), "document_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {PARAPHRASES}, s AS (SELECT a AS id, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT s.id, sum(c.n) AS n FROM s JOIN c ON c.id = other GROUP BY s.id),
+r AS (SELECT w, concat(first[1], ':', first[2]) AS class_id, CAST(c.n - 1 + coalesce(near.n, 0) AS BIGINT) AS links FROM c LEFT JOIN near ON near.id = c.id)
+SELECT document_id, pos, class_id, links FROM w JOIN r ON w.w = r.w WHERE links > 0""")
+def near_duplicate_sentences(spark, sf_dir):
+    """Sentences of all documents that others resemble (cosine of word vectors 0.9 or more), with their class of equal vectors and the number of links."""
+    return P.paraphrase_links(M.split_sentences(documents(spark, sf_dir), "document_id"), "document_id")
+
+
 # ---- streams
 
 
