@@ -2,7 +2,8 @@
 
 documents: one row a document, a time stamp from doc_id, url from source and language, the first line as title.
 embeddings: a document's vector on vec_id = doc_id; its label is its topic, label 9 the outliers (-1).
-events: topic = user_id % 10, source = event_type, each event one document.
+events: topic = user_id % 10, source = event_type, each event one document. Where topics are to fall idle, one is what a user does of
+one kind (``kinds``), about ten events in a month.
 """
 
 from __future__ import annotations
@@ -65,3 +66,13 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACTIVITY = "acts AS (SELECT event_id AS document_id, user_id % 10 AS topic, event_type AS source, ts, CAST(ts AS DATE) AS day FROM events)"
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activity with a topic for each user and kind of event, told by the kind's digest."""
+    e = table(spark, sf_dir, "events")
+    topic = F.col("user_id") * 1000 + F.conv(F.substring(F.md5(F.col("event_type").cast("binary")), 1, 4), 16, 10).cast("long") % 1000
+    return e.select(F.col("event_id").alias("document_id"), topic.alias("topic"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp_ntz").alias("ts")).withColumn("day", F.to_date("ts"))
+
+
+KINDS = "kinds AS (SELECT event_id AS document_id, user_id * 1000 + CAST(concat('0x', left(md5(event_type), 4)) AS BIGINT) % 1000 AS topic, event_type AS source, ts, CAST(ts AS DATE) AS day FROM events)"

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text as T, vectors as V
 from tidemark.operators import cleaning as C, paraphrases as P, scoring as Q, stability as B, summaries as M, topics as O
 from tidemark.plans.cleaning import PARAGRAPHS
-from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
+from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, kinds, query, table, vectors
 from tidemark.operators.written import save, scratch
-from tidemark.plans.trends import CLASSES, G, ONE_DATE, SERIES, _classes, merge_log
+from tidemark.plans.trends import CLASSES, G, ONE_DATE, SERIES, SIGNAL_URLS, _classes, merge_log, signal_urls
 from tidemark.streaming import streams
 
 # ---- counts and distributions
@@ -319,13 +319,16 @@ def paragraph_lengths(spark, sf_dir):
 # ---- reports
 
 
-@query(f"""WITH {SERIES}, {ONE_DATE}, {CLASSES}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY popularity DESC, topic) AS rank FROM classes WHERE category IN ('weak', 'strong')), u AS (SELECT topic, list_sort(list(DISTINCT source)) AS s FROM acts GROUP BY topic)
-SELECT category, rank, topic, array_to_string(s[1:3], ' ') AS urls FROM r JOIN u USING (topic) WHERE rank <= CASE category WHEN 'weak' THEN 3 ELSE 5 END""")
+@query(f"""WITH {SERIES}, {ONE_DATE}, {CLASSES}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY popularity DESC, topic) AS rank FROM classes WHERE category IN ('weak', 'strong')), {SIGNAL_URLS},
+an AS (SELECT topic, arg_min(props, document_id) AS props FROM kinds JOIN events ON event_id = document_id GROUP BY topic)
+SELECT category, rank, topic, array_to_string(s[1:3], ' ') AS urls, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM r JOIN u USING (topic) JOIN an USING (topic) WHERE rank <= CASE category WHEN 'weak' THEN 3 ELSE 5 END""")
 def report_tables(spark, sf_dir):
     c = _classes(spark, sf_dir).filter("category in ('weak', 'strong')")
-    u = activity(spark, sf_dir).groupBy("topic").agg(F.sort_array(F.collect_set("source")).alias("s"))
+    u = signal_urls(spark, sf_dir)
+    props = table(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), "props")
+    analysis = kinds(spark, sf_dir).join(props, "document_id").groupBy("topic").agg(F.from_json(F.min_by("props", "document_id"), "k bigint").alias("analysis"))
     ranked = O.top_per_group(c, ["category"], [F.desc("popularity"), "topic"], 5).filter("rank <= if(category = 'weak', 3, 5)")
-    return ranked.join(u, "topic").select("category", "rank", "topic", F.array_join(F.slice("s", 1, 3), " ").alias("urls"))
+    return ranked.join(u, "topic").join(analysis, "topic").select("category", "rank", "topic", F.array_join(F.slice("s", 1, 3), " ").alias("urls"), "analysis.k")
 
 
 @query(f"""WITH {VECTORS}, t AS (SELECT topic, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, topic) AS place FROM vecs WHERE topic != -1 GROUP BY topic), d AS (SELECT topic, document_id, title, url, row_number() OVER (PARTITION BY topic ORDER BY document_id) AS k FROM vecs)
@@ -579,31 +582,26 @@ def stream_session_topics(spark, sf_dir):
     return _local_times(_drain(spark, streams.sessions(_feed(spark, sf_dir), "20 minutes", ["topic"])))
 
 
-@query(f"WITH {SERIES} SELECT topic, CAST(step AS VARCHAR) AS step, round(s.popularity, 6) AS popularity FROM summed u JOIN series s USING (topic, seq) WHERE kind = 1")
+@query(f"WITH {SERIES} SELECT topic, u.ts, kind, round(s.popularity, 6) AS popularity FROM summed u JOIN series s USING (topic, seq)")
 def stream_popularity_state(spark, sf_dir):
-    log, path = merge_log(spark, sf_dir), scratch(spark, "merges")
-    first = O.top_per_group(log, ["topic1"], ["merge_ts"], 1).select("topic1", "merge_ts", F.col("document_count1").alias("base"))
-    rows = log.join(first, ["topic1", "merge_ts"], "left").select(F.col("topic1").alias("topic"), F.col("merge_ts").cast("string").alias("step"), (F.col("document_count2") + F.coalesce("base", F.lit(0))).cast("double").alias("amount"))
-    rows.repartitionByRange(6, "step").write.json(path)
-    df = streams.stream_feed(spark, path, "topic long, step string, amount double")
-    return _drain(spark, streams.popularity_state(df, G)).withColumn("popularity", F.round("popularity", 6))
+    """The series of the merge log from a stream of its rows, which arrive in three runs; timers give the steps at which topics are idle."""
+    log, path, sink, progress = merge_log(spark, sf_dir), scratch(spark, "merges"), scratch(spark, "sink"), scratch(spark, "progress")
+    first = O.top_per_group(log, ["topic1"], ["merge_ts"], 1).select("topic1", "merge_ts", F.col("document_count1").cast("double").alias("base"))
+    rows = log.join(first, ["topic1", "merge_ts"], "left").select(F.col("topic1").alias("topic"), F.col("merge_ts").cast("timestamp").alias("step"), "base", F.col("document_count2").cast("double").alias("amount"))
+    rows = save(rows, "rows")
+    last = rows.agg(F.max("step").alias("step"))
+    clock = last.select(F.lit(-1).cast("long").alias("topic"), (F.col("step") + F.expr(f"interval {2 * G + 1} days")).alias("step"), F.lit(None).cast("double").alias("base"), F.lit(None).cast("double").alias("amount"))
+    for part in (rows.filter("step < '2024-01-10'"), rows.filter("step >= '2024-01-10' and step < '2024-01-20'"), rows.filter("step >= '2024-01-20'"), clock):
+        part.write.mode("append").json(path)
+        feed = streams.stream_feed(spark, path, "topic long, step timestamp, base double, amount double")
+        series = streams.drain(streams.popularity_timers(feed, G), sink, progress, provider=streams.ROCKSDB)
+    return series.select("topic", "ts", "kind", F.round("popularity", 6).alias("popularity"))
 
 
 @query(f"WITH {ACTIVITY} SELECT topic, count(*) AS n FROM acts GROUP BY topic")
 def stream_merge(spark, sf_dir):
-    """Counts by topic merged into a registry batch by batch; each batch writes the version of its id, so a repeat changes nothing."""
-    home, versions = scratch(spark, "registry"), []
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        own = batch.groupBy("topic").agg(F.count("*").alias("n"))
-        if batch_id:
-            own = own.unionByName(session.read.parquet(f"{home}/{batch_id - 1}")).groupBy("topic").agg(F.sum("n").alias("n"))
-        own.write.mode("overwrite").parquet(f"{home}/{batch_id}")
-        versions.append(batch_id)
-
-    streams.for_each_batch(_feed(spark, sf_dir), step, scratch(spark, "progress"))
-    return spark.read.parquet(f"{home}/{max(versions)}")
+    """Counts by topic merged into a registry batch by batch."""
+    return streams.merge_counts(_feed(spark, sf_dir), ["topic"], scratch(spark, "registry"), scratch(spark, "progress"))
 
 
 @query()

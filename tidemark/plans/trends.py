@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vectors as V
 from tidemark.operators import merging, signals as S, topics as O
 from tidemark.operators.written import save, scratch
-from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, query, table, vectors
+from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, KINDS, SIMILARITY, VECTORS, activity, documents, kinds, query, table, vectors
 
 G = 2
 
@@ -95,21 +95,19 @@ def same_time_topic_pairs(spark, sf_dir):
 
 # ---- the activity stream as a merge log, its series and labels
 
-LOG = f"""{ACTIVITY}, counts AS (SELECT topic, CAST(day - CAST((day - DATE '2024-01-01') % {G} AS INTEGER) AS DATE) AS period, count(*) AS c, count(DISTINCT document_id) AS d FROM acts GROUP BY ALL),
-kept AS (SELECT *, (period - DATE '2024-01-01') // {G} AS i FROM counts WHERE (topic * 3 + (period - DATE '2024-01-01') // {G}) % 4 NOT IN (0, 1) OR topic % 3 = 0),
-log AS (SELECT CAST(period - {G} AS DATE) AS merge_ts, topic AS topic1, topic AS topic2, CAST(coalesce(sum(d) OVER w, 0) AS BIGINT) AS document_count1, d AS document_count2, CAST(coalesce(sum(c) OVER w, 0) AS BIGINT) AS count1, c AS count2, i
-  FROM kept WINDOW w AS (PARTITION BY topic ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY i > 0)"""
+LOG = f"""{KINDS}, counts AS (SELECT topic, CAST(day - CAST((day - DATE '2024-01-01') % {G} AS INTEGER) AS DATE) AS period, count(*) AS c, count(DISTINCT document_id) AS d FROM kinds GROUP BY ALL),
+log AS (SELECT CAST(period - {G} AS DATE) AS merge_ts, topic AS topic1, topic AS topic2, CAST(sum(d) OVER w AS BIGINT) AS document_count1, d AS document_count2, CAST(sum(c) OVER w AS BIGINT) AS count1, c AS count2, (period - DATE '2024-01-01') // {G} AS i
+  FROM counts WINDOW w AS (PARTITION BY topic ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY document_count1 IS NOT NULL)"""
 
 
 def merge_log(spark, sf_dir) -> DataFrame:
-    """Each topic's documents of a two-day period join those before; some periods are left out, so topics fall idle."""
+    """Each topic's documents of a two-day period join those before, from the topic's second period on; topics are few enough
+    documents each that some periods have none."""
     day = F.col("day")
-    i = F.floor(F.datediff("period", F.lit("2024-01-01")) / G)
-    counts = activity(spark, sf_dir).withColumn("period", F.date_sub(day, F.pmod(F.datediff(day, F.lit("2024-01-01")), F.lit(G)))).groupBy("topic", "period").agg(F.count("*").alias("c"), F.countDistinct("document_id").alias("d"))
-    kept = counts.withColumn("i", i).filter(~((F.col("topic") * 3 + F.col("i")) % 4).isin(0, 1) | (F.col("topic") % 3 == 0))
+    counts = kinds(spark, sf_dir).withColumn("period", F.date_sub(day, F.pmod(F.datediff(day, F.lit("2024-01-01")), F.lit(G)))).groupBy("topic", "period").agg(F.count("*").alias("c"), F.countDistinct("document_id").alias("d"))
     before = Window.partitionBy("topic").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    rows = kept.select(F.date_sub("period", G).alias("merge_ts"), F.col("topic").alias("topic1"), F.col("topic").alias("topic2"), F.coalesce(F.sum("d").over(before), F.lit(0)).alias("document_count1"), F.col("d").alias("document_count2"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("count1"), F.col("c").alias("count2"), "i")
-    return rows.filter("i > 0").drop("i")
+    rows = counts.select(F.date_sub("period", G).alias("merge_ts"), F.col("topic").alias("topic1"), F.col("topic").alias("topic2"), F.sum("d").over(before).alias("document_count1"), F.col("d").alias("document_count2"), F.sum("c").over(before).alias("count1"), F.col("c").alias("count2"))
+    return rows.filter("document_count1 is not null")
 
 
 SERIES = f"""{LOG}, span AS (SELECT min(merge_ts) AS first, max(merge_ts) AS last FROM log),
@@ -119,12 +117,17 @@ steps AS (SELECT topic1 AS topic, merge_ts AS step, 0 AS kind, merge_ts AS ts, d
   UNION ALL SELECT topic1, merge_ts, 1, merge_ts + {G}, document_count2, count2, 0 FROM placed
   UNION ALL SELECT topic1, CAST(merge_ts + CAST({G} * (n + 1) AS INTEGER) AS DATE), 2, CAST(merge_ts + CAST({G} * (n + 1) AS INTEGER) AS DATE), 0, 0, 0.01 * n * n FROM idle),
 summed AS (SELECT *, row_number() OVER w - 1 AS seq, sum(decay) OVER w AS dd, sum(amount) OVER w AS docs_count, sum(par) OVER w AS paragraphs_count FROM steps WINDOW w AS (PARTITION BY topic ORDER BY step, kind ROWS UNBOUNDED PRECEDING)),
-series AS (SELECT b.topic, CAST(b.seq AS INTEGER) AS seq, b.ts, sum(a.amount * exp(CAST(a.dd - b.dd AS DOUBLE))) AS popularity, CAST(any_value(b.docs_count) AS BIGINT) AS docs_count, CAST(any_value(b.paragraphs_count) AS BIGINT) AS paragraphs_count FROM summed a JOIN summed b ON a.topic = b.topic AND a.seq <= b.seq GROUP BY b.topic, b.seq, b.ts)"""
+series AS (SELECT b.topic, CAST(b.seq AS INTEGER) AS seq, b.ts, round(sum(a.amount * exp(CAST(a.dd - b.dd AS DOUBLE))), 9) AS popularity, CAST(any_value(b.docs_count) AS BIGINT) AS docs_count, CAST(any_value(b.paragraphs_count) AS BIGINT) AS paragraphs_count FROM summed a JOIN summed b ON a.topic = b.topic AND a.seq <= b.seq GROUP BY b.topic, b.seq, b.ts)"""
+
+
+def _series(spark, sf_dir) -> DataFrame:
+    """The series of the merge log; popularity to nine places, so that equal histories are ties whatever the order of their sums."""
+    return S.signal_popularity(merge_log(spark, sf_dir), G).withColumn("popularity", F.round("popularity", 9))
 
 
 @query(f"WITH {SERIES} SELECT topic, seq, ts, round(popularity, 6) AS popularity, docs_count, paragraphs_count FROM series")
 def signal_popularity(spark, sf_dir):
-    s = S.signal_popularity(merge_log(spark, sf_dir), G)
+    s = _series(spark, sf_dir)
     return s.withColumn("popularity", F.round("popularity", 6))
 
 
@@ -148,7 +151,7 @@ CLASS_COLUMNS = "eval_date, topic, round(popularity, 6) AS popularity, latest_ts
 
 
 def _classes(spark, sf_dir, dates_of=None):
-    series = save(S.signal_popularity(merge_log(spark, sf_dir), G), "series")
+    series = save(_series(spark, sf_dir), "series")
     return S.classify_signals(series, _dates(spark, "2024-01-24") if dates_of is None else dates_of(series), G, 7)
 
 
@@ -158,7 +161,7 @@ def _told(df):
 
 @query(f"WITH {SERIES}, {ALL_DATES}, {THRESH} SELECT eval_date, round(q1, 6) AS q1, round(q3, 6) AS q3, n_points FROM th")
 def popularity_thresholds(spark, sf_dir):
-    series = save(S.signal_popularity(merge_log(spark, sf_dir), G), "series")
+    series = save(_series(spark, sf_dir), "series")
     return S.thresholds(series, _grid(series), 7).select("eval_date", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"), "n_points")
 
 
@@ -174,7 +177,7 @@ def signal_evolution(spark, sf_dir):
 
 @query(f"WITH {SERIES}, {ALL_DATES} SELECT eval_date, topic, seq FROM dates JOIN series ON ts BETWEEN eval_date - 7 AND eval_date")
 def evolution_points_in_window(spark, sf_dir):
-    series = save(S.signal_popularity(merge_log(spark, sf_dir), G), "series")
+    series = save(_series(spark, sf_dir), "series")
     # each point names the few grid dates it serves, so that the range join becomes an equi-join
     served = series.withColumn("eval_date", F.explode(F.sequence("ts", F.date_add("ts", 7)))).select("eval_date", "topic", "seq")
     return served.join(_grid(series), "eval_date")
@@ -182,13 +185,13 @@ def evolution_points_in_window(spark, sf_dir):
 
 @query(f"WITH {SERIES} SELECT topic, max(seq) AS seq, round(arg_max(popularity, seq), 6) AS popularity FROM series WHERE ts BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY topic")
 def last_in_window(spark, sf_dir):
-    series = S.signal_popularity(merge_log(spark, sf_dir), G)
+    series = _series(spark, sf_dir)
     return series.filter("ts between date'2024-01-10' and date'2024-01-20'").groupBy("topic").agg(F.max("seq").alias("seq"), F.round(F.max_by("popularity", "seq"), 6).alias("popularity"))
 
 
-@query(f"WITH {SERIES} SELECT topic, ts, seq, popularity > 50 AS busy FROM series WHERE ts <= DATE '2024-01-15'")
+@query(f"WITH {SERIES} SELECT topic, ts, seq, popularity > 5 AS busy FROM series WHERE ts <= DATE '2024-01-15'")
 def filter_series(spark, sf_dir):
-    return S.signal_popularity(merge_log(spark, sf_dir), G).filter("ts <= date'2024-01-15'").select("topic", "ts", "seq", (F.col("popularity") > 50).alias("busy"))
+    return _series(spark, sf_dir).filter("ts <= date'2024-01-15'").select("topic", "ts", "seq", (F.col("popularity") > 5).alias("busy"))
 
 
 RISING = f"""WITH {SERIES} SELECT a.topic, a.seq, coalesce(regr_slope(b.popularity, CAST(b.seq AS DOUBLE)) > 0, true) AS rising FROM series a JOIN series b ON a.topic = b.topic AND b.ts BETWEEN a.ts - 14 AND a.ts GROUP BY a.topic, a.seq"""
@@ -196,7 +199,7 @@ RISING = f"""WITH {SERIES} SELECT a.topic, a.seq, coalesce(regr_slope(b.populari
 
 @query(RISING)
 def rising_all_dates(spark, sf_dir):
-    series = S.signal_popularity(merge_log(spark, sf_dir), G).withColumn("day", F.datediff("ts", F.lit("2024-01-01")))
+    series = _series(spark, sf_dir).withColumn("day", F.datediff("ts", F.lit("2024-01-01")))
     near = Window.partitionBy("topic").orderBy("day").rangeBetween(-14, 0)
     return series.select("topic", "seq", F.coalesce(F.regr_slope("popularity", F.col("seq").cast("double")).over(near) > 0, F.lit(True)).alias("rising"))
 
@@ -294,10 +297,11 @@ def sankey_links(spark, sf_dir):
     return S.sankey_links(merge_log(spark, sf_dir))
 
 
-@query(f"WITH {LINKS} SELECT ts, source, destination, min(count) AS count FROM links WHERE regexp_matches(source, '_[12]_4$') GROUP BY ALL")
+@query(f"WITH {LINKS} SELECT ts, source, destination, min(count) AS count FROM links WHERE regexp_matches(source, '_[12]_3[0-9]{{3}}$') GROUP BY ALL")
 def sankey_connected(spark, sf_dir):
+    """The flow into the last merges of the topics of one user."""
     links = save(S.sankey_links(merge_log(spark, sf_dir)), "links")
-    return S.connected(links, links.filter(F.col("source").rlike("^0_1_4$|^1_1_4$|^2_1_4$")).select(F.col("source").alias("node")), save)
+    return S.connected(links, links.filter(F.col("destination").rlike("_3[0-9]{3}_new$")).select(F.col("destination").alias("node")), save)
 
 
 @query(f"WITH {LOG}, p AS (SELECT merge_ts, dense_rank() OVER (ORDER BY merge_ts DESC) AS r FROM (SELECT DISTINCT merge_ts FROM log WHERE merge_ts <= DATE '2024-01-15')) SELECT topic1, merge_ts, document_count2 FROM log JOIN p USING (merge_ts) WHERE r <= 3")
@@ -338,9 +342,6 @@ def running_distinct_sources(spark, sf_dir):
     return S.source_diversity(activity(spark, sf_dir).select("topic", "source", F.col("day").alias("ts")))
 
 
-ZERO = f"""{LOG}, z AS (SELECT CAST(CASE WHEN topic % 2 = 0 THEN 'even' ELSE 'odd' END || (topic % 3) AS VARCHAR) AS name, period AS ts, sum(d) AS document_count FROM kept WHERE topic < 4 GROUP BY ALL)"""
-
-
 @query(f"""WITH {LOG}, z AS (SELECT CASE WHEN topic1 % 2 = 0 THEN 'even' ELSE 'odd' END || CAST(topic1 % 3 AS VARCHAR) AS name, CAST(merge_ts + {G} AS DATE) AS ts, sum(document_count2) AS c FROM log GROUP BY ALL),
 grid AS (SELECT CAST(unnest(generate_series((SELECT min(ts) FROM z), (SELECT max(ts) FROM z), INTERVAL {G} DAY)) AS DATE) AS ts), names AS (SELECT DISTINCT name FROM z UNION ALL SELECT 'never'),
 r AS (SELECT n.name, g.ts, z.c, row_number() OVER (PARTITION BY n.name ORDER BY g.ts) AS k FROM names n CROSS JOIN grid g LEFT JOIN z ON z.name = n.name AND z.ts = g.ts),
@@ -386,22 +387,31 @@ def list_periods(spark, sf_dir):
     return files.list_periods(spark, _signals_path(spark, sf_dir)).select(F.col("reference_ts").cast("string").alias("reference_ts"))
 
 
-@query(f"{STORED} SELECT topic, round(avg(popularity), 6) AS popularity FROM classes GROUP BY topic ORDER BY avg(classes.popularity) DESC LIMIT 10")
+@query(f"{STORED} SELECT topic, round(avg(popularity), 6) AS popularity FROM classes GROUP BY topic ORDER BY round(avg(classes.popularity), 9) DESC, topic LIMIT 10")
 def avg_popularity_topk(spark, sf_dir):
     c = _classes(spark, sf_dir, lambda s: _dates(spark, "2024-01-12", "2024-01-18", "2024-01-24"))
-    return c.groupBy("topic").agg(F.avg("popularity").alias("p")).orderBy(F.desc("p"), "topic").limit(10).select("topic", F.round("p", 6).alias("popularity"))
+    return c.groupBy("topic").agg(F.round(F.avg("popularity"), 9).alias("p")).orderBy(F.desc("p"), "topic").limit(10).select("topic", F.round("p", 6).alias("popularity"))
+
+
+SIGNAL_URLS = "u AS (SELECT topic, list_sort(list(DISTINCT concat('https://', source, '.example.com/', json_extract_string(props, '$.k')))) AS s FROM kinds JOIN events ON event_id = document_id GROUP BY topic)"
+
+
+def signal_urls(spark, sf_dir) -> DataFrame:
+    """topic, s: the distinct addresses of a topic's documents (about ten; a topic is one user's acts of one kind)."""
+    props = table(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), F.get_json_object("props", "$.k").alias("k"))
+    url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "k")
+    return kinds(spark, sf_dir).join(props, "document_id").groupBy("topic").agg(F.sort_array(F.collect_set(url)).alias("s"))
 
 
-@query(f"WITH {SERIES}, {ONE_DATE}, {CLASSES}, u AS (SELECT topic, list_sort(list(DISTINCT source)) AS s FROM acts GROUP BY topic) SELECT topic, category, array_to_string(s, ' ') AS urls FROM classes LEFT JOIN u USING (topic)")
+@query(f"WITH {SERIES}, {ONE_DATE}, {CLASSES}, {SIGNAL_URLS} SELECT topic, category, array_to_string(s, ' ') AS urls FROM classes LEFT JOIN u USING (topic)")
 def signals_with_urls(spark, sf_dir):
-    u = activity(spark, sf_dir).groupBy("topic").agg(F.sort_array(F.collect_set("source")).alias("s"))
-    return _classes(spark, sf_dir).join(u, "topic", "left").select("topic", "category", F.array_join("s", " ").alias("urls"))
+    return _classes(spark, sf_dir).join(signal_urls(spark, sf_dir), "topic", "left").select("topic", "category", F.array_join("s", " ").alias("urls"))
 
 
-@query(f"WITH {SERIES}, {ONE_DATE}, {CLASSES}, j AS (SELECT user_id % 10 AS topic, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1) SELECT topic, category, k FROM classes LEFT JOIN j USING (topic)")
+@query(f"WITH {SERIES}, {ONE_DATE}, {CLASSES}, j AS (SELECT topic, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM kinds JOIN events ON event_id = document_id GROUP BY topic) SELECT topic, category, k FROM classes LEFT JOIN j USING (topic)")
 def signals_with_interpretation(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    told = e.groupBy((F.col("user_id") % 10).alias("topic")).agg(F.max(F.from_json("props", "k bigint")["k"]).alias("k"))
+    props = table(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), "props")
+    told = kinds(spark, sf_dir).join(props, "document_id").groupBy("topic").agg(F.max(F.from_json("props", "k bigint")["k"]).alias("k"))
     return _classes(spark, sf_dir).join(told, "topic", "left").select("topic", "category", "k")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime as dt
 import math
 from collections.abc import Callable
 
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.merging import merge_step
 from tidemark.operators.written import save
 
+#: The state store that holds timers.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_feed(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
     """New json lines files of a folder as a stream."""
@@ -41,35 +46,96 @@ def sessions(df: DataFrame, gap: str, keys: list[str], delay: str = "2 days", ts
     return df.groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
 
 
-def popularity_state(df: DataFrame, g: int, factor: float = 0.01, power: float = 2.0) -> DataFrame:
-    """topic, step, popularity for each period and topic of a stream of (topic, step date, amount).
+def popularity_timers(df: DataFrame, g: int, factor: float = 0.01, power: float = 2.0, delay: str = "0 days", forget: float = 0.0) -> DataFrame:
+    """topic, ts, kind (0 first, 1 merge, 2 idle), popularity: the series of signal_popularity, from a stream of merges.
 
-    The state of a topic is its popularity and last step; a later step first applies the compounded decay of the idle
-    steps between (all but the last one), then adds its documents.
+    ``df``: topic, step (midnight of the merge's date), base (documents of the topic before its first merge), amount. The state of a topic
+    is its popularity, last step and idle steps since. An event-time timer stands for its next idle step: that is emitted once the
+    watermark shows that neither it nor the step after it (before which nothing decays) has a merge. A row without amount is a
+    clock that only moves the watermark. Topics whose popularity falls below ``forget`` lose their state and start anew with their next merge.
+    The steps of a topic in one batch may come in any order; needs a state store that holds timers (``ROCKSDB``).
     """
-    def update(key, batches, state):
-        popularity, last = state.get if state.exists else (0.0, None)
-        out = []
-        # a topic's steps of one trigger are few, but may come in any order
-        for step, amount in pd.concat(list(batches)).sort_values("step")[["step", "amount"]].itertuples(index=False):
-            if last is not None:
-                idle = (pd.Timestamp(step) - pd.Timestamp(last)).days // g - 3
-                for n in range(1, idle + 1):
-                    popularity *= math.exp(-factor * n**power)
-            popularity, last = popularity + amount, str(step)
-            out.append((key[0], str(step), popularity))
-        state.update((popularity, last))
-        yield pd.DataFrame(out, columns=["topic", "step", "popularity"])
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return df.groupBy("topic").applyInPandasWithState(update, "topic long, step string, popularity double", "popularity double, last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and give the written rows."""
-    run = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    day_ms = 86_400_000
+
+    class Series(StatefulProcessor):  # defined here, so that it travels by value
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.state = handle, handle.getValueState("series", "popularity double, last long, idle long")
+
+        def wait(self, last: int, idle: int) -> None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + g * (idle + 3)) * day_ms)
+
+        def idle_steps(self, popularity: float, last: int, idle: int, until: int) -> tuple[list, float, int]:
+            """Idle steps up to the day ``until``."""
+            out = []
+            while last + g * (idle + 2) <= until:
+                idle += 1
+                popularity *= math.exp(-factor * idle**power)
+                out.append((last + g * (idle + 1), 2, popularity))
+            return out, popularity, idle
+
+        def told(self, key, out: list) -> pd.DataFrame:
+            topic = pd.Series([key[0]] * len(out), dtype="int64")
+            return pd.DataFrame({"topic": topic, "ts": [dt.date(1970, 1, 1) + dt.timedelta(days=o[0]) for o in out], "kind": pd.Series([o[1] for o in out], dtype="int32"), "popularity": pd.Series([o[2] for o in out], dtype="float64")})
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows))
+            batch = batch[batch["amount"].notna()]
+            if not len(batch):
+                return
+            batch = batch.assign(day=(batch["step"] - pd.Timestamp(0)) // pd.Timedelta(days=1)).sort_values(["day", "base", "amount"])
+            held, out = self.state.get() if self.state.exists() else None, []
+            popularity, last, idle = held if held else (0.0, None, 0)
+            for day, base, amount in batch[["day", "base", "amount"]].itertuples(index=False):
+                if last is None:
+                    popularity = 0.0 if pd.isna(base) else base
+                    out.append((day, 0, popularity))
+                else:
+                    more, popularity, idle = self.idle_steps(popularity, last, idle, day - 2 * g)
+                    out += more
+                popularity, last, idle = popularity + amount, int(day), 0
+                out.append((last + g, 1, popularity))
+            self.state.update((float(popularity), last, idle))
+            self.wait(last, idle)
+            yield self.told(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            popularity, last, idle = self.state.get()
+            out, popularity, idle = self.idle_steps(popularity, last, idle, timerValues.getCurrentWatermarkInMs() // day_ms - g)
+            if popularity < forget:
+                self.state.clear()
+            else:
+                self.state.update((popularity, last, idle))
+                self.wait(last, idle)
+            yield self.told(key, out)
+
+        def close(self) -> None:
+            pass
+
+    return df.withWatermark("step", delay).groupBy("topic").transformWithStateInPandas(Series(), "topic long, ts date, kind int, popularity double", "Append", "EventTime")
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str | None):
+    """The session with another value of a setting, for as long as the block runs."""
+    before = spark.conf.get(name, None)
+    if value is not None:
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if value is not None:
+            spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", provider: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and give the written rows; ``provider`` is the state store to use."""
+    with setting(df.sparkSession, "spark.sql.streaming.stateStore.providerClass", provider):
+        run = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        run.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,30 +144,53 @@ def for_each_batch(df: DataFrame, step: Callable[[DataFrame, int], None], checkp
     df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def version(home: str, batch_id: int) -> str:
+    return f"{home}/version={batch_id}"
+
+
+def newest(spark: SparkSession, home: str, before: int | None = None) -> DataFrame:
+    """The newest version of a table that batches write; the folder alone says which there are, so a restart finds them."""
+    held = spark.read.parquet(home)
+    if before is not None:
+        held = held.filter(F.col("version") < before)
+    return held.filter(F.col("version") == held.agg(F.max("version")).first()[0]).drop("version")
+
+
+def merge_counts(df: DataFrame, keys: list[str], home: str, checkpoint: str) -> DataFrame:
+    """Counts by key, merged batch by batch; each batch writes the version of its id, so a repeated batch changes nothing."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        own = batch.groupBy(*keys).agg(F.count("*").alias("n"))
+        if batch_id:
+            own = own.unionByName(newest(batch.sparkSession, home, batch_id)).groupBy(*keys).agg(F.sum("n").alias("n"))
+        own.write.mode("overwrite").parquet(version(home, batch_id))
+
+    for_each_batch(df, step, checkpoint)
+    return newest(df.sparkSession, home)
+
+
 def merge_periods(df: DataFrame, minimum: float, home: str, checkpoint: str) -> DataFrame:
     """Merge a stream of period topics (period, topic, embedding, count, document_count, sources) into a registry, period by period.
 
     Each micro-batch reads the registry that the one before it wrote and writes its own under its id, with the last
-    period merged so far, so a repeated batch changes nothing. Periods have to arrive in order; those of one batch are sorted.
+    period merged so far, so a repeated batch changes nothing and a restart goes on where the last run ended. Periods have to arrive in
+    order; those of one batch are sorted, and those up to the last one merged are left out as late.
     """
-    versions: list[int] = []
-
     def step(batch: DataFrame, batch_id: int) -> None:
         topics = batch.persist()
-        registry, previous = None, None
+        registry = topics.select(F.col("topic").cast("long").alias("topic"), F.col("period").alias("birth"), "embedding", "count", "document_count", "sources").limit(0)
+        previous = None
         if batch_id:
-            held = batch.sparkSession.read.parquet(f"{home}/{batch_id - 1}")
+            held = newest(batch.sparkSession, home, batch_id)
             registry, previous = held.drop("upto"), held.agg(F.max("upto")).first()[0]
         for (period,) in topics.select("period").distinct().orderBy("period").collect():
             own = topics.filter(F.col("period") == F.lit(period)).drop("period")
-            if registry is None:
+            if previous is None:
                 registry = own.select(F.col("topic").cast("long").alias("topic"), F.lit(period).alias("birth"), "embedding", "count", "document_count", "sources")
-            else:
+            elif period > previous:
                 registry = save(merge_step(registry, own, str(previous), minimum)[0], "registry")
-            previous = period
-        registry.withColumn("upto", F.lit(previous)).write.mode("overwrite").parquet(f"{home}/{batch_id}")
+            previous = period if previous is None else max(previous, period)
+        registry.withColumn("upto", F.lit(previous).cast(df.schema["period"].dataType)).write.mode("overwrite").parquet(version(home, batch_id))
         topics.unpersist()
-        versions.append(batch_id)
 
     for_each_batch(df, step, checkpoint)
-    return df.sparkSession.read.parquet(f"{home}/{max(versions)}").drop("upto")
+    return newest(df.sparkSession, home).drop("upto")
