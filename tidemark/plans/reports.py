@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors as V
-from tidemark.operators import cleaning as C, paraphrases as P, scoring as Q, stability as B, summaries as M, topics as O
+from tidemark.operators import cleaning as C, clusters as K, paraphrases as P, scoring as Q, stability as B, summaries as M, topics as O
 from tidemark.plans.cleaning import PARAGRAPHS
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, kinds, query, table, vectors
 from tidemark.operators.written import save, scratch
@@ -251,20 +251,9 @@ def zeroshot_topics_from_tags(spark, sf_dir):
 
 @query()
 def cluster_embeddings(spark, sf_dir):
-    """K-means on unit vectors; clusters under five members and vectors far from their centre are outliers (-1)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.feature import Normalizer
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="features").transform(rows)
-    model = KMeans(k=8, seed=42, maxIter=10).fit(unit)
-    from pyspark.ml.functions import vector_to_array
-
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, centre array<double>")
-    told = model.transform(unit).join(F.broadcast(centres), "prediction").withColumn("closeness", V.cosine(vector_to_array("features"), F.col("centre")))
-    size = F.count("*").over(Window.partitionBy("prediction"))
-    return told.select("vec_id", F.when((size < 5) | (F.col("closeness") < 0.05), -1).otherwise(F.col("prediction")).alias("topic"))
+    """K-means on the unit vectors of each period; clusters under five members and vectors far from their centre are outliers (-1)."""
+    rows = vectors(spark, sf_dir).select("period", F.col("document_id").alias("id"), "embedding")
+    return K.cluster_periods(rows).select("period", F.col("id").alias("vec_id"), "topic", F.round("closeness", 6).alias("closeness"))
 
 
 @query(f"""WITH {TERMS}, outl AS (SELECT v.document_id, list_filter(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda w: w NOT IN ({_NOT})) AS w FROM vecs v JOIN docs d USING (document_id) WHERE v.topic = -1),

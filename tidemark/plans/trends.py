@@ -59,10 +59,11 @@ def similarity_join_topics(spark, sf_dir):
 
 
 def _two_periods(spark, sf_dir):
-    t = O.period_topics(vectors(spark, sf_dir))
-    start = t.agg(F.min("period").alias("p0"))
-    rows = t.crossJoin(F.broadcast(start))
-    return (rows.filter(F.col("period") == F.date_add("p0", k * DAYS)).drop("p0", "period") for k in (0, 1))
+    """The topics of the first two periods, of whose rows alone they are made."""
+    rows = vectors(spark, sf_dir)
+    start = rows.filter("topic != -1").agg(F.min("period").alias("p0"))
+    both = save(rows.join(F.broadcast(start), F.col("period").isin(F.col("p0"), F.date_add("p0", DAYS))).withColumn("second", F.col("period") != F.col("p0")).drop("p0"), "two_periods")
+    return (O.period_topics(both.filter(F.col("second") == k)).drop("period") for k in (False, True))
 
 
 MERGE = f"""{VECTORS}, {CENTROIDS}, {INFO}, p AS (SELECT min(period) AS p0 FROM cent), one AS (SELECT topic, c FROM cent, p WHERE period = p0), two AS (SELECT topic, c FROM cent, p WHERE period = p0 + {DAYS}),
