@@ -169,44 +169,3 @@ def mmr(candidates: DataFrame, key: str, k: int = 5, diversity: float = 0.3) ->
         return pd.DataFrame({key: df[key].iloc[0], "rank": np.arange(1, len(chosen) + 1, dtype=np.int32), "word": df["word"].iloc[chosen].to_numpy()})
 
     return candidates.groupBy(key).applyInPandas(pick, f"`{key}` {dict(candidates.dtypes)[key]}, rank int, word string")
-
-
-def token_set_ratio(a: set[str], b: set[str]) -> float:
-    """100 times the best similarity between the shared words and each side's words in sorted order."""
-    from difflib import SequenceMatcher
-
-    both, one, two = (" ".join(sorted(s)) for s in (a & b, a - b, b - a))
-    full_a, full_b = (both + " " + one).strip(), (both + " " + two).strip()
-    if both and (not one or not two):
-        return 100.0
-    return 100 * max(SequenceMatcher(None, x, y).ratio() for x, y in ((both, full_a), (both, full_b), (full_a, full_b)))
-
-
-def phrase_match(rows: DataFrame, least: float = 80.0) -> DataFrame:
-    """key, phrase, window, score: the run of as many tokens as the phrase has words that fits it best, if over ``least``.
-
-    ``rows``: key, phrase, tokens. Phrases found word for word are matched without Python.
-    """
-    n = F.size(F.split("phrase", " "))
-    spaced = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    wide = rows.withColumn("words", F.array_join("tokens", " ")).withColumn("exact", spaced(F.col("words")).contains(spaced(F.col("phrase"))) & (F.size("tokens") >= n))
-    exact = wide.filter("exact").select("key", "phrase", F.col("phrase").alias("window"), F.lit(100.0).alias("score"))
-
-    @F.pandas_udf("struct<window:string,score:double>")
-    def best(phrases: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, text in zip(phrases, texts):
-            tokens, n, words = text.split(" "), len(p.split(" ")), set(p.split())
-            largest: dict[frozenset, str] = {}  # the ratio is one of sets; of equal ratios the largest run counts
-            for i in np.flatnonzero([w in words for w in tokens]):
-                for at in range(max(i - n + 1, 0), min(i, max(len(tokens) - n, 0)) + 1):
-                    run = tokens[at:at + n]
-                    joined, own = " ".join(run), frozenset(run)
-                    if largest.get(own, "") < joined:
-                        largest[own] = joined
-            top = max(((token_set_ratio(words, own), r) for own, r in largest.items()), default=(0.0, ""))
-            out.append((top[1], top[0]) if top[0] > least else ("", 0.0))
-        return pd.DataFrame(out, columns=["window", "score"])
-
-    rest = wide.filter("not exact").withColumn("b", best("phrase", "words")).select("key", "phrase", "b.window", "b.score")
-    return exact.unionByName(rest)

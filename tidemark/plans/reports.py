@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text as T, vectors as V
-from tidemark.operators import cleaning as C, clusters as K, paraphrases as P, scoring as Q, stability as B, summaries as M, topics as O
+from tidemark.operators import cleaning as C, clusters as K, paraphrases as P, phrases, scoring as Q, stability as B, summaries as M, topics as O
 from tidemark.plans.cleaning import PARAGRAPHS
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, SIMILARITY, VECTORS, activity, documents, kinds, query, table, vectors
 from tidemark.operators.written import save, scratch
@@ -452,7 +452,7 @@ def phrase_match_embedding(spark, sf_dir):
     tokens = T.words(F.col("text"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), tokens.alias("tokens")).filter(F.size("tokens") >= 6)
     phrase = F.concat_ws(" ", F.element_at("tokens", 3), F.element_at("tokens", 4), F.when(F.col("key") % 2 == 0, F.concat(F.element_at("tokens", 5), F.lit("x"))).otherwise(F.element_at("tokens", 5)))
-    found = M.phrase_match(rows.withColumn("phrase", phrase))
+    found = phrases.phrase_match(rows.withColumn("phrase", phrase))
     mean = M.hashed_vector(F.split("window", " "), 16)
     return found.select("key", "phrase", "window", F.round("score", 4).alias("score"), F.when(F.col("window") == "", F.array_repeat(F.lit(0.0).cast("float"), 16)).otherwise(mean).alias("embedding"))
 

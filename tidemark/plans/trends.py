@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
-from tidemark.operators import merging, signals as S, topics as O
+from tidemark.operators import jobs, merging, signals as S, topics as O
 from tidemark.operators.written import save, scratch
 from tidemark.plans.bindings import ACTIVITY, DAYS, DOCS, KINDS, SIMILARITY, VECTORS, activity, documents, kinds, query, table, vectors
 
@@ -418,13 +418,14 @@ def signals_with_interpretation(spark, sf_dir):
 
 @query()
 def incremental_update(spark, sf_dir):
-    """Registry of all but the newest period from its stored table, then one merge step."""
-    t = save(O.period_topics(vectors(spark, sf_dir)), "topics")
-    newest = t.agg(F.max("period").alias("p")).first()["p"]
-    registry, _ = merging.merge_all_periods(t.filter(F.col("period") < F.lit(newest)), SIMILARITY, save)
-    before = t.filter(F.col("period") < F.lit(newest)).agg(F.max("period").alias("p")).first()["p"]
-    grown, _, _ = merging.merge_step(registry, t.filter(F.col("period") == F.lit(newest)).drop("period"), str(before), SIMILARITY)
-    return grown.select("topic", "birth", "count", "document_count", F.size("sources").alias("n_sources"))
+    """A job takes in all periods but the newest, and in a later run the newest alone; the registry and how its signals are labelled."""
+    topics, home = save(O.period_topics(vectors(spark, sf_dir)), "topics"), scratch(spark, "job")
+    newest = topics.agg(F.max("period").alias("p")).first()["p"]
+    jobs.advance(spark, topics.filter(F.col("period") < F.lit(newest)), home, SIMILARITY, DAYS, 2 * DAYS)
+    jobs.advance(spark, topics, home, SIMILARITY, DAYS, 2 * DAYS)
+    registry = jobs.result(spark, home, "registry").select("topic", "birth", "count", "document_count", F.size("sources").alias("n_sources"))
+    labels = jobs.result(spark, home, "signals").filter(F.col("period") == F.lit(str(newest))).select("topic", "category", F.round("popularity", 6).alias("popularity"))
+    return registry.join(labels, "topic", "left")
 
 
 @query()

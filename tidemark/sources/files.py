@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.written import save
+
 MANDATORY = ("text", "timestamp")
 
 
@@ -79,8 +81,11 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_signals(df: DataFrame, path: str) -> None:
-    """One folder for each reference_ts and category."""
-    df.write.mode("append").partitionBy("reference_ts", "category").parquet(path)
+    """One folder for each reference_ts and category. A date that is written again is replaced, with all its categories; others stay."""
+    df = save(df, "signals")
+    for (date,) in df.select("reference_ts").distinct().collect():  # the few dates of a run
+        own = df.filter(F.col("reference_ts") == F.lit(date)).drop("reference_ts")
+        own.write.mode("overwrite").partitionBy("category").parquet(f"{path}/reference_ts={date}")
 
 
 def read_signals_between(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
