@@ -70,7 +70,7 @@ def test_odd_vectors_and_periods(spark):
     assert K.cluster_periods(spark.createDataFrame([], "period date, id long, embedding array<double>")).collect() == []
 
 
-def test_means_shuffle_a_row_for_each_key_and_task(spark, monkeypatch):
+def test_means_of_vectors(spark):
     r = np.random.default_rng(4)
     rows = [(int(k), None if k == 3 else "x", [None if r.random() < .1 else float(x) for x in r.normal(size=r.integers(1, 6))]) for k in r.integers(0, 5, 900)] + [(9, "y", None), (9, "y", [])]
     df = spark.createDataFrame(rows, "a long, b string, v array<double>").repartition(6)
@@ -83,7 +83,3 @@ def test_means_shuffle_a_row_for_each_key_and_task(spark, monkeypatch):
     means = {k: [x for x in v if x is not None] for k, v in wanted.items()}
     assert flat.keys() == means.keys() and all(flat[k] == pytest.approx(np.mean(v)) for k, v in means.items())
     assert {x["a"]: x["n"] for x in got} == {k: sum(1 for a, _, v in rows if a == k and v) for k in range(5)}
-    batches = df.coalesce(1).mapInArrow(lambda b: V.summed(b, ["a", "b"], "v"), "a long, b string, sum array<double>, count array<long>, n long")
-    assert batches.count() == 5
-    small = df.coalesce(1).mapInArrow(lambda b: V.summed(b, ["a", "b"], "v", 1), "a long, b string, sum array<double>, count array<long>, n long")
-    assert small.agg(F.sum("n")).first()[0] == len(rows) - 2

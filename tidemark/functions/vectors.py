@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,60 +21,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def summed(batches: Iterator[pa.RecordBatch], keys: list[str], vector: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """keys, sum, count (by dimension) and n of all vectors of a task, a row a key; null components aren't counted, null and empty vectors not at all.
-
-    The sums of up to ``most`` numbers are held; beyond, what there is goes out as a row of its own.
-    """
-    held: dict[tuple, list] = {}
-    schema = None
-
-    def told() -> pa.RecordBatch:
-        columns = [pa.array([k[i] for k in held], schema.field(i).type) for i in range(len(keys))]
-        columns += [pa.array([v[i].tolist() for v in held.values()], pa.list_(t)) for i, t in ((0, pa.float64()), (1, pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns + [pa.array([v[2] for v in held.values()], pa.int64())], [*keys, "sum", "count", "n"])
-
-    for batch in batches:
-        batch = batch.filter(pc.greater(pc.list_value_length(batch.column(vector)), 0))
-        if not batch.num_rows:
-            continue
-        schema = batch.schema
-        rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-        places = {k: i for i, k in enumerate(dict.fromkeys(rows))}
-        group = np.fromiter((places[k] for k in rows), np.int64, len(rows))
-        values = batch.column(vector)
-        size = np.diff(values.offsets.to_numpy())
-        flat = values.flatten()
-        dim = int(size.max(initial=0))
-        at = np.repeat(group * dim, size) + np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        sound = flat.is_valid().to_numpy(zero_copy_only=False)
-        numbers = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
-        sums = np.bincount(at[sound], numbers[sound], len(places) * dim).reshape(len(places), dim)
-        counts = np.bincount(at[sound], minlength=len(places) * dim).reshape(len(places), dim)
-        n, width = np.bincount(group, minlength=len(places)), np.zeros(len(places), np.int64)
-        np.maximum.at(width, group, size)
-        for k, i in places.items():
-            own = [sums[i, :width[i]], counts[i, :width[i]], int(n[i])]
-            if k in held:
-                was = held[k]
-                wide = max(len(was[0]), len(own[0]))
-                own = [*(np.pad(was[j], (0, wide - len(was[j]))) + np.pad(own[j], (0, wide - len(own[j]))) for j in (0, 1)), was[2] + own[2]]
-            held[k] = own
-        if len(held) * max(1, dim) > most:
-            yield told()
-            held = {}
-    if held:
-        yield told()
-
-
 def mean_vector(df: DataFrame, keys: list[str], vector: str, out: str) -> DataFrame:
     """The mean of the vectors of each key, dimension by dimension; ``n`` counts the vectors.
 
-    Each task adds up its own vectors, so a row for each key and task is all that is shuffled.
+    Each task adds up its own vectors as wholes, so a row for each key (and length) and task is shuffled; vectors with a null component,
+    which isn't counted, are added number by number. Null and empty vectors don't count.
     """
-    kinds = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
-    partial = df.select(*keys, vector).mapInArrow(lambda batches: summed(batches, keys, vector), f"{kinds}, sum array<double>, count array<long>, n long")
-    by_place = partial.select(*keys, "n", F.posexplode(F.arrays_zip("sum", "count")).alias("__i", "__s"))
-    by_place = by_place.groupBy(*keys, "__i").agg(F.try_divide(F.sum("__s.sum"), F.sum("__s.count")).alias("__m"), F.sum("n").alias("n"))
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("__v")).filter(F.size("__v") > 0)
+    whole = rows.filter(F.forall("__v", lambda x: x.isNotNull())).groupBy(*keys, F.size("__v").alias("__d")).agg(Summarizer.sum(array_to_vector("__v")).alias("__s"), F.count("*").alias("__c"))
+    sums = whole.select(*keys, "__c", F.posexplode(vector_to_array("__s")).alias("__i", "__x")).withColumn("n", F.col("__c"))
+    rest = rows.filter(F.exists("__v", lambda x: x.isNull())).select(*keys, F.posexplode("__v").alias("__i", "__x"))
+    rest = rest.groupBy(*keys, "__i").agg(F.count("__x").alias("__c"), F.sum("__x").alias("__x"), F.count("*").alias("n")).select(*keys, "__c", "__i", "__x", "n")
+    by_place = sums.unionByName(rest).groupBy(*keys, "__i").agg(F.try_divide(F.sum("__x"), F.sum("__c")).alias("__m"), F.sum("n").alias("n"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"])
     return by_place.groupBy(*keys).agg(F.max("n").alias("n"), ordered.alias(out))

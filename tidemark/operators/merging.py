@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.topics import best_match
-from tidemark.operators.written import scratch
+from tidemark.operators.written import save, scratch
 
 LOG = "merge_ts date, topic1 long, topic2 int, similarity double, count1 long, count2 long, document_count1 long, document_count2 long, sources1 array<string>, sources2 array<string>"
 
@@ -22,7 +22,7 @@ def merge_step(registry: DataFrame, topics: DataFrame, previous: str, minimum: f
     sources1 are those before this merge.
     """
     near = best_match(topics.withColumnRenamed("topic", "topic2"), registry.withColumnRenamed("topic", "topic1"), "topic2", "topic1", "embedding", "embedding")
-    found = topics.withColumnRenamed("topic", "topic2").join(near, "topic2", "left").withColumn("similarity", F.coalesce("similarity", F.lit(-1.0)))
+    found = save(topics.withColumnRenamed("topic", "topic2").join(near, "topic2", "left").withColumn("similarity", F.coalesce("similarity", F.lit(-1.0))), "matched")
     merged, fresh = found.filter(F.col("similarity") >= minimum), found.filter(F.col("similarity") < minimum)
     date = F.lit(previous).cast("date")
     before = registry.select(F.col("topic").alias("topic1"), F.col("count").alias("count1"), F.col("document_count").alias("document_count1"), F.col("sources").alias("sources1"))

@@ -64,10 +64,9 @@ def lcs_all(pairs: list[tuple[str, str]]) -> np.ndarray:
 def best_windows(phrases: list[str], texts: list[list[str]], least: float) -> list[tuple[str, int]]:
     """(window, score) of each phrase in its tokens; ("", 0) where no window scores over ``least``."""
     where = {t: i for i, t in enumerate(dict.fromkeys(t for tokens in texts for t in tokens))}
-    letters = np.zeros((len(where), LETTERS), np.int32)
-    for t, i in where.items():
-        np.add.at(letters[i], np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, 1)
     size = np.array([len(t) for t in where], np.int64)
+    every = np.frombuffer("".join(where).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % LETTERS
+    letters = np.bincount(np.repeat(np.arange(len(where)) * LETTERS, size) + every, minlength=len(where) * LETTERS).reshape(-1, LETTERS)
     asked: list[tuple[int, int, str, str, int, int]] = []  # row, window, both rests, lengths with what is shared
     scores: list[dict[int, int]] = [{} for _ in phrases]
     for row, (phrase, tokens) in enumerate(zip(phrases, texts)):
@@ -83,24 +82,28 @@ def best_windows(phrases: list[str], texts: list[list[str]], least: float) -> li
             np.add.at(mine, np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, 1)
         common = np.minimum(total[n:] - total[:starts], mine).sum(1) + len(words) - 1
         length = np.concatenate([[0], size[ids].cumsum()])
-        shared = np.array([t in words for t in where])[ids]
+        shared = np.isin(ids, [where[w] for w in words if w in where])
         known = np.concatenate([[0], shared.cumsum()])
+        held = np.concatenate([[0], (size[ids] * shared).cumsum()])
+        n_known, joined = known[n:] - known[:starts], held[n:] - held[:starts]
+        joined = joined + np.maximum(n_known - 1, 0)
         new = ids[:, None] if n == 1 else np.lib.stride_tricks.sliding_window_view(ids, n)
         repeated = (np.diff(np.sort(new, axis=1), axis=1) == 0).any(1) if n > 1 else np.zeros(starts, bool)
-        own = sum(map(len, words)) + len(words) - 1
-        reach = 200 * common / (own + length[n:] - length[:starts] + n - 1)
-        for at in np.flatnonzero((known[n:] > known[:starts]) | repeated | (reach > least - 1)):
+        own, wide = sum(map(len, words)) + len(words) - 1, length[n:] - length[:starts] + n - 1
+        # twice what is common over both lengths: of the whole sides, and of the shared words with either side
+        reach = np.maximum(200 * common / (own + wide), 200 * joined / np.minimum(joined + own, joined + wide))
+        for at in np.flatnonzero(repeated | (reach > least - 1)):
             window = set(tokens[at:at + n])
             both = words & window
             a, b = " ".join(sorted(words - both)), " ".join(sorted(window - both))
             if both and (not a or not b):
                 scores[row][int(at)] = 100
                 break  # nothing scores more, and what comes before has been asked
-            joined = len(" ".join(sorted(both)))
+            core = len(" ".join(sorted(both)))
             gap = 1 if both else 0
-            asked.append((row, int(at), a, b, joined + gap + len(a), joined + gap + len(b)))
+            asked.append((row, int(at), a, b, core + gap + len(a), core + gap + len(b)))
             if both:  # shared words against shared words with either rest
-                scores[row][int(at)] = max(round(200 * joined / (2 * joined + gap + len(x))) for x in (a, b))
+                scores[row][int(at)] = max(round(200 * core / (2 * core + gap + len(x))) for x in (a, b))
     found = lcs_all([(a, b) for _, _, a, b, _, _ in asked])
     for (row, at, a, _, x, y), common in zip(asked, found.tolist()):
         score = round(200 * (common + x - len(a)) / max(1, x + y))

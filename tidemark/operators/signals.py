@@ -6,7 +6,7 @@ Dates are DATE columns. ``log``: merge_ts, topic1, topic2, document_count1, docu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.written import save
@@ -84,26 +84,23 @@ def exact_quantiles(runs: DataFrame, sketched: DataFrame, window: int, shares: d
     A sketch brackets the wanted values within ``margin`` of their rank; what lies below is only counted, what lies inside is ranked.
     ``runs``: ts, popularity, c (how often the value occurs that day).
     """
-    whole = margin >= 1
-    for name, p in shares.items():
-        low, high = (F.kll_sketch_get_quantile_double("sketch", F.lit(float(min(1, max(0, x))))) for x in (p - margin, p + margin))
-        sketched = sketched.withColumn(f"{name}_low", F.lit(float("-inf")) if whole else low).withColumn(f"{name}_high", F.lit(float("inf")) if whole else high)
-    met = in_windows(sketched.drop("sketch"), runs, window, 0)
-    below = [F.sum(F.when(F.col("popularity") < F.col(f"{name}_low"), F.col("c")).otherwise(0)).alias(f"{name}_below") for name in shares]
-    out = met.groupBy("eval_date", "n_points").agg(*below)
-    sure = F.lit(True)
-    for name, p in shares.items():
-        inside = met.filter(F.col("popularity").between(F.col(f"{name}_low"), F.col(f"{name}_high"))).groupBy("eval_date", "popularity").agg(F.sum("c").alias("c"))
-        upto = F.sum("c").over(Window.partitionBy("eval_date").orderBy("popularity").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranked = inside.withColumn("upto", upto).join(out.select("eval_date", "n_points", f"{name}_below"), "eval_date")
-        place = p * (F.col("n_points") - 1)
-        rank = F.col("upto") + F.col(f"{name}_below")
-        at = lambda r: F.min(F.when(rank >= r + 1, F.col("popularity")))
-        found = ranked.groupBy("eval_date").agg(at(F.floor(place)).alias("v0"), at(F.ceil(place)).alias("v1"), F.max(place - F.floor(place)).alias("part"))
-        value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
-        out = out.join(found.select("eval_date", value.alias(name)), "eval_date", "left")
-        sure = sure & (F.col(f"{name}_below") <= F.floor(place)) & F.col(name).isNotNull()
-    return out.withColumn("sure", sure).select("eval_date", "n_points", *shares, "sure")
+    def bracket(name: str, p: float) -> Column:
+        ends = (F.lit(float("-inf")), F.lit(float("inf"))) if margin >= 1 else (F.kll_sketch_get_quantile_double("sketch", F.lit(float(min(1, max(0, x))))) for x in (p - margin, p + margin))
+        return F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), *(e.alias(c) for e, c in zip(ends, ("low", "high"))))
+
+    wide = sketched.select("eval_date", "n_points", F.explode(F.array(*(bracket(*s) for s in shares.items()))).alias("b")).select("eval_date", "n_points", "b.*")
+    met = in_windows(wide, runs, window, 0).filter(F.col("popularity") <= F.col("high"))
+    value = F.when(F.col("popularity") >= F.col("low"), F.col("popularity"))  # null below, where only the number counts
+    counted = met.groupBy("eval_date", "name", "p", "n_points", value.alias("v")).agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("eval_date", "name").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    place = F.col("p") * (F.col("n_points") - 1)
+    at = lambda r: F.min(F.when(F.col("upto") >= r + 1, F.col("v")))
+    below = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0))
+    found = counted.withColumn("upto", upto).withColumn("place", place).groupBy("eval_date", "name", "n_points", "place").agg(at(F.floor("place")).alias("v0"), at(F.ceil("place")).alias("v1"), below.alias("below"))
+    sure = (F.col("below") <= F.floor("place")) & F.col("v1").isNotNull()
+    found = found.select("eval_date", "name", "n_points", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("place") - F.floor("place"))).alias("value"), sure.alias("sure"))
+    pivoted = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in shares]
+    return found.groupBy("eval_date", "n_points").agg(*pivoted, ((F.count("*") == len(shares)) & F.every("sure")).alias("sure"))
 
 
 def thresholds(series: DataFrame, dates: DataFrame, window: int, low: float = 0.10, high: float = 0.75, exact: bool = True, k: int = 800) -> DataFrame:
@@ -117,7 +114,6 @@ def thresholds(series: DataFrame, dates: DataFrame, window: int, low: float = 0.
     sketched = window_sketches(points, dates, window, k)
     shares = {"q1": low, "q3": high}
     if exact:
-        sketched = save(sketched, "sketches")
         runs = points.groupBy("ts", "popularity").agg(F.count("*").alias("c"))
         margin = 4.6 / k**0.9
         found = save(exact_quantiles(runs, sketched, window, shares, margin), "quantiles")
