@@ -115,3 +115,16 @@ def test_sample_is_the_same_everywhere(spark):
     df = spark.range(1000).withColumnRenamed("id", "doc_id")
     want = {i for i in range(1000) if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 100 < 20}
     assert {r["doc_id"] for r in C.sample_by_hash(df, "doc_id", 20).collect()} == want and Counter(want)
+
+
+def test_cv_is_the_cosine_of_context_vectors(spark):
+    docs = [(1, "one two three four one five two two six"), (2, "two three six one"), (3, "seven"), (4, "one two one two one two one two one two one two")]
+    words = [(0, ["one", "two", "three", "never"]), (1, ["five", "six"]), (2, ["never"])]
+    got = {r["topic"]: r["c_v"] for r in O.coherence_cv(spark.createDataFrame(words, "topic int, words array<string>"), spark.createDataFrame(docs, "document_id long, text string"), window=4).collect()}
+    windows = [set(w[i:i + 4]) for _, t in docs for w in [t.split()] for i in range(max(1, len(w) - 3))]
+    p = lambda *w: sum(set(w) <= x for x in windows) / len(windows)
+    for topic, own in words:
+        v = np.array([[math.log((p(a, b) + 1e-12) / (p(a) * p(b) + 1e-24)) / -math.log(p(a, b) + 1e-12) if p(a) and p(b) else 0 for b in own] for a in own])
+        whole = v.sum(0)
+        cosines = [x @ whole / np.linalg.norm(x) / np.linalg.norm(whole) if x.any() else 0 for x in v]
+        assert got[topic] == pytest.approx(np.mean(cosines))

@@ -112,26 +112,75 @@ def jaccard_diversity(words: DataFrame, k: int) -> DataFrame:
     return pairs.agg(F.avg(1 - F.size(F.array_intersect("w1", "w2")) / F.size(F.array_union("w1", "w2"))).alias("diversity"))
 
 
+def _covered(places: DataFrame, keys: list[str], window: int) -> Column:
+    """Windows that begin with or before a place and hold it, but hold no earlier place of the same keys and document.
+
+    A window is known by its first place; the sum over all places counts each window that holds any of them once."""
+    before = F.lag("pos").over(Window.partitionBy(*keys, "document_id").orderBy("pos"))
+    first = F.greatest(F.col("pos") - window + 1, F.lit(0), F.when(before.isNotNull(), F.least(before, F.col("last")) + 1))
+    return F.greatest(F.least(F.col("pos"), F.col("last")) - first + 1, F.lit(0))
+
+
+def cooccurrence(words: DataFrame, docs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How often the topics' first k words come, alone and in pairs, from one written table of their places.
+
+    (a, b, n_ab, d_ab) for a < b and for a = b, in windows and in documents; (windows, docs) of all texts; the pairs of each topic
+    (topic, i, j, x, y). A window that holds both words of a pair is one that holds either, counted from merged places, subtracted from
+    the sum of both, so no window is ever written out; the few pairs asked for meet the places by broadcast.
+    """
+    listed = words.select("topic", F.slice("words", 1, k).alias("ws"))
+    pairs = listed.select("topic", "ws", F.posexplode("ws").alias("i", "x")).select("topic", "i", "x", F.posexplode("ws").alias("j", "y"))
+    asked = save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    tokens = docs.select("document_id", T.words(F.col("text")).alias("ws"))
+    sizes = tokens.agg(F.sum(F.greatest(F.size("ws") - window + 1, F.lit(1))).alias("windows"), F.count("*").alias("docs"))
+    rows = tokens.select("document_id", F.greatest(F.size("ws") - window, F.lit(0)).alias("last"), F.posexplode("ws").alias("pos", "w"))
+    wanted = asked.select(F.col("a").alias("w")).union(asked.select("b")).distinct()
+    places = save(rows.join(F.broadcast(wanted), "w", "left_semi"), "places")  # at most k words a topic
+    single = save(places.withColumn("c", _covered(places, ["w"], window)).groupBy("w", "document_id").agg(F.sum("c").alias("c")).groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("d")), "single")
+    real = F.broadcast(asked.filter("a != b"))  # at most k * k pairs a topic
+    either = places.join(real, places["w"] == real["a"]).unionByName(places.join(real, places["w"] == real["b"]))
+    met = either.withColumn("c", _covered(either, ["a", "b"], window)).groupBy("a", "b", "document_id").agg(F.sum("c").alias("c"), F.max((F.col("w") == F.col("a")).cast("int")).alias("has_a"), F.max((F.col("w") == F.col("b")).cast("int")).alias("has_b"))
+    union = met.groupBy("a", "b").agg(F.sum("c").alias("u"), F.sum(F.col("has_a") * F.col("has_b")).alias("d_ab"))
+    of = lambda c: single.select(F.col("w").alias(c), F.col("n").alias(f"n_{c}"))
+    both = union.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b") - F.col("u")).alias("n_ab"), "d_ab")
+    # a pair of which one word never occurs has no row
+    both = both.unionByName(single.select(F.col("w").alias("a"), F.col("w").alias("b"), F.col("n").alias("n_ab"), F.col("d").alias("d_ab")))
+    return save(both, "cooccurrence"), sizes, pairs
+
+
+def _measured(words: DataFrame, docs: DataFrame, window: int, k: int) -> DataFrame:
+    """topic, i, j and the counts of each ordered pair of the topic's words: n_xy, n_x, n_y, d_xy, d_y, windows."""
+    both, sizes, pairs = cooccurrence(words, docs, window, k)
+    keyed = pairs.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(both, ["a", "b"], "left")
+    of = lambda c: both.filter("a = b").select(F.col("a").alias(c), F.col("n_ab").alias(f"n_{c}"), F.col("d_ab").alias(f"d_{c}"))
+    met = keyed.join(of("x"), "x", "left").join(of("y"), "y", "left").crossJoin(F.broadcast(sizes))
+    zero = F.lit(0)
+    return met.select("topic", "i", "j", "windows", F.coalesce("n_ab", zero).alias("n_xy"), F.coalesce("n_x", zero).alias("n_x"), F.coalesce("n_y", zero).alias("n_y"), F.coalesce("d_ab", zero).alias("d_xy"), F.coalesce("d_y", zero).alias("d_y"))
+
+
+EPS = 1e-12
+
+
+def _pmi() -> tuple[Column, Column]:
+    """Pointwise mutual information and its normalised form."""
+    p = F.col("n_xy") / F.col("windows")
+    pmi = F.log((p + EPS) / (F.col("n_x") / F.col("windows") * F.col("n_y") / F.col("windows") + EPS * EPS))
+    return pmi, pmi / -F.log(p + EPS)
+
+
 def coherence(words: DataFrame, docs: DataFrame, window: int = 10, k: int = 10) -> DataFrame:
     """topic, c_npmi, c_uci: mean over the pairs of its words of (normalised) pointwise mutual information in sliding
-    windows, and u_mass from documents. Only the topics' words enter the windows."""
-    eps = 1e-12
-    wanted = words.select(F.explode(F.slice("words", 1, k)).alias("w")).distinct()
-    tokens = docs.select("document_id", F.posexplode(T.words(F.col("text"))).alias("pos", "w"))
-    sizes = docs.select(F.greatest(F.size(T.words(F.col("text"))) - window + 1, F.lit(1)).alias("n")).agg(F.sum("n").alias("windows"), F.count("*").alias("docs"))
-    last = docs.select("document_id", F.greatest(F.size(T.words(F.col("text"))) - window, F.lit(0)).alias("last"))
-    met = tokens.join(wanted, "w", "left_semi").join(last, "document_id")
-    at = met.select("document_id", "w", F.explode(F.sequence(F.greatest(F.col("pos") - window + 1, F.lit(0)), F.least(F.col("pos"), "last"))).alias("win")).distinct()
-    single = at.groupBy("w").agg(F.count("*").alias("n"))
-    doc_single = met.select("document_id", "w").distinct().groupBy("w").agg(F.count("*").alias("dn"))
-    pairs = words.select("topic", F.slice("words", 1, k).alias("ws"), F.posexplode(F.slice("words", 1, k)).alias("i", "a")).select("topic", "a", F.explode(F.slice("ws", F.lit(1), F.col("i"))).alias("b"))
-    asked = pairs.select("a", "b").distinct()
-    # a window holds as many wanted words as it has places, so its pairs are few; frequent words meet nowhere else
-    held = at.groupBy("document_id", "win").agg(F.collect_set("w").alias("ws")).filter(F.size("ws") > 1)
-    both = held.select("ws", F.explode("ws").alias("a")).select("a", F.explode("ws").alias("b")).filter("a != b").groupBy("a", "b").agg(F.count("*").alias("ab")).join(asked, ["a", "b"], "left_semi")
-    dleft, dright = met.select("document_id", F.col("w").alias("a")).distinct(), met.select("document_id", F.col("w").alias("b")).distinct()
-    dboth = asked.join(dleft, "a").join(dright, ["b", "document_id"]).groupBy("a", "b").agg(F.count("*").alias("dab"))
-    full = pairs.join(both, ["a", "b"], "left").join(dboth, ["a", "b"], "left").join(single.select(F.col("w").alias("a"), F.col("n").alias("na")), "a", "left").join(single.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b", "left").join(doc_single.select(F.col("w").alias("b"), "dn"), "b", "left").crossJoin(F.broadcast(sizes))
-    pab = F.coalesce("ab", F.lit(0)) / F.col("windows")
-    pmi = F.log((pab + eps) / (F.coalesce("na", F.lit(0)) / F.col("windows") * F.coalesce("nb", F.lit(0)) / F.col("windows") + eps * eps))
-    return full.groupBy("topic").agg(F.avg(pmi / -F.log(pab + eps)).alias("c_npmi"), F.avg(pmi).alias("c_uci"), F.avg(F.log((F.coalesce("dab", F.lit(0)) + 1) / F.greatest(F.coalesce("dn", F.lit(0)), F.lit(1)))).alias("u_mass"))
+    windows, and u_mass from documents."""
+    pmi, npmi = _pmi()
+    mass = F.log((F.col("d_xy") + 1) / F.greatest("d_y", F.lit(1)))
+    return _measured(words, docs, window, k).filter("j < i").groupBy("topic").agg(F.avg(npmi).alias("c_npmi"), F.avg(pmi).alias("c_uci"), F.avg(mass).alias("u_mass"))
+
+
+def coherence_cv(words: DataFrame, docs: DataFrame, window: int = 110, k: int = 10) -> DataFrame:
+    """topic, c_v: each word's vector of normalised mutual information with all words of the topic, its cosine with the sum of
+    these vectors, and the mean of the cosines. Words that never occur have vectors of zeros and cosines of 0."""
+    npmi = F.when((F.col("n_x") > 0) & (F.col("n_y") > 0), _pmi()[1]).otherwise(0.0)
+    cells = _measured(words, docs, window, k).select("topic", "i", "j", npmi.alias("v"))
+    whole = F.sum("v").over(Window.partitionBy("topic", "j"))  # as many rows as a topic has words
+    sides = cells.withColumn("s", whole).groupBy("topic", "i").agg(F.sum(F.col("v") * F.col("s")).alias("p"), F.sum(F.col("v") * F.col("v")).alias("vv"), F.sum(F.col("s") * F.col("s")).alias("ss"))
+    return sides.groupBy("topic").agg(F.avg(F.coalesce(F.try_divide(F.col("p"), F.sqrt(F.col("vv") * F.col("ss"))), F.lit(0.0))).alias("c_v"))

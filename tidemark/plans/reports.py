@@ -204,9 +204,30 @@ def pairwise_jaccard_diversity(spark, sf_dir):
     return O.jaccard_diversity(_words(spark, sf_dir), 10).select(F.round("diversity", 6).alias("diversity"))
 
 
-@query()
+def _measures(size: int) -> str:
+    """Mutual information of the topics' words in sliding windows of ``size`` words, all of which are written out."""
+    return f"""{WORDS}, tk AS (SELECT document_id, regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]{{2,}}') AS w FROM docs d WHERE document_id IN (SELECT document_id FROM vecs WHERE topic != -1)),
+tot AS (SELECT sum(greatest(len(w) - {size} + 1, 1)) AS windows FROM tk), wl AS (SELECT topic, unnest(words[1:10]) AS w, CAST(unnest(range(0, len(words[1:10]))) AS BIGINT) AS i FROM tw),
+pl AS (SELECT document_id, w, pos, last FROM (SELECT document_id, unnest(w) AS w, CAST(unnest(range(0, len(w))) AS BIGINT) AS pos, greatest(len(w) - {size}, 0) AS last FROM tk) WHERE w IN (SELECT w FROM wl)),
+held AS (SELECT DISTINCT document_id, w, unnest(range(greatest(pos - {size} + 1, 0), least(pos, last) + 1)) AS win FROM pl), one AS (SELECT w, count(*) AS n FROM held GROUP BY w),
+asked AS (SELECT DISTINCT x.w AS a, y.w AS b FROM wl x JOIN wl y ON x.topic = y.topic AND x.w < y.w), two AS (SELECT a, b, count(*) AS n FROM asked JOIN held x ON x.w = a JOIN held y ON y.w = b AND y.document_id = x.document_id AND y.win = x.win GROUP BY a, b),
+cells AS (SELECT x.topic, x.i, y.i AS j, coalesce(p.n, 0) AS nx, coalesce(q.n, 0) AS ny, CASE WHEN x.w = y.w THEN coalesce(p.n, 0) ELSE coalesce(two.n, 0) END AS nxy, windows FROM wl x JOIN wl y ON x.topic = y.topic CROSS JOIN tot LEFT JOIN one p ON p.w = x.w LEFT JOIN one q ON q.w = y.w LEFT JOIN two ON a = least(x.w, y.w) AND b = greatest(x.w, y.w)),
+mi AS (SELECT *, ln((nxy / windows + 1e-12) / ((nx / windows) * (ny / windows) + 1e-24)) AS pmi, ln((nxy / windows + 1e-12) / ((nx / windows) * (ny / windows) + 1e-24)) / -ln(nxy / windows + 1e-12) AS npmi FROM cells)"""
+
+
+@query(f"WITH {_measures(10)}, dw AS (SELECT DISTINCT document_id, w FROM pl), d1 AS (SELECT w, count(*) AS n FROM dw GROUP BY w), d2 AS (SELECT a, b, count(*) AS n FROM asked JOIN dw x ON x.w = a JOIN dw y ON y.w = b AND y.document_id = x.document_id GROUP BY a, b), "
+       "um AS (SELECT x.topic, avg(ln((coalesce(d2.n, 0) + 1) / greatest(coalesce(d1.n, 0), 1))) AS u FROM wl x JOIN wl y ON x.topic = y.topic AND y.i < x.i LEFT JOIN d1 ON d1.w = y.w LEFT JOIN d2 ON a = least(x.w, y.w) AND b = greatest(x.w, y.w) GROUP BY x.topic) "
+       "SELECT mi.topic, round(avg(npmi), 6) AS c_npmi, round(avg(pmi), 6) AS c_uci, round(any_value(u), 6) AS u_mass FROM mi JOIN um ON um.topic = mi.topic WHERE j < i GROUP BY mi.topic")
 def coherence_npmi(spark, sf_dir):
-    return O.coherence(_words(spark, sf_dir), _texts(spark, sf_dir))
+    found = O.coherence(_words(spark, sf_dir), _texts(spark, sf_dir))
+    return found.select("topic", *(F.round(c, 6).alias(c) for c in ("c_npmi", "c_uci", "u_mass")))
+
+
+@query(f"WITH {_measures(110)}, v AS (SELECT topic, i, j, CASE WHEN nx > 0 AND ny > 0 THEN npmi ELSE 0 END AS v FROM mi), s AS (SELECT topic, j, sum(v) AS s FROM v GROUP BY topic, j), c AS (SELECT v.topic, v.i, sum(v * s) AS p, sqrt(sum(v * v)) * sqrt(sum(s * s)) AS l FROM v JOIN s ON s.topic = v.topic AND s.j = v.j GROUP BY v.topic, v.i) "
+       "SELECT topic, round(avg(CASE WHEN l > 0 THEN p / l ELSE 0 END), 6) AS c_v FROM c GROUP BY topic")
+def coherence_cv(spark, sf_dir):
+    """Indirect confirmation: how much the words of a topic keep company with the same words."""
+    return O.coherence_cv(_words(spark, sf_dir), _texts(spark, sf_dir)).select("topic", F.round("c_v", 6).alias("c_v"))
 
 
 @query()
