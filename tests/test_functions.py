@@ -77,3 +77,13 @@ def test_schema_check(spark):
         files.validate_schema(df)
     assert files.validate_schema(df.withColumn("date", F.lit(1)), {"text": ["body"], "timestamp": ["date"]}).columns == ["id", "text", "timestamp"]
     assert files.read_documents(spark, "feed.unknown") is None
+
+
+def test_budget_splitter_in_sql_and_by_hand(spark):
+    spark.udtf.register("pieces", C.budget_splitter())
+    spark.createDataFrame([(1, "One two. Three four. Five six seven eight nine ten.\n\nEleven"), (2, None), (3, "a\x0bb c"), (4, "x" * 50_000 + " y" * 30_000)], "id long, text string").createOrReplaceTempView("texts_to_cut")
+    got = {}
+    for r in spark.sql("SELECT t.id, p.pos, p.piece FROM texts_to_cut t, LATERAL pieces(t.text, 4) p ORDER BY t.id, p.pos").collect():
+        got.setdefault(r["id"], []).append(r["piece"])
+    assert got[1] == ["One two. Three four.", "Five six seven eight", "nine ten.", "Eleven"] and got[3] == ["a\x0bb c"] and 2 not in got
+    assert "".join(got[4]).replace(" ", "") == "x" * 50_000 + "y" * 30_000 and all(C.blank_words(p) <= 4 for p in got[4])

@@ -58,36 +58,60 @@ def split_paragraphs(df: DataFrame, min_chars: int) -> DataFrame:
     return rows.filter((F.length("text") >= min_chars) & F.col("text").rlike(r"\S"))
 
 
-def split_sentences_budget(df: DataFrame, budget: int, count: Callable[[str], int] = lambda s: len(s.split())) -> DataFrame:
-    """Pack the sentences of each paragraph into pieces of at most ``budget`` tokens; over-long sentences are cut."""
+#: White space of the splitter: tab to carriage return, and the blank.
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def blank_words(text: str) -> int:
+    """How many runs of other characters white space leaves."""
+    parts = text.translate(dict.fromkeys(map(ord, BLANKS), " ")).split(" ")
+    return len(parts) - parts.count("")
+
+
+def budget_splitter(count: Callable[[str], int] = blank_words):
+    """A table function (text, budget) -> pos, piece for LATERAL joins, in SQL after ``spark.udtf.register``.
+
+    Sentences of a paragraph are packed while their tokens stay within the budget; a sentence over it ends the piece and is cut by characters, in
+    proportion to its tokens, until the rest fits. ``count`` tells the tokens of a text. Pieces are numbered from 0; a null text has none.
+    """
     import re
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        def pieces(text: str) -> list[str]:
-            out = []
-            for paragraph in re.split(r"\n+", text or ""):
-                held, used = [], 0
-                for sentence in re.split(r"(?<=[.!?])\s+", paragraph.strip()):
+    blank = "[\t-\r ]"
+
+    class Pieces:
+        def eval(self, text: str, budget: int):
+            pos = 0
+            for paragraph in re.split("\n+", text or ""):
+                for piece in self.packed(paragraph.strip(BLANKS), budget):
+                    if piece:
+                        yield pos, piece
+                        pos += 1
+
+        def packed(self, paragraph: str, budget: int):
+            held, used = [], 0
+            for sentence in re.split(f"(?<=[.!?]){blank}+", paragraph):
+                n = count(sentence)
+                while n > budget:
+                    at = max(1, len(sentence) * budget // n)
+                    yield " ".join(held)
+                    yield sentence[:at].strip(BLANKS)
+                    held, used, sentence = [], 0, sentence[at:].strip(BLANKS)
                     n = count(sentence)
-                    while n > budget:  # cut by characters in proportion
-                        at = max(1, len(sentence) * budget // n)
-                        out += [" ".join(held)] * bool(held) + [sentence[:at].strip()]
-                        held, used, sentence = [], 0, sentence[at:].strip()
-                        n = count(sentence)
-                    if held and used + n > budget:
-                        out.append(" ".join(held))
-                        held, used = [], 0
-                    if sentence:
-                        held.append(sentence)
-                        used += n
-                if held:
-                    out.append(" ".join(held))
-            return [p for p in out if p]
-
-        return texts.map(pieces)
-
-    return df.select(*[c for c in df.columns if c != "text"], F.posexplode(pack("text")).alias("pos", "text"))
+                if held and used + n > budget:
+                    yield " ".join(held)
+                    held, used = [], 0
+                if sentence:
+                    held.append(sentence)
+                    used += n
+            yield " ".join(held)
+
+    return F.udtf(Pieces, returnType="pos int, piece string", useArrow=True)
+
+
+def split_sentences_budget(df: DataFrame, budget: int, count: Callable[[str], int] = blank_words) -> DataFrame:
+    """The other columns of each row with pos and text of the pieces of its text (see ``budget_splitter``)."""
+    rest = [c for c in df.columns if c != "text"]
+    return df.lateralJoin(budget_splitter(count)(F.col("text").outer(), F.lit(budget))).select(*rest, "pos", F.col("piece").alias("text"))
 
 
 def cutoff_recent(df: DataFrame, days: int, ts: str = "ts") -> DataFrame:

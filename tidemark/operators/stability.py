@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 from tidemark.operators import topics as O
+from tidemark.operators.signals import decayed_totals
+from tidemark.operators.written import save
 
 
 def scores_over_time(counts: DataFrame, global_counts: DataFrame) -> DataFrame:
     """topic, ts, term, score: shares of a topic's words at a time, weighted by the terms' global rarity."""
-    share = F.sqrt(F.col("n") / F.sum("n").over(Window.partitionBy("topic", "ts")))
+    total = counts.groupBy("topic", "ts").agg(F.sum("n").alias("__w"))
     mean = global_counts.groupBy("topic").agg(F.sum("n").alias("w")).agg(F.floor(F.avg("w")).alias("__a"))
     f = global_counts.groupBy("term").agg(F.sum("n").alias("__f"))
-    rows = counts.withColumn("tf", share).join(f, "term").crossJoin(F.broadcast(mean))
+    rows = counts.join(total, ["topic", "ts"]).withColumn("tf", F.sqrt(F.col("n") / F.col("__w"))).join(f, "term").crossJoin(F.broadcast(mean))
     return rows.select("topic", "ts", "term", (F.col("tf") * F.log(1 + F.col("__a") / F.col("__f"))).alias("score"))
 
 
 def evolution_tuning(scores: DataFrame) -> DataFrame:
     """Each topic's scores as the mean with the tuned ones of the time just before, if the topic is there.
 
-    Within a run of consecutive times the tuned score is a sum of earlier scores with halving weights, so each score names the later times
-    of its run that it counts in.
+    Within a run of consecutive times the tuned score is a sum of earlier scores with halving weights: a running sum over the times from the
+    term's first one in the run on.
     """
     times = scores.select("ts").distinct().withColumn("k", F.row_number().over(Window.orderBy("ts")))
     seen = scores.select("topic", "ts").distinct().join(F.broadcast(times), "ts")
@@ -30,16 +34,18 @@ def evolution_tuning(scores: DataFrame) -> DataFrame:
     spans = seen.withColumn("run", run)
     ends = spans.groupBy("topic", "run").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
     rows = scores.join(spans, ["topic", "ts"]).join(ends, ["topic", "run"])
-    spread = rows.withColumn("at", F.explode(F.sequence("k", "k1")))
-    power = F.col("at") - F.col("k") + F.when(F.col("k") == F.col("k0"), 0).otherwise(1)
-    tuned = spread.groupBy("topic", F.col("at").alias("k"), "term").agg(F.sum(F.col("score") * F.pow(F.lit(0.5), power)).alias("score"))
+    rows = save(rows.select("topic", "run", "term", "k", "k1", F.when(F.col("k") == F.col("k0"), F.col("score")).otherwise(F.col("score") / 2).alias("x")), "scores_in_runs")
+    grid = rows.groupBy("topic", "run", "term").agg(F.min("k").alias("first"), F.max("k1").alias("k1")).withColumn("k", F.explode(F.sequence("first", "k1")))
+    full = grid.join(rows.select("topic", "run", "term", "k", "x"), ["topic", "run", "term", "k"], "left").withColumns({
+        "key": F.struct("topic", "run", "term"), "x": F.coalesce("x", F.lit(0.0)), "halving": F.when(F.col("k") > F.col("first"), math.log(2)).otherwise(0.0)})
+    tuned = decayed_totals(full, "key", ["k"], "x", "halving", "score")
     return tuned.join(F.broadcast(times), "k").select("topic", "ts", "term", "score")
 
 
 def global_tuning(scores: DataFrame, overall: DataFrame) -> DataFrame:
     """Mean with the topic's global scores, normalised to a sum of 1; terms missing on one side count 0 there."""
-    norm = F.col("score") / F.sum("score").over(Window.partitionBy("topic"))
-    base = overall.select("topic", "term", norm.alias("g"))
+    total = overall.groupBy("topic").agg(F.sum("score").alias("__w"))
+    base = overall.join(total, "topic").select("topic", "term", (F.col("score") / F.col("__w")).alias("g"))
     times = scores.select("topic", "ts").distinct().join(base, "topic")
     return scores.join(times, ["topic", "ts", "term"], "full").select("topic", "ts", "term", ((F.coalesce("score", F.lit(0.0)) + F.coalesce("g", F.lit(0.0))) / 2).alias("score"))
 

@@ -132,7 +132,21 @@ def split_paragraphs(spark, sf_dir):
     return C.split_paragraphs(documents(spark, sf_dir).select("document_id", "text"), 50)
 
 
-@query()
+_BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+
+@query(rf"""WITH RECURSIVE {DOCS}, pa AS (SELECT document_id, CAST(generate_subscripts(p, 1) AS INTEGER) AS par, trim(unnest(p), {_BLANKS}) AS t FROM (SELECT document_id, string_split_regex(text, '\n+') AS p FROM docs)),
+se AS (SELECT document_id, par, CAST(generate_subscripts(s, 1) AS INTEGER) AS i, unnest(s) AS t FROM (SELECT document_id, par, string_split(regexp_replace(t, '([.!?])[\t-\r ]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM pa)),
+n AS (SELECT *, len(regexp_extract_all(t, '[^\t-\r ]+')) AS n FROM se),
+walk(document_id, par, step, i, t, n, held, used, one, two) AS (SELECT document_id, par, 0, i, t, n, CAST('' AS VARCHAR), CAST(0 AS BIGINT), CAST('' AS VARCHAR), CAST('' AS VARCHAR) FROM n WHERE i = 1
+  UNION ALL (WITH cut AS (SELECT w.*, w.n > 60 AS big, w.held <> '' AND w.used + w.n > 60 AS more, greatest(1, length(w.t) * 60 // greatest(w.n, 1)) AS upto FROM walk w WHERE w.t IS NOT NULL),
+    done AS (SELECT c.*, CASE WHEN big THEN trim(substr(t, upto + 1), {_BLANKS}) END AS rest FROM cut c)
+    SELECT d.document_id, d.par, d.step + 1, CASE WHEN big THEN d.i ELSE d.i + 1 END, CASE WHEN big THEN rest ELSE x.t END, CASE WHEN big THEN len(regexp_extract_all(rest, '[^\t-\r ]+')) ELSE x.n END,
+      CASE WHEN big THEN '' WHEN d.t = '' THEN CASE WHEN more THEN '' ELSE held END WHEN more OR held = '' THEN d.t ELSE held || ' ' || d.t END, CASE WHEN big THEN 0 WHEN more THEN d.n ELSE used + d.n END,
+      CASE WHEN big OR more THEN held ELSE '' END, CASE WHEN big THEN trim(substr(d.t, 1, upto), {_BLANKS}) ELSE '' END
+    FROM done d LEFT JOIN n x ON NOT big AND x.document_id = d.document_id AND x.par = d.par AND x.i = d.i + 1)),
+pieces AS (SELECT document_id, par, step, 0 AS k, one AS piece FROM walk UNION ALL SELECT document_id, par, step, 1, two FROM walk UNION ALL SELECT document_id, par, step, 2, held FROM walk WHERE t IS NULL)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY par, step, k) - 1 AS INTEGER) AS pos, piece AS text FROM pieces WHERE piece <> ''""")
 def split_sentences_budget(spark, sf_dir):
     return C.split_sentences_budget(documents(spark, sf_dir).select("document_id", "text"), 60)
 
@@ -154,12 +168,16 @@ def date_range_filter(spark, sf_dir):
 
 @query("SELECT DISTINCT text, lang, source FROM documents")
 def dedupe_all(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("text", "lang", "source").dropDuplicates()
+    """Rows that are equal in every column, told by the text's digest."""
+    d = table(spark, sf_dir, "documents").select("text", "lang", "source", F.sha2("text", 256).alias("digest"))
+    return d.dropDuplicates(["digest", "lang", "source"]).drop("digest")
 
 
 @query(f"WITH {DOCS} SELECT md5(text) AS digest, title, min(document_id) AS document_id FROM docs GROUP BY text, title")
 def dedupe_text_title(spark, sf_dir):
-    return C.first_per_key(documents(spark, sf_dir), ["text", "title"], ["document_id"]).select(F.md5("text").alias("digest"), "title", "document_id")
+    """The first document of each text and title; texts are compared by a digest and don't travel."""
+    d = documents(spark, sf_dir).select(F.sha2("text", 256).alias("key"), F.md5("text").alias("digest"), "title", "document_id")
+    return d.groupBy("key", "digest", "title").agg(F.min("document_id").alias("document_id")).drop("key")
 
 
 @query(f"""WITH {DOCS}, r AS (SELECT concat('https://', source, '/', document_id % 50) AS url, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS priority, document_id, text FROM docs)
