@@ -87,3 +87,19 @@ def test_budget_splitter_in_sql_and_by_hand(spark):
         got.setdefault(r["id"], []).append(r["piece"])
     assert got[1] == ["One two. Three four.", "Five six seven eight", "nine ten.", "Eleven"] and got[3] == ["a\x0bb c"] and 2 not in got
     assert "".join(got[4]).replace(" ", "") == "x" * 50_000 + "y" * 30_000 and all(C.blank_words(p) <= 4 for p in got[4])
+
+
+@pytest.mark.parametrize("freq", ["1D", "2D", "1W", "2W", "1M", "2M", "1Y", "2Y"])
+def test_calendar_counts_equal_pandas(spark, freq):
+    import datetime as dt
+    import random
+
+    import pandas as pd
+
+    from tidemark.functions import dates
+
+    r = random.Random(freq)
+    days = [dt.date(2021, 11, 7) + dt.timedelta(days=r.choice([0, 0, 7, r.randrange(1200)])) for _ in range(60)] + [dt.date(2021, 11, 7)]
+    wanted = pd.DataFrame({"t": pd.to_datetime(days)}).groupby(pd.Grouper(key="t", freq=freq.replace("M", "ME").replace("Y", "YE"))).size()
+    got = dates.calendar_counts(spark.createDataFrame([(d,) for d in [*days, None]], "day date"), "day", freq).orderBy("bucket").collect()
+    assert [(r["bucket"], r["n"]) for r in got] == [(t.date(), n) for t, n in wanted.items()]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T, vectors as V
+from tidemark.operators.joins import join_counted
 from tidemark.operators.written import save
 
 #: Rows of a matching's right side up to which they are broadcast (after counting them).
@@ -94,6 +95,23 @@ def reduce_outliers(doc_terms: DataFrame, scores: DataFrame) -> DataFrame:
     return best.select("document_id", F.col("b.topic").alias("topic"), (-F.col("b.s")).alias("score"))
 
 
+def closest_docs(docs: DataFrame, counts: DataFrame, k: int, stop_words: list[str]) -> DataFrame:
+    """topic, document_id, similarity, rank: the k documents of each topic whose words, weighted by rarity, have the highest cosine with
+    the topic's class-based TF-IDF. ``docs``: document_id, topic, text; ``counts``: the topics' term counts."""
+    scores = class_tfidf(counts, "topic")
+    total = counts.groupBy("topic").agg(F.sum("n").alias("w")).agg(F.floor(F.avg("w")).alias("__a"))
+    rare = counts.groupBy("term").agg(F.sum("n").alias("__f")).crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("__a") / F.col("__f")).alias("idf"))
+    own = save(docs.select("document_id", "topic", F.explode(T.ngrams(T.words(F.col("text")), stop_words)).alias("term")).groupBy("document_id", "topic", "term").agg(F.count("*").alias("n")), "document_terms")
+    held = own.groupBy("topic", "term").agg(F.count("*").alias("rows"))
+    values = scores.join(rare, "term").join(held, ["topic", "term"])
+    met = join_counted(own, values, ["topic", "term"], "rows", own.count())
+    weight = F.col("n") * F.col("idf")
+    length = scores.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("__l"))
+    sums = met.groupBy("document_id", "topic").agg(F.sum(weight * F.col("score")).alias("p"), F.sqrt(F.sum(weight * weight)).alias("d"))
+    near = sums.join(F.broadcast(length), "topic").select("topic", "document_id", F.round(F.col("p") / (F.col("d") * F.col("__l")), 9).alias("similarity"))
+    return top_per_group(near, ["topic"], [F.desc("similarity"), "document_id"], k)
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,23 @@ def docs_over_time(spark, sf_dir):
     return spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _buckets(freq: str) -> str:
+    width, unit = int(freq[:-1]), freq[-1]
+    u = {"D": "o_orderdate - DATE '1970-01-01'", "W": "CAST(floor((date_trunc('week', o_orderdate)::DATE - DATE '1970-01-05') / 7) AS BIGINT)", "M": "year(o_orderdate) * 12 + month(o_orderdate) - 1", "Y": "year(o_orderdate)"}[unit]
+    name = {"D": "DATE '1970-01-01' + CAST(stop AS INTEGER)", "W": "DATE '1970-01-11' + CAST(7 * stop AS INTEGER)", "M": "last_day(make_date(CAST(stop // 12 AS BIGINT), CAST(stop % 12 + 1 AS BIGINT), 1))", "Y": "make_date(CAST(stop AS BIGINT), 12, 31)"}[unit]
+    at = f"u0 + {width} * (({'u - u0' if unit == 'D' else f'u - u0 + {width - 1}'}) // {width})"
+    return (f"SELECT '{freq}' AS freq, CAST({name} AS DATE) AS bucket, n FROM (WITH x AS (SELECT CAST({u} AS BIGINT) AS u FROM (SELECT CAST(o_orderdate AS DATE) AS o_orderdate FROM orders)), b AS (SELECT min(u) AS u0, max(u) AS u1 FROM x), "
+            f"c AS (SELECT {at} AS stop, count(*) AS n FROM x, b GROUP BY ALL), s AS (SELECT unnest(range(u0, {at.replace('u - u0', 'u1 - u0')} + 1, {width})) AS stop FROM b) SELECT s.stop, coalesce(n, 0) AS n FROM s LEFT JOIN c ON c.stop = s.stop)")
+
+
+@query(" UNION ALL ".join(_buckets(f) for f in dates.FREQUENCIES))
+def docs_over_calendar(spark, sf_dir):
+    """Orders by all the widths that a reader may choose, from a day to two years; they stand for documents, as their dates span years."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    parts = [dates.calendar_counts(days, "day", f).select(F.lit(f).alias("freq"), "bucket", "n") for f in dates.FREQUENCIES]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query(f"WITH {DOCS} SELECT CAST(ts AS DATE) AS day, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'base' ELSE 'remaining' END AS part, count(*) AS n FROM docs GROUP BY ALL")
 def docs_over_time_split(spark, sf_dir):
     d = documents(spark, sf_dir).select(F.to_date("ts").alias("day"), F.when(F.col("ts") < F.expr("timestamp_ntz'2024-01-20 00:00:00'"), "base").otherwise("remaining").alias("part"))
@@ -298,6 +317,17 @@ def representative_docs(spark, sf_dir):
     return by_score.union(titles.select("topic", "document_id")).distinct()
 
 
+@query(f"""WITH {TERMS}, dt AS (SELECT document_id, topic, term, count(*) AS n FROM (SELECT document_id, topic, unnest(w) AS term FROM toks UNION ALL SELECT document_id, topic, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM toks) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + any_value(a.a) / sum(n)) AS w FROM tc, a GROUP BY term), tl AS (SELECT topic, sqrt(sum(score * score)) AS l FROM scores GROUP BY topic),
+s AS (SELECT dt.document_id, dt.topic, sum(n * w * score) / sqrt(sum(n * w * n * w)) AS p FROM dt JOIN scores ON scores.topic = dt.topic AND scores.term = dt.term JOIN idf ON idf.term = dt.term GROUP BY ALL),
+r AS (SELECT s.topic, document_id, round(p / l, 9) AS x, row_number() OVER (PARTITION BY s.topic ORDER BY round(p / l, 9) DESC, document_id) AS rank FROM s JOIN tl ON tl.topic = s.topic)
+SELECT topic, document_id, round(x, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def representative_docs_ctfidf(spark, sf_dir):
+    """The documents of each topic that are closest to its words."""
+    texts = _texts(spark, sf_dir).select("document_id", "topic", "text")
+    return O.closest_docs(texts, save(O.term_counts(texts, "topic", 2, STOP), "counts"), 3, STOP).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"WITH {PARAGRAPHS} SELECT document_id, pos, CAST({M.DIM} AS INTEGER) AS dim, CAST(1 AS DOUBLE) AS length FROM paragraphs")
 def embed_paragraphs(spark, sf_dir):
     p = C.split_paragraphs(documents(spark, sf_dir).select("document_id", "text"), 50)
