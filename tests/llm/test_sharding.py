@@ -32,3 +32,37 @@ def test_hot_text_without_ids_is_split(spark):
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 6).toPandas()
     size = got.groupby("shard")["size"].sum()
     assert len(got) == 1500 and size.max() / size.mean() < 1.05 and all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+
+
+def test_groups_that_fit_stay_whole(spark):
+    """Groups of all sizes up to a shard's lie in one shard each; those above, and those that find no room, are split; sizes stay equal."""
+    rows = [(i, f"small {i} " * (i % 7)) for i in range(3000)]
+    for g, n in enumerate([2, 3, 10, 50, 120, 200, 250, 300, 2500]):
+        rows += [(100_000 * (g + 1) + i, f"group {g} of equal texts") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard_documents(df, 8).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and size.max() / size.mean() < 1.01 and all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+    texts = dict(rows)
+    capacity = size.sum() / 8
+    of = got.assign(text=[texts[i] for i in got["doc_id"]]).groupby("text").agg(shards=("shard", "nunique"), bytes=("size", "sum"))
+    assert (of[of["bytes"] <= capacity]["shards"] == 1).all() and of[of["bytes"] > capacity]["shards"].min() > 1
+
+
+def test_pack_keeps_groups_together_while_there_is_room():
+    w = np.array([[4, 1, 1], [4, 1, 1], [4, 1, 1], [4, 1, 1], [5, 1, 1], [5, 1, 1], [2, 1, 1], [2, 1, 1]], float)
+    groups = np.array([0, 0, 1, 1, -1, -1, 2, 2])
+    out = sharding.pack(w, 3, groups)
+    assert out[0] == out[1] and out[2] == out[3] and len({out[0], out[2]}) == 2
+    hot = sharding.pack(np.ones((30, 3)), 3, np.zeros(30, int))
+    assert np.bincount(hot).tolist() == [10, 10, 10]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_no_given_group_is_split(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = sharding.shard_documents(docs).toPandas().merge(docs.selectExpr("doc_id", "md5(coalesce(text, '')) AS d").toPandas(), on="doc_id")
+    size = got.groupby("shard")["size"].sum()
+    of = got.groupby("d").agg(shards=("shard", "nunique"), bytes=("size", "sum"))
+    assert (of[of["bytes"] <= size.sum() / 40]["shards"] == 1).all()
+    assert sf == "sf0.001" or size.max() / size.mean() < 1.05
