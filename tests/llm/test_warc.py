@@ -60,3 +60,24 @@ def test_long_payload_of_one_record():
     payload = b"long " * 3_000_000
     got = list(warc.salvage(warc.record_bytes(1, None, payload, warc.payload_digest(payload), None)))
     assert len(got) == 1 and got[0][3][1] == payload
+
+
+def foreign(i, body, head=b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", digest=None, kind="response", block=True):
+    """A record as crawlers write them: an HTTP message, the payload digest of its body."""
+    message = head + body
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{i}>"), ("WARC-Target-URI", "http://a.example/"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest or f"sha1:{warc.payload_digest(body)}")]
+    fields += [("WARC-Block-Digest", f"sha1:{warc.payload_digest(message)}")] if block else []
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"Content-Length: %d\r\n\r\n" % len(message) + message + b"\r\n\r\n"
+
+
+def test_http_records_have_their_body_as_payload(spark):
+    good = [foreign(0, b"<p>zero"), foreign(1, b"", block=False), foreign(2, b"two", digest="sha256:abc"), foreign(3, b"three", head=b"HTTP/1.0 404\n\n"), foreign(4, b"chunked", digest="sha1:" + "A" * 32)]
+    ids, gaps = told(b"".join(good))
+    assert ids == ["0", "1", "2", "3", "4"] and not gaps
+    bad = foreign(5, b"five").replace(b"five\r", b"fXve\r")
+    no_block = foreign(6, b"six", block=False).replace(b"six\r", b"sXx\r")
+    ids, gaps = told(member(good[0] + bad + good[3] + no_block + good[2]))
+    assert ids == ["0", "3", "2"] and [g[3].split(" (")[0] for g in gaps] == ["block digest doesn't hold", "payload digest doesn't hold"]
+    df = spark.createDataFrame([("a", bytearray(b"".join(good[:4])), 1)], "archive string, content binary, part long")
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(df).collect()}
+    assert got == {0: b"<p>zero", 1: b"", 2: b"two", 3: b"three"}

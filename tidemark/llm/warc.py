@@ -47,7 +47,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     revisit = refers_to is not None
     block = b"" if revisit else payload
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
-              ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+              ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "text/html"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if url is not None:
         fields.append(("WARC-Target-URI", quote(url, safe="!#$&'()*+,/:;=?@[]~-._%")))
     if revisit:
@@ -57,9 +57,26 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return zipped.compress(head.encode() + block + b"\r\n\r\n") + zipped.flush()
 
 
+def payload_of(fields: dict, block: bytes) -> bytes:
+    """What a record's payload digest is of: the body of an HTTP message, else the block."""
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head = re.search(rb"\r?\n\r?\n", block)
+        return block[head.end():] if head else b""
+    return block
+
+
+def holds(told: str, data: bytes) -> bool | None:
+    """Whether a digest field is that of the data; None for algorithms other than SHA-1, which nothing is known of."""
+    kind, colon, value = told.partition(":")
+    if not colon or kind.strip().lower() != "sha1":
+        return None
+    return value.strip().upper() in (payload_digest(data), hashlib.sha1(data).hexdigest().upper())
+
+
 def parse_record(data: bytes, at: int, confirmed: bool = False) -> tuple[dict, bytes, int]:
     """Fields, block and end of the plain record at ``at``; ValueError if it fails a check or, where it must be
-    ``confirmed``, has no payload digest of its block."""
+    ``confirmed``, has no digest that holds for its block or payload. Digests of algorithms other than SHA-1 are taken on trust, and where the block's
+    holds, so is the payload's (transfer encodings are kept as they are)."""
     if not VERSION.match(data, at):
         raise ValueError("no version line")
     split = data.find(b"\r\n\r\n", at)
@@ -77,10 +94,14 @@ def parse_record(data: bytes, at: int, confirmed: bool = False) -> tuple[dict, b
     if data[end:end + 4] != b"\r\n\r\n":
         raise ValueError("block length doesn't hold")
     block = data[split + 4:end]
-    digest = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") == "response" and digest.startswith("sha1:") and digest[5:] != payload_digest(block):
+    whole = holds(fields.get("warc-block-digest", ""), block)
+    # a revisit's payload digest is that of another record's payload
+    payload = None if fields.get("warc-type") == "revisit" else holds(fields.get("warc-payload-digest", ""), payload_of(fields, block))
+    if whole is False:
+        raise ValueError("block digest doesn't hold")
+    if payload is False and not whole:
         raise ValueError("payload digest doesn't hold")
-    if confirmed and (fields.get("warc-type") != "response" or not digest.startswith("sha1:")):
+    if confirmed and not whole and not payload:
         raise ValueError("nothing confirms the record")
     return fields, block, end + 4
 
@@ -217,7 +238,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     if kind == "gap":
                         rows.append((name, start, end, x, *[None] * 7))
                         continue
-                    fields, block = x
+                    fields, block = x[0], payload_of(*x)
                     refers = number(fields.get("warc-refers-to", ""))
                     length = fields.get("x-payload-length", str(len(block)))
                     uri = fields.get("warc-target-uri")
