@@ -75,3 +75,11 @@ def test_steps_of_generalisation_and_protected_patterns(spark):
     clean = lambda **k: {r["doc_id"]: r["text"] for r in pii.sanitise(docs, protected={"case": r"K-[0-9]+"}, **k).collect()}
     assert "Quill" in {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[4]
     assert clean()[4] == "[TERM]" and clean(general=0.95, removal=0.99)[4] == "[NAME]" and clean(removal=0.8)[4] == "" and clean()[10] == texts[10]
+
+
+def test_clashing_columns_pass_through(spark):
+    rows = [(1, "write to ann@mail.example now", "b", ["e"], 7), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, extra array<string>, mentions int")
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(1, "write to [EMAIL] now", "b", ["e"], 7), (None, "", None, None, None)], key=str)
+    assert pii.summary(pii.find_spans(docs)).filter("doc_id = 1").first()["n_email"] == 1

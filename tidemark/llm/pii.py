@@ -182,7 +182,10 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, general: float = 0.7, removal: float = 0.9, protected: dict[str, str] | None = None, **thresholds: float) -> DataFrame:
-    """``docs`` with the spans taken out of ``text``; overlapping spans are replaced as one."""
+    """``docs`` with the spans taken out of ``text``; overlapping spans are replaced as one. Other columns pass through, whatever their names."""
+    names = docs.columns
+    held = {c: f"__own{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
+    docs = docs.withColumnsRenamed(held)
     extra = find_spans(docs, protected, **thresholds).filter(F.size("extra") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "extra").dropDuplicates(["__id", "__h"])
     based = base_spans(docs)
     found = based.join(extra, based["doc_id"].eqNullSafe(extra["__id"]) & (F.xxhash64(based["text"]) == extra["__h"]), "left").drop("__id", "__h").withColumn("extra", F.coalesce("extra", F.array().cast(EXTRA)))
@@ -207,4 +210,4 @@ def sanitise(docs: DataFrame, general: float = 0.7, removal: float = 0.9, protec
     cut = lambda start, n: F.substring(F.col("text"), (start + 1).cast("int"), n.cast("int"))
     parts = F.transform("__all", lambda s, i: F.concat(cut(F.element_at("__ends", i + 1), s["start"] - F.element_at("__ends", i + 1)), s["by"]))
     rest = cut(F.element_at("__ends", -1), F.length("text").cast("long"))
-    return df.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))).drop("__all", "__ends", "base", "extra")
+    return df.withColumn("text", F.when(F.col("__all").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))).select(*(F.col(held.get(c, c)).alias(c) for c in names))
