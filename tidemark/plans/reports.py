@@ -191,9 +191,9 @@ def _term_scores(spark, sf_dir) -> DataFrame:
     return O.class_tfidf(O.term_counts(_texts(spark, sf_dir), "topic", 2, STOP), "topic").withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {TERMS} SELECT topic, term, n FROM tc WHERE n >= 3")
+@query(f"WITH {TERMS} SELECT topic, term, n FROM tc")
 def tokenize_ngrams(spark, sf_dir):
-    return O.term_counts(_texts(spark, sf_dir), "topic", 2, STOP).filter("n >= 3")
+    return O.term_counts(_texts(spark, sf_dir), "topic", 2, STOP)
 
 
 @query(f"WITH {TERMS} SELECT topic, term, round(score, 6) AS score FROM scores")
