@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import vectors as V
+from tidemark.operators import ranking
+from tidemark.operators.written import save
+
 SENTENCE = r"(?<=[.!?])\s+"
 DIM = 64
+#: Sentences of a document up to which they are ranked in one task.
+LONG = 20_000
 
 
 def split_sentences(df: DataFrame, key: str) -> DataFrame:
@@ -111,10 +117,14 @@ def factored_lexrank(x: np.ndarray) -> np.ndarray:
 def lexrank_summary(sentences: DataFrame, key: str, most: int = 3, share: float = 0.2, second: str | None = None, ratio: float = 0.5) -> DataFrame:
     """key, pos, sentence of each document's summary, in page order. Sentences have ``embedding``; ``second`` names other vectors that are blended in.
 
-    Its size is min(most, n * share) rounded, one at least. Only the sentences of one document meet in a task, and their
-    graph is never written out where no vector holds a negative number.
+    Its size is min(most, n * share) rounded, one at least. The sentences of a document of up to LONG meet in a task, and their
+    graph is never written out where no vector holds a negative number. Longer documents are ranked by many tasks.
     """
     columns = [key, "pos", "sentence", "embedding", *([second] if second else [])]
+    long = save(sentences.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > LONG), "long_documents")
+    if not long.isEmpty():
+        rest = lexrank_summary(sentences.join(long, key, "left_anti"), key, most, share, second, ratio)
+        return rest.unionByName(_long_summary(sentences.select(*columns).join(long, key), key, most, share, second, ratio))
 
     def unit(vectors: pd.Series) -> np.ndarray:
         x = np.stack(vectors.to_numpy()).astype(float)
@@ -150,6 +160,32 @@ def word_set_duplicates(sentences: DataFrame, key: str) -> DataFrame:
     return told.join(named, "digest").select(key, "pos", "class_id", "links")
 
 
+def _long_summary(sentences: DataFrame, key: str, most: int, share: float, second: str | None, ratio: float) -> DataFrame:
+    """The same for long documents; ``__n`` holds their number of sentences."""
+    names, shares = (["embedding"], [1.0]) if not second else (["embedding", second], [1 - ratio, ratio])
+
+    def times(v: Column | str, factor: Column) -> Column:
+        return F.transform(v, lambda x: x * factor)
+
+    rows = sentences.select(key, "pos", "sentence", "__n", *(F.col(c).cast("array<double>").alias(f"v{i}") for i, c in enumerate(names)))
+    rows = rows.withColumns({f"n{i}": 1 / F.greatest(V.norm(F.col(f"v{i}")), F.lit(1e-12)) for i in range(len(names))})
+    rows = save(rows.select(key, "pos", "sentence", "__n", *(times(f"v{i}", F.col(f"n{i}")).alias(f"u{i}") for i in range(len(names)))), "long_sentences")
+    below = F.lit(False)
+    for i in range(len(names)):
+        below = below | F.exists(f"u{i}", lambda x: x < 0)
+    signed = rows.filter(below).select(key).distinct()
+    scaled = F.concat(*(times(f"u{i}", F.lit(float(np.sqrt(w)))) for i, w in enumerate(shares)))
+    weights = ranking.factored_weights(rows.join(signed, key, "left_anti").select(key, "pos", scaled.alias("v")), key)
+    if not signed.isEmpty():
+        own = rows.join(signed, key, "left_semi")
+        spans = [int(own.select(F.max(F.size(f"u{i}"))).first()[0]) for i in range(len(names))]
+        weights = weights.unionByName(ranking.block_weights(own.select(key, "pos", F.concat(*(f"u{i}" for i in range(len(names)))).alias("v")), key, spans, shares))
+    size = F.greatest(F.lit(1), F.rint(F.least(F.lit(float(most)), F.col("__n") * share)))
+    best = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 12)), "pos")
+    told = weights.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= most)
+    return rows.join(told, [key, "pos"]).filter(F.col("__k") <= size).select(key, "pos", "sentence")
+
+
 def mmr(candidates: DataFrame, key: str, k: int = 5, diversity: float = 0.3) -> DataFrame:
     """key, rank, word: words chosen one by one for relevance to the topic's vector and distance from those chosen.
 
