@@ -41,7 +41,7 @@ def members(sentences: DataFrame, key: str) -> DataFrame:
     return sentences.select(key, F.col("pos").cast("int").alias("pos"), words.alias("words")).filter(F.size("words") > 0).select(key, "pos", F.unhex(F.md5(F.array_join("words", " "))).alias("cid"))
 
 
-def vectors(told: DataFrame, save=save) -> DataFrame:
+def vectors(told: DataFrame) -> DataFrame:
     """A row for each dimension of each class: cid, code, df, c (count), n2 (squared length), before (squared length of rarer dimensions), codes, counts."""
     counts = save(told.select("cid", F.explode("words").alias("word")).groupBy("cid", F.xxhash64("word").alias("code")).agg(F.count("*").alias("c")), "counts")
     df = save(counts.groupBy("code").agg(F.count("*").alias("df")), "frequencies")
