@@ -49,7 +49,7 @@ def made(seed, n, common, words=60):
     return out
 
 
-@pytest.mark.parametrize("seed, hot, long, percent", [(1, 2048, 1024, 90), (2, 25, 1024, 90), (3, 10, 8, 90), (4, 10, 8, 70), (5, 5, 4, 97)])
+@pytest.mark.parametrize("seed, hot, long, percent", [(1, 2048, 1024, 90), (3, 10, 8, 90), (4, 10, 8, 70)])
 def test_equals_all_pairs(spark, monkeypatch, seed, hot, long, percent):
     monkeypatch.setattr(P, "HOT", hot)
     monkeypatch.setattr(P, "LONG", long)
