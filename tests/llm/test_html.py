@@ -1,6 +1,7 @@
 """Main text: marks, alignment against a plain definition, and template that only several pages tell."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ PAGES = [
     ("<ul><li><a>x</a> <a>y</a></ul><p>text", "text"),
     ('<div id="user-comments"><p>Nice</p></div><p hidden>h</p><div class="cookie-notice">c</div><p>body', "body"),
     ("<p>" + "<b>" * 3000 + "deep", "deep"),
+    ('<article><header class="post-header"><h1>Title</h1></header><p>b</p></article>', "Title\nb"),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>b</p></article>', "Title\nb"),
+    ('<article><h1 class="header">Title</h1><p>b</p></article>', "Title\nb"),
+    ('<article><p>a</p><section id="search"><p>b</p></section><section id="navigation"><p>c</p></section></article>', "a\nb\nc"),
+    ('<article><p>a</p><p class="social">b</p></article>', "a\nb"),
+    ('<form><div class="sidebar">side</div><div>Hello there</div></form>', "Hello there"),
+    ('<article><p>a</p><div class="social">no</div><p class="ad">no</p><section id="comments"><p>no</p></section></article>', "a"),
 ]
 
 
@@ -65,9 +73,11 @@ def test_matching_is_largest(cells, monkeypatch):
             t = ["", *tree(3, count)[1:]]
             kinds.append([r.choice([0, 0, 1, 2]) for _ in range(count[0])])
             both.append(s.add(t, kinds[-1]))
-        pairs = sorted(s.matched(*both))
+        leaves, blocks = s.matched(*both)
+        pairs = sorted(leaves)
         assert s.score(*both) == naive(s, *both)
         assert all(kinds[0][i] == kinds[1][k] for i, k in pairs)
+        assert len({k for _, k in blocks}) == len(blocks) and len(blocks) + len(pairs) == s.score(*both)
         assert len({k for _, k in pairs}) == len(pairs) and [k for _, k in pairs] == sorted(k for _, k in pairs)
 
 
@@ -75,7 +85,7 @@ def test_long_flat_pages():
     side = lambda name, step: H.outline(H.parse("<body>" + "".join(f"<p>{'a' if i % 3 == step else name}{i}</p>" for i in range(5000))))
     (t, x), (u, y) = side("b", 0), side("c", 0)
     h, k = [H.run_hash(r.text) for r in x], [H.run_hash(r.text) for r in y]
-    assert sum(h[i] == k[j] for i, j in H.align(t, h, [u, k], {*h} & {*k})) == 1667
+    assert sum(h[i] == k[j] for i, j in H.align(t, h, [u, k], {*h} & {*k})[0]) == 1667
 
 
 def words(i):
@@ -99,6 +109,39 @@ def test_template_within_and_without_articles(spark):
     assert all(got[40 + i] == "Only here\ntwice told" for i in range(9)) and got[80] == got[81] == ""
 
 
+def bare(page):
+    """The page with every element that names a purpose as div, without attributes."""
+    page = re.sub(r"<(/?)(?:article|main|header|footer|nav|aside|section)\b", r"<\1div", page)
+    return re.sub(r"<(\w+)\s[^>]*>", r"<\1>", page)
+
+
+def test_regions_of_unmarked_pages(spark):
+    """Slots that vary in side regions go, on pages of nothing but divisions; titles and introductions stay."""
+    def page(i):
+        r = random.Random(i)
+        menu = "".join(f'<li><a href="/{k}">{words(i * 7 + k)[:12]}</a></li>' for k in range(r.randint(2, 6)))
+        parts = "".join(f"<p>{words(1000 + 10 * i + k)}</p>" for k in range(r.randint(1, 5)))
+        inner = {0: f"<h1>Title {i}</h1>{parts}", 1: f"<header><h1>Title {i}</h1><p>By {i}</p></header><div>{parts}</div>", 2: f"<p>Intro {i}</p><div>{parts}</div>"}[i % 3]
+        text = {0: f"Title {i}", 1: f"Title {i}\nBy {i}", 2: f"Intro {i}"}[i % 3] + "\n" + re.sub("</p><p>", "\n", parts)[3:-4]
+        return f'<body><nav><ul>{menu}</ul></nav><div class="ad">{words(i + 5000)[:40]}</div><article>{inner}</article><aside><h3>{words(i + 6000)[:20]}</h3><p>{words(i + 7000)[:30]}</p></aside><footer>Host {words(i + 8000)[:9]}</footer></body>', text
+
+    pages = [(i, f"http://h{i % 3}.org/{i}", *page(i)) for i in range(60)]
+    for change in (str, bare):
+        df = spark.createDataFrame([(i, u, change(h)) for i, u, h, _ in pages], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()}
+        assert got == {i: t for i, _, _, t in pages}
+    assert all(H.extract(bare(h)) != t for _, _, h, t in pages)
+
+
+def test_teasers_and_forms(spark):
+    """An article beside shorter ones of another place, and pages wrapped in a form."""
+    teaser = lambda i: f"<body><div><article><h1>T {i}</h1><p>{words(i)}</p></article></div><div><article><h2>More {i}</h2><p>{words(i + 300)[:30]}</p></article></div>"
+    form = lambda i: f"<body><form><div>{words(i + 500)[:20]} {i}</div><div><h1>F {i}</h1><p>{words(i + 400)}</p></div></form>"
+    pages = [(i, "http://a.org/", teaser(i)) for i in range(8)] + [(20 + i, "http://b.org/", form(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T {i}\n{words(i)}" and got[20 + i] == f"F {i}\n{words(400 + i)}" for i in range(8))
+
+
 def test_references_joined_by_host(spark, monkeypatch):
     """Beyond the broadcast bound the result is the same."""
     pages = [(i, f"http://h{i % 3 and 1}/{i}", f"<body><div>Head line</div><p>{words(i)}</p>") for i in range(30)]

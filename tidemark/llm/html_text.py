@@ -7,11 +7,16 @@
    equal tags. Runs that both pages have word for word carry a label, so that they only match each other. For each run of a
    reference it is counted how many pages match there and how many say the same. A run that hardly varies is template;
    within an article the share must be higher. Exact copies count once, near copies of the reference are no witnesses.
-4. Each page is aligned again: what matches a template run is dropped, varying slots are content.
+4. For each block of a reference the text is summed up that varies in the blocks matched with it. From the root on, the
+   way leads to the inner block that holds at least GATHERED of it, unless prose or the title would stay outside. Where it
+   ends the varying slots gather: this is the reference's content region.
+5. Each page is aligned again: the block matched with the region holds its content, what matches a template run is dropped.
 
 Markup that names its purpose (menus, headers, footers, sidebars, forms, code ...) marks slots as side matter, and
-article or main elements mark content; names of classes and ids are the weakest mark. The marks that leave a page without any text are
-lifted, weakest first. Without an article, runs of nothing but links are menus. Blocks end at block elements and are joined by newlines.
+article or main elements mark content; they decide within the region, and alone where a host has none, a page has no block
+for it, or the region misses most of a page's article. Names of classes and ids are the weakest mark; within an article those that may be
+a topic as well mark no prose. The marks that leave a page without any text are lifted: those of forms or of names, whichever give
+more text, then both. Without an article, runs of nothing but links are menus. Blocks end at block elements and are joined by newlines.
 
 Edge cases: null or empty html gives an empty text; broken or unclosed markup is read as browsers do for the common cases; hosts with
 fewer than LEAST_PAGES + 1 different pages have no template; a null or odd url is a host of its own kind; repeated rows are separate
@@ -46,6 +51,14 @@ SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 PURPOSE = r"(?:ads?|advert\w*|banners?|sponsor\w*|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebars?|widgets?|cookies?|consent|gdpr|notices?|popups?|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|replies|login|search)"
 AROUND = r"(?:main|site|page|top|bottom|left|right|global|user|reader|post|article|primary|secondary|box|bar|wrap|wrapper|list|block|section|container|area|inner|outer|links?|form|text|body|item|unit|slot|[0-9]+)"
 SIDE_NAME = re.compile(rf"(?:{AROUND}[-_])*{PURPOSE}(?:[-_](?:{AROUND}|{PURPOSE}))*", re.I)
+#: Names that within an article mark no heading or prose, as they may be its topic, and the elements of prose; a header there holds the title.
+TOPICAL = re.compile(r"(?:search|social|navigation|login|notices?|menus?|share|sharing|widgets?|banners?|sponsor\w*)", re.I)
+TITLED = re.compile(rf"(?:{AROUND}[-_])*header", re.I)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+PROSE = frozenset((*HEADINGS, "p", "blockquote", "pre"))
+#: Blocks that may be a content region, and the share of a block's varying text from which on an inner block holds its content.
+REGIONS = frozenset("html body div section main article form table tbody tr td center".split())
+GATHERED = 0.7
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
@@ -77,7 +90,14 @@ class Node:
         self.tag, self.mark, self.text, self.children = tag, mark, text, []
 
 
-def mark_of(tag: str, attributes: str) -> int:
+def side_name(name: str, tag: str, within: bool) -> bool:
+    """Whether a name of a class or id marks side matter, also ``within`` an article."""
+    if not SIDE_NAME.fullmatch(name):
+        return False
+    return not within or tag not in HEADINGS and not TITLED.fullmatch(name) and not ((tag in PROSE or tag == "section") and TOPICAL.fullmatch(name))
+
+
+def mark_of(tag: str, attributes: str, open_tags: list = ()) -> int:
     if tag in SIDE:
         return TAG
     mark = FORM if tag == "form" else 0
@@ -85,7 +105,7 @@ def mark_of(tag: str, attributes: str) -> int:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in SIDE_ROLES or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             mark |= TAG
-        elif name in ("class", "id") and tag not in ("body", "html") and any(SIDE_NAME.fullmatch(x) for x in value.split()):
+        elif name in ("class", "id") and tag not in ("body", "html") and any(side_name(x, tag, any(n.tag in ("article", "main") for n in open_tags)) for x in value.split()):
             mark |= NAME
     return mark
 
@@ -122,7 +142,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in BLOCK:
                     break
-        node = Node(tag, mark_of(tag, m[3]))
+        node = Node(tag, mark_of(tag, m[3], stack))
         if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
             node.mark |= TAG
         stack[-1].children.append(node)
@@ -214,6 +234,7 @@ class Shapes:
         self.tag: list = []      # None for leaves
         self.kids: list = []     # numbers of the children
         self.leaves: list = []   # leaves below
+        self.blocks: list = []   # blocks of it, itself included
         self.size: list = []
         self.memo: dict = {}
 
@@ -224,6 +245,7 @@ class Shapes:
             self.tag.append(tag)
             self.kids.append(kids)
             self.leaves.append(sum([self.leaves[k] for k in kids]) if tag is not None else 1)
+            self.blocks.append(1 + sum([self.blocks[k] for k in kids]) if tag is not None else 0)
             self.size.append(1 + sum([self.size[k] for k in kids]))
         return at
 
@@ -344,28 +366,72 @@ class Shapes:
                 j -= 1
         return out[::-1]
 
-    def matched(self, a: int, b: int) -> list[tuple[int, int]]:
-        """Leaves (by their number in page order) that a largest matching brings together."""
-        out, todo = [], [(a, b, 0, 0)]
+    def matched(self, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Leaves and blocks (by their numbers in page order) that a largest matching brings together."""
+        out, blocks, todo = [], [], [(a, b, 0, 0, 0, 0)]
         while todo:
-            a, b, m, n = todo.pop()
+            a, b, m, n, c, d = todo.pop()
             if a == b:
                 out += [(m + k, n + k) for k in range(self.leaves[a])]
+                blocks += [(c + k, d + k) for k in range(self.blocks[a])]
                 continue
+            blocks.append((c, d))
             x, y = self.kids[a], self.kids[b]
             _, p, q, (i, j) = self.ends(a, b)
-            both = [(k, k) for k in range(i)] + [(i + k, i + d) for k, d in self.pairs(p, q)] + [(len(x) - j + k, len(y) - j + k) for k in range(j)]
+            both = [(k, k) for k in range(i)] + [(i + k, i + h) for k, h in self.pairs(p, q)] + [(len(x) - j + k, len(y) - j + k) for k in range(j)]
             before_x, before_y = [0, *accumulate([self.leaves[k] for k in x])], [0, *accumulate([self.leaves[k] for k in y])]
-            todo += [(x[k], y[d], m + before_x[k], n + before_y[d]) for k, d in both]
-        return out
-
-
-def align(tree: list, hashes: list[int], other: list, labelled: dict[int, int] | set[int]) -> list[tuple[int, int]]:
-    """Pairs of runs of two outlines (``other`` is outline and hashes); runs whose hash is labelled match only their like."""
+            block_x, block_y = (list(accumulate([self.blocks[k] for k in z], initial=e + 1)) for z, e in ((x, c), (y, d)))
+            todo += [(x[k], y[h], m + before_x[k], n + before_y[h], block_x[k], block_y[h]) for k, h in both]
+        return out, blocks
+
+
+def spans(tree: list) -> list[tuple[str, int, int, list[int]]]:
+    """For each block of an outline, in page order: its tag, its first run and the one behind its last, its inner blocks."""
+    out: list = []
+
+    def walk(block: list, first: int) -> int:
+        own = len(out)
+        out.append(None)
+        inner, end = [], first
+        for c in block[1:]:
+            if isinstance(c, int):
+                end = c + 1
+            else:
+                inner.append(len(out))
+                end = walk(c, end)
+        out[own] = (block[0], first, end, inner)
+        return end
+
+    walk(tree, 0)
+    return out
+
+
+def region_of(tree: list, varying: dict[int, float], template: set[int]) -> int:
+    """Number of the block where the slots gather, -1 if it is the whole page. ``varying`` is the varying text of the blocks."""
+    blocks, at = spans(tree), 0
+    heads = [(tag, first, end) for tag, first, end, _ in blocks if tag in HEADINGS and any(k not in template for k in range(first, end))]
+    level = min((h[0] for h in heads), default=None)
+    titles = [(first, end) for tag, first, end in heads if tag == level]
+    while True:
+        tag, _, _, inner = blocks[at]
+        if tag == "article" or tag == "main" and not any(blocks[c][0] == "article" for c in inner):
+            break
+        best = max((c for c in inner if blocks[c][0] in REGIONS), key=lambda c: varying.get(c, 0), default=None)
+        if best is None or not varying.get(best) or varying[best] < GATHERED * varying.get(at, varying[best]):
+            break
+        low, high = blocks[best][1:3]
+        if any(c != best and blocks[c][0] in PROSE and varying.get(c) for c in inner) or any(first < low for first, _ in titles) and not any(low <= first and end <= high for first, end in titles):
+            break
+        at = best
+    return at if blocks[at][0] not in ("", "html", "body") else -1
+
+
+def align(tree: list, hashes: list[int], other: list, labelled: dict[int, int] | set[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs of runs and of blocks of two outlines (``other`` is outline and hashes); runs whose hash is labelled match only their like."""
     shapes, kinds = Shapes(), {h: i for i, h in enumerate(labelled, 1)}
     first = shapes.add(tree, [kinds.get(h, 0) for h in hashes])
     second = shapes.add(other[0], [kinds.get(h, 0) for h in other[1]])
-    return shapes.matched(first, second) if shapes.tag[first] == shapes.tag[second] else []
+    return shapes.matched(first, second) if shapes.tag[first] == shapes.tag[second] else ([], [])
 
 
 def sketch(runs: list[Run]) -> list[int]:
@@ -392,28 +458,53 @@ def layout(tree: list, depth: int = 4) -> int:
 
 
 def chosen(runs: list[Run], dropped: set[int]) -> str:
-    """Content of the page: the runs under the fewest lifted marks that there are, without ``dropped`` ones."""
+    """Content of the page by its markup: the runs under the fewest lifted marks that there are, without ``dropped`` ones."""
     article = any(r.article for r in runs)
     for within in (True, False) if article else (False,):
-        for lifted in (0, NAME, NAME | FORM):
+        by_lifted = []
+        for lifted in (0, FORM, NAME, NAME | FORM):
             kept = [i for i, r in enumerate(runs) if not r.mark & ~lifted and (r.article or not within and not r.linked)]
-            if kept:
-                return "\n".join(runs[i].text for i in kept if i not in dropped)
+            by_lifted.append((sum(len(runs[i].text) for i in kept), kept))
+            if not lifted and kept:
+                break
+        kept = by_lifted[0][1] or max(by_lifted[1:3], key=lambda x: x[0])[1] or by_lifted[3][1]
+        if kept:
+            return "\n".join(runs[i].text for i in kept if i not in dropped)
     return ""
 
 
-def extract(page: str, references: list[tuple[list, list[int], set[int]]] = ()) -> str:
-    """Main text of a page; each reference is an outline, the hashes of its runs and the numbers of its template runs."""
+def within_region(runs: list[Run], low: int, high: int, dropped: set[int]) -> str | None:
+    """Content of the page in its region, runs ``low`` to ``high``; None if there is none or most of an article lies elsewhere."""
+    common = ~0
+    for r in runs[low:high]:
+        common &= r.mark
+    inside = [i for i in range(low, high) if not runs[i].mark & ~common]
+    article = [i for i, r in enumerate(runs) if r.article and not r.mark & ~common]
+    held = [i for i in article if low <= i < high]
+    if common & TAG or 2 * sum(len(runs[i].text) for i in held) < sum(len(runs[i].text) for i in article):
+        return None
+    return "\n".join(runs[i].text for i in held or inside if i not in dropped and (held or not runs[i].linked)) or None
+
+
+def extract(page: str, references: list[tuple[list, list[int], set[int], int]] = ()) -> str:
+    """Main text of a page; each reference is an outline, the hashes of its runs, the numbers of its template runs and of its
+    content region (-1: none). The first reference whose region has a block in the page tells the page's region."""
     tree, runs = outline(parse(page))
     dropped: set[int] = set()
+    region = None
     if runs and references:
         hashes = [run_hash(r.text) for r in runs]
-        for other, known, template in references:
+        for other, known, template, place in references:
             labels = {known[k] for k in template}
-            if labels.isdisjoint(hashes):
+            if labels.isdisjoint(hashes) and (place < 0 or region):
                 continue
-            dropped |= {i for i, k in align(tree, hashes, [other, known], labels) if k in template and known[k] == hashes[i]}
-    return chosen(runs, dropped)
+            leaves, blocks = align(tree, hashes, [other, known], labels)
+            dropped |= {i for i, k in leaves if k in template and known[k] == hashes[i]}
+            own = next((c for c, d in blocks if d == place), -1)
+            if region is None and own >= 0:
+                region = spans(tree)[own][1:3]
+    text = within_region(runs, *region, dropped) if region else None
+    return chosen(runs, dropped) if text is None else text
 
 
 def host_of(url: str = "url"):
@@ -421,7 +512,8 @@ def host_of(url: str = "url"):
 
 
 def outlines(rows: DataFrame) -> DataFrame:
-    """host, layout, half, form (as JSON: outline, hashes, runs in an article, sketch, hashes of longer runs) of each page that has text."""
+    """host, layout, half, form (as JSON: outline, hashes, runs in an article, sketch, hashes of longer runs, characters of
+    each run, none if it is marked or of links) of each page that has text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -430,7 +522,8 @@ def outlines(rows: DataFrame) -> DataFrame:
                 if runs:
                     hashes = [run_hash(r.text) for r in runs]
                     long = [h for h, r in zip(hashes, runs) if len(r.text) >= LABELLED]
-                    form = json.dumps([tree, hashes, [i for i, r in enumerate(runs) if r.article and not r.mark], sketch(runs), long], separators=(",", ":"))
+                    form = json.dumps([tree, hashes, [i for i, r in enumerate(runs) if r.article and not r.mark], sketch(runs), long,
+                                       [0 if r.linked or r.mark & (TAG | NAME) else len(r.text) for r in runs]], separators=(",", ":"))
                     out.append((host, layout(tree), zlib.crc32(repr(hashes).encode()) % 2, form))
             yield pd.DataFrame(out, columns=["host", "layout", "half", "form"]).astype({"layout": "int64", "half": "int32"})
 
@@ -452,7 +545,8 @@ def with_references(rows: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def wrappers(rows: DataFrame) -> DataFrame:
-    """host, n, bytes and refs (layout, id, form, template) of each host that has text; ``template`` numbers the form's runs."""
+    """host, n, bytes and refs (layout, id, form, template, region) of each host that has text; ``template`` numbers the
+    form's runs, ``region`` the block with its content."""
     known = saved(outlines(rows), "outlines")
     size = F.greatest(F.length("form"), F.lit(OUTLINE_CHARS))
     best = known.groupBy("host", "layout", "half").agg(F.count("*").alias("n"), F.min_by("form", F.struct(size, F.xxhash64("form"))).alias("form"))
@@ -463,12 +557,14 @@ def wrappers(rows: DataFrame) -> DataFrame:
                   .join(known.groupBy("host").agg(F.count("*").alias("n")), "host"), "references")
 
     def witness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each run of the references how many pages match it and say the same, summed up in the task."""
+        """For each run of the references how many pages match it and say the same; for each block (as -1 - its number) how
+        many match it and how much text varies in them. Summed up in the task."""
         met: dict = defaultdict(lambda: [0, 0])
         loaded: dict = {}
         for batch in batches:
             for host, kind, form, others in zip(batch["host"], batch["layout"], batch["form"], batch["refs"]):
-                tree, hashes, _, words, long = json.loads(form)
+                tree, hashes, _, words, long, chars = json.loads(form)
+                own = spans(tree)
                 for r in [r for r in others if r["layout"] == kind] or others:
                     if r["form"] == form:
                         continue
@@ -479,28 +575,42 @@ def wrappers(rows: DataFrame) -> DataFrame:
                     other = loaded[r["form"]]
                     if near_copies(words, other[3]):
                         continue
-                    for i, k in align(tree, hashes, other, {*long} & {*other[4]}):
+                    leaves, blocks = align(tree, hashes, other, {*long} & {*other[4]})
+                    vary = chars.copy()
+                    for i, k in leaves:
                         got = met[host, r["id"], k]
                         got[0] += 1
-                        got[1] += hashes[i] == other[1][k]
+                        if hashes[i] == other[1][k]:
+                            got[1] += 1
+                            vary[i] = 0
+                    below = [0, *accumulate(vary)]
+                    for c, d in blocks:
+                        tag, first, end, _ = own[c]
+                        if tag in REGIONS or tag in PROSE or not c:
+                            got = met[host, r["id"], -1 - d]
+                            got[0] += 1
+                            got[1] += below[end] - below[first]
         yield pd.DataFrame([(h, i, k, n, same) for (h, i, k), (n, same) in met.items()], columns=["host", "id", "run", "met", "same"])
 
     seen = with_references(known.dropDuplicates(["host", "form"]), hosts).select("host", "layout", "form", "refs").mapInPandas(witness, "host string, id int, run int, met long, same long")
-    seen = seen.groupBy("host", "id", "run").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).filter(F.col("same") >= LEAST_PAGES)
-    steady = seen.groupBy("host", "id").agg(F.map_from_entries(F.collect_list(F.struct("run", (F.col("same") / F.col("met")).alias("share")))).alias("shares"))
+    seen = seen.groupBy("host", "id", "run").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).filter(F.when(F.col("run") < 0, F.col("met")).otherwise(F.col("same")) >= LEAST_PAGES)
+    steady = seen.groupBy("host", "id").agg(F.map_from_entries(F.collect_list(F.struct("run", F.when(F.col("run") < 0, F.col("same")).otherwise(F.col("same") / F.col("met")).alias("share")))).alias("shares"))
     each = hosts.select("host", F.explode("refs").alias("r")).select("host", "r.*").join(steady, ["host", "id"], "left")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Template runs of a reference by their shares; within an article a higher one is asked for."""
+        """Template runs of a reference by their shares, within an article by a higher one; its region by the text of its blocks."""
         for batch in batches:
-            template = []
+            template, region = [], []
             for form, shares in zip(batch["form"], batch["shares"]):
-                article = set(json.loads(form)[2])
-                template.append([k for k, s in (shares or {}).items() if s >= (ARTICLE_SHARE if k in article else SAME_SHARE)])
-            yield batch[["host", "layout", "id", "form"]].assign(template=template)
-
-    told = each.select("host", "layout", "id", "form", "shares").mapInPandas(decide, "host string, layout long, id int, form string, template array<int>")
-    told = told.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("layout", "id", "form", F.sort_array("template").alias("template")))).alias("refs"))
+                tree, _, article, *_ = json.loads(form)
+                shares = dict(shares or {})
+                steady, inside = [k for k, s in shares.items() if k >= 0 and s >= SAME_SHARE], set(article)
+                template.append([k for k in steady if k not in inside or shares[k] >= ARTICLE_SHARE])
+                region.append(region_of(tree, {-1 - k: s for k, s in shares.items() if k < 0}, set(steady)))
+            yield batch[["host", "layout", "id", "form"]].assign(template=template, region=region)
+
+    told = each.select("host", "layout", "id", "form", "shares").mapInPandas(decide, "host string, layout long, id int, form string, template array<int>, region int")
+    told = told.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("layout", "id", "form", F.sort_array("template").alias("template"), "region"))).alias("refs"))
     return saved(hosts.select("host", "n", "bytes").join(told, "host"), "wrappers")
 
 
@@ -515,13 +625,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             for page, others in zip(batch["html"], batch["refs"]):
                 refs = []
                 for r in others if others is not None else ():
-                    key = r["form"], tuple(r["template"])
+                    key = r["form"], tuple(r["template"]), r["region"]
                     if key not in loaded:
                         if len(loaded) > 1000:
                             loaded.clear()
                         form = json.loads(r["form"])
-                        loaded[key] = (form[0], form[1], set(r["template"]))
-                    if len(r["template"]):
+                        loaded[key] = (form[0], form[1], set(r["template"]), r["region"])
+                    if len(r["template"]) or r["region"] >= 0:
                         refs.append(loaded[key])
                 texts.append(extract(page, refs))
             yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
