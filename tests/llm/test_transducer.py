@@ -35,14 +35,36 @@ def test_any_cut_gives_the_librarys_counts(path, monkeypatch, chunk, warm):
 def test_long_text_without_spaces(path):
     r = random.Random(3)
     long = "".join(r.choice("etaoinshrdlu") for _ in range(200_000))
-    ours = token_counts.CountingTransducer(path)
-    ours.counts(["warm up"])
-    began = time.time()
-    got = ours.counts([long])[0]
-    assert time.time() - began < 5 and not any(len(w) > token_counts.MEMO_LONG for w in ours.memo)
+    took = {}
+    for n in (50_000, 200_000):  # the time grows in proportion
+        ours = token_counts.CountingTransducer(path)
+        ours.counts(["warm up"])
+        began = time.process_time()
+        got = ours.counts([long[:n]])[0]
+        took[n] = time.process_time() - began
+    assert took[200_000] < 8 * took[50_000] and not any(len(w) > token_counts.MEMO_LONG for w in ours.memo)
     assert got == len(sentencepiece.SentencePieceProcessor(model_file=path).encode(long))
 
 
+def test_tables_that_start_anew_within_a_text(path, monkeypatch):
+    for name, n in (("PIECE", 50), ("MOST_STATES", 40), ("CHUNK", 16), ("WARM", 2), ("ROWS", 4096), ("COLUMNS", 8)):
+        monkeypatch.setattr(token_counts, name, n)
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.CountingTransducer(path)
+    many = list(texts(80, 11))
+    assert ours.counts(many).tolist() == [len(library.encode(t)) for t in many]
+
+
+def test_memory_of_all_letters(path):
+    """All characters of the vocabulary and 700 000 of them at random: the tables stay small."""
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.CountingTransducer(path)
+    letters = sorted({c for p in ours.score for c in p} - {token_counts.SPACE_MARK})
+    r = random.Random(5)
+    text = "".join(letters) + "".join(r.choices(letters, k=700_000))
+    assert ours.counts([text])[0] == len(library.encode(text))
+    table = (ours.after, ours.adds, ours.others.keys, ours.others.to, ours.others.add)
+    assert sum(x.nbytes for x in table) < 100 << 20 and len(ours.states) < token_counts.MOST_STATES + token_counts.PIECE
+
+
 def test_scan_equals_steps():
     maps = np.random.default_rng(1).integers(0, 4, (37, 4))
     at = np.arange(4)

@@ -4,7 +4,9 @@ A sequence of pieces is what byte-pair encoding gives exactly if each two neighb
 concatenation. So the encoding of a prefix is known from those of shorter prefixes, and a deterministic transducer
 follows it: a state holds the places where a piece that is still open may have begun, the piece that ends there and the
 count of tokens there against now. Reading a character leads to a state and changes the count by an annotated number.
-States and transitions are compiled when first met.
+States and transitions are compiled when first met. Those of early states and letters stand in a dense block of fixed size, the others in a
+hash table, so that memory grows with the transitions met; every ``PIECE`` characters a table with too many states starts anew
+from the state that is reached.
 
 Texts are laid end to end and cut into chunks of ``CHUNK`` characters, anywhere. The map of a chunk says for entry states to which
 state it leads. Which entry states are possible is told by reading the ``WARM`` characters before the chunk, and by the exits of the
@@ -36,11 +38,54 @@ SPACE_MARK = "▁"
 #: Characters of a chunk, and those before it that are read to guess its entry state.
 CHUNK, WARM = 512, 32
 SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
-#: Segments whose counts a worker keeps, and states; beyond either, it starts anew. It changes no result.
+#: Segments whose counts a worker keeps; beyond, it starts anew. It changes no result.
 MEMO_SEGMENTS = 1_000_000
 #: Characters of a segment beyond which it isn't kept.
 MEMO_LONG = 200
-MOST_STATES = 150_000
+#: States beyond which the table starts anew at the next piece; characters of a piece. Neither changes a result.
+MOST_STATES, PIECE = 150_000, 1 << 18
+#: States and letters of the dense block of transitions.
+ROWS, COLUMNS = 1 << 16, 128
+
+
+class Cells:
+    """Transitions by state and letter in a hash table with open addresses."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.held = bits, 0
+        self.keys, self.to, self.add = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int8)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, or else the free place where its search ends."""
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        rest = np.arange(len(keys))
+        while len(rest):
+            there = self.keys[at[rest]]
+            rest = rest[(there != keys[rest]) & (there != -1)]
+            at[rest] = (at[rest] + 1) & (len(self.keys) - 1)
+        return at
+
+    def put(self, key: int, to: int, add: int) -> None:
+        if self.held * 2 >= len(self.keys):
+            self.widen()
+        at, last = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits, len(self.keys) - 1
+        while (there := self.keys[at]) != -1 and there != key:
+            at = at + 1 & last
+        self.held += there == -1
+        self.keys[at], self.to[at], self.add[at] = key, to, add
+
+    def widen(self) -> None:
+        used = self.keys != -1
+        keys, to, add, held = self.keys[used], self.to[used], self.add[used], self.held
+        self.__init__(self.bits + 1)
+        rest = np.arange(len(keys))
+        while len(rest):  # of those that end at one place the first takes it
+            at = self.places(keys[rest])
+            at, first = np.unique(at, return_index=True)
+            took = rest[first]
+            self.keys[at], self.to[at], self.add[at] = keys[took], to[took], add[took]
+            rest = np.setdiff1d(rest, took)
+        self.held = held
 
 
 class CountingTransducer:
@@ -71,8 +116,32 @@ class CountingTransducer:
     def reset(self) -> None:
         self.states: list[tuple] = [((("", None, 0),))]
         self.number = {self.states[0]: 0}
-        self.after = np.full((4096, 128), -1, np.int32)
-        self.adds = np.zeros((4096, 128), np.int8)
+        self.fits.clear()
+        self.alive.clear()
+        self.after = np.full((4096, COLUMNS), -1, np.int32)
+        self.adds = np.zeros((4096, COLUMNS), np.int8)
+        self.others = Cells()
+
+    def numbered(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            if len(self.after) < len(self.states) <= ROWS:
+                self.after = np.concatenate([self.after, np.full_like(self.after, -1)])
+                self.adds = np.concatenate([self.adds, np.zeros_like(self.adds)])
+        return self.number[state]
+
+    def transitions(self, states: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each leads (-1: not compiled yet) and what it adds."""
+        far = (states >= ROWS) | (columns >= COLUMNS)
+        if not far.any():
+            return self.after[states, columns], self.adds[states, columns]
+        to, add, near = np.full(len(states), -1, np.int32), np.zeros(len(states), np.int8), ~far
+        to[near], add[near] = self.after[states[near], columns[near]], self.adds[states[near], columns[near]]
+        keys = states[far].astype(np.int64) << 16 | columns[far]
+        at = self.others.places(keys)
+        to[far], add[far] = np.where(self.others.keys[at] == keys, self.others.to[at], -1), self.others.add[at]
+        return to, add
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The two pieces whose merge makes this one in an encoding of its own; None if its encoding is another."""
@@ -130,14 +199,11 @@ class CountingTransducer:
         last, count = next((s, n + (weight if len(s) == 1 else 1)) for s, before, n in live
                            if (len(s) == 1 or s in self.score) and self.adjacent(before, s))
         new = tuple((s, before, n - count) for s, before, n in live if self.open(s, before)) + (("", last, 0),)
-        if new not in self.number:
-            self.number[new] = len(self.states)
-            self.states.append(new)
-            if len(self.states) > len(self.after):
-                self.after = np.concatenate([self.after, np.full_like(self.after, -1)])
-                self.adds = np.concatenate([self.adds, np.zeros_like(self.adds)])
-        self.after[state, column] = self.number[new]
-        self.adds[state, column] = count
+        to = self.numbered(new)
+        if state < ROWS and column < COLUMNS:
+            self.after[state, column], self.adds[state, column] = to, count
+        else:
+            self.others.put(state << 16 | column, to, count)
 
     def columns(self, points: np.ndarray) -> np.ndarray:
         cols = self.column[points]
@@ -145,10 +211,6 @@ class CountingTransducer:
             for p in np.unique(points[cols < 0]).tolist():
                 self.column[p] = len(self.letters)
                 self.letters.append(chr(p))
-            if len(self.letters) > self.after.shape[1]:
-                wide = np.zeros((len(self.after), len(self.letters)), np.int8)
-                self.after = np.concatenate([self.after, wide.astype(np.int32) - 1], axis=1)
-                self.adds = np.concatenate([self.adds, wide], axis=1)
             cols = self.column[points]
         return cols
 
@@ -192,14 +254,14 @@ class CountingTransducer:
             k = running[t]
             p = begin[:k] + t
             s, c = np.where(fresh[p], 0, out[:k]), cols[p]
-            to = self.after[s, c]
+            to, add = self.transitions(s, c)
             missing = to < 0
             if missing.any():
                 for a, b in {*zip(s[missing].tolist(), c[missing].tolist())}:
                     self.compile(a, b)
-                to = self.after[s, c]
+                to, add = self.transitions(s, c)
             if added is not None:
-                added[to_place[:k] + t] = self.adds[s, c]
+                added[to_place[:k] + t] = add
             out[:k] = to
         exits = np.empty(len(start), np.int32)
         exits[order] = out
@@ -207,8 +269,6 @@ class CountingTransducer:
 
     def read(self, segments: list[str]) -> np.ndarray:
         """Run the transducer over texts that each begin with a space mark which is not written."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
         joined = SPACE_MARK + SPACE_MARK.join(segments)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         begins = np.cumsum([0, *(len(s) + 1 for s in segments)])
@@ -217,13 +277,26 @@ class CountingTransducer:
         fresh = mark.copy()  # where the state is that of an empty text
         fresh[1:] &= ~mark[:-1]
         fresh[begins[:-1]] = True
-        start = np.arange(0, len(points), CHUNK)
-        length = np.minimum(CHUNK, len(points) - start)
+        added, state = np.zeros(len(points), np.int8), 0
+        for low in range(0, len(points), PIECE):
+            if len(self.states) > MOST_STATES:
+                reached = self.states[state]
+                self.reset()
+                state = self.numbered(reached)
+            part = slice(low, low + PIECE)
+            added[part], state = self.read_piece(cols[part], fresh[part], state)
+        return np.add.reduceat(added.astype(np.int32), begins[:-1]).astype(np.int64)
+
+    def read_piece(self, cols: np.ndarray, fresh: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+        """What each transition adds from the given state on, and the state reached: maps of chunks and their scan."""
+        start = np.arange(0, len(cols), CHUNK)
+        length = np.minimum(CHUNK, len(cols) - start)
         warm = np.minimum(start, WARM)
         # maps: a column for each entry state; what each adds, column by column
         entry = self.walk(cols, fresh, start - warm, warm, np.zeros(len(start), np.int32))[:, None]
+        entry[0, 0] = state
         entry[fresh[start], 0] = 0
-        added = [np.zeros(len(points), np.int8)]
+        added = [np.zeros(len(cols), np.int8)]
         leads = self.walk(cols, fresh, start, length, entry[:, 0], added[0], start)[:, None]
         while True:
             met = leads[:-1, :, None] == entry[1:, None, :]
@@ -235,7 +308,7 @@ class CountingTransducer:
             k, first = np.unique(k, return_index=True)  # one new entry a chunk and round
             fresh_entry = leads[k, column[first]]
             entry, leads = (np.concatenate([x, np.full((len(start), 1), -1, np.int32)], 1) for x in (entry, leads))
-            added.append(np.zeros(len(points), np.int8))
+            added.append(np.zeros(len(cols), np.int8))
             entry[k + 1, -1] = fresh_entry
             leads[k + 1, -1] = self.walk(cols, fresh, start[k + 1], length[k + 1], fresh_entry, added[-1], start[k + 1])
         path = np.concatenate([np.zeros(1, np.int64), scanned(follows)[:, 0]])
@@ -243,7 +316,7 @@ class CountingTransducer:
             for j in range(1, len(added)):
                 for k in np.flatnonzero(path == j).tolist():
                     added[0][start[k]:start[k] + length[k]] = added[j][start[k]:start[k] + length[k]]
-        return np.add.reduceat(added[0].astype(np.int32), begins[:-1]).astype(np.int64)
+        return added[0], int(leads[-1, path[-1]])
 
 
 def scanned(maps: np.ndarray) -> np.ndarray:
