@@ -24,6 +24,14 @@ def test_openers_cases_and_names_of_several_words(spark):
     assert ids(spark, docs, items) == sorted([(1, 1), (2, 1), (3, 1), (5, 2), (6, 2), (7, 3), (9, 4)], key=str)
 
 
+def test_units_by_place(spark):
+    """Units of no list, and one that a list has against one that it hasn't; another text around them doesn't match."""
+    items = [(1, "A cart moves 12 kilometers in 3 hours along the canal and stops twice"), (2, "It takes 15 km of copper wire to join both villages")]
+    docs = [(1, "A cart moves 15 miles in 4 days along the canal and stops twice"), (2, "A cart moves 15 pounds in 4 weeks along the canal and stops twice"), (3, "It takes 12 kilometers of copper wire to join both villages"),
+            (4, "It takes 12 spools of copper wire to join both villages"), (5, "A cart waits 15 miles beyond 4 days and the canal stops twice"), (6, "It takes copper wire to join 15 km of villages")]
+    assert ids(spark, docs, items) == sorted([(1, 1), (2, 1), (3, 2), (4, 2)], key=str)
+
+
 def plain_contaminated(docs, items, width=8, least=3):
     number = lambda w: re.fullmatch(r"[+-]?\d[\d.,:/]*[^\W\d_]{0,3}", w) is not None
     bare = lambda w: w.strip(D.EDGES)
@@ -35,13 +43,13 @@ def plain_contaminated(docs, items, width=8, least=3):
 
     def readings(tokens):
         out = []
-        for kind in range(3):
+        for unit, kind in [(u, k) for u in (lambda x: x in D.UNITS, lambda x: re.fullmatch(r"[^\W\d_]+", x) is not None) for k in range(3)]:
             t = []
             for i, w in enumerate(tokens):
                 before = tokens[i - 1] if i else ""
                 opens = before == "" or re.search(r"[.!?]\W*$", before) is not None
                 low = bare(w).lower()
-                t.append("<num>" if number(low) else "<unit>" if low in D.UNITS and number(bare(before)) else "<name>" if name(bare(w)) and (kind == 1 or kind == 0 and not opens) else low)
+                t.append("<num>" if number(low) else "<unit>" if number(bare(before)) and unit(low) else "<name>" if name(bare(w)) and (kind == 1 or kind == 0 and not opens) else low)
             telling = sum(bool(x) and not x.startswith("<") for x in t) >= D.LITERALS
             out.append(tuple(t) if telling else tuple(bare(w).lower() for w in tokens))
         return [t for t in dict.fromkeys(out) if any(x and not x.startswith("<") for x in t)]

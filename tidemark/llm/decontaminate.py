@@ -3,6 +3,7 @@
 Words become template tokens: numbers, units behind a number and names (capitalised words) are typed placeholders, other
 words are themselves in lower case without outer punctuation. A capitalised word that opens a sentence or a window may be a name or not,
 and a text may be written without capitals, so that a window has up to three readings: openers as words, openers as names, no names at all.
+Units are told in two ways, by a list of common ones and by place: any word behind a number. This makes up to six readings.
 A reading with fewer than ``LITERALS`` words says too little and is replaced by the window word for word. Names of several words are one
 token in a second cut of a text, made where it differs.
 
@@ -59,11 +60,12 @@ def literal(word: Column) -> Column:
 
 
 def classified(tokens: Column) -> Column:
-    """For each token of a window its lower-case form, and whether it is a number, unit or capitalised, and opens a sentence."""
+    """For each token of a window its lower-case form, and whether it is a number, a known unit, a word behind a number or
+    capitalised, and opens a sentence."""
     def one(w: Column, i: Column) -> Column:
         bare, before = F.btrim(w, F.lit(EDGES)), F.when(i == 0, F.lit("")).otherwise(F.get(tokens, i - 1))
-        low = F.lower(bare)
-        return F.struct(low.alias("low"), low.rlike(NUMBER).alias("number"), (low.isin(*UNITS) & F.btrim(before, F.lit(EDGES)).rlike(NUMBER)).alias("unit"),
+        low, behind = F.lower(bare), F.btrim(before, F.lit(EDGES)).rlike(NUMBER)
+        return F.struct(low.alias("low"), low.rlike(NUMBER).alias("number"), (behind & low.isin(*UNITS)).alias("unit"), (behind & low.rlike(r"^\p{L}+$")).alias("placed"),
                         bare.rlike(NAME).alias("name"), before.rlike(r"(^|[.!?][^\p{L}\p{N}]*)$").alias("opens"))
 
     return F.transform(tokens, one)
@@ -71,10 +73,11 @@ def classified(tokens: Column) -> Column:
 
 def readings(told: str) -> Column:
     """The template arrays of a window, of its ``classified`` tokens."""
-    def reading(is_name) -> Column:
-        return F.transform(told, lambda x: F.when(x["number"], "<num>").when(x["unit"], "<unit>").when(is_name(x), "<name>").otherwise(x["low"]))
+    def reading(is_name, unit: str) -> Column:
+        return F.transform(told, lambda x: F.when(x["number"], "<num>").when(x[unit], "<unit>").when(is_name(x), "<name>").otherwise(x["low"]))
 
-    every = F.array(reading(lambda x: x["name"] & ~x["opens"]), reading(lambda x: x["name"]), reading(lambda x: F.lit(False)))
+    named = [lambda x: x["name"] & ~x["opens"], lambda x: x["name"], lambda x: F.lit(False)]
+    every = F.array(*[reading(n, u) for u in ("unit", "placed") for n in named])
     telling = F.transform(every, lambda t: F.when(F.size(F.filter(t, lambda w: (F.length(w) > 0) & ~w.startswith("<"))) >= LITERALS, t).otherwise(F.transform(told, lambda x: x["low"])))
     return F.array_distinct(telling)
 
