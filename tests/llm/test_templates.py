@@ -1,5 +1,6 @@
 """Decontamination against a plain definition, and re-parameterised items that once were missed."""
 
+import functools
 import random
 import re
 from collections import Counter, defaultdict
@@ -41,6 +42,7 @@ def plain_contaminated(docs, items, width=8, least=3):
         merged = re.sub(r"(?:(?<=\s)|(?<=[(\"“])|^)([A-Z][a-z]{1,40}(?:\s+[A-Z][a-z]+)+)", lambda m: re.sub(r"\s+", "_", m[1]), text)
         return [text] + [merged] * (merged != text)
 
+    @functools.cache
     def readings(tokens):
         out = []
         for unit, kind in [(u, k) for u in (lambda x: x in D.UNITS, lambda x: re.fullmatch(r"[^\W\d_]+", x) is not None) for k in range(3)]:
@@ -61,7 +63,7 @@ def plain_contaminated(docs, items, width=8, least=3):
             if not tokens:
                 continue
             starts = range(max(1, len(tokens) - width + 1))
-            windows = {at: (tokens[at:at + width], readings(tokens[at:at + width])) for at in starts}
+            windows = {at: (tokens[at:at + width], readings(tuple(tokens[at:at + width]))) for at in starts}
             can = [at for at in windows if windows[at][1]]
             for d, text in docs:
                 hit = set()
@@ -72,7 +74,7 @@ def plain_contaminated(docs, items, width=8, least=3):
                         own_tokens, own = windows[at]
                         for s in range(len(w) - len(own_tokens) + 1):
                             theirs = w[s:s + len(own_tokens)]
-                            for t in {*own} & {*readings(theirs)}:
+                            for t in {*own} & {*readings(tuple(theirs))}:
                                 places[s - at].add((at, tuple((x, bare(b).lower(), bare(o).lower()) for x, b, o in zip(t, own_tokens, theirs) if x.startswith("<"))))
                     for matches in places.values():
                         said = Counter(s for _, slots in matches for s in slots)
