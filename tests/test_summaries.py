@@ -51,3 +51,10 @@ def test_phrase_is_found_behind_the_first_words(spark, tmp_path):
     spark.createDataFrame([(2, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = reports.phrase_match_embedding(spark, str(tmp_path)).collect()
     assert [(r["window"], r["score"]) for r in got] == [("three four fivex", 100.0)]
+
+
+def test_sentences_keep_the_digits_of_their_place(spark):
+    """The second sentence lost the 1s at its ends, the third its 2s; of three underscores the last two were the mark."""
+    df = spark.createDataFrame([(1, "0 at 0. 148.9 is 1. 2 and 2"), (2, "a.  b! __ c? d___e. f\x0bg.\x0bh"), (3, ""), (4, None)], "k long, text string")
+    assert [tuple(r) for r in M.split_sentences(df, "k").orderBy("k", "pos").collect()] == [
+        (1, 0, "0 at 0."), (1, 1, "148.9 is 1."), (1, 2, "2 and 2"), (2, 0, "_e."), (2, 1, "f\x0bg.\x0bh")]
