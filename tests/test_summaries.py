@@ -58,3 +58,8 @@ def test_sentences_keep_the_digits_of_their_place(spark):
     df = spark.createDataFrame([(1, "0 at 0. 148.9 is 1. 2 and 2"), (2, "a.  b! __ c? d___e. f\x0bg.\x0bh"), (3, ""), (4, None)], "k long, text string")
     assert [tuple(r) for r in M.split_sentences(df, "k").orderBy("k", "pos").collect()] == [
         (1, 0, "0 at 0."), (1, 1, "148.9 is 1."), (1, 2, "2 and 2"), (2, 0, "_e."), (2, 1, "f\x0bg.\x0bh")]
+
+
+def test_reordered_sentences_see_the_digits_of_their_place(spark):
+    df = spark.createDataFrame([(1, "A. 11 b."), (2, "B 11.")], "k long, text string")
+    assert {tuple(r) for r in M.word_set_duplicates(M.split_sentences(df, "k"), "k").collect()} == {(1, 1, "1:1", 1), (2, 0, "1:1", 1)}
