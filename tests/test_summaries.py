@@ -63,3 +63,20 @@ def test_sentences_keep_the_digits_of_their_place(spark):
 def test_reordered_sentences_see_the_digits_of_their_place(spark):
     df = spark.createDataFrame([(1, "A. 11 b."), (2, "B 11.")], "k long, text string")
     assert {tuple(r) for r in M.word_set_duplicates(M.split_sentences(df, "k"), "k").collect()} == {(1, 1, "1:1", 1), (2, 0, "1:1", 1)}
+
+
+def test_documents_are_ranked_where_their_rows_stay(spark, monkeypatch):
+    """Neither sentences nor vectors are shuffled; long documents, repeated ids and empty texts are ranked as the others are."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(" ".join(f"W{w}É" for w in r.integers(0, 30, r.integers(1, 9))) + "." for _ in range(n)) for n in (0, 1, 4, 30, 30, 3)]
+    rows = [*enumerate(texts), (7, None), (None, texts[2])]
+    df = spark.createDataFrame(rows, "k long, text string").withColumn("sentences", M.sentences_of(F.col("text")))
+    got = M.summarise(df, "k", 5, 0.5, [(0.5, 64, False), (0.5, 32, True)])
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    apart = M.split_sentences(df, "k").withColumns({"embedding": M.sentence_vectors(F.col("sentence")), "letters": M.sentence_vectors(F.col("sentence"), 32, True)})
+    wanted = sorted(map(str, M.lexrank_summary(apart, "k", 5, 0.5, "letters").collect()))
+    assert sorted(map(str, got.collect())) == wanted and len(wanted) > 15
+    monkeypatch.setattr(M, "LONG", 10)
+    assert sorted(map(str, M.summarise(df, "k", 5, 0.5, [(0.5, 64, False), (0.5, 32, True)]).collect())) == wanted
+    again = df.filter("k = 3").union(df.filter("k = 3"))
+    assert M.summarise(again, "k").count() == 2 * M.summarise(df.filter("k = 3"), "k").count() == 6
