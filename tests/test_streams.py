@@ -83,3 +83,24 @@ def test_periods_go_on_after_a_restart_and_an_empty_batch(spark):
     assert run([row(0, 0, [1.0, 0.0], 3), row(0, 1, [0.0, 1.0], 2)]) == [(0, 3), (1, 2)]
     assert run([row(7, 0, [0.0, 1.0], 4), row(14, 0, [-1.0, 0.1], 1)]) == [(0, 3), (1, 6), (2, 1)]
     assert run([row(7, 0, [0.0, 1.0], 4)]) == [(0, 3), (1, 6), (2, 1)]  # late
+
+
+def test_topics_share_the_state_of_their_bucket(spark):
+    """A state and a timer for each bucket rather than each topic; the series is the same, also where few topics of a bucket are due."""
+    g, told = 2, {}
+    rows = [r for r in log_rows(7, g)]
+    for buckets in (1, 1000):
+        path, sink, progress = (scratch(spark, x) for x in ("in", "sink", "progress"))
+        seen, all_rows = set(), []
+        for ts, topic, _, base, amount in sorted(rows):
+            all_rows.append((topic, ts, None if topic in seen else float(base), float(amount)))
+            seen.add(topic)
+        all_rows.append((-1, max(r[0] for r in rows) + dt.timedelta(days=2 * g + 1), None, None))
+        spark.createDataFrame(all_rows, "topic long, step date, base double, amount double").withColumn("step", F.col("step").cast("timestamp")).write.json(path)
+        feed = streams.stream_feed(spark, path, "topic long, step timestamp, base double, amount double")
+        got = streams.drain(streams.popularity_timers(feed, g, buckets=buckets), sink, progress, provider=streams.ROCKSDB)
+        told[buckets] = sorted(map(str, got.collect()))
+        with streams.setting(spark, "spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB):
+            held = spark.read.format("statestore").option("stateVarName", "series").load(progress).count()
+        assert held == (1 if buckets == 1 else len(seen))
+    assert told[1] == told[1000] and len(told[1]) > 40

@@ -46,14 +46,17 @@ def sessions(df: DataFrame, gap: str, keys: list[str], delay: str = "2 days", ts
     return df.groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
 
 
-def popularity_timers(df: DataFrame, g: int, factor: float = 0.01, power: float = 2.0, delay: str = "0 days", forget: float = 0.0) -> DataFrame:
+def popularity_timers(df: DataFrame, g: int, factor: float = 0.01, power: float = 2.0, delay: str = "0 days", forget: float = 0.0, buckets: int = 512) -> DataFrame:
     """topic, ts, kind (0 first, 1 merge, 2 idle), popularity: the series of signal_popularity, from a stream of merges.
 
-    ``df``: topic, step (midnight of the merge's date), base (documents of the topic before its first merge), amount. The state of a topic
-    is its popularity, last step and idle steps since. An event-time timer stands for its next idle step: that is emitted once the
-    watermark shows that neither it nor the step after it (before which nothing decays) has a merge. A row without amount is a
+    ``df``: topic, step (midnight of the merge's date), base (documents of the topic before its first merge), amount. What is held of a topic
+    is its popularity, last step and idle steps since. It is due once the watermark shows that neither its next idle step nor the step
+    after it (before which nothing decays) has a merge: the idle step is emitted then. A row without amount is a
     clock that only moves the watermark. Topics whose popularity falls below ``forget`` lose their state and start anew with their next merge.
     The steps of a topic in one batch may come in any order; needs a state store that holds timers (``ROCKSDB``).
+
+    Topics are dealt over ``buckets`` by their hash. A bucket has one state, four numbers a topic, and one event-time timer at the first
+    time that a topic of it is due, as a call to the state store costs far more than what a topic needs; the number of buckets stays for the stream's life.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -61,61 +64,71 @@ def popularity_timers(df: DataFrame, g: int, factor: float = 0.01, power: float
 
     class Series(StatefulProcessor):  # defined here, so that it travels by value
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle, self.state = handle, handle.getValueState("series", "popularity double, last long, idle long")
+            self.handle, self.state = handle, handle.getValueState("series", "topic array<long>, popularity array<double>, last array<long>, idle array<long>")
+
+        def held(self) -> dict:
+            return {t: (p, last, idle) for t, p, last, idle in zip(*self.state.get())} if self.state.exists() else {}
 
-        def wait(self, last: int, idle: int) -> None:
+        def keep(self, held: dict) -> None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer((last + g * (idle + 3)) * day_ms)
+            if not held:
+                self.state.clear()
+                return
+            self.state.update((list(held), *map(list, zip(*held.values()))))
+            self.handle.registerTimer(min(self.due(last, idle) for _, last, idle in held.values()))
+
+        def due(self, last: int, idle: int) -> int:
+            return (last + g * (idle + 3)) * day_ms
 
-        def idle_steps(self, popularity: float, last: int, idle: int, until: int) -> tuple[list, float, int]:
+        def idle_steps(self, topic: int, popularity: float, last: int, idle: int, until: int, out: list) -> tuple[float, int]:
             """Idle steps up to the day ``until``."""
-            out = []
             while last + g * (idle + 2) <= until:
                 idle += 1
                 popularity *= math.exp(-factor * idle**power)
-                out.append((last + g * (idle + 1), 2, popularity))
-            return out, popularity, idle
+                out.append((topic, last + g * (idle + 1), 2, popularity))
+            return popularity, idle
 
-        def told(self, key, out: list) -> pd.DataFrame:
-            topic = pd.Series([key[0]] * len(out), dtype="int64")
-            return pd.DataFrame({"topic": topic, "ts": [dt.date(1970, 1, 1) + dt.timedelta(days=o[0]) for o in out], "kind": pd.Series([o[1] for o in out], dtype="int32"), "popularity": pd.Series([o[2] for o in out], dtype="float64")})
+        def told(self, out: list) -> pd.DataFrame:
+            topic, day, kind, popularity = zip(*out) if out else ((), (), (), ())
+            dates = {d: dt.date(1970, 1, 1) + dt.timedelta(days=d) for d in set(day)}
+            return pd.DataFrame({"topic": pd.Series(topic, dtype="int64"), "ts": [dates[d] for d in day], "kind": pd.Series(kind, dtype="int32"), "popularity": pd.Series(popularity, dtype="float64")})
 
         def handleInputRows(self, key, rows, timerValues):
             batch = pd.concat(list(rows))
             batch = batch[batch["amount"].notna()]
             if not len(batch):
                 return
-            batch = batch.assign(day=(batch["step"] - pd.Timestamp(0)) // pd.Timedelta(days=1)).sort_values(["day", "base", "amount"])
-            held, out = self.state.get() if self.state.exists() else None, []
-            popularity, last, idle = held if held else (0.0, None, 0)
-            for day, base, amount in batch[["day", "base", "amount"]].itertuples(index=False):
-                if last is None:
-                    popularity = 0.0 if pd.isna(base) else base
-                    out.append((day, 0, popularity))
+            batch = batch.assign(day=(batch["step"] - pd.Timestamp(0)) // pd.Timedelta(days=1)).sort_values(["topic", "day", "base", "amount"])
+            held, out = self.held(), []
+            for topic, day, base, amount in zip(*(batch[c].tolist() for c in ("topic", "day", "base", "amount"))):
+                if topic not in held:
+                    popularity = 0.0 if math.isnan(base) else base
+                    out.append((topic, day, 0, popularity))
                 else:
-                    more, popularity, idle = self.idle_steps(popularity, last, idle, day - 2 * g)
-                    out += more
-                popularity, last, idle = popularity + amount, int(day), 0
-                out.append((last + g, 1, popularity))
-            self.state.update((float(popularity), last, idle))
-            self.wait(last, idle)
-            yield self.told(key, out)
+                    popularity, _ = self.idle_steps(topic, *held[topic], day - 2 * g, out)
+                held[topic] = (float(popularity + amount), day, 0)
+                out.append((topic, day + g, 1, popularity + amount))
+            self.keep(held)
+            yield self.told(out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            popularity, last, idle = self.state.get()
-            out, popularity, idle = self.idle_steps(popularity, last, idle, timerValues.getCurrentWatermarkInMs() // day_ms - g)
-            if popularity < forget:
-                self.state.clear()
-            else:
-                self.state.update((popularity, last, idle))
-                self.wait(last, idle)
-            yield self.told(key, out)
+            now, held, out = timerValues.getCurrentWatermarkInMs(), self.held(), []
+            for topic, (popularity, last, idle) in list(held.items()):
+                due = self.due(last, idle)
+                if due < now or due <= expiredTimerInfo.getExpiryTimeInMs():
+                    popularity, idle = self.idle_steps(topic, popularity, last, idle, now // day_ms - g, out)
+                    held[topic] = (popularity, last, idle)
+                    if popularity < forget:
+                        del held[topic]
+            self.keep(held)
+            yield self.told(out)
 
         def close(self) -> None:
             pass
 
-    return df.withWatermark("step", delay).groupBy("topic").transformWithStateInPandas(Series(), "topic long, ts date, kind int, popularity double", "Append", "EventTime")
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("topic"), F.lit(buckets))).withWatermark("step", delay)
+    return dealt.groupBy("bucket").transformWithStateInPandas(Series(), "topic long, ts date, kind int, popularity double", "Append", "EventTime")
 
 
 @contextlib.contextmanager
