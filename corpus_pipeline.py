@@ -56,7 +56,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text with their digest and that of what they decode to."""
-    return bpe.encode_documents(docs, registry.tokenizer_path("word_bpe_49k.json")).drop("decoded")
+    return bpe.encode_documents(docs, registry.tokenizer_path("word_bpe_49k.json"), decoded=False)
 
 
 STAGES = [

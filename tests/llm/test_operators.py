@@ -45,6 +45,15 @@ def test_bpe_equals_the_library(spark, hard, empty):
     assert bpe.encode_documents(empty, path, True).count() == 0
 
 
+def test_encoding_leaves_the_decoded_text_out(spark, hard):
+    """The pipeline needs its digest only: the text isn't handed back, and a step holds few texts at a time."""
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    got, whole = bpe.encode_documents(hard, path, decoded=False), bpe.encode_documents(hard, path)
+    assert got.columns == [c for c in whole.columns if c != "decoded"]
+    assert rows(got, *got.columns) == rows(whole, *got.columns)
+    assert len(list(bpe.slices(["x" * 100_000] * 20))) == 4
+
+
 def test_counts_equal_the_library(spark, hard, empty):
     import sentencepiece
 

@@ -255,7 +255,7 @@ def merger(path: str) -> PairMerger:
     return _loaded[path]
 
 
-def slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
+def slices(texts: list, most: int = 500_000) -> Iterator[slice]:
     """Slices of a batch that hold about ``most`` characters, one text at least."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -267,10 +267,12 @@ def slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, digests_only: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless ``digests_only``, ids and decoded themselves."""
+def encode_documents(docs: DataFrame, tokenizer: str, digests_only: bool = False, decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless ``digests_only``, ids and (if ``decoded``) the decoded text themselves."""
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += "" if digests_only else ", ids array<int>, decoded string"
+    if not digests_only:
+        schema += ", ids array<int>" + (", decoded string" if decoded else "")
+    names = [c.split()[0] for c in schema.split(", ")][1:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = merger(tokenizer)
@@ -278,10 +280,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, digests_only: bool = False
             texts = batch["text"].tolist()
             for part in slices(texts):
                 rows = []
-                for n, ids, decoded in bpe.encode(texts[part]):
-                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append(row if digests_only else (*row, [int(x) for x in ids.split()], decoded))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")][1:])
+                for n, ids, shown in bpe.encode(texts[part]):
+                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
+                    more = () if digests_only else (np.fromiter(map(int, ids.split()), np.int32), shown)  # a number takes four bytes there
+                    rows.append((*row, *more)[:len(names)])
+                out = pd.DataFrame(rows, columns=names)
                 out.insert(0, "doc_id", batch["doc_id"].iloc[part].array)
                 yield out
         bpe.forget()
