@@ -80,3 +80,12 @@ def test_documents_are_ranked_where_their_rows_stay(spark, monkeypatch):
     assert sorted(map(str, M.summarise(df, "k", 5, 0.5, [(0.5, 64, False), (0.5, 32, True)]).collect())) == wanted
     again = df.filter("k = 3").union(df.filter("k = 3"))
     assert M.summarise(again, "k").count() == 2 * M.summarise(df.filter("k = 3"), "k").count() == 6
+
+
+def test_pieces_of_words_stay_with_their_row(spark, tmp_path):
+    """The pieces of a text aren't shuffled by its id; words of more than a piece, several blanks and a text without words."""
+    texts = [(1, " abcdef  g\n\nhi"), (2, "\t"), (3, "abcd é")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = reports.group_subword_tokens(spark, str(tmp_path))
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 9, 2.0), (3, 1, 6, 3.5)]
