@@ -75,3 +75,20 @@ def test_hot_words_meet_fewer_classes(spark, monkeypatch):
 def test_no_sentences(spark):
     df = spark.createDataFrame([(1, 0, "…"), (2, 0, "")], "document_id long, pos int, sentence string")
     assert P.paraphrase_pairs(df, "document_id").collect() == [] == P.paraphrase_links(df, "document_id").collect()
+
+
+def test_index_holds_no_vectors(spark, monkeypatch):
+    """A posting's size doesn't depend on the words of its class, and lists that go over batches of Arrow are whole."""
+    rows = made(7, 150, 0.5)
+    df = spark.createDataFrame(rows, "document_id long, pos int, sentence string")
+    index = P.postings(P.vectors(P.classes(df, "document_id")), 90)
+    assert not [c for c, t in index.dtypes if t.startswith(("array", "struct", "string", "binary"))]
+    monkeypatch.setattr(P, "HOT", 10)
+    monkeypatch.setattr(P, "LONG", 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = P.paraphrase_links(df, "document_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r["document_id"], r["pos"]): (r["class_id"], r["links"]) for r in got} == plain(rows, 90)[1]
