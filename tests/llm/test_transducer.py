@@ -65,6 +65,18 @@ def test_memory_of_all_letters(path):
     assert sum(x.nbytes for x in table) < 100 << 20 and len(ours.states) < token_counts.MOST_STATES + token_counts.PIECE
 
 
+def test_chunks_are_read_in_few_steps(path, monkeypatch):
+    """As many chunks side by side as keep the array steps few: 400 at most for 100 000 characters."""
+    library, ours, steps = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.CountingTransducer(path), []
+    look = ours.transitions
+    monkeypatch.setattr(ours, "transitions", lambda s, c: steps.append(len(s)) or look(s, c))
+    text = "some words and others " * 4 + "".join(random.Random(3).choices("theinga", k=100_000))
+    ours.counts([text])
+    steps.clear()
+    ours.memo.clear()
+    assert ours.counts([text])[0] == len(library.encode(text)) and len(steps) <= 400
+
+
 def test_scan_equals_steps():
     maps = np.random.default_rng(1).integers(0, 4, (37, 4))
     at = np.arange(4)

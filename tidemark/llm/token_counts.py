@@ -36,7 +36,7 @@ from tidemark.llm.common import as_text, bounded_batches
 
 SPACE_MARK = "▁"
 #: Characters of a chunk, and those before it that are read to guess its entry state.
-CHUNK, WARM = 512, 32
+CHUNK, WARM = 128, 32
 SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 #: Segments whose counts a worker keeps; beyond, it starts anew. It changes no result.
 MEMO_SEGMENTS = 1_000_000
@@ -133,14 +133,16 @@ class CountingTransducer:
 
     def transitions(self, states: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each leads (-1: not compiled yet) and what it adds."""
-        far = (states >= ROWS) | (columns >= COLUMNS)
-        if not far.any():
-            return self.after[states, columns], self.adds[states, columns]
-        to, add, near = np.full(len(states), -1, np.int32), np.zeros(len(states), np.int8), ~far
-        to[near], add[near] = self.after[states[near], columns[near]], self.adds[states[near], columns[near]]
-        keys = states[far].astype(np.int64) << 16 | columns[far]
-        at = self.others.places(keys)
-        to[far], add[far] = np.where(self.others.keys[at] == keys, self.others.to[at], -1), self.others.add[at]
+        # the last row and column of the dense block stay empty, so that whatever lies beyond is missed there
+        at = np.minimum(states, len(self.after) - 1).astype(np.int64) * COLUMNS + np.minimum(columns, COLUMNS - 1)
+        to, add = self.after.reshape(-1).take(at), self.adds.reshape(-1).take(at)
+        missed = np.flatnonzero(to < 0)
+        far = missed[(states[missed] >= ROWS - 1) | (columns[missed] >= COLUMNS - 1)]
+        if len(far):
+            keys = states[far].astype(np.int64) << 16 | columns[far]
+            at = self.others.places(keys)
+            known = self.others.keys[at] == keys
+            to[far[known]], add[far[known]] = self.others.to[at[known]], self.others.add[at[known]]
         return to, add
 
     def split(self, piece: str) -> tuple[str, str] | None:
@@ -200,7 +202,7 @@ class CountingTransducer:
                            if (len(s) == 1 or s in self.score) and self.adjacent(before, s))
         new = tuple((s, before, n - count) for s, before, n in live if self.open(s, before)) + (("", last, 0),)
         to = self.numbered(new)
-        if state < ROWS and column < COLUMNS:
+        if state < ROWS - 1 and column < COLUMNS - 1:
             self.after[state, column], self.adds[state, column] = to, count
         else:
             self.others.put(state << 16 | column, to, count)
@@ -221,8 +223,7 @@ class CountingTransducer:
         split = [self.segments(t) for t in texts]
         new: set[str] = set()
         for parts in split:
-            new.update(parts)
-        new.difference_update(self.memo)
+            new.update(w for w in set(parts) if w not in self.memo)  # the memo isn't walked through
         if new:
             told = list(new)
             self.memo.update(zip(told, self.read(told).tolist()))
