@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.operators import paraphrases as P
@@ -92,3 +93,21 @@ def test_index_holds_no_vectors(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {(r["document_id"], r["pos"]): (r["class_id"], r["links"]) for r in got} == plain(rows, 90)[1]
+
+
+def test_long_sentences_meet_few_others(spark):
+    """Their 128 bits are all set, so only the number and the groups of their words tell short sentences and other long ones from them; near copies still meet."""
+    r = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    long = [r.choices(vocabulary, k=220) + ["the"] * r.choice([5, 30]) for _ in range(60)]
+    near = [w[1:] + ["new"] for w in long[:20]]
+    rows = [(i, 0, " ".join(w)) for i, w in enumerate([*long, *near, *([f"the s{i}", f"t{i}"] for i in range(60))])]
+    df = spark.createDataFrame(rows, "document_id long, pos int, sentence string")
+    x = P.postings(P.vectors(P.classes(df, "document_id")), 90).toPandas().drop_duplicates("id")
+    x = {c: x[c].to_numpy() for c in x} | {"list": np.zeros(len(x), np.int64), "side": np.zeros(len(x), np.int64), "share": np.ones(len(x))}
+    x |= {c: x[c].view(np.uint64) for c in ("b0", "b1")}
+    a, _ = P.met_in(x, .81 - 1e-6)
+    pairs, links = plain(rows, 90)
+    assert len(x["id"]) == 140 and len(pairs) <= len(a) < 2000  # 4840 before, most of them of a long and a short one
+    got = {(r["first_1"], r["first_2"]) for r in P.paraphrase_pairs(df, "document_id").collect()}
+    assert got == {p[:2] for p in pairs} and len(got) >= 20
