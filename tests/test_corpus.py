@@ -1,6 +1,7 @@
 """Operators without SQL against plain versions: coherence, re-ranking, merging, stability, embeddings, duplicates of sentences."""
 
 import math
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cleaning as C, merging, stability as B, summaries as M, topics as O
 from tidemark.operators.written import save
+from tidemark.plans import reports
 
 
 def test_coherence_counts_windows(spark):
@@ -128,3 +130,47 @@ def test_cv_is_the_cosine_of_context_vectors(spark):
         whole = v.sum(0)
         cosines = [x @ whole / np.linalg.norm(x) / np.linalg.norm(whole) if x.any() else 0 for x in v]
         assert got[topic] == pytest.approx(np.mean(cosines))
+
+
+def test_texts_with_vectors_are_dealt_by_id(spark, tmp_path):
+    """The documents that have a vector all lie in the first file; the cutting of their texts was one task."""
+    r = random.Random(1)
+    row = lambda i: (i, " ".join(f"w{r.getrandbits(64)}" for _ in range(100)), "en", "s", 9)
+    spark.createDataFrame([row(i) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long").repartitionByRange(4, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 3, [1.0, 2.0]) for i in range(40)], "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "50000"}  # the texts have more
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        met = reports._texts(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).select("document_id", "text", "part").collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted(r["document_id"] for r in met) == list(range(40)) and len({r["part"] for r in met}) == 4
+
+
+def test_closest_docs_against_a_plain_version(spark):
+    """The counts of the topics come from those of the documents, of words in two topics at least."""
+    r = random.Random(3)
+    docs = [(i, i % 3, " ".join(r.choices([f"w{k}" for k in range(25)] + [f"only{i % 3}"], k=r.choice([1, 5, 40])))) for i in range(40)]
+    terms = {i: Counter(t := text.split()) + Counter(f"{a} {b}" for a, b in zip(t, t[1:])) for i, _, text in docs}
+    counts = Counter()
+    for i, topic, _ in docs:
+        counts.update({(topic, t): n for t, n in terms[i].items()})
+    wide = Counter(t for _, t in counts)
+    counts = {k: n for k, n in counts.items() if wide[k[1]] >= 2}
+    total, every = Counter(), Counter()
+    for (topic, t), n in counts.items():
+        total[topic] += n
+        every[t] += n
+    idf = {t: math.log(1 + sum(total.values()) // len(total) / n) for t, n in every.items()}
+    score = {(topic, t): math.sqrt(n / total[topic]) * idf[t] for (topic, t), n in counts.items()}
+    found = []
+    for i, topic, _ in docs:
+        own = {t: n * idf[t] for t, n in terms[i].items() if (topic, t) in score}
+        if own:
+            near = sum(x * score[topic, t] for t, x in own.items()) / math.sqrt(sum(x * x for x in own.values()))
+            found.append((topic, -round(near / math.sqrt(sum(s * s for (o, _), s in score.items() if o == topic)), 9), i))
+    wanted = [(topic, i, -s) for topic in range(3) for _, s, i in sorted(f for f in found if f[0] == topic)[:4]]
+    got = O.closest_docs(spark.createDataFrame(docs, "document_id long, topic int, text string"), 4, []).orderBy("topic", "rank").collect()
+    assert [(g["topic"], g["document_id"], round(g["similarity"], 6)) for g in got] == [(t, i, round(s, 6)) for t, i, s in wanted]

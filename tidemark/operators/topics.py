@@ -31,24 +31,32 @@ def period_topics(rows: DataFrame) -> DataFrame:
     return topic_info(rows).join(V.mean_vector(rows, ["period", "topic"], "embedding", "embedding").drop("n"), ["period", "topic"])
 
 
+def words_of(docs: DataFrame) -> Column:
+    """The words of each text, from ``ws`` where they are cut already."""
+    return F.col("ws") if "ws" in docs.columns else T.words(F.col("text"))
+
+
 def term_counts(docs: DataFrame, topic: str, min_df: int = 2, stop_words: list[str] | None = None, pairs: bool = True) -> DataFrame:
     """topic, term, n for words and word pairs that occur in at least ``min_df`` topics."""
-    tokens = T.words(F.col("text"))
+    tokens = words_of(docs)
     terms = T.ngrams(tokens, stop_words or []) if pairs else F.filter(tokens, lambda w: ~w.isin(*(stop_words or [""])))
-    counted = save(docs.select(topic, F.explode(terms).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("n")), "counted")
-    wide = counted.groupBy("term").agg(F.count("*").alias("topics")).filter(F.col("topics") >= min_df).select("term")
-    return counted.join(wide, "term", "left_semi")
+    return in_topics(docs.select(topic, F.explode(terms).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("n")), min_df).drop("topics")
+
+
+def in_topics(counted: DataFrame, min_df: int) -> DataFrame:
+    """The rows of ``counted`` (a row for each topic and term) whose term occurs in at least ``min_df`` topics, with ``topics``, their number."""
+    # a term has as many rows as it has topics, however often it occurs
+    return counted.withColumn("topics", F.count("*").over(Window.partitionBy("term"))).filter(F.col("topics") >= min_df)
 
 
 def class_tfidf(counts: DataFrame, topic: str, reduce_frequent: bool = True) -> DataFrame:
     """topic, term, score: share of the term in its topic (its root, if asked) times ln(1 + A / f) with A the mean number of words of
     a topic, cut to a whole number, and f the term's count in all topics."""
-    counts = save(counts, "term_counts")
+    counts = save(counts.withColumn("__f", F.sum("n").over(Window.partitionBy("term"))), "term_counts")  # a row for each topic of a term
     total = counts.groupBy(topic).agg(F.sum("n").alias("__w"))
     mean = total.agg(F.floor(F.avg("__w")).alias("__a"))
-    f = counts.groupBy("term").agg(F.sum("n").alias("__f"))
     share = F.col("n") / F.col("__w")
-    scored = counts.join(total, topic).withColumn("tf", F.sqrt(share) if reduce_frequent else share).join(f, "term").crossJoin(F.broadcast(mean))
+    scored = counts.join(total, topic).withColumn("tf", F.sqrt(share) if reduce_frequent else share).crossJoin(F.broadcast(mean))
     return scored.select(topic, "term", (F.col("tf") * F.log(1 + F.col("__a") / F.col("__f"))).alias("score"))
 
 
@@ -95,15 +103,19 @@ def reduce_outliers(doc_terms: DataFrame, scores: DataFrame) -> DataFrame:
     return best.select("document_id", F.col("b.topic").alias("topic"), (-F.col("b.s")).alias("score"))
 
 
-def closest_docs(docs: DataFrame, counts: DataFrame, k: int, stop_words: list[str]) -> DataFrame:
+def closest_docs(docs: DataFrame, k: int, stop_words: list[str], min_df: int = 2) -> DataFrame:
     """topic, document_id, similarity, rank: the k documents of each topic whose words, weighted by rarity, have the highest cosine with
-    the topic's class-based TF-IDF. ``docs``: document_id, topic, text; ``counts``: the topics' term counts."""
-    scores = class_tfidf(counts, "topic")
-    total = counts.groupBy("topic").agg(F.sum("n").alias("w")).agg(F.floor(F.avg("w")).alias("__a"))
-    rare = counts.groupBy("term").agg(F.sum("n").alias("__f")).crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("__a") / F.col("__f")).alias("idf"))
+    the topic's class-based TF-IDF, of the terms in at least ``min_df`` topics. ``docs``: document_id, topic, text.
+
+    Texts are cut once: the topics' counts are those of their documents added up, and a term's count in all topics stands beside each of its rows."""
     own = save(docs.select("document_id", "topic", F.explode(T.ngrams(T.words(F.col("text")), stop_words)).alias("term")).groupBy("document_id", "topic", "term").agg(F.count("*").alias("n")), "document_terms")
-    held = own.groupBy("topic", "term").agg(F.count("*").alias("rows"))
-    values = scores.join(rare, "term").join(held, ["topic", "term"])
+    counted = own.groupBy("topic", "term").agg(F.sum("n").alias("c"), F.count("*").alias("rows"))
+    counts = save(in_topics(counted, min_df).withColumn("__f", F.sum("c").over(Window.partitionBy("term"))).drop("topics"), "counts")
+    words = counts.groupBy("topic").agg(F.sum("c").alias("__w"))
+    idf = F.log(1 + F.col("__a") / F.col("__f"))
+    values = counts.join(words, "topic").crossJoin(F.broadcast(words.agg(F.floor(F.avg("__w")).alias("__a"))))
+    values = save(values.select("topic", "term", "rows", idf.alias("idf"), (F.sqrt(F.col("c") / F.col("__w")) * idf).alias("score")), "values")
+    scores = values.select("topic", "score")
     met = join_counted(own, values, ["topic", "term"], "rows", own.count())
     weight = F.col("n") * F.col("idf")
     length = scores.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("__l"))
@@ -149,7 +161,8 @@ def cooccurrence(words: DataFrame, docs: DataFrame, window: int, k: int) -> tupl
     listed = words.select("topic", F.slice("words", 1, k).alias("ws"))
     pairs = listed.select("topic", "ws", F.posexplode("ws").alias("i", "x")).select("topic", "i", "x", F.posexplode("ws").alias("j", "y"))
     asked = save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    tokens = docs.select("document_id", T.words(F.col("text")).alias("ws"))
+    # written, as Spark else cuts each text of the table, those without topic too, to drop empty ones before the join
+    tokens = docs if "ws" in docs.columns else save(docs.select("document_id", words_of(docs).alias("ws")), "tokens")
     sizes = tokens.agg(F.sum(F.greatest(F.size("ws") - window + 1, F.lit(1))).alias("windows"), F.count("*").alias("docs"))
     rows = tokens.select("document_id", F.greatest(F.size("ws") - window, F.lit(0)).alias("last"), F.posexplode("ws").alias("pos", "w"))
     wanted = asked.select(F.col("a").alias("w")).union(asked.select("b")).distinct()
