@@ -174,3 +174,14 @@ def test_closest_docs_against_a_plain_version(spark):
     wanted = [(topic, i, -s) for topic in range(3) for _, s, i in sorted(f for f in found if f[0] == topic)[:4]]
     got = O.closest_docs(spark.createDataFrame(docs, "document_id long, topic int, text string"), 4, []).orderBy("topic", "rank").collect()
     assert [(g["topic"], g["document_id"], round(g["similarity"], 6)) for g in got] == [(t, i, round(s, 6)) for t, i, s in wanted]
+
+
+def test_words_that_are_cut_are_not_cut_again(spark, monkeypatch):
+    """The texts of cluster_metrics are cut once for the topics' words and for their company."""
+    docs = spark.createDataFrame([(i, i % 2, f"ab cd {'ef' if i % 3 else 'gh'} ij") for i in range(12)], "document_id long, topic int, text string")
+    words = spark.createDataFrame([(0, ["ab", "ef"]), (1, ["cd", "gh"])], "topic int, words array<string>")
+    told = lambda d: (sorted(map(tuple, O.coherence(words, d, 2).collect())), sorted(map(tuple, O.term_counts(d, "topic", 2).collect())))
+    wanted = told(docs)
+    cut = save(docs.select("document_id", "topic", O.T.words(F.col("text")).alias("ws")), "cut")
+    monkeypatch.setattr(O.T, "words", None)
+    assert told(cut) == wanted and len(wanted[0]) == 2
