@@ -75,12 +75,13 @@ def best_windows(phrases: list[str], texts: list[list[str]], least: float) -> li
             continue
         ids = np.array([where[t] for t in tokens])
         starts = len(tokens) - n + 1
-        total = np.concatenate([np.zeros((1, LETTERS), np.int64), letters[ids].cumsum(0)])
         # letters that both sides have, and blanks; repeated words of a window only lower what it can reach
         mine = np.zeros(LETTERS, np.int64)
         for w in words:
             np.add.at(mine, np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, 1)
-        common = np.minimum(total[n:] - total[:starts], mine).sum(1) + len(words) - 1
+        own_letters = np.flatnonzero(mine)  # no other letters are common
+        total = np.concatenate([np.zeros((1, len(own_letters)), np.int64), letters[np.ix_(ids, own_letters)].cumsum(0)])
+        common = np.minimum(total[n:] - total[:starts], mine[own_letters]).sum(1) + len(words) - 1
         length = np.concatenate([[0], size[ids].cumsum()])
         shared = np.isin(ids, [where[w] for w in words if w in where])
         known = np.concatenate([[0], shared.cumsum()])
