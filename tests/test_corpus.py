@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import cleaning as C, merging, stability as B, summaries as M, topics as O
 from tidemark.operators.written import save
 from tidemark.plans import reports
+from tidemark.streaming.streams import setting
 
 
 def test_coherence_counts_windows(spark):
@@ -40,6 +41,15 @@ def test_mmr_weighs_nearness_and_distance(spark):
     assert [r["word"] for r in M.mmr(df, "topic", 2, 0.0).orderBy("rank").collect()] == ["near", "same"]
 
 
+def test_reranking_goes_on_with_joins_that_shuffle(spark, small):
+    """As with large tables, where no side is broadcast: parts of a union in the mean of vectors no longer come out as another number than the other side's."""
+    told = []
+    for limit in ("10m", "-1"):
+        with setting(spark, "spark.sql.autoBroadcastJoinThreshold", limit):
+            told.append(sorted(map(tuple, reports.mmr_rerank(spark, small).collect())))
+    assert told[0] == told[1] and len(told[0]) == 45
+
+
 def simulate_merges(periods, minimum):
     cosine = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
     registry, log = {}, []

@@ -24,14 +24,17 @@ def cosine(a: Column, b: Column) -> Column:
 def mean_vector(df: DataFrame, keys: list[str], vector: str, out: str) -> DataFrame:
     """The mean of the vectors of each key, dimension by dimension; ``n`` counts the vectors.
 
-    Each task adds up its own vectors as wholes, so a row for each key (and length) and task is shuffled; vectors with a null component,
-    which isn't counted, are added number by number. Null and empty vectors don't count.
+    Each task adds up its own vectors as wholes, so a row for each key (and length) and task is shuffled. A vector with null components, which
+    aren't counted, has them as zeros and is twice as long: its second half marks them. Null and empty vectors don't count. There is one aggregation and no union of
+    two: a union of sides that are dealt by the keys counts as dealt by them, and a later join fails where its parts come out as another number.
     """
+    gaps = F.exists("__v", lambda x: x.isNull())
+    filled, marks = F.transform("__v", lambda x: F.coalesce(x, F.lit(0.0))), F.transform("__v", lambda x: x.isNull().cast("double"))
     rows = df.select(*keys, F.col(vector).cast("array<double>").alias("__v")).filter(F.size("__v") > 0)
-    whole = rows.filter(F.forall("__v", lambda x: x.isNotNull())).groupBy(*keys, F.size("__v").alias("__d")).agg(Summarizer.sum(array_to_vector("__v")).alias("__s"), F.count("*").alias("__c"))
-    sums = whole.select(*keys, "__c", F.posexplode(vector_to_array("__s")).alias("__i", "__x")).withColumn("n", F.col("__c"))
-    rest = rows.filter(F.exists("__v", lambda x: x.isNull())).select(*keys, F.posexplode("__v").alias("__i", "__x"))
-    rest = rest.groupBy(*keys, "__i").agg(F.count("__x").alias("__c"), F.sum("__x").alias("__x"), F.count("*").alias("n")).select(*keys, "__c", "__i", "__x", "n")
-    by_place = sums.unionByName(rest).groupBy(*keys, "__i").agg(F.try_divide(F.sum("__x"), F.sum("__c")).alias("__m"), F.sum("n").alias("n"))
+    rows = rows.select(*keys, F.size("__v").alias("__d"), F.when(gaps, F.concat(filled, marks)).otherwise(F.col("__v")).alias("__v"))
+    whole = rows.groupBy(*keys, "__d", F.size("__v").alias("__l")).agg(Summarizer.sum(array_to_vector("__v")).alias("__s"), F.count("*").alias("n"))
+    told = whole.select(*keys, "__d", "n", vector_to_array("__s").alias("__s")).withColumn("__m", F.slice("__s", F.col("__d") + 1, F.col("__d")))
+    sums = told.select(*keys, "n", "__m", F.posexplode(F.slice("__s", F.lit(1), F.col("__d"))).alias("__i", "__x"))
+    by_place = sums.groupBy(*keys, "__i").agg(F.try_divide(F.sum("__x"), F.sum(F.col("n") - F.coalesce(F.get("__m", F.col("__i")), F.lit(0.0)))).alias("__m"), F.sum("n").alias("n"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"])
     return by_place.groupBy(*keys).agg(F.max("n").alias("n"), ordered.alias(out))
