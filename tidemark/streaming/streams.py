@@ -18,9 +18,12 @@ from tidemark.operators.written import save
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_feed(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
-    """New json lines files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+def stream_feed(spark: SparkSession, path: str, schema: str, files: int | None = 8) -> DataFrame:
+    """New json lines files of a folder as a stream, so many in a batch; without ``files`` all that are there, where files hold rows of the same time.
+
+    Files that are written side by side come in any order. Batches that take some of them move the watermark past the rows of the others, which count as late."""
+    feed = spark.readStream.schema(schema)
+    return (feed if files is None else feed.option("maxFilesPerTrigger", files)).json(path)
 
 
 def stream_dedupe(df: DataFrame, key: str, delay: str, ts: str = "ts") -> DataFrame:
@@ -53,7 +56,8 @@ def popularity_timers(df: DataFrame, g: int, factor: float = 0.01, power: float
     is its popularity, last step and idle steps since. It is due once the watermark shows that neither its next idle step nor the step
     after it (before which nothing decays) has a merge: the idle step is emitted then. A row without amount is a
     clock that only moves the watermark. Topics whose popularity falls below ``forget`` lose their state and start anew with their next merge.
-    The steps of a topic in one batch may come in any order; needs a state store that holds timers (``ROCKSDB``).
+    The steps of a topic in one batch may come in any order, those of a batch come after all that were in batches before it (``stream_feed`` without
+    a number of files); needs a state store that holds timers (``ROCKSDB``).
 
     Topics are dealt over ``buckets`` by their hash. A bucket has one state, four numbers a topic, and one event-time timer at the first
     time that a topic of it is due, as a call to the state store costs far more than what a topic needs; the number of buckets stays for the stream's life.
