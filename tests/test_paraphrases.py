@@ -111,3 +111,54 @@ def test_long_sentences_meet_few_others(spark):
     assert len(x["id"]) == 140 and len(pairs) <= len(a) < 2000  # 4840 before, most of them of a long and a short one
     got = {(r["first_1"], r["first_2"]) for r in P.paraphrase_pairs(df, "document_id").collect()}
     assert got == {p[:2] for p in pairs} and len(got) >= 20
+
+
+def test_lists_meet_in_stretches_and_blocks(spark, monkeypatch):
+    """Classes of a list meet those alone whose number of words may be near their own, in blocks or side by side; what is found doesn't depend on that."""
+    df = spark.createDataFrame(made(9, 400, 0.5), "document_id long, pos int, sentence string")
+    x = P.postings(P.vectors(P.classes(df, "document_id")), 90).toPandas()
+    x["list"] = x["code"] % 3
+    x = x.sort_values("list")
+    x = {c: x[c].to_numpy() for c in x} | {"side": np.zeros(len(x), np.int64)}
+    x |= {c: x[c].view(np.uint64) for c in ("b0", "b1")}
+    least, told = .81 - 1e-6, []
+    for dense, block, some in ((10**9, 1, 10**9), (2, 7, 5), (64, 96, 50_000)):
+        monkeypatch.setattr(P, "DENSE", dense)
+        monkeypatch.setattr(P, "BLOCK", block)
+        monkeypatch.setattr(P, "SOME", some)
+        a, b = P.met_in(x, least)
+        assert (x["list"][a] == x["list"][b]).all() and all(len(p[0]) <= some for p in P.met_parts(x, least))
+        told.append(sorted(map(tuple, np.sort(np.stack([a, b], 1), 1).tolist())))
+    assert told[0] == told[1] == told[2] and len(told[0]) > 100
+    # a list of sentences of all lengths: pairs are looked at only where lengths may fit; all 179700 were before
+    n = 600
+    d = np.arange(n) % 60 + 1
+    bits = np.array([(1 << int(k)) - 1 for k in d], np.uint64)
+    y = {"list": np.zeros(n, np.int64), "side": np.zeros(n, np.int64), "id": np.arange(n), "share": np.ones(n, np.float32), "n2": d, "d": d, "b0": bits, "b1": bits * 0, "e0": d * 0, "e1": d * 0}
+    seen, count = [], np.bitwise_count
+    monkeypatch.setattr(P, "DENSE", 10**9)
+    monkeypatch.setattr(P.np, "bitwise_count", lambda v: (seen.append(len(v)), count(v))[1])
+    P.met_in(y, least)
+    assert max(seen) <= n and sum(seen) < 2 * 179_700  # four counts a pair that is looked at
+
+
+def test_only_classes_with_links_are_joined(spark, monkeypatch):
+    """Beyond SENT, texts of classes that no pair asks for are left out before they are shuffled, as are sentences without a link; nothing is lost by the table of bits."""
+    monkeypatch.setattr(P, "SENT", 10)
+    monkeypatch.setattr(P, "BITS", 1 << 17)
+    rows = made(11, 200, 0.5)
+    df = spark.createDataFrame(rows, "document_id long, pos int, sentence string")
+    ids = spark.range(1000).filter("id % 7 = 0")
+    near = spark.range(1000).filter(P.among("id", P.spotted(ids)))
+    assert {i * 7 for i in range(143)} <= {r["id"] for r in near.collect()} and near.count() < 160
+    pairs, links = plain(rows, 90)
+    assert len(P.paraphrase_pairs(df, "document_id").collect()) == len(pairs) > 20
+    assert {(r["document_id"], r["pos"]): (r["class_id"], r["links"]) for r in P.paraphrase_links(df, "document_id").collect()} == links
+
+
+def test_sentences_are_cut_into_words_once(spark):
+    """A filter on the words themselves had them worked out twice."""
+    df = spark.createDataFrame([(1, 0, "Ⅻ b"), (2, 0, "…"), (3, 0, "İ"), (4, 0, "")], "document_id long, pos int, sentence string")
+    for told in (P.classes(df, "document_id"), P.members(df, "document_id")):
+        assert told._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+        assert told.count() == 2
